@@ -15,6 +15,7 @@ from ..functions import text as X
 # shuffle path.  Checked with a bounded count before any collect.
 INLINE_LIMIT = 10_000
 BROADCAST_LIMIT = 2_000_000
+KEYWORD_BROADCAST_LIMIT = 100_000
 
 LEXICON_SCHEMA = "word string, polarity double, subjectivity double"
 
@@ -161,26 +162,40 @@ def enrich_comments(comments: DataFrame, posts: DataFrame, lexicon=None,
 
 
 def match_keywords(df: DataFrame, id_cols, text, dictionary: DataFrame,
-                   keyword_col: str = "keyword") -> DataFrame:
+                   keyword_col: str = "keyword", method: str = "auto") -> DataFrame:
     """(row, keyword) for every dictionary keyword that is a substring of
     lower(text).
 
-    Keywords shorter than 3 characters form a set bounded by the alphabet,
-    so they are broadcast and tested with ``contains``.  Longer keywords are
-    joined on their first 3 characters against every distinct trigram of the
-    text (an equi-join that shuffles by trigram; AQE splits hot trigrams) and
-    then verified with ``contains``; the result is exact.
+    ``auto``: a dictionary of at most KEYWORD_BROADCAST_LIMIT rows (checked
+    with a bounded count) is broadcast and tested with ``contains`` (a
+    broadcast nested-loop join against a small parameter table).  Beyond
+    that, the ``index`` path: keywords shorter than 3 characters form a set
+    bounded by the alphabet and stay broadcast; longer ones are equi-joined
+    on their first 3 characters against the distinct trigrams of each text
+    (shuffled by trigram; AQE splits hot trigrams), then verified with
+    ``contains``.  Both paths are exact.
     """
     id_cols = list(id_cols)
     kw = (dictionary.select(F.lower(F.col(keyword_col)).alias("_kw"), *[
         c for c in dictionary.columns if c != keyword_col]).where(F.length("_kw") > 0))
     x = df.select(*id_cols, K.lower_text(text).alias("_x"))
+    if method == "auto":
+        small = _bounded_count(kw, KEYWORD_BROADCAST_LIMIT) <= KEYWORD_BROADCAST_LIMIT
+        method = "broadcast" if small else "index"
+    if method == "broadcast":
+        out = x.join(F.broadcast(kw), F.col("_x").contains(F.col("_kw")))
+        return out.drop("_x").withColumnRenamed("_kw", keyword_col)
     short = kw.where(F.length("_kw") < 3)
     longk = kw.where(F.length("_kw") >= 3).withColumn("_g", F.substring("_kw", 1, 3))
     hits_short = x.join(F.broadcast(short), F.col("_x").contains(F.col("_kw")))
-    grams = x.select(*id_cols, F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_x") - 2, F.lit(1))),
-        lambda i: F.substring("_x", i, 3)))).alias("_g"))
+    # Trigrams from a character array (array access is O(1); substring on
+    # UTF-8 by character position would rescan the text for every gram).
+    chars = x.select(*id_cols, F.split("_x", "").alias("_c"))
+    grams = (chars.select(*id_cols, "_c", F.posexplode("_c").alias("_i", "_ch"))
+             .where(F.col("_i") + 2 < F.size("_c"))
+             .select(*id_cols, F.concat("_ch", F.col("_c")[F.col("_i") + 1],
+                                        F.col("_c")[F.col("_i") + 2]).alias("_g"))
+             .distinct())
     cand = grams.join(longk, "_g").drop("_g")
     hits_long = cand.join(x, id_cols).where(F.col("_x").contains(F.col("_kw")))
     out = hits_short.unionByName(hits_long)
