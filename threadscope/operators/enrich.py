@@ -83,8 +83,10 @@ def lexicon_sentiment(df: DataFrame, text, lexicon=None, out: str = "sentiment",
 
 
 def polarity_label(polarity) -> Column:
-    """Three-way label from a polarity score."""
+    """Three-way label from a polarity score (rounded to 9 decimals first, so
+    a sum that cancels to within float noise reads as neutral)."""
     p = F.col(polarity) if isinstance(polarity, str) else polarity
+    p = F.round(p, 9)
     return (F.when(p > 0, F.lit("positive")).when(p < 0, F.lit("negative"))
             .otherwise(F.lit("neutral")))
 

@@ -10,11 +10,14 @@ from .. import rules
 from . import sqlgen as G
 
 
-def summary_ctes(lexicon=None, stop_words=None) -> str:
-    return f"""
-WITH c AS (
+CONV_COMMENTS = """
   SELECT conv_id AS post_id, CAST(turn - 1 AS INTEGER) AS pos, coalesce(text, '') AS text
-  FROM conversations WHERE turn > 0
+  FROM conversations WHERE turn > 0"""
+
+
+def summary_ctes(lexicon=None, stop_words=None, comments_sql: str = CONV_COMMENTS) -> str:
+    return f"""
+WITH c AS ({comments_sql}
 ),
 p AS (SELECT conv_id AS post_id, text AS title FROM conversations WHERE turn = 0),
 v AS (
@@ -23,7 +26,7 @@ v AS (
 ),
 lab AS (
   SELECT v.post_id, v.idx,
-         CASE WHEN s.pol > 0 THEN 'positive' WHEN s.pol < 0 THEN 'negative' ELSE 'neutral' END AS label
+         CASE WHEN round(s.pol, 9) > 0 THEN 'positive' WHEN round(s.pol, 9) < 0 THEN 'negative' ELSE 'neutral' END AS label
   FROM v LEFT JOIN {G.lexicon_scores('v', 'post_id, idx', 'text', lexicon)} s USING (post_id, idx)
 ),
 alltext AS (SELECT post_id, string_agg(text || ' ', '' ORDER BY idx) AS t FROM v GROUP BY post_id),
@@ -79,8 +82,8 @@ nvalid AS (SELECT post_id, count(*) AS n_valid FROM v GROUP BY post_id)
 """
 
 
-def summary_sql(n: int = 5, lexicon=None, stop_words=None) -> str:
-    return summary_ctes(lexicon, stop_words) + f""",
+def summary_sql(n: int = 5, lexicon=None, stop_words=None, comments_sql: str = CONV_COMMENTS) -> str:
+    return summary_ctes(lexicon, stop_words, comments_sql) + f""",
 picked AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY round(score, 9) DESC, sid) AS rk

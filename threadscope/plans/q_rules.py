@@ -193,7 +193,7 @@ for _name, _v in VARIANTS.items():
 
 @register("j8_m4_lexicon_sentiment", f"""
 SELECT d.doc_id, round(coalesce(s.pol, 0.0), 6) AS polarity, round(coalesce(s.subj, 0.0), 6) AS subjectivity,
-  CASE WHEN coalesce(s.pol, 0.0) > 0 THEN 'positive' WHEN coalesce(s.pol, 0.0) < 0 THEN 'negative'
+  CASE WHEN round(coalesce(s.pol, 0.0), 9) > 0 THEN 'positive' WHEN round(coalesce(s.pol, 0.0), 9) < 0 THEN 'negative'
        ELSE 'neutral' END AS label
 FROM documents d LEFT JOIN {G.lexicon_scores('documents', 'doc_id', 'text')} s USING (doc_id)""")
 def j8_m4_lexicon_sentiment(spark, sf):
