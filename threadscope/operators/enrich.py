@@ -13,7 +13,7 @@ from ..functions import text as X
 
 # A dictionary this small (rows) is inlined / broadcast; larger ones take the
 # shuffle path.  Checked with a bounded count before any collect.
-INLINE_LIMIT = 10_000
+INLINE_LIMIT = 256  # map lookups scan keys linearly; larger lexicons join
 BROADCAST_LIMIT = 2_000_000
 KEYWORD_BROADCAST_LIMIT = 100_000
 
@@ -61,13 +61,16 @@ def lexicon_sentiment(df: DataFrame, text, lexicon=None, out: str = "sentiment",
     entries = _lexicon_entries(lexicon)
     if entries is not None:
         m = _literal_lexicon_map(entries)
-        hits = F.filter(F.transform(t, lambda w: F.try_element_at(m, w)), lambda s: s.isNotNull())
-        n = F.size(hits)
-        pol = F.aggregate(hits, F.lit(0.0), lambda a, s: a + s["p"])
-        sub = F.aggregate(hits, F.lit(0.0), lambda a, s: a + s["s"])
+        # One lookup per token; the hit list is its own projection (used
+        # three times, so Catalyst does not re-derive it).
+        d = df.withColumn("_hits", F.filter(F.transform(t, lambda w: F.try_element_at(m, w)),
+                                            lambda s: s.isNotNull()))
+        n = F.size("_hits")
+        pol = F.aggregate("_hits", F.lit(0.0), lambda a, s: a + s["p"])
+        sub = F.aggregate("_hits", F.lit(0.0), lambda a, s: a + s["s"])
         st = F.when(n > 0, F.struct((pol / n).alias("polarity"), (sub / n).alias("subjectivity"))) \
             .otherwise(F.struct(F.lit(0.0).alias("polarity"), F.lit(0.0).alias("subjectivity")))
-        return df.withColumn(out, st)
+        return d.withColumn(out, st).drop("_hits")
     if not id_cols:
         raise ValueError("a large lexicon needs id_cols to join scores back")
     lex = lexicon.select("word", "polarity", "subjectivity").dropDuplicates(["word"])

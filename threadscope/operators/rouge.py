@@ -10,28 +10,44 @@ from pyspark.sql import types as T
 from ..functions import text as X
 
 
-def _grams(df: DataFrame, id_col: str, tok_col: str, n: int) -> DataFrame:
-    p = df.select(id_col, tok_col, F.posexplode(tok_col).alias("_i", "_w"))
-    return (p.where(F.col("_i") + n <= F.size(tok_col))
-            .select(id_col, F.array_join(F.slice(tok_col, F.col("_i") + 1, n), " ").alias("g"))
-            .groupBy(id_col, "g").agg(F.count("*").alias("c")))
-
-
-def rouge_n(pairs: DataFrame, id_col: str, cand: str, ref: str, n: int) -> DataFrame:
-    """Clipped n-gram overlap per pair: precision, recall, F (0 when empty)."""
-    d = pairs.select(id_col, X.tokenize(cand, clean=False).alias("_ct"),
-                     X.tokenize(ref, clean=False).alias("_rt"))
-    cg = _grams(d, id_col, "_ct", n).withColumnRenamed("c", "cc")
-    rg = _grams(d, id_col, "_rt", n).withColumnRenamed("c", "rc")
-    ov = cg.join(rg, [id_col, "g"]).groupBy(id_col).agg(F.sum(F.least("cc", "rc")).alias("overlap"))
-    ct = cg.groupBy(id_col).agg(F.sum("cc").alias("n_cand"))
-    rt = rg.groupBy(id_col).agg(F.sum("rc").alias("n_ref"))
-    out = (d.select(id_col).join(ov, id_col, "left").join(ct, id_col, "left").join(rt, id_col, "left")
-           .fillna(0, ["overlap", "n_cand", "n_ref"]))
-    p = F.coalesce(F.try_divide(F.col("overlap"), F.col("n_cand")), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.col("overlap"), F.col("n_ref")), F.lit(0.0))
+def _grams(d: DataFrame, id_col: str, tok_col: str, ns) -> DataFrame:
+    p = d.select(id_col, tok_col, F.posexplode(tok_col).alias("_i", "_w"))
+    parts = [p.where(F.col("_i") + n <= F.size(tok_col)).select(
+        id_col, F.lit(n).alias("n"), F.array_join(F.slice(tok_col, F.col("_i") + 1, n), " ").alias("g"))
+        for n in ns]
+    out = parts[0]
+    for q in parts[1:]:
+        out = out.unionByName(q)
+    return out.groupBy(id_col, "n", "g").agg(F.count("*").alias("c"))
+
+
+def _tokens(pairs: DataFrame, id_col: str, cand: str, ref: str) -> DataFrame:
+    return pairs.select(id_col, X.tokenize(cand, clean=False).alias("_ct"),
+                        X.tokenize(ref, clean=False).alias("_rt"))
+
+
+def rouge_n(pairs: DataFrame, id_col: str, cand: str, ref: str, ns=(1, 2),
+            tokens: DataFrame | None = None) -> DataFrame:
+    """Clipped n-gram overlap per pair for every n in ``ns``: precision,
+    recall, F (0 when empty).  One n-gram table per side, one join."""
+    d = tokens if tokens is not None else _tokens(pairs, id_col, cand, ref)
+    cg = _grams(d, id_col, "_ct", ns).withColumnRenamed("c", "cc")
+    rg = _grams(d, id_col, "_rt", ns).withColumnRenamed("c", "rc")
+    j = cg.join(rg, [id_col, "n", "g"], "full_outer").fillna(0, ["cc", "rc"])
+    agg = j.groupBy(id_col, "n").agg(F.sum(F.least("cc", "rc")).alias("ov"),
+                                     F.sum("cc").alias("nc"), F.sum("rc").alias("nr"))
+    p = F.coalesce(F.try_divide(F.col("ov"), F.col("nc")), F.lit(0.0))
+    r = F.coalesce(F.try_divide(F.col("ov"), F.col("nr")), F.lit(0.0))
     f = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
-    return out.select(id_col, p.alias(f"rouge{n}_p"), r.alias(f"rouge{n}_r"), f.alias(f"rouge{n}_f"))
+    m = agg.select(id_col, "n", p.alias("p"), r.alias("r"), f.alias("f"))
+    wide = m.groupBy(id_col).pivot("n", list(ns)).agg(F.first("p").alias("p"), F.first("r").alias("r"),
+                                                       F.first("f").alias("f"))
+    out = d.select(id_col).join(wide, id_col, "left")
+    cols = [id_col]
+    for n in ns:
+        for k in "prf":
+            cols.append(F.coalesce(F.col(f"{n}_{k}"), F.lit(0.0)).alias(f"rouge{n}_{k}"))
+    return out.select(*cols)
 
 
 def lcs_length(a, b) -> int:
@@ -54,11 +70,11 @@ def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
 
 
-def rouge_l(pairs: DataFrame, id_col: str, cand: str, ref: str) -> DataFrame:
+def rouge_l(pairs: DataFrame, id_col: str, cand: str, ref: str,
+            tokens: DataFrame | None = None) -> DataFrame:
     """ROUGE-L from the LCS of the whole token lists (Arrow-batched UDF;
     each pair is one row, so work spreads over all tasks)."""
-    d = pairs.select(id_col, X.tokenize(cand, clean=False).alias("_ct"),
-                     X.tokenize(ref, clean=False).alias("_rt"))
+    d = tokens if tokens is not None else _tokens(pairs, id_col, cand, ref)
     d = d.withColumn("lcs", _lcs_udf("_ct", "_rt"))
     p = F.coalesce(F.try_divide(F.col("lcs"), F.size("_ct")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("lcs"), F.size("_rt")), F.lit(0.0))
@@ -66,9 +82,18 @@ def rouge_l(pairs: DataFrame, id_col: str, cand: str, ref: str) -> DataFrame:
     return d.select(id_col, "lcs", p.alias("rougeL_p"), r.alias("rougeL_r"), f.alias("rougeL_f"))
 
 
-def rouge(pairs: DataFrame, id_col: str, cand: str, ref: str, with_l: bool = True) -> DataFrame:
-    """ROUGE-1, ROUGE-2 and (optionally) ROUGE-L per pair."""
-    out = rouge_n(pairs, id_col, cand, ref, 1).join(rouge_n(pairs, id_col, cand, ref, 2), id_col)
+def rouge(pairs: DataFrame, id_col: str, cand: str, ref: str, with_l: bool = True,
+          materialize: bool = True) -> DataFrame:
+    """ROUGE-1, ROUGE-2 and (optionally) ROUGE-L per pair.
+
+    The token table feeds several branches; with ``materialize`` it is
+    checkpointed once (reliable checkpoint in the shared folder) instead of
+    re-running the plan that produced the pairs for every branch.
+    """
+    d = _tokens(pairs, id_col, cand, ref)
+    if materialize:
+        d = d.checkpoint()
+    out = rouge_n(pairs, id_col, cand, ref, (1, 2), tokens=d)
     if with_l:
-        out = out.join(rouge_l(pairs, id_col, cand, ref), id_col)
+        out = out.join(rouge_l(pairs, id_col, cand, ref, tokens=d), id_col)
     return out

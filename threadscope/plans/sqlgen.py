@@ -95,3 +95,41 @@ def lexicon_scores(src: str, id_cols: str, text: str, entries=None) -> str:
 
 def stop_words_list(stop_words=None) -> str:
     return str_list(stop_words if stop_words is not None else rules.default_stop_words())
+
+
+def mask(x: str) -> str:
+    """X10 in SQL: single-space tokens, '@x..' -> '@user', 'http..' -> 'http'."""
+    return (f"array_to_string(list_transform(string_split(coalesce({x}, ''), ' '), "
+            "lambda w: CASE WHEN starts_with(w, '@') AND length(w) > 1 THEN '@user' "
+            "WHEN starts_with(w, 'http') THEN 'http' ELSE w END), ' ')")
+
+
+def windows_sql(src: str, id_cols: str, text: str, size: int, overlap: int) -> str:
+    """Subquery: id_cols, w, window (token list) -- X10 + X19."""
+    step = size - overlap
+    return f"""(SELECT {id_cols}, CAST(s / {step} AS INTEGER) AS w, tk[s + 1:s + {size}] AS chunk FROM (
+  SELECT {id_cols}, tk, unnest(range(0, greatest(len(tk) - {overlap} - 1, 0) + 1, {step})) AS s FROM (
+    SELECT {id_cols}, {tokens(mask(text), clean=False)} AS tk FROM {src})))"""
+
+
+def lexicon_logits_sql(win: str, entries=None) -> str:
+    """Subquery over a windows subquery: adds logits [neg, 0.5, pos]."""
+    entries = entries or rules.DEFAULT_LEXICON
+    seen = {}
+    for w, p, s in entries:
+        seen.setdefault(w, float(p))
+    neg = str_list([w for w, p in seen.items() if p < 0]) or "''"
+    pos = str_list([w for w, p in seen.items() if p > 0]) or "''"
+    return (f"(SELECT *, [CAST(len(list_filter(chunk, lambda t: t IN ({neg}))) AS DOUBLE), 0.5, "
+            f"CAST(len(list_filter(chunk, lambda t: t IN ({pos}))) AS DOUBLE)] AS logits FROM {win})")
+
+
+def argmax_polarity_sql(logits: str) -> str:
+    return f"(list_position({logits}, list_max({logits})) - 2)"
+
+
+def vote_sql(src: str, id_cols: str, text: str, size: int, overlap: int, entries=None) -> str:
+    """Subquery: id_cols, polarity (M7 with the lexicon scorer)."""
+    win = windows_sql(src, id_cols, text, size, overlap)
+    return (f"(SELECT {id_cols}, CAST(round_even(avg({argmax_polarity_sql('logits')}), 0) AS INTEGER) "
+            f"AS polarity FROM {lexicon_logits_sql(win, entries)} GROUP BY {id_cols})")
