@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
 
 def _load():
     # Importing the catalogue modules fills QUERIES / ORACLES.
-    from . import q_catalog, q_comments, q_eval, q_models, q_rules, q_steps, q_summary  # noqa: F401
+    from . import q_catalog, q_comments, q_eval, q_io, q_models, q_rules, q_steps, q_summary  # noqa: F401
 
 
 _load()

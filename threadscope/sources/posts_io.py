@@ -3,7 +3,7 @@ arbitrarily nested comment lists (U4, F11, F12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +41,7 @@ def write_posts_json(posts: DataFrame, comments: DataFrame, path: str, mode: str
     ccols = [c for c in comments.columns if c not in ("post_id", "pos")]
     nested = (comments.groupBy("post_id")
               .agg(F.sort_array(F.collect_list(F.struct("pos", *ccols))).alias("_c"))
-              .select("post_id", F.col("_c").dropFields("pos").alias("comments")))
+              .select("post_id", F.transform("_c", lambda s: s.dropFields("pos")).alias("comments")))
     out = posts.join(nested, "post_id", "left").withColumn(
         "comments", F.coalesce("comments", F.array().cast(nested.schema["comments"].dataType)))
     out.write.mode(mode).option("ignoreNullFields", False).json(path)
@@ -73,37 +73,40 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexis
      .option("escape", '"').option("quoteAll", False).csv(path))
 
 
-def read_discussions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S2 + U4 + F12, tolerant path: a file holds one object or an array of
+def read_discussions(spark: SparkSession, path: str, whole_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S2 + U4 + F12, tolerant path: a record is one object or an array of
     anything; non-objects are skipped but still count for the default title
     'Discussion {n}'; comment lists may nest lists to any depth.
 
-    Each file is one record (``wholetext``), parsed as VARIANT.  Nested
+    Records are JSON lines by default (splittable); ``whole_file=True``
+    reads each file as one record.  Records are parsed as VARIANT; nested
     comment lists are flattened level by level (``flatten_comment_variants``)
     so no recursion limit applies.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(
-        F.input_file_name().alias("file"), F.parse_json("value").alias("v"))
-    arr = raw.select("file", F.when(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"),
-                                    F.expr("parse_json(concat('[', to_json(v), ']'))"))
+    rd = spark.read.option("wholetext", True) if whole_file else spark.read
+    raw = rd.text(path).select(F.input_file_name().alias("file"),
+                               F.monotonically_increasing_id().alias("rec"),
+                               F.try_parse_json("value").alias("v")).where(F.col("v").isNotNull())
+    arr = raw.select("file", "rec", F.when(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"),
+                                           F.expr("parse_json(concat('[', to_json(v), ']'))"))
                      .otherwise(F.col("v")).alias("v"))
-    items = arr.select("file", F.expr("variant_explode(v)").alias("pos", "key", "item"))
+    items = arr.select("file", "rec", F.posexplode(F.expr("try_variant_get(v, '$', 'array<variant>')"))
+                       .alias("pos", "item"))
     objs = items.where(F.expr("schema_of_variant(item) LIKE 'OBJECT%'"))
     posts = objs.select(
-        "file", "pos",
+        F.concat_ws("#", "file", F.col("rec").cast("string"), F.col("pos").cast("string")).alias("post_id"),
         F.coalesce(F.expr("try_variant_get(item, '$.title', 'string')"),
                    F.concat(F.lit(rules.DISCUSSION_TITLE_PREFIX), (F.col("pos") + 1).cast("string")))
         .alias("title"),
         F.expr("try_variant_get(item, '$.comments', 'variant')").alias("comments_v"))
-    posts = posts.withColumn("post_id", F.concat_ws("#", "file", F.col("pos").cast("string")))
     comments = flatten_comment_variants(posts.select("post_id", "comments_v"), "comments_v")
-    return posts.drop("comments_v", "file"), comments
+    return posts.drop("comments_v"), comments
 
 
 def flatten_comment_variants(df: DataFrame, col: str, max_depth: int = 64) -> DataFrame:
     """U4 + F12: depth-first flattening of nested comment lists.
 
-    One ``variant_explode`` per nesting level; the path of positions is the
+    One explode per nesting level; the path of positions is the
     depth-first sort key.  Objects are kept, lists go one level deeper,
     anything else is dropped.  The loop stops when a level has no lists.
     """
@@ -111,21 +114,21 @@ def flatten_comment_variants(df: DataFrame, col: str, max_depth: int = 64) -> Da
         .where(F.expr("schema_of_variant(v) LIKE 'ARRAY%'"))
     out = None
     for _ in range(max_depth):
-        ex = cur.select("post_id", "path", F.expr("variant_explode(v)").alias("p", "k", "item")) \
+        ex = cur.select("post_id", "path", F.posexplode(F.expr("try_variant_get(v, '$', 'array<variant>')"))
+                        .alias("p", "item")) \
             .select("post_id", F.concat("path", F.array("p")).alias("path"), "item")
         objs = ex.where(F.expr("schema_of_variant(item) LIKE 'OBJECT%'"))
         out = objs if out is None else out.unionByName(objs)
         cur = ex.where(F.expr("schema_of_variant(item) LIKE 'ARRAY%'")).withColumnRenamed("item", "v")
         if cur.limit(1).count() == 0:
             break
-    from .. operators.windows import dense_index  # local import: avoid a cycle
     flat = out.select("post_id", "path",
                       F.expr("try_variant_get(item, '$.comment_id', 'string')").alias("comment_id"),
                       F.expr("try_variant_get(item, '$.text', 'string')").alias("text"),
                       F.expr("try_variant_get(item, '$.author', 'string')").alias("author"),
                       F.expr("try_variant_get(item, '$.score', 'bigint')").alias("score"))
-    # Depth-first order = lexicographic order of the path; turn it into 0-based positions.
-    from pyspark.sql import Window
+    # Depth-first order = lexicographic order of the position path.  The
+    # path itself is the comment order (``pos`` is only needed as a sort key
+    # downstream), so it is turned into a rank with a window per post.
     w = Window.partitionBy("post_id").orderBy("path")
-    _ = dense_index
     return flat.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("path")
