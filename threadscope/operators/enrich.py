@@ -16,6 +16,7 @@ from ..functions import text as X
 INLINE_LIMIT = 256  # map lookups scan keys linearly; larger lexicons join
 BROADCAST_LIMIT = 2_000_000
 KEYWORD_BROADCAST_LIMIT = 100_000
+PREFIX_BROADCAST_LIMIT = 1_000_000
 
 LEXICON_SCHEMA = "word string, polarity double, subjectivity double"
 
@@ -199,9 +200,14 @@ def match_keywords(df: DataFrame, id_cols, text, dictionary: DataFrame,
     grams = (chars.select(*id_cols, "_c", F.posexplode("_c").alias("_i", "_ch"))
              .where(F.col("_i") + 2 < F.size("_c"))
              .select(*id_cols, F.concat("_ch", F.col("_c")[F.col("_i") + 1],
-                                        F.col("_c")[F.col("_i") + 2]).alias("_g"))
-             .distinct())
-    cand = grams.join(longk, "_g").drop("_g")
+                                        F.col("_c")[F.col("_i") + 2]).alias("_g")))
+    # Only trigrams that start some keyword matter; that set is bounded by the
+    # alphabet (not by the data), so it is broadcast to drop the rest before
+    # the shuffle.
+    prefixes = longk.select("_g").distinct()
+    if _bounded_count(prefixes, PREFIX_BROADCAST_LIMIT) <= PREFIX_BROADCAST_LIMIT:
+        grams = grams.join(F.broadcast(prefixes), "_g", "left_semi")
+    cand = grams.distinct().join(longk, "_g").drop("_g")
     hits_long = cand.join(x, id_cols).where(F.col("_x").contains(F.col("_kw")))
     out = hits_short.unionByName(hits_long)
     return out.drop("_x").withColumnRenamed("_kw", keyword_col)

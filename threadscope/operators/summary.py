@@ -10,17 +10,14 @@ interior pieces are whole sentences already.
 
 Scores follow the reference formula, including repeated sentences: the
 k-th occurrence of a text starts from the previous finished score,
-``s <- (s + c) / n * b_k``.  Unrolled, ``s_K = c * sum_k prod_{j>=k} b_j / n``,
-i.e. a plain (commutative) sum over occurrences of
-``exp(P_k ln 1.1 + Q_k ln 1.3 - M_k ln n)`` where P/Q/M count positive,
-negative and all occurrences from k on; those suffix counts come from
-``prefix_sums`` as well, so a text repeated a billion times is still split
-over many tasks.
+``s <- (s + c) / n * b_k``.  Each step is an affine map, and affine maps
+compose associatively, so ``fold_duplicate_scores`` folds occurrences in
+bounded sid buckets and then composes the bucket maps in order; a text
+repeated a billion times is still split over many tasks.
 """
 
 from __future__ import annotations
 
-import math
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
@@ -30,10 +27,7 @@ from .. import rules
 from ..functions import numeric as N
 from ..functions import text as X
 from .enrich import label_sentiment, remove_stop_words
-from .windows import DEFAULT_BUCKET_WIDTH, dense_index, prefix_sum, prefix_sums, top_k
-
-LN_POS = math.log(rules.BOOST_POSITIVE)
-LN_NEG = math.log(rules.BOOST_NEGATIVE)
+from .windows import DEFAULT_BUCKET_WIDTH, prefix_sum, prefix_sums, top_k
 
 
 def valid_comments(comments: DataFrame) -> DataFrame:
@@ -57,12 +51,13 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
                   bucket_width: int = DEFAULT_BUCKET_WIDTH) -> SimpleNamespace:
     """All intermediate tables of the summary, each a lazy DataFrame."""
     v = valid_comments(comments).select("post_id", "pos", "text")
-    v = dense_index(v, ["post_id"], "pos", "idx", bucket_width)                 # W6
     v = label_sentiment(v, "text", lexicon, "_sl", ["post_id", "pos"])          # M5
     v = v.withColumn("label", F.col("_sl.label")).drop("_sl")
     v = (v.withColumn("_pieces", X.sentence_pieces(F.concat("text", F.lit(" "))))
           .withColumn("_np", F.size("_pieces")))
-    v = prefix_sum(v, ["post_id"], "idx", F.col("_np") - 1, "_base", bucket_width=bucket_width)
+    # W6 (valid-comment index) and the sentence-id base in one skew-safe pass.
+    v = prefix_sums(v, ["post_id"], "pos", {"idx": F.lit(1), "_base": F.col("_np") - 1},
+                    bucket_width=bucket_width)
 
     pieces = (v.select("post_id", "idx", "_np", "_base",
                        F.posexplode("_pieces").alias("j", "piece"))
@@ -91,15 +86,7 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
                .withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))
 
     scored = aligned.where(F.col("n") > 0).withColumn("boost", N.sentiment_boost("label"))
-    d = prefix_sums(scored, ["post_id", "sentence"], "sid", {
-        "_p": (F.col("label") == "positive").cast("int"),
-        "_q": (F.col("label") == "negative").cast("int"),
-        "_m": F.lit(1)}, inclusive=False, totals=True, bucket_width=bucket_width)
-    term = F.exp((F.col("_p_total") - F.col("_p")) * F.lit(LN_POS)
-                 + (F.col("_q_total") - F.col("_q")) * F.lit(LN_NEG)
-                 - (F.col("_m_total") - F.col("_m")) * F.log(F.col("n").cast("double")))
-    grp = (d.groupBy("post_id", "sentence")
-           .agg((F.first("c") * F.sum(term)).alias("score"), F.min("sid").alias("first_idx")))
+    grp = fold_duplicate_scores(scored, bucket_width)
     scores = scored.join(grp, ["post_id", "sentence"])                          # A10
 
     dist = (aligned.groupBy("post_id")                                         # A8
@@ -114,6 +101,31 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
                            scores=scores, distribution=dist, n_valid=n_valid, posts=posts)
 
 
+def fold_duplicate_scores(scored: DataFrame, bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+    """A10 over repeated sentences: ``s <- (s + c) / n * b_k`` in sid order.
+
+    Each step is the affine map s -> (b/n) s + c b / n, and affine maps
+    compose associatively, so the ordered fold is done in two bounded
+    levels: occurrences are folded inside (post, sentence, sid bucket)
+    groups of at most ``bucket_width`` rows, then the per-bucket maps are
+    composed in bucket order.  No group ever holds all occurrences of a hot
+    repeated sentence.
+    """
+    occ = (scored.withColumn("_bk", F.floor(F.col("sid") / F.lit(bucket_width)).cast("long"))
+           .groupBy("post_id", "sentence", "_bk")
+           .agg(F.sort_array(F.collect_list(F.struct("sid", "boost"))).alias("_occ"),
+                F.first("c").alias("c"), F.first("n").alias("n"), F.min("sid").alias("_first")))
+    step = F.aggregate("_occ", F.struct(F.lit(1.0).alias("A"), F.lit(0.0).alias("B")),
+                       lambda acc, o: F.struct((acc["A"] * o["boost"] / F.col("n")).alias("A"),
+                                               ((acc["B"] + F.col("c")) * o["boost"] / F.col("n")).alias("B")))
+    maps = occ.select("post_id", "sentence", "_bk", "c", "_first", step.alias("_ab"))
+    grp = (maps.groupBy("post_id", "sentence")
+           .agg(F.sort_array(F.collect_list(F.struct("_bk", "_ab"))).alias("_maps"),
+                F.min("_first").alias("first_idx")))
+    score = F.aggregate("_maps", F.lit(0.0), lambda s_, m: m["_ab"]["A"] * s_ + m["_ab"]["B"])
+    return grp.select("post_id", "sentence", score.alias("score"), "first_idx")
+
+
 def _assemble(steps: SimpleNamespace, picked: DataFrame) -> DataFrame:
     """M10 + final row per post: fallbacks first, then summary and counts."""
     summ = (picked.groupBy("post_id")
