@@ -62,10 +62,12 @@ def lexicon_sentiment(df: DataFrame, text, lexicon=None, out: str = "sentiment",
     entries = _lexicon_entries(lexicon)
     if entries is not None:
         m = _literal_lexicon_map(entries)
-        # One lookup per token; the hit list is its own projection (used
+        words = list(dict.fromkeys(e[0] for e in entries))
+        # Tokens are first tested against a hash set (InSet); only hits are
+        # looked up in the map.  The hit list is its own projection (used
         # three times, so Catalyst does not re-derive it).
-        d = df.withColumn("_hits", F.filter(F.transform(t, lambda w: F.try_element_at(m, w)),
-                                            lambda s: s.isNotNull()))
+        d = df.withColumn("_hits", F.transform(F.filter(t, lambda w: w.isin(*words)),
+                                               lambda w: F.try_element_at(m, w)))
         n = F.size("_hits")
         pol = F.aggregate("_hits", F.lit(0.0), lambda a, s: a + s["p"])
         sub = F.aggregate("_hits", F.lit(0.0), lambda a, s: a + s["s"])

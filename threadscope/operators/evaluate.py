@@ -37,7 +37,11 @@ def _per_class(conf: DataFrame) -> DataFrame:
 def macro_metrics(pairs: DataFrame, truth: str = "actual", pred: str = "predicted") -> DataFrame:
     """Macro precision / recall / F1 (mean of per-class F1) + accuracy.
     Classes = union of truth and prediction; 0/0 counts as 0."""
-    pc = _per_class(confusion(pairs, truth, pred))
+    return macro_from_confusion(confusion(pairs, truth, pred))
+
+
+def macro_from_confusion(conf: DataFrame) -> DataFrame:
+    pc = _per_class(conf)
     return pc.agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"),
                   F.avg("f1").alias("f1"),
                   F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"))
@@ -53,16 +57,34 @@ def weighted_metrics(pairs: DataFrame, truth: str = "actual", pred: str = "predi
                   F.try_divide(F.sum("tp"), tot).alias("accuracy"))
 
 
-def metrics_table(polarity_pairs: DataFrame, subjectivity_pairs: DataFrame) -> DataFrame:
+def metrics_table(polarity_pairs: DataFrame, subjectivity_pairs: DataFrame | None = None,
+                  subj_truth: str = "actual_subj", subj_pred: str = "predicted_subj") -> DataFrame:
     """E5: rows Precision / Recall / Accuracy / F1 Score, columns Polarity and
-    Subjectivity (both macro)."""
+    Subjectivity (both macro).
+
+    With ``subjectivity_pairs=None`` both tasks are read from the same rows
+    (``actual``/``predicted`` and ``subj_truth``/``subj_pred``): the two
+    tasks are stacked and counted in one aggregation, one scan of the input.
+    """
+    if subjectivity_pairs is None:
+        stacked = polarity_pairs.select(F.explode(F.array(
+            F.struct(F.lit("Polarity").alias("task"), F.col("actual").alias("actual"),
+                     F.col("predicted").alias("predicted")),
+            F.struct(F.lit("Subjectivity").alias("task"), F.col(subj_truth).alias("actual"),
+                     F.col(subj_pred).alias("predicted")))).alias("x")).select("x.*")
+        conf = (stacked.groupBy("task", "actual", "predicted").agg(F.count("*").alias("n"))
+                .checkpoint())
+        pol = macro_from_confusion(conf.where(F.col("task") == "Polarity").drop("task"))
+        sub = macro_from_confusion(conf.where(F.col("task") == "Subjectivity").drop("task"))
+    else:
+        pol, sub = macro_metrics(polarity_pairs), macro_metrics(subjectivity_pairs)
+
     def long(m: DataFrame, name: str) -> DataFrame:
         return m.select(F.explode(F.array(*[
             F.struct(F.lit(k).alias("metric"), F.col(c).alias("v"))
             for k, c in zip(METRIC_NAMES, ["precision", "recall", "accuracy", "f1"])])).alias("x")) \
             .select(F.col("x.metric").alias("Evaluation Metrics"), F.col("x.v").alias(name))
-    return long(macro_metrics(polarity_pairs), "Polarity").join(
-        long(macro_metrics(subjectivity_pairs), "Subjectivity"), "Evaluation Metrics")
+    return long(pol, "Polarity").join(long(sub, "Subjectivity"), "Evaluation Metrics")
 
 
 def tag_metrics(df: DataFrame, model: str) -> DataFrame:

@@ -128,11 +128,14 @@ def train_sentiment(train: DataFrame, text_col: str = "text", label_col: str = "
 
 def lexicon_logits(df: DataFrame, tok_col: str, lexicon=None) -> DataFrame:
     """A scorer: logits [#negative words, 0.5, #positive words] per window."""
-    from .enrich import _lexicon_entries, _literal_lexicon_map
-    m = _literal_lexicon_map(_lexicon_entries(lexicon))
-    pol = F.transform(tok_col, lambda w: F.try_element_at(m, w)["p"])
-    neg = F.size(F.filter(pol, lambda p: p < 0)).cast("double")
-    pos = F.size(F.filter(pol, lambda p: p > 0)).cast("double")
+    from .enrich import _lexicon_entries
+    seen = {}
+    for w, p, _ in _lexicon_entries(lexicon):
+        seen.setdefault(w, p)
+    negw = [w for w, p in seen.items() if p < 0] or [""]
+    posw = [w for w, p in seen.items() if p > 0] or [""]
+    neg = F.size(F.filter(tok_col, lambda w: w.isin(*negw))).cast("double")
+    pos = F.size(F.filter(tok_col, lambda w: w.isin(*posw))).cast("double")
     return df.withColumn("logits", F.array(neg, F.lit(0.5), pos))
 
 
@@ -156,7 +159,8 @@ def predict_polarity(df: DataFrame, id_cols, text_col: str, scorer=None, size: i
     id_cols = list(id_cols)
     w = windows(df, id_cols, text_col, size, overlap)
     scored = (scorer or (lambda d: lexicon_logits(d, "chunk")))(w)
-    pol = scored.withColumn("pred", N.label_to_polarity(N.argmax(N.softmax("logits"))))
+    # softmax is strictly increasing, so argmax(softmax(l)) == argmax(l).
+    pol = scored.withColumn("pred", N.label_to_polarity(N.argmax("logits")))
     return pol.groupBy(*id_cols).agg(N.vote("pred").alias("polarity"))
 
 

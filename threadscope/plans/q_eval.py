@@ -131,10 +131,7 @@ tbl AS (
 
 
 def _table(spark, sf, lexicon=None):
-    p = _pairs(spark, sf, lexicon)
-    t = EV.metrics_table(p, p.select(F.col("actual_subj").alias("actual"),
-                                     F.col("predicted_subj").alias("predicted")))
-    return t
+    return EV.metrics_table(_pairs(spark, sf, lexicon))
 
 
 @register("e5_metrics_table", _table_sql() +
