@@ -48,7 +48,7 @@ def discussion_text(comments: DataFrame) -> DataFrame:
 
 
 def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_words=None,
-                  bucket_width: int = DEFAULT_BUCKET_WIDTH) -> SimpleNamespace:
+                  bucket_width: int = DEFAULT_BUCKET_WIDTH, materialize: bool = True) -> SimpleNamespace:
     """All intermediate tables of the summary, each a lazy DataFrame."""
     v = valid_comments(comments).select("post_id", "pos", "text")
     v = label_sentiment(v, "text", lexicon, "_sl", ["post_id", "pos"])          # M5
@@ -59,9 +59,14 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
     v = prefix_sums(v, ["post_id"], "pos", {"idx": F.lit(1), "_base": F.col("_np") - 1},
                     bucket_width=bucket_width)
 
-    pieces = (v.select("post_id", "idx", "_np", "_base",
+    pieces = (v.select("post_id", "idx", "label", "_np", "_base",
                        F.posexplode("_pieces").alias("j", "piece"))
                 .withColumn("sid", F.col("_base") + F.col("j")))                # X21
+    if materialize:
+        # Every later step reads this table (sentences, tokens, labels,
+        # counts): a reliable checkpoint in the shared folder cuts the
+        # lineage, so a lost executor never replays the index passes.
+        pieces = pieces.checkpoint()
     interior = (pieces.where((F.col("j") > 0) & (F.col("j") < F.col("_np") - 1))
                 .select("post_id", "sid", X.strip("piece").alias("sentence")))
     edge = (pieces.where((F.col("j") == 0) | (F.col("j") == F.col("_np") - 1))
@@ -79,7 +84,8 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
              .groupBy("post_id", "sid")
              .agg(F.sum(F.col("cnt") * F.col("freq")).alias("c"), F.sum("cnt").alias("n")))
 
-    labels = v.select("post_id", F.col("idx").alias("sid"), "label")
+    firsts = pieces.where(F.col("j") == 0)          # one row per valid comment
+    labels = firsts.select("post_id", F.col("idx").alias("sid"), "label")
     aligned = (sentences.join(labels, ["post_id", "sid"])                      # J3
                .join(sstat, ["post_id", "sid"], "left")
                .withColumn("c", F.coalesce("c", F.lit(0)).cast("long"))
@@ -95,7 +101,7 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
                  F.count_if(F.col("label") == "negative").alias("negative"),
                  F.count_if(F.col("label") == "neutral").alias("neutral"),
                  F.max(F.col("n") > 0).alias("_any_scored")))
-    n_valid = v.groupBy("post_id").agg(F.count("*").alias("_n_valid"))
+    n_valid = firsts.groupBy("post_id").agg(F.count("*").alias("_n_valid"))
     return SimpleNamespace(valid=v, pieces=pieces, sentences=sentences, tokens=toks,
                            freq=freq, sentence_stats=sstat, aligned=aligned,
                            scores=scores, distribution=dist, n_valid=n_valid, posts=posts)
