@@ -47,11 +47,13 @@ def sentiment_by_severity(posts: DataFrame, levels=None) -> DataFrame:
     spark = posts.sparkSession
     dim = spark.createDataFrame([(lv, i) for i, lv in enumerate(levels)], "severity string, ord int")
     a = posts.groupBy("severity").agg(F.avg("sentiment.polarity").alias("_m"))
-    m = F.round(F.coalesce(F.col("_m"), F.lit(0.0)), 2)
+    raw = F.coalesce(F.col("_m"), F.lit(0.0))
+    m = F.round(raw, 2) + F.lit(0.0)
+    # Two-decimal display; a small negative mean prints as "-0.00".
+    shown = F.when((raw < 0) & (m == 0), F.lit("-0.00")).otherwise(F.format_string("%.2f", m))
     return (dim.join(a, "severity", "left")
             .select("severity", m.alias("avg_polarity"),
-                    F.concat(F.initcap("severity"), F.lit(": "), F.format_string("%.2f", m))
-                    .alias("display")))
+                    F.concat(F.initcap("severity"), F.lit(": "), shown).alias("display")))
 
 
 def posts_per_forum(forums: DataFrame, posts: DataFrame, forum_col: str = "subreddit") -> DataFrame:

@@ -74,8 +74,9 @@ scores AS (
 ),
 dist AS (
   SELECT post_id, count(*) AS total_comments,
-         count_if(label = 'positive') AS positive, count_if(label = 'negative') AS negative,
-         count_if(label = 'neutral') AS neutral, max(n > 0) AS any_scored
+         CAST(count_if(label = 'positive') AS BIGINT) AS positive,
+         CAST(count_if(label = 'negative') AS BIGINT) AS negative,
+         CAST(count_if(label = 'neutral') AS BIGINT) AS neutral, max(n > 0) AS any_scored
   FROM aligned GROUP BY post_id
 ),
 nvalid AS (SELECT post_id, count(*) AS n_valid FROM v GROUP BY post_id)

@@ -68,11 +68,11 @@ def x8_normalize_title(spark, sf):
 # Titles to match: nation names with marks and spelling changes, plus region
 # names that must miss.  Same rule on both sides.
 _TITLES_SQL = """
-(SELECT n_nationkey AS line_no,
+(SELECT CAST(n_nationkey AS BIGINT) AS line_no,
    CASE n_nationkey % 3 WHEN 0 THEN n_name || '®'
                         WHEN 1 THEN replace(n_name, 'NATION', 'Natoin')
                         ELSE replace(n_name, 'NATION', 'naton') END AS title FROM nation
- UNION ALL SELECT 1000 + r_regexkey, r_name FROM (SELECT r_regionkey AS r_regexkey, r_name FROM region))"""
+ UNION ALL SELECT CAST(1000 + r_regexkey AS BIGINT), r_name FROM (SELECT r_regionkey AS r_regexkey, r_name FROM region))"""
 
 
 def _titles(spark, sf):

@@ -151,9 +151,10 @@ WITH e AS (SELECT d.doc_id, {G.severity(full, v['severity'])} AS severity, coale
            FROM documents d LEFT JOIN {G.lexicon_scores('documents', 'doc_id', full)} s USING (doc_id)),
 a AS (SELECT severity, avg(pol) AS m FROM e GROUP BY severity),
 dim AS (SELECT * FROM (VALUES {levels}) AS t(severity, ord))
-SELECT dim.severity, round(coalesce(a.m, 0.0), 2) AS avg_polarity,
+SELECT dim.severity, round(coalesce(a.m, 0.0), 2) + 0.0 AS avg_polarity,
   upper(substr(dim.severity, 1, 1)) || lower(substr(dim.severity, 2)) || ': ' ||
-  printf('%.2f', round(coalesce(a.m, 0.0), 2)) AS display
+  CASE WHEN coalesce(a.m, 0.0) < 0 AND round(coalesce(a.m, 0.0), 2) = 0 THEN '-0.00'
+       ELSE printf('%.2f', round(coalesce(a.m, 0.0), 2) + 0.0) END AS display
 FROM dim LEFT JOIN a USING (severity)""")
     def a5(spark, sf):
         return ST.sentiment_by_severity(_enriched(spark, sf, v), list(v["severity"]))
