@@ -32,6 +32,9 @@ def get_spark(app: str = "threadscope", master: str | None = None,
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        conf["spark.driver.memory"] = os.environ.get("THREADSCOPE_DRIVER_MEMORY", "12g")
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
