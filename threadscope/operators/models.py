@@ -113,7 +113,7 @@ def cluster_sentences(aligned: DataFrame, stop_words=None, k_max: int = rules.MA
 # ---- M6: trainable classifier -------------------------------------------
 
 def train_sentiment(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                    num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.01):
+                    num_features: int = 1 << 15, max_iter: int = 50, reg: float = 0.01):
     """M6: tokenizer -> hashed TF -> IDF -> multinomial logistic regression."""
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}]+", toLowercase=True),

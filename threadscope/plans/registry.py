@@ -23,11 +23,3 @@ def register(name: str, sql: str | None = None):
             ORACLES[name] = sql
         return fn
     return deco
-
-
-def _load():
-    # Importing the catalogue modules fills QUERIES / ORACLES.
-    from . import q_catalog, q_comments, q_eval, q_io, q_models, q_rules, q_steps, q_summary  # noqa: F401
-
-
-_load()
