@@ -68,3 +68,24 @@ def test_streaming_enrichment_smoke(spark):
     assert out[1].label == "Bug" and out[1].platforms == "playstation" and out[1].severity == "critical"
     assert out[2].polarity > 0
     _ = F
+
+
+def test_save_posts_unknown_format_raises(spark):
+    import pytest
+    posts = spark.createDataFrame([("p", "t")], "post_id string, title string")
+    com = spark.createDataFrame([("p", 0, "c", "x")], "post_id string, pos int, comment_id string, text string")
+    with pytest.raises(ValueError):
+        PIO.save_posts(posts, com, scratch_path(spark, "t-x"), "xml")
+
+
+def test_m13_write_report(spark):
+    from threadscope.operators import summary as S
+    posts = spark.createDataFrame([(1, "Hi"), (2, "Empty")], "post_id long, title string")
+    com = spark.createDataFrame([(1, 0, "good stuff."), (1, 1, "more words here.")], "post_id long, pos int, text string")
+    out = S.write_report(S.summarize(posts, com), scratch_path(spark, "t-report"), run_id="20240101_000000")
+    assert out["processed_discussions"] == 2
+    text = "\n".join(r.value for r in spark.read.text(out["text_dir"]).collect())
+    assert "Discussion: Hi\n==\n" in text and "Total Comments: 0" in text
+    rows = spark.read.option("header", True).option("sep", "\t").option("multiLine", True).csv(out["tsv_dir"])
+    assert rows.columns == ["Title", "Total Comments", "Positive Comments", "Negative Comments",
+                            "Neutral Comments", "Key Points"]

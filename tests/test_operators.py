@@ -250,3 +250,42 @@ def test_j5_paths_agree(spark):
 def test_f10_extract(spark):
     lines = spark.createDataFrame([("Over/Under: r/ou",), ("X: No subreddit found",)], "line string")
     assert [r.forum for r in M.extract_forums(lines).collect()] == ["ou"]
+
+
+def test_summary_invariant_to_bucket_width(spark):
+    """The skew-safe paths (prefix sums, bucketed duplicate fold) give the
+    same answer whatever the bucket width."""
+    from threadscope.sources.testdata import conversation_comments, conversation_posts
+    sf = "/root/testdata/sf0.001"
+    p, c = conversation_posts(spark, sf), conversation_comments(spark, sf)
+    # repeat every comment text three times to create duplicate sentences
+    c3 = c.unionByName(c.withColumn("pos", F.col("pos") + 100)).unionByName(c.withColumn("pos", F.col("pos") + 200))
+    a = sorted(map(tuple, S.summarize(p, c3, bucket_width=2).collect()))
+    b = sorted(map(tuple, S.summarize(p, c3).collect()))
+    assert a == b
+
+
+def test_a14_raises_when_no_labels(spark):
+    df = spark.createDataFrame([(None,)], "label int")
+    with pytest.raises(Exception):
+        ST.labelled_count(df, "label").collect()
+
+
+def test_e3_properties(spark):
+    pairs = spark.createDataFrame([(1, "a b c d", "a b c d"), (2, "a b", "c d")], "id long, cand string, ref string")
+    r = {x.id: x for x in RG.rouge(pairs, "id", "cand", "ref", materialize=False).collect()}
+    assert r[1].rouge1_f == r[1].rouge2_f == r[1].rougeL_f == 1.0
+    assert r[2].rouge1_f == r[2].rouge2_f == r[2].rougeL_f == 0.0
+
+
+def test_m3_kmeans_properties(spark):
+    from threadscope.operators import models as MO
+    rnd = random.Random(2)
+    rows = [(g, i, [rnd.gauss(g * 10 + (i % 3) * 5, 0.1), rnd.gauss(0, 0.1)]) for g in range(3) for i in range(2 + g * 4)]
+    df = spark.createDataFrame(rows, "g int, id int, v array<double>")
+    a = {(r.g, r.id): r.cluster for r in MO.kmeans_per_group(df, "g", "id", "v", k_max=5, seed=1).collect()}
+    b = {(r.g, r.id): r.cluster for r in MO.kmeans_per_group(df, "g", "id", "v", k_max=5, seed=1).collect()}
+    assert a == b and len(a) == len(rows)
+    for (g, _), k in a.items():
+        n = 2 + g * 4
+        assert 0 <= k < min(n, 5)

@@ -210,3 +210,18 @@ def summary_sentiment(summaries: DataFrame, lexicon=None) -> DataFrame:
     d = label_sentiment(summaries, "summary", lexicon, "_sl", ["post_id"])
     return d.select("post_id", F.col("_sl.label").alias("summary_label"),
                     F.col("_sl.score").alias("summary_score"))
+
+
+def write_report(summaries: DataFrame, base_dir: str, run_id: str | None = None) -> dict:
+    """A new run folder ``run=<yyyyMMdd_HHmmss>`` with the six-column TSV
+    (S9) and the detailed text report (S10); returns the paths and the number
+    of discussions processed.  An empty input gives empty files, not an error."""
+    import datetime as _dt
+    from ..sources.files import write_delimited
+    run = run_id or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
+    root = f"{base_dir.rstrip('/')}/run={run}"
+    tsv, txt = f"{root}/discussion_summary", f"{root}/discussion_detailed"
+    s = summaries.checkpoint()          # written twice and counted: compute once
+    write_delimited(report_rows(s), tsv, sep="\t")
+    report_lines(s).select(F.col("block").alias("value")).write.text(txt)
+    return {"tsv_dir": tsv, "text_dir": txt, "processed_discussions": s.count()}

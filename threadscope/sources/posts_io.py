@@ -67,6 +67,19 @@ def flatten_posts(posts: DataFrame) -> DataFrame:
         F.col("sentiment.subjectivity").alias("sentiment_subjectivity"))
 
 
+def save_posts(posts: DataFrame, comments: DataFrame, path: str, output_format: str = "json",
+               mode: str = "errorifexists") -> None:
+    """S6/S7 dispatcher: 'json' (nested) or 'csv' (flat).  Any other format
+    raises instead of silently doing nothing."""
+    fmt = output_format.lower()
+    if fmt == "json":
+        write_posts_json(posts, comments, path, mode)
+    elif fmt == "csv":
+        write_csv(flatten_posts(posts), path, mode=mode)
+    else:
+        raise ValueError(f"unknown output format {output_format!r}; use 'json' or 'csv'")
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
     """Header, quotes doubled inside quoted fields."""
     (df.write.mode(mode).option("header", True).option("sep", sep)
