@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as X
 
+FIRST_WORD_LIMIT = 1_000_000
+
 
 def deletion_variants(c: Column, d: int) -> Column:
     """All strings obtained by deleting up to ``d`` characters (incl. none)."""
@@ -65,12 +67,18 @@ def entity_mentions(df: DataFrame, id_col: str, text, gazetteer: DataFrame,
     """
     toks = df.select(id_col, X.tokenize(text, clean=False).alias("_t"))
     pos = toks.select(id_col, "_t", F.posexplode("_t").alias("_i", "_w"))
+    gz = gazetteer.select(F.lower(F.col(name_col)).alias("_g")).where(F.col("_g") != "").distinct()
+    # Only positions whose token starts some entry can start a mention.  The
+    # set of first words is at most the gazetteer's size; broadcast it only
+    # below a checked bound (otherwise every position is kept).
+    firsts = gz.select(F.split("_g", " ")[0].alias("_w")).distinct()
+    if firsts.limit(FIRST_WORD_LIMIT + 1).count() <= FIRST_WORD_LIMIT:
+        pos = pos.join(F.broadcast(firsts), "_w", "left_semi")
     grams = None
     for n in range(1, max_ngram + 1):
         g = pos.where(F.col("_i") + n <= F.size("_t")).select(
             id_col, F.array_join(F.slice("_t", F.col("_i") + 1, n), " ").alias("_g"))
         grams = g if grams is None else grams.unionByName(g)
-    gz = gazetteer.select(F.lower(F.col(name_col)).alias("_g")).where(F.col("_g") != "").distinct()
     hits = grams.join(gz, "_g").distinct()
     return hits.groupBy(id_col).agg(F.array_sort(F.collect_set("_g")).alias("mentions"))
 

@@ -32,8 +32,17 @@ def sentence_tokens(df: DataFrame, text_col: str = "sentence", stop_words=None)
 
 
 def fit_word2vec(tokens: DataFrame, col: str = "tokens", vector_size: int = 100, window: int = 5,
-                 min_count: int = 1, seed: int = 42, num_partitions: int = 1, max_iter: int = 1):
-    """M1: one Word2Vec model for the whole corpus (not one per discussion)."""
+                 min_count: int = 1, seed: int = 42, num_partitions: int | None = None,
+                 max_iter: int = 1):
+    """M1: one Word2Vec model for the whole corpus (not one per discussion).
+
+    Training runs on ``num_partitions`` tasks (default: the cluster's
+    parallelism, at most 64; pass 1 for bit-for-bit repeatable vectors).
+    The vocabulary and the model live on the driver, so raise ``min_count``
+    for very large corpora.
+    """
+    if num_partitions is None:
+        num_partitions = max(1, min(64, tokens.sparkSession.sparkContext.defaultParallelism))
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, seed=seed,
                    inputCol=col, outputCol="_w2v", numPartitions=num_partitions, maxIter=max_iter)
     return w2v.fit(tokens.select(col))

@@ -217,3 +217,14 @@ def w1_f1_top_posts_then_filter(spark, sf):
     top = SA.top_posts(event_posts(spark, sf), as_of="2024-01-31 00:00:00", period="week", limit=50)
     return SA.filter_posts(top, min_score=20, min_comments=10).select(
         "post_id", "subreddit", "score", F.col("rank").cast("int").alias("rank"))
+
+
+@register("w6_positional_index", f"""
+SELECT post_id, pos, row_number() OVER (PARTITION BY post_id ORDER BY pos) - 1 AS idx
+FROM {_COMMENTS_SQL} c WHERE {_STRIPPED} NOT IN ('[deleted]', '[removed]')""")
+def w6_positional_index(spark, sf):
+    """0-based index of each valid comment within its post (skew-safe
+    bucketed prefix count, not a single-partition window per post)."""
+    from ..operators.windows import dense_index
+    v = valid_comments(_marked_comments(spark, sf)).select("post_id", "pos")
+    return dense_index(v, ["post_id"], "pos", "idx")

@@ -302,3 +302,17 @@ def e3_rouge_n_summary_vs_post(spark, sf):
 @register("e3_rouge_l_summary_vs_post")
 def e3_rouge_l_summary_vs_post(spark, sf):
     return RG.rouge_l(_rouge_pairs(spark, sf), "post_id", "cand", "ref")
+
+
+@register("j7_truth_prediction_join", f"""
+WITH {_pairs_sql().strip()},
+votes AS (SELECT doc_id, polarity FROM {G.vote_sql('documents', 'doc_id', 'text', 64, 32)})
+SELECT p.doc_id, p.actual, v.polarity AS predicted FROM pairs p JOIN votes v USING (doc_id)""")
+def j7_truth_prediction_join(spark, sf):
+    """J7 with predictions as their own table (the M7 window vote), equi-joined
+    to the truth on the item id."""
+    from ..operators import models as MO
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    votes = MO.predict_polarity(d, ["doc_id"], "text", size=64, overlap=32)
+    truth = _pairs(spark, sf).select("doc_id", "actual")
+    return truth.join(votes, "doc_id").select("doc_id", "actual", F.col("polarity").alias("predicted"))

@@ -161,3 +161,11 @@ def w4_t1_x23_cluster_representatives(spark, sf):
 
 
 _ = rules
+
+
+@register("x27_cluster_count", CTE + """
+SELECT post_id, count(*) AS n_sentences, CAST(least(count(*), 5) AS BIGINT) AS k FROM aligned GROUP BY post_id""")
+def x27_cluster_count(spark, sf):
+    a = _steps(spark, sf).aligned
+    return a.groupBy("post_id").agg(F.count("*").alias("n_sentences")).withColumn(
+        "k", N.cluster_count("n_sentences").cast("long"))
