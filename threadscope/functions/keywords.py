@@ -16,8 +16,11 @@ from .. import rules
 from ._util import col
 
 
-def lower_text(c) -> Column:
-    """Lower-case, null read as empty text."""
+def lower_text(c, lowered: bool = False) -> Column:
+    """Lower-case, null read as empty text.  ``lowered=True`` means the
+    caller already lower-cased the column once for several rules."""
+    if lowered:
+        return F.coalesce(col(c), F.lit(""))
     return F.lower(F.coalesce(col(c), F.lit("")))
 
 
@@ -35,20 +38,20 @@ def contains_any(x: Column, keywords, word_boundary: bool = False) -> Column:
     return reduce(lambda a, b: a | b, [_hit(x, k, word_boundary) for k in kws])
 
 
-def detect_platform(text, platform_keywords=None, word_boundary=False) -> Column:
+def detect_platform(text, platform_keywords=None, word_boundary=False, lowered=False) -> Column:
     """Every platform with a hit, dictionary order; none -> ['unspecified']."""
     pk = platform_keywords or rules.PLATFORM_KEYWORDS
-    x = lower_text(text)
+    x = lower_text(text, lowered)
     found = F.array_remove(F.array(*[
         F.when(contains_any(x, kws, word_boundary), F.lit(p)).otherwise(F.lit(""))
         for p, kws in pk.items()]), "")
     return F.when(F.size(found) == 0, F.array(F.lit(rules.UNSPECIFIED))).otherwise(found)
 
 
-def detect_severity(text, severity_keywords=None, word_boundary=False) -> Column:
+def detect_severity(text, severity_keywords=None, word_boundary=False, lowered=False) -> Column:
     """First severity level with a hit, else 'unspecified'."""
     sk = severity_keywords or rules.SEVERITY_KEYWORDS
-    x = lower_text(text)
+    x = lower_text(text, lowered)
     out = None
     for level, kws in sk.items():
         cond = contains_any(x, kws, word_boundary)
@@ -57,10 +60,10 @@ def detect_severity(text, severity_keywords=None, word_boundary=False) -> Column
 
 
 def label_post(text, bug_keywords=None, feature_keywords=None,
-               question_keywords=None, word_boundary=False) -> Column:
+               question_keywords=None, word_boundary=False, lowered=False) -> Column:
     """Bug -> Feature Request -> Question -> Other; empty -> Uncategorized."""
     t = col(text)
-    x = lower_text(t)
+    x = lower_text(t, lowered)
     return (F.when(t.isNull() | (t == ""), F.lit(rules.CATEGORY_EMPTY))
             .when(contains_any(x, bug_keywords or rules.BUG_KEYWORDS, word_boundary),
                   F.lit(rules.CATEGORY_BUG))
@@ -71,14 +74,14 @@ def label_post(text, bug_keywords=None, feature_keywords=None,
             .otherwise(F.lit(rules.CATEGORY_OTHER)))
 
 
-def keywords_found(text, keywords=None, word_boundary=False) -> Column:
+def keywords_found(text, keywords=None, word_boundary=False, lowered=False) -> Column:
     """Keywords present, in list order, duplicates in the list kept."""
     kws = keywords or rules.BUG_KEYWORDS
-    x = lower_text(text)
+    x = lower_text(text, lowered)
     return F.array_remove(F.array(*[
         F.when(_hit(x, k, word_boundary), F.lit(k)).otherwise(F.lit("")) for k in kws]), "")
 
 
-def has_any(text, keywords, word_boundary=False) -> Column:
+def has_any(text, keywords, word_boundary=False, lowered=False) -> Column:
     """Any keyword present (null text -> false)."""
-    return contains_any(lower_text(text), keywords, word_boundary)
+    return contains_any(lower_text(text, lowered), keywords, word_boundary)

@@ -125,17 +125,21 @@ def enrich_posts(posts: DataFrame, lexicon=None, bug_keywords=None, platform_key
             "potential_games", F.coalesce("mentions", F.array().cast("array<string>"))).drop("mentions")
     else:
         d = d.withColumn("potential_games", F.array().cast("array<string>"))
+    # Lower-case once; the five rules share the column (referenced several
+    # times, so Catalyst keeps it as one projection).
+    d = d.withColumn("_xl", K.lower_text("_full"))
     return d.select(
         "post_id", "title", "text",
-        K.label_post("_full", bug_keywords, word_boundary=word_boundary).alias("label"),
+        F.when(F.col("_full") == "", F.lit(rules.CATEGORY_EMPTY)).otherwise(
+            K.label_post("_xl", bug_keywords, word_boundary=word_boundary, lowered=True)).alias("label"),
         "score", "upvote_ratio", "num_comments",
         F.coalesce(F.col("author"), F.lit(rules.DELETED_AUTHOR)).alias("author"),
         "subreddit", "created_ts",
-        K.detect_platform("_full", platform_keywords, word_boundary).alias("platform"),
-        K.detect_severity("_full", severity_keywords, word_boundary).alias("severity"),
+        K.detect_platform("_xl", platform_keywords, word_boundary, lowered=True).alias("platform"),
+        K.detect_severity("_xl", severity_keywords, word_boundary, lowered=True).alias("severity"),
         "sentiment", "potential_games",
-        K.keywords_found("_full", bug_keywords, word_boundary).alias("bug_keywords_found"),
-        K.has_any("_full", rules.RESOLVED_KEYWORDS, word_boundary).alias("is_resolved"),
+        K.keywords_found("_xl", bug_keywords, word_boundary, lowered=True).alias("bug_keywords_found"),
+        K.has_any("_xl", rules.RESOLVED_KEYWORDS, word_boundary, lowered=True).alias("is_resolved"),
     )
 
 
