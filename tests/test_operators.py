@@ -244,7 +244,8 @@ def test_j5_paths_agree(spark):
     d = spark.createDataFrame([("ui",), ("fix",), ("prefix",), ("ab",), ("x",)], "keyword string")
     a = sorted(map(tuple, EN.match_keywords(docs, ["id"], "text", d, method="broadcast").collect()))
     b = sorted(map(tuple, EN.match_keywords(docs, ["id"], "text", d, method="index").collect()))
-    assert a == b == [(1, "fix"), (1, "prefix"), (1, "ui"), (1, "x"), (3, "ab")]
+    c = sorted(map(tuple, EN.match_keywords(docs, ["id"], "text", d, method="automaton").collect()))
+    assert a == b == c == [(1, "fix"), (1, "prefix"), (1, "ui"), (1, "x"), (3, "ab")]
 
 
 def test_f10_extract(spark):

@@ -15,7 +15,8 @@ from ..functions import text as X
 # shuffle path.  Checked with a bounded count before any collect.
 INLINE_LIMIT = 256  # map lookups scan keys linearly; larger lexicons join
 BROADCAST_LIMIT = 2_000_000
-KEYWORD_BROADCAST_LIMIT = 100_000
+KEYWORD_BROADCAST_LIMIT = 1_000
+AUTOMATON_LIMIT = 2_000_000
 PREFIX_BROADCAST_LIMIT = 1_000_000
 
 LEXICON_SCHEMA = "word string, polarity double, subjectivity double"
@@ -192,11 +193,14 @@ def match_keywords(df: DataFrame, id_cols, text, dictionary: DataFrame,
         c for c in dictionary.columns if c != keyword_col]).where(F.length("_kw") > 0))
     x = df.select(*id_cols, K.lower_text(text).alias("_x"))
     if method == "auto":
-        small = _bounded_count(kw, KEYWORD_BROADCAST_LIMIT) <= KEYWORD_BROADCAST_LIMIT
-        method = "broadcast" if small else "index"
+        n_kw = _bounded_count(kw, AUTOMATON_LIMIT)
+        method = ("broadcast" if n_kw <= KEYWORD_BROADCAST_LIMIT
+                  else "automaton" if n_kw <= AUTOMATON_LIMIT else "index")
     if method == "broadcast":
         out = x.join(F.broadcast(kw), F.col("_x").contains(F.col("_kw")))
         return out.drop("_x").withColumnRenamed("_kw", keyword_col)
+    if method == "automaton":
+        return _match_automaton(x, id_cols, kw).withColumnRenamed("_kw", keyword_col)
     short = kw.where(F.length("_kw") < 3)
     longk = kw.where(F.length("_kw") >= 3).withColumn("_g", F.substring("_kw", 1, 3))
     hits_short = x.join(F.broadcast(short), F.col("_x").contains(F.col("_kw")))
@@ -219,6 +223,47 @@ def match_keywords(df: DataFrame, id_cols, text, dictionary: DataFrame,
     return out.drop("_x").withColumnRenamed("_kw", keyword_col)
 
 
+def _match_automaton(x: DataFrame, id_cols, kw: DataFrame) -> DataFrame:
+    """One Aho-Corasick pass per text (O(text + matches)) inside Arrow batches.
+
+    The distinct keywords (bounded by AUTOMATON_LIMIT, checked by the
+    caller) are broadcast once; each task builds the automaton once.  Matches are distinct (row, keyword) pairs, joined back to the
+    dictionary rows so duplicated dictionary entries stay duplicated.
+    """
+    import pandas as pd
+    spark = x.sparkSession
+    words = sorted({r[0] for r in kw.select("_kw").distinct().collect()})
+    bc = spark.sparkContext.broadcast(words)
+    id_schema = x.select(*id_cols).schema
+    out_schema = T.StructType(list(id_schema.fields) + [T.StructField("_kw", T.StringType())])
+
+    def run(batches):
+        import ahocorasick
+        vocab = bc.value
+        auto = ahocorasick.Automaton()       # once per task, reused for all its batches
+        for i, w in enumerate(vocab):
+            auto.add_word(w, i)
+        auto.make_automaton()
+        for pdf in batches:
+            rows = {c: [] for c in id_cols}
+            hits = []
+            texts = pdf["_x"].tolist()
+            ids = [pdf[c].tolist() for c in id_cols]
+            for r, t in enumerate(texts):
+                found = {v for _, v in auto.iter(t)} if t else ()
+                for v in sorted(found):
+                    for c, col in zip(id_cols, ids):
+                        rows[c].append(col[r])
+                    hits.append(vocab[v])
+            if hits:                          # empty batches are skipped
+                yield pd.DataFrame({**rows, "_kw": hits})
+
+    found = x.mapInPandas(run, out_schema)
+    rest = [c for c in kw.columns if c != "_kw"]
+    return found.join(F.broadcast(kw), "_kw").select(*id_cols, *rest, "_kw")
+
+
+
 def existing_forums(forums: DataFrame, catalog: DataFrame, name_col: str = "name",
                     catalog_col: str = "name") -> DataFrame:
     """Keep forums present in the catalog, names compared lower-cased."""

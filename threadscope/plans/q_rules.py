@@ -177,7 +177,7 @@ def _reg_j5(variant: str, v: dict):
 SELECT d.doc_id, k.rule_set, k.category, k.keyword
 FROM documents d JOIN (VALUES {vals}) AS k(rule_set, category, keyword)
   ON contains(lower(coalesce(d.text, '')), k.keyword)"""
-    for method in ("broadcast", "index"):
+    for method in ("broadcast", "automaton", "index"):
         def make(method=method):
             def j5(spark, sf):
                 dic = spark.createDataFrame(_dictionary_rows(v),
