@@ -94,12 +94,15 @@ def s3_s11_lines_roundtrip(spark, sf):
 
 
 @register("f11_permissive_json_lines", """
-SELECT CAST(conv_id AS VARCHAR) AS post_id, text AS title FROM conversations WHERE turn = 0 AND conv_id % 7 <> 0""")
+SELECT CAST(conv_id AS VARCHAR) AS post_id, text AS title FROM conversations
+WHERE turn = 0 AND NOT starts_with(text, 'E')""")
 def f11_permissive_json_lines(spark, sf):
+    """Every post is written; those whose title starts with 'E' are written
+    as broken JSON, which the PERMISSIVE reader skips."""
     path = scratch_path(spark, "bad-json")
     p = conversation_posts(spark, sf)
-    line = F.when(F.col("post_id") % 7 == 0, F.concat(F.lit('{"post_id": "'), F.col("post_id").cast("string"),
-                                                       F.lit('", "title": ')))
+    line = F.when(F.col("title").startswith("E"), F.concat(F.lit('{"post_id": "'), F.col("post_id").cast("string"),
+                                                          F.lit('", "title": ')))
     line = line.otherwise(F.to_json(F.struct(F.col("post_id").cast("string").alias("post_id"), "title")))
     p.select(line.alias("value")).write.text(path)
     posts, _ = PIO.read_posts(spark, path)
