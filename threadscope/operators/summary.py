@@ -90,6 +90,10 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
                .join(sstat, ["post_id", "sid"], "left")
                .withColumn("c", F.coalesce("c", F.lit(0)).cast("long"))
                .withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))
+    if materialize:
+        # Scores, counts and clustering all read the aligned sentences; one
+        # checkpoint instead of three recomputations of the sentence joins.
+        aligned = aligned.checkpoint()
 
     scored = aligned.where(F.col("n") > 0).withColumn("boost", N.sentiment_boost("label"))
     grp = fold_duplicate_scores(scored, bucket_width)
