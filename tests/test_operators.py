@@ -290,3 +290,27 @@ def test_m3_kmeans_properties(spark):
     for (g, _), k in a.items():
         n = 2 + g * 4
         assert 0 <= k < min(n, 5)
+
+
+def test_x22_lemma_table(spark):
+    lem = spark.createDataFrame([("cats", "cat"), ("running", "run")], "word string, lemma string")
+    posts = spark.createDataFrame([(1, "t")], POSTS)
+    c = spark.createDataFrame([(1, 0, "cats running."), (1, 1, "cat run.")], COMMENTS)
+    st = S.summary_steps(posts, c, LEX, lemmas=lem)
+    freq = {r.word: r.freq for r in st.freq.collect()}
+    assert freq == {"cat": 2, "run": 2}
+
+
+def test_m7_batch_scorer(spark):
+    import numpy as np
+    from threadscope.operators import models as MO
+
+    def make_predict_fn():
+        def predict(texts):
+            n = np.array([len(str(t).split()) for t in texts], dtype=np.float32)
+            return np.stack([np.zeros_like(n), np.ones_like(n), n], axis=1)   # long text -> positive
+        return predict
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "")], "id long, text string")
+    out = {r.id: r.polarity for r in MO.predict_polarity(docs, ["id"], "text", scorer=MO.batch_scorer(make_predict_fn),
+                                                           size=2, overlap=1).collect()}
+    assert out == {1: 1, 2: 0}

@@ -182,6 +182,23 @@ def model_scorer(model, text_col: str = "_wtext"):
     return run
 
 
+def batch_scorer(make_predict_fn, batch_size: int = 64, n_classes: int = 3):
+    """M7 with a caller's own network: ``make_predict_fn()`` returns a
+    function from a numpy array of window texts to an (n, n_classes) array
+    of logits (for example an ONNX session).  It runs through
+    ``predict_batch_udf`` (Arrow batches, model loaded once per Python
+    worker) and yields a scorer for ``predict_polarity``."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
+                            batch_size=batch_size, input_tensor_shapes=None)
+
+    def run(d: DataFrame) -> DataFrame:
+        return d.withColumn("logits", udf(F.array_join("chunk", " ")).cast("array<double>"))
+    _ = n_classes
+    return run
+
+
 def apply_predictions(posts: DataFrame, comments: DataFrame, post_preds: DataFrame,
                       comment_preds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """F7 on the long tables: set ``sentiment.polarity`` where the text and the

@@ -47,9 +47,23 @@ def discussion_text(comments: DataFrame) -> DataFrame:
                               .getField("text"), " ").alias("all_text")))
 
 
+def lemmatize(tokens: DataFrame, lemmas: DataFrame, word_col: str = "word") -> DataFrame:
+    """X22 option: replace each token by its lemma from a (word, lemma) table;
+    unknown words stay as they are.  An equi-join (broadcast by AQE when the
+    table is small), so the table never has to fit on one machine."""
+    lt = lemmas.select(F.lower(F.col("word")).alias("_lw"), F.lower(F.col("lemma")).alias("_lemma")) \
+        .dropDuplicates(["_lw"])
+    return (tokens.join(lt, tokens[word_col] == lt["_lw"], "left")
+            .withColumn(word_col, F.coalesce("_lemma", F.col(word_col))).drop("_lw", "_lemma"))
+
+
 def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_words=None,
-                  bucket_width: int = DEFAULT_BUCKET_WIDTH, materialize: bool = True) -> SimpleNamespace:
-    """All intermediate tables of the summary, each a lazy DataFrame."""
+                  bucket_width: int = DEFAULT_BUCKET_WIDTH, materialize: bool = True,
+                  lemmas: DataFrame | None = None) -> SimpleNamespace:
+    """All intermediate tables of the summary, each a lazy DataFrame.
+
+    ``lemmas`` is an optional (word, lemma) table applied to tokens before
+    the stop-word test (default: none)."""
     v = valid_comments(comments).select("post_id", "pos", "text")
     v = label_sentiment(v, "text", lexicon, "_sl", ["post_id", "pos"])          # M5
     v = v.withColumn("label", F.col("_sl.label")).drop("_sl")
@@ -77,6 +91,8 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
     sentences = interior.unionByName(edge).where(F.col("sentence") != "")
 
     toks = pieces.select("post_id", "sid", F.explode(X.tokenize("piece")).alias("word"))  # X22
+    if lemmas is not None:
+        toks = lemmatize(toks, lemmas)
     toks = remove_stop_words(toks, "word", stop_words)                          # J9
     tok_counts = toks.groupBy("post_id", "sid", "word").agg(F.count("*").alias("cnt"))
     freq = tok_counts.groupBy("post_id", "word").agg(F.sum("cnt").alias("freq"))  # A7
@@ -159,7 +175,7 @@ def _assemble(steps: SimpleNamespace, picked: DataFrame) -> DataFrame:
 def summarize(posts: DataFrame, comments: DataFrame, cluster: str = "none", n: int = 5,
               lexicon=None, stop_words=None, k_max: int = rules.MAX_CLUSTERS,
               seed: int = 42, vector_size: int = 100, max_iter: int = 20,
-              bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+              bucket_width: int = DEFAULT_BUCKET_WIDTH, lemmas: DataFrame | None = None) -> DataFrame:
     """One summary row per post.
 
     ``cluster="none"`` (the published 'base' variant): the ``n`` best scored
@@ -167,7 +183,7 @@ def summarize(posts: DataFrame, comments: DataFrame, cluster: str = "none", n: i
     ``cluster="kmeans"``: Word2Vec sentence vectors, k-means inside each
     discussion (k = min(#sentences, k_max)), best sentence per cluster.
     """
-    steps = summary_steps(posts, comments, lexicon, stop_words, bucket_width)
+    steps = summary_steps(posts, comments, lexicon, stop_words, bucket_width, lemmas=lemmas)
     if cluster == "none":
         picked = top_k(steps.scores, ["post_id"], [F.round("score", 9).desc(), "sid"], n)
         return _assemble(steps, picked)

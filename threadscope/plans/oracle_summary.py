@@ -15,7 +15,10 @@ CONV_COMMENTS = """
   FROM conversations WHERE turn > 0"""
 
 
-def summary_ctes(lexicon=None, stop_words=None, comments_sql: str = CONV_COMMENTS) -> str:
+def summary_ctes(lexicon=None, stop_words=None, comments_sql: str = CONV_COMMENTS,
+                 lemma_rule: str | None = None) -> str:
+    """``lemma_rule``: SQL expression over ``w`` giving the lemma of token w."""
+    lem = lemma_rule or "w"
     return f"""
 WITH c AS ({comments_sql}
 ),
@@ -38,12 +41,12 @@ pieces AS (
 sents AS (
   SELECT post_id, sid, {G.strip('piece')} AS sentence FROM pieces WHERE {G.strip('piece')} <> ''
 ),
-vt AS (SELECT post_id, unnest({G.tokens('text')}) AS word FROM v),
+vt AS (SELECT post_id, {lem} AS word FROM (SELECT post_id, unnest({G.tokens('text')}) AS w FROM v)),
 freq AS (
   SELECT post_id, word, count(*) AS freq FROM vt
   WHERE word NOT IN ({G.stop_words_list(stop_words)}) GROUP BY post_id, word
 ),
-st AS (SELECT post_id, sid, unnest({G.tokens('sentence')}) AS word FROM sents),
+st AS (SELECT post_id, sid, {lem} AS word FROM (SELECT post_id, sid, unnest({G.tokens('sentence')}) AS w FROM sents)),
 sstat AS (
   SELECT st.post_id, st.sid, sum(f.freq) AS c, count(*) AS n
   FROM st JOIN freq f ON st.post_id = f.post_id AND st.word = f.word

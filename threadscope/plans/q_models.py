@@ -148,3 +148,22 @@ def m9_summary_kmeans(spark, sf):
 
 
 _ = EN
+
+
+def _word_count_network():
+    """Stand-in for a caller's network: logits [0, 1, #words] per window."""
+    import numpy as np
+
+    def predict(texts):
+        n = np.array([len(str(t).split()) for t in texts], dtype=np.float32)
+        return np.stack([np.zeros_like(n), np.ones_like(n), n], axis=1)
+    return predict
+
+
+@register("m7_predict_batch_udf_scorer", f"""
+SELECT doc_id, CAST(round_even(avg(CASE WHEN len(chunk) > 1 THEN 1 ELSE 0 END), 0) AS INTEGER) AS polarity
+FROM {G.windows_sql('documents', 'doc_id', 'text', 64, 32)} GROUP BY doc_id""")
+def m7_predict_batch_udf_scorer(spark, sf):
+    """M7 through ``predict_batch_udf`` (the path for a caller's own model)."""
+    return MO.predict_polarity(_docs(spark, sf), ["doc_id"], "text",
+                               scorer=MO.batch_scorer(_word_count_network), size=64, overlap=32)

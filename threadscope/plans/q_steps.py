@@ -169,3 +169,19 @@ def x27_cluster_count(spark, sf):
     a = _steps(spark, sf).aligned
     return a.groupBy("post_id").agg(F.count("*").alias("n_sentences")).withColumn(
         "k", N.cluster_count("n_sentences").cast("long"))
+
+
+# A lemma table derived from the data by a fixed rule: every token longer than
+# three letters that ends in "s" maps to itself without the "s".
+_LEMMA_RULE = "CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END"
+
+
+@register("x22_lemma_table_word_freq", O.summary_ctes(lemma_rule=_LEMMA_RULE) + "SELECT post_id, word, freq FROM freq")
+def x22_lemma_table_word_freq(spark, sf):
+    from ..functions import text as X
+    c = conversation_comments(spark, sf)
+    words = c.select(F.explode(X.tokenize("text")).alias("word")).distinct()
+    lem = words.where((F.length("word") > 3) & F.col("word").endswith("s")).select(
+        "word", F.expr("substring(word, 1, length(word) - 1)").alias("lemma"))
+    st = S.summary_steps(conversation_posts(spark, sf), c, lemmas=lem)
+    return st.freq.select("post_id", "word", F.col("freq").cast("long").alias("freq"))
