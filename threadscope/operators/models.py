@@ -155,8 +155,16 @@ def windows(df: DataFrame, id_cols, text_col: str, size: int = 512, overlap: int
     t = X.tokenize(X.mask_handles_urls(F.coalesce(F.col(text_col), F.lit(""))), clean=False)
     # Tokens get their own projection (referenced twice below, so Catalyst
     # keeps it) instead of being re-derived inside the window lambda.
+    if not 0 <= overlap < size:
+        raise ValueError("need 0 <= overlap < size")
+    step = size - overlap
     d = df.select(*id_cols, t.alias("_t"))
-    return d.select(*id_cols, F.posexplode(N.token_windows("_t", size, overlap)).alias("w", "chunk"))
+    # Window starts are generated as rows; each chunk is then a plain
+    # (codegen'd) slice of the token array -- same windows as X19's
+    # ``token_windows``, without a per-row lambda.
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - overlap - 1, F.lit(0)), F.lit(step))
+    g = d.select(*id_cols, "_t", F.posexplode(starts).alias("w", "_s"))
+    return g.select(*id_cols, "w", F.expr(f"slice(_t, _s + 1, {size})").alias("chunk"))
 
 
 def predict_polarity(df: DataFrame, id_cols, text_col: str, scorer=None, size: int = 512,
