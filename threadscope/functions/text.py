@@ -25,8 +25,10 @@ def normalize_title(c) -> Column:
 
 def mask_handles_urls(c) -> Column:
     """On single-space tokens, '@x...' -> '@user', 'http...' -> 'http'."""
-    t = F.regexp_replace(col(c), r"(?<=^| )@[^ ]+", "@user")
-    return F.regexp_replace(t, r"(?<=^| )http[^ ]*", "http")
+    x = col(c)
+    # The regexes only run on texts that can match (a cheap byte search first).
+    t = F.when(x.contains("@"), F.regexp_replace(x, r"(?<=^| )@[^ ]+", "@user")).otherwise(x)
+    return F.when(t.contains("http"), F.regexp_replace(t, r"(?<=^| )http[^ ]*", "http")).otherwise(t)
 
 
 def clean_markup(c) -> Column:
