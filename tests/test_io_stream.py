@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from threadscope.session import scratch_path
 from threadscope.sources import posts_io as PIO
@@ -67,7 +66,6 @@ def test_streaming_enrichment_smoke(spark):
     out = {r.post_id: r for r in spark.read.parquet(sink).collect()}
     assert out[1].label == "Bug" and out[1].platforms == "playstation" and out[1].severity == "critical"
     assert out[2].polarity > 0
-    _ = F
 
 
 def test_save_posts_unknown_format_raises(spark):

@@ -49,7 +49,6 @@ def test_a10_duplicate_sentence_fold(spark):
 
 def test_dup_fold_matches_sequential(spark):
     rnd = random.Random(3)
-    words = ["beta", "gamma", "x"]
     com = [(1, i, rnd.choice(["a b.", "a b. x", "a b. beta", "a b. gamma", "c a."])) for i in range(40)]
     got = scores(spark, com)
     # sequential reference computation
@@ -63,7 +62,6 @@ def test_dup_fold_matches_sequential(spark):
         s[r.sentence] = (s.get(r.sentence, 0.0) + r.c) / r.n * b
     for sid, sent, sc in got:
         assert math.isclose(sc, s[sent], rel_tol=1e-9)
-    _ = words
 
 
 def test_j3_a8_cut_to_sentences(spark):

@@ -4,7 +4,6 @@ Runs a representative subset by default; set THREADSCOPE_ALL_ORACLES=1 to
 run every registered pair.
 """
 
-import math
 import os
 
 import duckdb
@@ -53,7 +52,6 @@ def test_query_matches_oracle(spark, con, name):
     idx = [dcols.index(c) for c in sorted(cols)]
     exp = sorted((tuple(_norm(r[i]) for i in idx) for r in cur.fetchall()), key=repr)
     assert got == exp
-    _ = math
 
 
 def test_entry_smoke(spark):

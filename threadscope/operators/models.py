@@ -190,9 +190,9 @@ def model_scorer(model, text_col: str = "_wtext"):
     return run
 
 
-def batch_scorer(make_predict_fn, batch_size: int = 64, n_classes: int = 3):
+def batch_scorer(make_predict_fn, batch_size: int = 64):
     """M7 with a caller's own network: ``make_predict_fn()`` returns a
-    function from a numpy array of window texts to an (n, n_classes) array
+    function from a numpy array of window texts to an (n, 3) array
     of logits (for example an ONNX session).  It runs through
     ``predict_batch_udf`` (Arrow batches, model loaded once per Python
     worker) and yields a scorer for ``predict_polarity``."""
@@ -203,7 +203,6 @@ def batch_scorer(make_predict_fn, batch_size: int = 64, n_classes: int = 3):
 
     def run(d: DataFrame) -> DataFrame:
         return d.withColumn("logits", udf(F.array_join("chunk", " ")).cast("array<double>"))
-    _ = n_classes
     return run
 
 

@@ -27,7 +27,7 @@ from .. import rules
 from ..functions import numeric as N
 from ..functions import text as X
 from .enrich import label_sentiment, remove_stop_words
-from .windows import DEFAULT_BUCKET_WIDTH, prefix_sum, prefix_sums, top_k
+from .windows import DEFAULT_BUCKET_WIDTH, prefix_sums, top_k
 
 
 def valid_comments(comments: DataFrame) -> DataFrame:

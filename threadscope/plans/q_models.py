@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import enrich as EN
 from ..operators import evaluate as EV
 from ..operators import models as MO
 from ..operators import sampling as SA
@@ -147,7 +146,6 @@ def m9_summary_kmeans(spark, sf):
                         cluster="kmeans", max_iter=5)
 
 
-_ = EN
 
 
 def _word_count_network():

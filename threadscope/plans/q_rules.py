@@ -8,7 +8,6 @@ query is registered twice: ``_default`` (reference dictionaries) and
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -220,4 +219,3 @@ def j8_lexicon_join_table(spark, sf):
                     F.round("s.subjectivity", 6).alias("subjectivity"))
 
 
-_ = Window  # keep import for readers of this module

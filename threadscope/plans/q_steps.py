@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import rules
 from ..functions import numeric as N
 from ..operators import summary as S
 from ..sources.testdata import conversation_comments, conversation_posts
@@ -160,7 +159,6 @@ def w4_t1_x23_cluster_representatives(spark, sf):
             .select("post_id", X.bullets("_s").alias("summary")))
 
 
-_ = rules
 
 
 @register("x27_cluster_count", CTE + """
