@@ -30,13 +30,14 @@ def _bounded_count(df: DataFrame, limit: int) -> int:
     return df.limit(limit + 1).count()
 
 
-def _lexicon_entries(lexicon):
+def _lexicon_entries(lexicon, inline_limit: int | None = None):
     """Small lexicons become literal entries; None means 'use the join path'."""
+    limit = INLINE_LIMIT if inline_limit is None else inline_limit
     if lexicon is None:
         return list(rules.DEFAULT_LEXICON)
     if isinstance(lexicon, (list, tuple)):
         return list(lexicon)
-    if _bounded_count(lexicon, INLINE_LIMIT) <= INLINE_LIMIT:
+    if _bounded_count(lexicon, limit) <= limit:
         return [tuple(r) for r in lexicon.select("word", "polarity", "subjectivity").collect()]
     return None
 
@@ -52,7 +53,7 @@ def _literal_lexicon_map(entries) -> Column:
 
 
 def lexicon_sentiment(df: DataFrame, text, lexicon=None, out: str = "sentiment",
-                      id_cols=None) -> DataFrame:
+                      id_cols=None, inline_limit: int | None = None) -> DataFrame:
     """Mean (polarity, subjectivity) over lexicon word hits; none -> 0/0.
 
     Small lexicon: a literal map probed per token inside the row (narrow, no
@@ -60,7 +61,7 @@ def lexicon_sentiment(df: DataFrame, text, lexicon=None, out: str = "sentiment",
     only below BROADCAST_LIMIT rows), aggregate per row id, join back.
     """
     t = X.tokenize(text, clean=False)
-    entries = _lexicon_entries(lexicon)
+    entries = _lexicon_entries(lexicon, inline_limit)
     if entries is not None:
         m = _literal_lexicon_map(entries)
         words = list(dict.fromkeys(e[0] for e in entries))

@@ -98,9 +98,12 @@ def train_test_split(df: DataFrame, key_cols, test_fraction: float = 0.2, seed:
     (histogram passes), so no global sort or single-partition window runs."""
     key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     h = _hash_key(seed, key_cols)
-    n = df.count()
+    # The count and the histogram passes read only the hashes: materialise
+    # that one narrow column once instead of recomputing ``df`` per pass.
+    hashes = df.select(h.alias("_h")).checkpoint()
+    n = hashes.count()
     k = math.ceil(test_fraction * n)
-    thr = hash_threshold(df, h, k)
+    thr = hash_threshold(hashes, F.col("_h"), k)
     test = F.lit(False) if thr is None else (h <= F.lit(thr))
     return df.withColumn(out_col, F.when(test, F.lit("test")).otherwise(F.lit("train")))
 

@@ -209,12 +209,7 @@ FROM documents d LEFT JOIN {G.lexicon_scores('documents', 'doc_id', 'text')} s U
 def j8_lexicon_join_table(spark, sf):
     # The large-lexicon path: tokens join a lexicon table (forced by a zero inline limit).
     lex = EN.lexicon_df(spark)
-    old = EN.INLINE_LIMIT
-    EN.INLINE_LIMIT = 0
-    try:
-        d = EN.lexicon_sentiment(_docs(spark, sf), "text", lex, "s", ["doc_id"])
-    finally:
-        EN.INLINE_LIMIT = old
+    d = EN.lexicon_sentiment(_docs(spark, sf), "text", lex, "s", ["doc_id"], inline_limit=0)
     return d.select("doc_id", F.round("s.polarity", 6).alias("polarity"),
                     F.round("s.subjectivity", 6).alias("subjectivity"))
 
