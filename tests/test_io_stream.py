@@ -87,3 +87,30 @@ def test_m13_write_report(spark):
     rows = spark.read.option("header", True).option("sep", "\t").option("multiLine", True).csv(out["tsv_dir"])
     assert rows.columns == ["Title", "Total Comments", "Positive Comments", "Negative Comments",
                             "Neutral Comments", "Key Points"]
+
+
+def test_s3_read_lines_strips(spark):
+    from threadscope.sources import files as FI
+    path = scratch_path(spark, "t-lines")
+    spark.createDataFrame([("  Over/Under: r/ou \t",), ("X: No subreddit found",)], "value string") \
+        .coalesce(1).write.text(path)
+    lines = FI.read_lines(spark, path).orderBy("line_no").collect()
+    assert [r.line for r in lines] == ["Over/Under: r/ou", "X: No subreddit found"]
+
+
+def test_s4_s5_s8_s9_delimited_round_trips(spark):
+    from threadscope.sources import files as FI
+    m = spark.createDataFrame([("Precision", 0.5, 0.25)], "`Evaluation Metrics` string, Polarity double, Subjectivity double")
+    mp = scratch_path(spark, "t-metrics")
+    FI.write_delimited(m, mp, sep="\t")
+    assert [tuple(r) for r in FI.read_metrics(spark, mp).collect()] == [("Precision", 0.5, 0.25)]
+    t = spark.createDataFrame([('say "hi",\nthen go', 2), ("plain", 0)], "text string, label int")
+    tp = scratch_path(spark, "t-train")
+    FI.write_delimited(t, tp)
+    assert sorted(tuple(r) for r in FI.read_training(spark, tp).collect()) == [("plain", 0), ('say "hi",\nthen go', 2)]
+
+
+def test_s13_harvest_titles(spark):
+    from threadscope.sources import files as FI
+    pages = spark.createDataFrame([(1, "<h1> A title </h1><p>x</p><h1>B</h1>")], "page_id long, html string")
+    assert [(r.k, r.title) for r in FI.harvest_titles(pages).collect()] == [(0, "A title"), (1, "B")]
