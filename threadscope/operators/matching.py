@@ -74,12 +74,12 @@ def entity_mentions(df: DataFrame, id_col: str, text, gazetteer: DataFrame,
     firsts = gz.select(F.split("_g", " ")[0].alias("_w")).distinct()
     if firsts.limit(FIRST_WORD_LIMIT + 1).count() <= FIRST_WORD_LIMIT:
         pos = pos.join(F.broadcast(firsts), "_w", "left_semi")
-    grams = None
-    for n in range(1, max_ngram + 1):
-        g = pos.where(F.col("_i") + n <= F.size("_t")).select(
-            id_col, F.array_join(F.slice("_t", F.col("_i") + 1, n), " ").alias("_g"))
-        grams = g if grams is None else grams.unionByName(g)
-    hits = grams.join(gz, "_g").distinct()
+    # All n-gram lengths in one pass (a second Generate), not one scan per n.
+    grams = (pos.select(id_col, "_t", "_i", F.explode(F.sequence(
+        F.lit(1), F.least(F.lit(max_ngram), F.size("_t") - F.col("_i")))).alias("_n"))
+        .select(id_col, F.array_join(F.expr("slice(_t, _i + 1, _n)"), " ").alias("_g")))
+    hits = grams.join(gz, "_g")
+    # collect_set de-duplicates per text (partial aggregation before the shuffle)
     return hits.groupBy(id_col).agg(F.array_sort(F.collect_set("_g")).alias("mentions"))
 
 
