@@ -12,6 +12,7 @@ from ..operators import sampling as SA
 from ..operators import summary as SU
 from ..session import read_table
 from ..sources.testdata import conversation_comments, conversation_posts
+from . import oracle_summary as O
 from . import sqlgen as G
 from .q_eval import _training
 from .registry import register
@@ -111,8 +112,12 @@ def _aligned(spark, sf):
     return SU.summary_steps(conversation_posts(spark, sf), conversation_comments(spark, sf)).aligned
 
 
-@register("m1_word2vec_vocabulary")
+@register("m1_word2vec_vocabulary", O.summary_ctes() + f"""
+SELECT DISTINCT w AS word, 100 AS dim FROM (SELECT unnest({G.tokens('sentence')}) AS w FROM aligned)
+WHERE w NOT IN ({G.stop_words_list()})""")
 def m1_word2vec_vocabulary(spark, sf):
+    """M1: the fitted model's vocabulary (min_count=1: every token of the
+    aligned sentences) and its vector size."""
     a = _aligned(spark, sf)
     toks = a.select(MO.sentence_tokens(a, "sentence").alias("tokens"))
     model = MO.fit_word2vec(toks, "tokens")
@@ -165,3 +170,20 @@ def m7_predict_batch_udf_scorer(spark, sf):
     """M7 through ``predict_batch_udf`` (the path for a caller's own model)."""
     return MO.predict_polarity(_docs(spark, sf), ["doc_id"], "text",
                                scorer=MO.batch_scorer(_word_count_network), size=64, overlap=32)
+
+
+@register("a11_zero_vector_rule", O.summary_ctes() + f"""
+SELECT post_id, sid, 100 AS dim,
+       len(list_filter({G.tokens('sentence')}, lambda w: w NOT IN ({G.stop_words_list()}))) = 0 AS zero_vector
+FROM aligned""")
+def a11_zero_vector_rule(spark, sf):
+    """Every sentence gets a vector of the model's size; a sentence with
+    no known word gets the zero vector (shape and zero rule checked exactly,
+    the values themselves by ``a11_m2_sentence_vectors``)."""
+    a = _aligned(spark, sf)
+    toks = a.select("post_id", "sid", MO.sentence_tokens(a, "sentence").alias("tokens"))
+    model = MO.fit_word2vec(toks, "tokens")
+    v = MO.sentence_vectors(toks, ["post_id", "sid"], "tokens", model)
+    zero = F.aggregate("vector", F.lit(True), lambda acc, x: acc & (x == 0))
+    return v.select("post_id", F.col("sid").cast("long").alias("sid"), F.size("vector").alias("dim"),
+                    zero.alias("zero_vector"))
