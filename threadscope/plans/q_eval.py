@@ -299,9 +299,30 @@ def e3_rouge_n_summary_vs_post(spark, sf):
     return _round_all(r, [f"rouge{n}_{k}" for n in (1, 2) for k in "prf"])
 
 
-@register("e3_rouge_l_summary_vs_post")
+_LCS_SQL = f"""
+WITH RECURSIVE s AS ({OS.summary_sql(n=5)}),
+pr AS (SELECT post_id, {G.tokens('summary', clean=False)} AS b, {G.tokens('title', clean=False)} AS a FROM s),
+dp AS (
+  SELECT post_id, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0) AS row, a, b FROM pr
+  UNION ALL
+  SELECT post_id, i + 1,
+    list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, CASE WHEN a[i + 1] = b[j] THEN row[j] + 1
+                ELSE greatest(row[j + 1], acc[j]) END), [0]),
+    a, b
+  FROM dp WHERE i < len(a)),
+l AS (SELECT post_id, CAST(row[len(b) + 1] AS BIGINT) AS lcs, len(b) AS nc, len(a) AS nr FROM dp WHERE i = len(a)),
+pr2 AS (SELECT post_id, lcs, CASE WHEN nc = 0 THEN 0.0 ELSE lcs / nc END AS p,
+               CASE WHEN nr = 0 THEN 0.0 ELSE lcs / nr END AS r FROM l)
+SELECT post_id, lcs, round(p, 6) AS rougeL_p, round(r, 6) AS rougeL_r,
+       round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS rougeL_f FROM pr2"""
+
+
+@register("e3_rouge_l_summary_vs_post", _LCS_SQL)
 def e3_rouge_l_summary_vs_post(spark, sf):
-    return RG.rouge_l(_rouge_pairs(spark, sf), "post_id", "cand", "ref")
+    """ROUGE-L via the bit-parallel LCS (Arrow-batched UDF); the oracle is
+    the textbook DP as a recursive query."""
+    r = RG.rouge_l(_rouge_pairs(spark, sf), "post_id", "cand", "ref")
+    return _round_all(r, ["rougeL_p", "rougeL_r", "rougeL_f"])
 
 
 @register("j7_truth_prediction_join", f"""
