@@ -114,3 +114,13 @@ def test_s13_harvest_titles(spark):
     from threadscope.sources import files as FI
     pages = spark.createDataFrame([(1, "<h1> A title </h1><p>x</p><h1>B</h1>")], "page_id long, html string")
     assert [(r.k, r.title) for r in FI.harvest_titles(pages).collect()] == [(0, "A title"), (1, "B")]
+
+
+def test_configure_for_scale(spark):
+    from threadscope.session import configure_for_scale
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        conf = configure_for_scale(spark, 100 << 40)
+        assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

@@ -43,6 +43,27 @@ def get_spark(app: str = "threadscope", master: str | None = None,
     return spark
 
 
+def configure_for_scale(spark: SparkSession, input_bytes: int,
+                        partition_bytes: int = 256 << 20) -> dict:
+    """Size shuffles and scans for a given input volume.
+
+    Shuffle partitions are set so that an average partition holds about
+    ``partition_bytes`` (AQE then coalesces small ones and splits skewed
+    ones); scan splits use the same size.  For 100 TB this gives ~400k
+    shuffle partitions of 256 MB.
+    """
+    parts = max(spark.sparkContext.defaultParallelism * 2, int(input_bytes // partition_bytes))
+    conf = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes * 4),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
