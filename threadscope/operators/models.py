@@ -82,7 +82,8 @@ def kmeans_per_group(df: DataFrame, group_col: str, id_col: str, vec_col: str,
     # Points are read once per iteration: materialise them (and cut the
     # lineage of whatever produced the vectors) before the loop.
     pts = df.select(group_col, id_col, F.col(vec_col).cast("array<double>").alias("_v")).checkpoint()
-    init = top_k(pts, [group_col], [F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)], k_max, "_rk")
+    h = F.md5(F.concat_ws("#", F.lit(str(seed)), F.col(id_col).cast("string")))
+    init = top_k(pts, [group_col], [h, F.col(id_col)], k_max, "_rk")
     cents = init.select(group_col, (F.col("_rk") - 1).cast("int").alias("cluster"), F.col("_v").alias("_c"))
     cents = cents.checkpoint()
 

@@ -139,7 +139,30 @@ def m3_kmeans_sentences(spark, sf):
     return MO.cluster_sentences(_aligned(spark, sf), max_iter=5).select("post_id", "sid", "cluster")
 
 
-@register("m3_kmeans_embeddings")
+def _kmeans_sql(iters: int = 10, k: int = 5, seed: int = 42) -> str:
+    """Lloyd's iterations unrolled as CTEs (same seeded init, nearest centroid
+    with ties to the lower label, empty clusters keep their centroid)."""
+    dist = "list_sum(list_transform(list_zip(p.v, c.c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    parts = [f"""pts AS (SELECT label AS g, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+c0 AS (SELECT g, cl, v AS c FROM (
+  SELECT g, id, v, row_number() OVER (PARTITION BY g ORDER BY md5('{seed}#' || CAST(id AS VARCHAR)), id) - 1 AS cl
+  FROM pts) WHERE cl < {k})"""]
+
+    def assign(i):
+        return f"""a{i} AS (SELECT g, id, v, cl FROM (
+  SELECT p.g, p.id, p.v, c.cl, row_number() OVER (PARTITION BY p.g, p.id ORDER BY {dist}, c.cl) AS rk
+  FROM pts p JOIN c{i - 1} c ON p.g = c.g) WHERE rk = 1)"""
+    for i in range(1, iters + 1):
+        parts.append(assign(i))
+        parts.append(f"""m{i} AS (SELECT g, cl, list(av ORDER BY d) AS c FROM (
+  SELECT g, cl, d, avg(x) AS av FROM (SELECT g, cl, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM a{i})
+  GROUP BY g, cl, d) GROUP BY g, cl),
+c{i} AS (SELECT o.g, o.cl, coalesce(m.c, o.c) AS c FROM c{i - 1} o LEFT JOIN m{i} m ON o.g = m.g AND o.cl = m.cl)""")
+    parts.append(assign(iters + 1))
+    return "WITH " + ",\n".join(parts) + f"\nSELECT g AS label, id AS vec_id, CAST(cl AS INTEGER) AS cluster FROM a{iters + 1}"
+
+
+@register("m3_kmeans_embeddings", _kmeans_sql())
 def m3_kmeans_embeddings(spark, sf):
     e = read_table(spark, sf, "embeddings")
     return MO.kmeans_per_group(e, "label", "vec_id", "embedding", k_max=5, max_iter=10)
