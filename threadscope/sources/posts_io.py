@@ -116,7 +116,7 @@ def read_discussions(spark: SparkSession, path: str, whole_file: bool = False) -
     return posts.drop("comments_v"), comments
 
 
-def flatten_comment_variants(df: DataFrame, col: str, max_depth: int = 64) -> DataFrame:
+def flatten_comment_variants(df: DataFrame, col: str, max_depth: int = 1000) -> DataFrame:
     """U4 + F12: depth-first flattening of nested comment lists.
 
     One explode per nesting level; the path of positions is the
