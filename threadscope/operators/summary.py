@@ -83,7 +83,9 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
         pieces = pieces.checkpoint()
     interior = (pieces.where((F.col("j") > 0) & (F.col("j") < F.col("_np") - 1))
                 .select("post_id", "sid", X.strip("piece").alias("sentence")))
-    edge = (pieces.where((F.col("j") == 0) | (F.col("j") == F.col("_np") - 1))
+    # Edge pieces stitch sentences across comments.  Empty pieces (a comment
+    # that ends a sentence leaves one) add nothing, so they never shuffle.
+    edge = (pieces.where(((F.col("j") == 0) | (F.col("j") == F.col("_np") - 1)) & (F.col("piece") != ""))
             .groupBy("post_id", "sid")
             .agg(F.array_join(F.sort_array(F.collect_list(F.struct("idx", "j", "piece")))
                               .getField("piece"), "").alias("_s"))
