@@ -28,7 +28,12 @@ def get_spark(app: str = "threadscope", master: str | None = None,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.ansi.enabled": "false",
+        # keep the driver's bookkeeping bounded on long-lived sessions
+        "spark.sql.ui.retainedExecutions": "50",
+        "spark.ui.retainedJobs": "200",
+        "spark.ui.retainedStages": "200",
+        # coalesce shuffle partitions by size (the advisory size), not by core count
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
