@@ -122,3 +122,28 @@ def test_x22_tokenize(spark):
 
 def test_x23_bullets(spark):
     assert one(spark, X.bullets("x"), ["a", "b"], "x array<string>") == "- a\n- b"
+
+
+def test_x19_windows_cover_every_token(spark):
+    """Property: windows start every (size - overlap) tokens, the last one
+    reaches the end, and together they cover every token."""
+    import random
+    rnd = random.Random(5)
+    cases = [(rnd.randint(0, 60), rnd.randint(2, 9)) for _ in range(200)]
+    rows = [(i, [str(t) for t in range(n)], size, rnd.randint(0, size - 1)) for i, (n, size) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "id int, t array<string>, size int, overlap int")
+    got = {}
+    for size in range(2, 10):
+        for ov in range(0, size):
+            sub = df.where((F.col("size") == size) & (F.col("overlap") == ov))
+            for r in sub.select("id", N.token_windows("t", size, ov).alias("w")).collect():
+                got[r.id] = r.w
+    for i, toks, size, ov in rows:
+        w = got[i]
+        assert len(w) >= 1
+        covered = [x for chunk in w for x in chunk]
+        assert set(covered) == set(toks)
+        if toks:
+            assert w[-1][-1] == toks[-1]
+            assert all(len(c) == size for c in w[:-1])
+            assert all(w[k][0] == toks[k * (size - ov)] for k in range(len(w)))

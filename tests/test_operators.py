@@ -275,6 +275,11 @@ def test_e3_properties(spark):
     r = {x.id: x for x in RG.rouge(pairs, "id", "cand", "ref", materialize=False).collect()}
     assert r[1].rouge1_f == r[1].rouge2_f == r[1].rougeL_f == 1.0
     assert r[2].rouge1_f == r[2].rouge2_f == r[2].rougeL_f == 0.0
+    fwd = spark.createDataFrame([(1, "a b c d e", "b c x e")], "id long, cand string, ref string")
+    rev = fwd.select("id", F.col("ref").alias("cand"), F.col("cand").alias("ref"))
+    f1 = RG.rouge(fwd, "id", "cand", "ref", materialize=False).first()
+    f2 = RG.rouge(rev, "id", "cand", "ref", materialize=False).first()
+    assert (f1.rouge1_f, f1.rouge2_f, f1.rougeL_f) == (f2.rouge1_f, f2.rouge2_f, f2.rougeL_f)
 
 
 def test_m3_kmeans_properties(spark):
@@ -312,3 +317,28 @@ def test_m7_batch_scorer(spark):
     out = {r.id: r.polarity for r in MO.predict_polarity(docs, ["id"], "text", scorer=MO.batch_scorer(make_predict_fn),
                                                            size=2, overlap=1).collect()}
     assert out == {1: 1, 2: 0}
+
+
+def test_sentence_stitching_matches_joined_text_split(spark):
+    """Property: sentences stitched per comment (distributed) equal the split
+    of the whole joined discussion text, for 300 random discussions."""
+    import re
+    rnd = random.Random(17)
+    alphabet = ["a", "b", "c", " ", " ", ".", "!", "?", "\t", "\n", "x."]
+    rows, expected = [], {}
+    for pid in range(300):
+        texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12)))
+                 for _ in range(rnd.randint(1, 6))]
+        rows += [(pid, i, t) for i, t in enumerate(texts)]
+        joined = "".join(t + " " for t in texts)
+        parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+", joined)]
+        expected[pid] = [p for p in parts if p]
+    posts = spark.createDataFrame([(p, "t") for p in range(300)], POSTS)
+    st = S.summary_steps(posts, spark.createDataFrame(rows, COMMENTS), LEX, bucket_width=2)
+    got = {}
+    for r in st.sentences.collect():
+        got.setdefault(r.post_id, []).append((r.sid, r.sentence))
+    for pid in range(300):
+        sents = [s for _, s in sorted(got.get(pid, []))]
+        assert sents == expected[pid], pid
+        assert [sid for sid, _ in sorted(got.get(pid, []))] == list(range(len(sents)))
