@@ -281,5 +281,3 @@ def remove_stop_words(tokens: DataFrame, word_col: str = "word", stop_words=None
     sw = stop_words if stop_words is not None else rules.default_stop_words()
     return tokens.where(~F.col(word_col).isin(*sw))
 
-
-EMPTY_STRING_ARRAY = T.ArrayType(T.StringType())
