@@ -243,7 +243,13 @@ def test_j5_paths_agree(spark):
     a = sorted(map(tuple, EN.match_keywords(docs, ["id"], "text", d, method="broadcast").collect()))
     b = sorted(map(tuple, EN.match_keywords(docs, ["id"], "text", d, method="index").collect()))
     c = sorted(map(tuple, EN.match_keywords(docs, ["id"], "text", d, method="automaton").collect()))
-    assert a == b == c == [(1, "fix"), (1, "prefix"), (1, "ui"), (1, "x"), (3, "ab")]
+    old = EN.PREFIX_BROADCAST_LIMIT
+    EN.PREFIX_BROADCAST_LIMIT = 0          # exercise the no-broadcast fallbacks of the index path
+    try:
+        e = sorted(map(tuple, EN.match_keywords(docs, ["id"], "text", d, method="index").collect()))
+    finally:
+        EN.PREFIX_BROADCAST_LIMIT = old
+    assert a == b == c == e == [(1, "fix"), (1, "prefix"), (1, "ui"), (1, "x"), (3, "ab")]
 
 
 def test_f10_extract(spark):

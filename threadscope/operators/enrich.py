@@ -182,12 +182,13 @@ def match_keywords(df: DataFrame, id_cols, text, dictionary: DataFrame,
 
     ``auto``: a dictionary of at most KEYWORD_BROADCAST_LIMIT rows (checked
     with a bounded count) is broadcast and tested with ``contains`` (a
-    broadcast nested-loop join against a small parameter table).  Beyond
-    that, the ``index`` path: keywords shorter than 3 characters form a set
-    bounded by the alphabet and stay broadcast; longer ones are equi-joined
-    on their first 3 characters against the distinct trigrams of each text
-    (shuffled by trigram; AQE splits hot trigrams), then verified with
-    ``contains``.  Both paths are exact.
+    broadcast nested-loop join against a small parameter table); up to
+    AUTOMATON_LIMIT keywords, one Aho-Corasick pass per text; beyond that the
+    ``index`` path: keywords of 3+ characters are equi-joined on their first
+    trigram with the distinct trigrams of each text (shuffled by trigram,
+    AQE splits hot trigrams) and verified with ``contains``; keywords of 1-2
+    characters (a set bounded by the alphabet) are broadcast after a size
+    check, or else equi-joined with the texts' 1-/2-grams.  All exact.
     """
     id_cols = list(id_cols)
     kw = (dictionary.select(F.lower(F.col(keyword_col)).alias("_kw"), *[
@@ -197,31 +198,43 @@ def match_keywords(df: DataFrame, id_cols, text, dictionary: DataFrame,
         n_kw = _bounded_count(kw, AUTOMATON_LIMIT)
         method = ("broadcast" if n_kw <= KEYWORD_BROADCAST_LIMIT
                   else "automaton" if n_kw <= AUTOMATON_LIMIT else "index")
+    rest = [c for c in kw.columns if c != "_kw"]
+    order = [*id_cols, F.col("_kw").alias(keyword_col), *rest]
     if method == "broadcast":
         out = x.join(F.broadcast(kw), F.col("_x").contains(F.col("_kw")))
-        return out.drop("_x").withColumnRenamed("_kw", keyword_col)
+        return out.select(*order)
     if method == "automaton":
-        return _match_automaton(x, id_cols, kw).withColumnRenamed("_kw", keyword_col)
+        return _match_automaton(x, id_cols, kw).select(*order)
     short = kw.where(F.length("_kw") < 3)
     longk = kw.where(F.length("_kw") >= 3).withColumn("_g", F.substring("_kw", 1, 3))
-    hits_short = x.join(F.broadcast(short), F.col("_x").contains(F.col("_kw")))
-    # Trigrams from a character array (array access is O(1); substring on
-    # UTF-8 by character position would rescan the text for every gram).
+    # Keywords of 1-2 characters: a set bounded by the alphabet squared.
+    # Broadcast it (checked); a larger set joins the texts' 1-/2-grams.
+    if _bounded_count(short, PREFIX_BROADCAST_LIMIT) <= PREFIX_BROADCAST_LIMIT:
+        hits_short = x.join(F.broadcast(short), F.col("_x").contains(F.col("_kw"))).drop("_x")
+    else:
+        c, n = F.col("_c"), F.size("_c")
+        g12 = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_compact(
+            F.array(c[i], F.when(i + 1 < n, F.concat(c[i], c[i + 1]))))))).otherwise(F.array().cast("array<string>"))
+        small = (x.select(*id_cols, F.split("_x", "").alias("_c"))
+                 .select(*id_cols, F.explode(g12).alias("_kw")).distinct())
+        hits_short = small.join(short, "_kw")
+    # Longer keywords: trigrams from a character array (array access is
+    # O(1); substring on UTF-8 by character position would rescan the
+    # text), equi-joined on the keyword's first trigram, then verified.
     chars = x.select(*id_cols, F.split("_x", "").alias("_c"))
     grams = (chars.select(*id_cols, "_c", F.posexplode("_c").alias("_i", "_ch"))
              .where(F.col("_i") + 2 < F.size("_c"))
              .select(*id_cols, F.concat("_ch", F.col("_c")[F.col("_i") + 1],
                                         F.col("_c")[F.col("_i") + 2]).alias("_g")))
     # Only trigrams that start some keyword matter; that set is bounded by the
-    # alphabet (not by the data), so it is broadcast to drop the rest before
-    # the shuffle.
+    # alphabet (not by the data) and broadcast as a filter below a checked size.
     prefixes = longk.select("_g").distinct()
     if _bounded_count(prefixes, PREFIX_BROADCAST_LIMIT) <= PREFIX_BROADCAST_LIMIT:
         grams = grams.join(F.broadcast(prefixes), "_g", "left_semi")
     cand = grams.distinct().join(longk, "_g").drop("_g")
-    hits_long = cand.join(x, id_cols).where(F.col("_x").contains(F.col("_kw")))
+    hits_long = cand.join(x, id_cols).where(F.col("_x").contains(F.col("_kw"))).drop("_x")
     out = hits_short.unionByName(hits_long)
-    return out.drop("_x").withColumnRenamed("_kw", keyword_col)
+    return out.select(*order)
 
 
 def _match_automaton(x: DataFrame, id_cols, kw: DataFrame) -> DataFrame:
