@@ -124,3 +124,28 @@ def test_configure_for_scale(spark):
         assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_quick_start_flow_from_post_files(spark):
+    """README quick start: nested post file -> enrichment, counts, summary, report, CSV."""
+    from threadscope.operators import enrich, stats
+    from threadscope.operators import summary as S
+    src = scratch_path(spark, "t-qs")
+    rec = {"post_id": "p1", "title": "Game crashes on PS5", "text": "lag and freeze", "author": "a",
+           "timestamp": "2024-01-02T03:04:05",
+           "comments": [{"comment_id": "c1", "text": "Same here. Terrible bug.", "author": "b"},
+                        {"comment_id": "c2", "text": "A patch fixed it for me!", "author": "a"}]}
+    spark.createDataFrame([(json.dumps(rec),)], "value string").coalesce(1).write.text(src)
+    posts, comments = PIO.read_posts(spark, src)
+    rich = enrich.enrich_posts(posts)
+    r = rich.first()
+    assert r.label == "Bug" and r.platform == ["playstation"] and r.severity == "critical"
+    assert str(r.created_ts) == "2024-01-02 03:04:05"
+    assert [(x.severity, x.n) for x in stats.severity_counts(rich).collect()] == [("critical", 1)]
+    rc = enrich.enrich_comments(comments, posts).orderBy("pos").collect()
+    assert [x.is_op_response for x in rc] == [False, True] and rc[1].has_solution is True
+    s = S.summarize(posts, comments).first()
+    assert s.total_comments == 2 and s.negative == 1
+    out = S.write_report(S.summarize(posts, comments), scratch_path(spark, "t-qs-rep"))
+    assert out["processed_discussions"] == 1
+    PIO.save_posts(rich, comments, scratch_path(spark, "t-qs-csv"), "csv")

@@ -109,6 +109,21 @@ def label_sentiment(df: DataFrame, text, lexicon=None, out: str = "sentiment_lab
         F.coalesce(F.abs(p), F.lit(0.0)).alias("score"))).drop("_lex")
 
 
+def _opt(df: DataFrame, name: str, dtype: str) -> Column:
+    """An optional input column, or a typed null when the input lacks it."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
+
+
+def _created_ts(df: DataFrame) -> Column:
+    """Post/comment time: ``created_ts`` if present, else the ISO text
+    ``timestamp`` of post files, else null."""
+    if "created_ts" in df.columns:
+        return F.col("created_ts")
+    if "timestamp" in df.columns:
+        return F.to_timestamp("timestamp")
+    return F.lit(None).cast("timestamp")
+
+
 def enrich_posts(posts: DataFrame, lexicon=None, bug_keywords=None, platform_keywords=None,
                  severity_keywords=None, gazetteer: DataFrame | None = None,
                  word_boundary: bool = False) -> DataFrame:
@@ -134,9 +149,10 @@ def enrich_posts(posts: DataFrame, lexicon=None, bug_keywords=None, platform_key
         "post_id", "title", "text",
         F.when(F.col("_full") == "", F.lit(rules.CATEGORY_EMPTY)).otherwise(
             K.label_post("_xl", bug_keywords, word_boundary=word_boundary, lowered=True)).alias("label"),
-        "score", "upvote_ratio", "num_comments",
-        F.coalesce(F.col("author"), F.lit(rules.DELETED_AUTHOR)).alias("author"),
-        "subreddit", "created_ts",
+        _opt(d, "score", "bigint").alias("score"), _opt(d, "upvote_ratio", "double").alias("upvote_ratio"),
+        _opt(d, "num_comments", "bigint").alias("num_comments"),
+        F.coalesce(_opt(d, "author", "string"), F.lit(rules.DELETED_AUTHOR)).alias("author"),
+        _opt(d, "subreddit", "string").alias("subreddit"), _created_ts(d).alias("created_ts"),
         K.detect_platform("_xl", platform_keywords, word_boundary, lowered=True).alias("platform"),
         K.detect_severity("_xl", severity_keywords, word_boundary, lowered=True).alias("severity"),
         "sentiment", "potential_games",
@@ -169,7 +185,8 @@ def enrich_comments(comments: DataFrame, posts: DataFrame, lexicon=None,
     d = attach_post(comments, posts)
     d = lexicon_sentiment(d, "text", lexicon, "sentiment", ["post_id", "comment_id"])
     return d.select(
-        "post_id", "pos", "comment_id", "text", "score", "author", "created_ts", "sentiment",
+        "post_id", "pos", "comment_id", "text", _opt(d, "score", "bigint").alias("score"),
+        _opt(d, "author", "string").alias("author"), _created_ts(d).alias("created_ts"), "sentiment",
         K.detect_platform("text", platform_keywords, word_boundary).alias("platform_mentioned"),
         K.has_any("text", rules.SOLUTION_KEYWORDS, word_boundary).alias("has_solution"),
         "is_op_response")
