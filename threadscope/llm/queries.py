@@ -40,9 +40,34 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 register(op1_bpe_round_trip)
 
 
+def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    return quality.assess(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+register(op2_quality_mcd)
+
+
 def op4_pack_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
 register(op4_pack_cutting_stock)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan as S
+    found = S.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*S.BASE))
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in S.BASE],
+                        F.sha2(S.span_text(base), 256).alias("base_sha256"), S.span_text(spans).alias("spans"))
+
+
+register(op9_secret_scan)
