@@ -71,3 +71,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register(op9_secret_scan)
+
+
+def op10_minhash_fast_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+register(op10_minhash_fast_sketch)
