@@ -173,24 +173,33 @@ def load(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
-def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Append ``ids_col`` (array of int) to ``df``; a column of that name is replaced."""
-    df = df.drop(ids_col) if ids_col != text_col and ids_col in df.columns else df
-    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
-    at = df.columns.index(text_col)
+def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids",
+           decoded_col: str | None = None) -> DataFrame:
+    """Append ``ids_col`` (array of int) and, if named, ``decoded_col`` (the text that
+    the ids decode to, from the same pass); columns of these names are replaced."""
+    added = [c for c in (ids_col, decoded_col) if c]
+    kept = [c for c in df.columns if c not in added]
+    src = df.select(*kept, F.col(text_col).alias("__text"))
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField("", T.StringType())]
+    if decoded_col:
+        fields[1].name = decoded_col
+    schema = T.StructType([*(df.schema[c] for c in kept), *fields[:len(added)]])
 
     def run(batches):
         coder = load(vocabulary)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            buffers = [b"" if t is None else coder.encode_buffer(t) for t in texts]
-            ends = np.concatenate([[0], np.cumsum([len(b) // 4 for b in buffers])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(buffers), dtype="<i4")),
-                                           mask=pa.array([t is None for t in texts], type=pa.bool_()))
-            ids = ids.cast(pa.list_(pa.field("element", pa.int32(), False)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
-
-    return df.mapInArrow(run, schema)
+            texts = batch.column(len(kept)).to_pylist()
+            buffers = [None if t is None else coder.encode_buffer(t) for t in texts]
+            ends = np.concatenate([[0], np.cumsum([len(b or b"") // 4 for b in buffers])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(b or b"" for b in buffers), dtype="<i4")),
+                                           mask=pa.array([b is None for b in buffers], type=pa.bool_()))
+            out = [ids.cast(pa.list_(pa.field("element", pa.int32(), False)))]
+            if decoded_col:
+                out.append(pa.array([None if b is None else coder.decode(np.frombuffer(b, dtype="<i4").tolist())
+                                     for b in buffers], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], *out], names=schema.names)
+
+    return src.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -32,8 +32,7 @@ def register(fn, sql: str | None = None):
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    path = vocabulary()
-    done = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    done = bpe.encode(docs, vocabulary(), decoded_col="decoded")
     return done.select("doc_id", *bpe.digests(done))
 
 
