@@ -9,15 +9,18 @@ similarity as with independent hashes.
 
 Equal sets are one class from the start.  Classes that share a band of ROWS
 coordinates are candidates; small buckets yield all their pairs, buckets of more
-than SMALL classes a star around a pivot that differs by band.  First each class is
-verified against its best candidate only, on the full shingle sets, and verified
-links are contracted to components; then the remaining candidate pairs between
-different components are verified; then large buckets that still span several
-components are dealt new pivots until a round finds no further link.  So a group of
-any size costs rows in proportion to its members, and a third of all rows may
-share a bucket.
+than SMALL classes a star around a pivot that differs by band.  All candidates are verified
+on the full shingle sets, and links contracted to components.  Then the members of
+large buckets are bucketed again by every pair of their large bands: what merely
+shares a passage falls apart, small buckets yield all their pairs between
+components, large ones stars around PIVOTS further pivots.  So a group of any size
+costs rows in proportion to its members, and a third of all rows may share a
+bucket.
 
 A pair at the threshold 0.8 shares no band with probability (1 - 0.8^6)^40 < 6e-6.
+Inside large buckets a link counts only if it joins components, and a member is
+missed only if none of its pivots (one a shared band, PIVOTS a pair of bands) is near
+it while another member is.
 
 Defined results: null, empty and blank texts have an empty set and stand alone;
 texts with fewer words than a shingle have their whole sequence as one; rows with
@@ -41,6 +44,7 @@ from .graph import components
 ROWS, BANDS = 6, 40
 SIZE = ROWS * BANDS
 SMALL = 24
+PIVOTS = 4
 #: Bits of a coordinate that hold the round; the rest is the hashed value.
 ROUND_BITS = 10
 
@@ -182,34 +186,35 @@ def similar_classes(classes: DataFrame, texts_of, k: int, percent: int) -> DataF
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     texts = texts_of(asked.distinct())
 
-    # each class against its best candidate
-    ends = pairs.select(F.col("a").alias("x"), "a", "b", "shared").union(pairs.select("b", "a", "b", "shared"))
-    first = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("shared", F.xxhash64("a", "b"))).alias("p")).select("p.*").distinct()
-    links = materialize(verified(first, texts, k, percent), "links")
+    links = materialize(verified(pairs, texts, k, percent), "links")
     labels = materialize(components(links), "labels")
 
-    # what is left between different components
-    links = materialize(links.union(verified(labelled(pairs.select("a", "b"), labels), texts, k, percent)).distinct(), "links")
-    labels = materialize(components(links), "labels")
-
-    # new pivots for large buckets that still span several components
-    known = links.count()
-    for turn in range(1, 1 << 30):
-        large = (members.where(F.col("size") > SMALL).select("key", "node").join(labels, "node", "left")
-                 .withColumn("component", F.coalesce("component", "node")))
-        picked = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                          F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("pivot")).where("lo != hi")
-        more = (large.join(picked.select("key", "pivot"), "key").where("node != pivot")
-                .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        more = materialize(labelled(more, labels), "pairs")
-        if not more.limit(1).count():
-            break
-        links = materialize(links.union(verified(more, texts, k, percent)).distinct(), "links")
-        now = links.count()
-        if now == known:
-            break
-        known, labels = now, materialize(components(links), "labels")
-    return labels
+    # large buckets that span components: by pairs of their keys, which tell apart what shares little
+    large = (members.where(F.col("size") > SMALL).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("m"))  # <= BANDS keys
+             .select("node", F.explode(F.expr(
+                 "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> xxhash64(x, y))))")).alias("key"))
+             .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    large = materialize(large, "large")
+    spans = large.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        *[F.min_by("node", F.xxhash64("node", "key", F.lit(i))).alias(f"pivot{i}") for i in range(PIVOTS)]).where("lo != hi")
+    inside = materialize(large.join(spans, "key"), "spans")
+    few = (inside.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("m"))
+           .select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), "
+                                    "y -> y.component != x.component), y -> struct(x.node as a, y.node as b))))")).alias("p"))
+           .select("p.*"))
+    star = (inside.where(F.col("size") > SMALL)
+            .select("node", F.explode(F.array(*[f"pivot{i}" for i in range(PIVOTS)])).alias("pivot")).where("node != pivot")
+            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
+    more = materialize(labelled(few.union(star).distinct(), labels), "pairs")
+    found = materialize(verified(more, texts, k, percent), "links")
+    # joined components: their labels are the nodes of a smaller graph
+    merged = materialize(components(found.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+                                    .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+                                    .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "labels")
+    new = merged.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    old = labels.join(new, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    return old.union(merged.join(labels, "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

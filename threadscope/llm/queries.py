@@ -48,6 +48,65 @@ def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
 register(op2_quality_mcd)
 
 
+def op3_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+URL_SQL = """
+WITH split AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+rules(kind, rule_host, rule_path) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+ruled AS (
+  SELECT p.*, (SELECT arg_max(rule_host || rule_path, length(rule_host || rule_path)) FROM rules r
+               WHERE (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)) AS rule,
+         (SELECT arg_max(kind, length(rule_host || rule_path)) FROM rules r
+               WHERE (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)) AS rule_verdict
+  FROM parts p),
+urls AS (
+  SELECT DISTINCT url, rule_verdict, md5(url)[1] IN ('c', 'd', 'e', 'f') AS held,
+         regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
+                        '[^a-z0./-]', '_', 'g') AS s FROM ruled WHERE url IS NOT NULL),
+grams AS (
+  SELECT url, rule_verdict, held, substr('^^' || s, i, 3) AS gram
+  FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM urls)),
+counts AS (
+  SELECT gram, k.kind, count(*) FILTER (WHERE rule_verdict = k.kind AND NOT held) AS n
+  FROM grams, (VALUES ('block'), ('allow')) k(kind) GROUP BY gram, k.kind),
+o0 AS (SELECT kind, gram[3] AS c, sum(n) AS n FROM counts GROUP BY ALL),
+p0 AS (SELECT kind, c, (n + 1) / (sum(n) OVER (PARTITION BY kind) + 32) AS p FROM o0),
+o1 AS (SELECT kind, gram[2:3] AS bc, sum(n) AS n FROM counts GROUP BY ALL),
+x1 AS (SELECT *, sum(n) OVER (PARTITION BY kind, bc[1]) AS m, count(*) FILTER (WHERE n > 0) OVER (PARTITION BY kind, bc[1]) AS t FROM o1),
+p1 AS (SELECT x1.kind, bc, CASE WHEN m > 0 THEN (x1.n + t * p0.p) / (m + t) ELSE p0.p END AS p
+       FROM x1 JOIN p0 ON p0.kind = x1.kind AND p0.c = bc[2]),
+x2 AS (SELECT *, sum(n) OVER (PARTITION BY kind, gram[1:2]) AS m, count(*) FILTER (WHERE n > 0) OVER (PARTITION BY kind, gram[1:2]) AS t FROM counts),
+p2 AS (SELECT x2.kind, gram, CASE WHEN m > 0 THEN (x2.n + t * p1.p) / (m + t) ELSE p1.p END AS p
+       FROM x2 JOIN p1 ON p1.kind = x2.kind AND p1.bc = gram[2:3]),
+ratios AS (SELECT b.gram, ln(b.p) - ln(a.p) AS ratio FROM p2 b JOIN p2 a USING (gram) WHERE b.kind = 'block' AND a.kind = 'allow'),
+scores AS (SELECT url, rule_verdict, held, round(avg(ratio), 6) AS score FROM grams JOIN ratios USING (gram) GROUP BY ALL),
+bins AS (
+  SELECT floor(score / 0.01) AS bin, count(*) FILTER (WHERE rule_verdict = 'block') AS block, count(*) FILTER (WHERE rule_verdict = 'allow') AS allow
+  FROM scores WHERE held AND rule_verdict IS NOT NULL GROUP BY 1),
+cuts AS (
+  SELECT bin, coalesce(sum(block) OVER w, 0) AS block_below, coalesce(sum(allow) OVER w, 0) AS allow_below,
+         sum(block) OVER () AS all_block, sum(allow) OVER () AS all_allow
+  FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (
+  SELECT bin * 0.01 AS cut FROM cuts WHERE all_block > 0 AND all_allow > 0
+  ORDER BY round(allow_below / all_allow - block_below / all_block, 9) DESC, bin LIMIT 1)
+SELECT r.page_id, r.host, r.path, r.rule,
+       coalesce(r.rule_verdict, CASE WHEN s.score >= (SELECT cut FROM cut) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN (SELECT DISTINCT url, score FROM scores) s USING (url)
+"""
+
+register(op3_url_markov_ratio, URL_SQL)
+
+
 def op4_pack_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
@@ -56,6 +115,43 @@ def op4_pack_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 register(op4_pack_cutting_stock)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: The earliest line of each one-word gap, by the words themselves: (words with the gap) pairs
+#: two lines that differ in this word, (words without it) a line and one with a word more.
+LINE_DEDUP_SQL = """
+WITH lines AS (
+  SELECT doc_id, l.i AS line_no, l.x AS line,
+         list_filter(regexp_split_to_array(l.x, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'x': x, 'i': i})) AS l FROM documents WHERE text IS NOT NULL)),
+long_lines AS (SELECT doc_id, line_no, array_to_string(words, ' ') AS whole, words, (doc_id, line_no) AS pos FROM lines WHERE len(words) >= 8),
+distinct_lines AS (SELECT whole, any_value(words) AS words, min(pos) AS pos FROM long_lines GROUP BY whole),
+variants AS (
+  SELECT whole, pos, i, array_to_string(list_concat(words[1:i - 1], words[i + 1:]), ' ') AS rest
+  FROM (SELECT whole, words, pos, unnest(range(1, len(words) + 1)) AS i FROM distinct_lines)),
+same_gap AS (SELECT v.whole FROM variants v JOIN (SELECT rest, i, min(pos) AS first FROM variants GROUP BY rest, i) f USING (rest, i) WHERE f.first < v.pos),
+one_less AS (SELECT v.whole FROM variants v JOIN distinct_lines d ON d.whole = v.rest WHERE d.pos < v.pos),
+one_more AS (SELECT d.whole FROM variants v JOIN distinct_lines d ON d.whole = v.rest WHERE v.pos < d.pos),
+near AS (SELECT * FROM same_gap UNION SELECT * FROM one_less UNION SELECT * FROM one_more),
+gone AS (
+  SELECT l.doc_id, l.line_no FROM long_lines l JOIN distinct_lines d USING (whole)
+  WHERE d.pos <> l.pos OR l.whole IN (SELECT whole FROM near)),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
+         string_agg(CASE WHEN g.line_no IS NULL THEN l.line END, chr(10) ORDER BY l.line_no) AS text
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+register(op7_line_dedup, LINE_DEDUP_SQL)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan as S
     found = S.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
