@@ -23,7 +23,6 @@ scatter; repeated rows are judged alike; clashing columns are replaced.
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -116,11 +115,8 @@ CUT = 28.47
 BINS, BIN_WIDTH, SALTS, MAX_STEPS = 640, 32, 16, 100
 
 P = len(VECTOR)
-PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-PARAMS = T.StructType([T.StructField("g", T.StringType()), T.StructField("start", T.IntegerType()),
-                       *(T.StructField(f"m{i}", T.DoubleType()) for i in range(P)),
-                       *(T.StructField(f"w{i}{j}", T.DoubleType()) for i, j in PAIRS),
-                       T.StructField("logdet", T.DoubleType())])
+#: Entries of a symmetric matrix, as (row, column) with row >= column.
+LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
 def cells(stats: DataFrame) -> DataFrame:
@@ -138,15 +134,19 @@ def salted(params: DataFrame) -> DataFrame:
     return params.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def distance() -> Column:
-    terms = [F.col(f"w{i}{j}") * (1 if i == j else 2) * (F.col(f"x{i + 1}") - F.col(f"m{i}"))
-             * (F.col(f"x{j + 1}") - F.col(f"m{j}")) for i, j in PAIRS]
+def plus(terms: list[Column]) -> Column:
     total = terms[0]
     for t in terms[1:]:
         total = total + t
     return total
 
 
+def distance() -> Column:
+    """Squared Mahalanobis distance: length of the vector under the inverse Cholesky factor."""
+    return plus([F.pow(plus([F.col(f"w{i}{j}") * (F.col(f"x{j + 1}") - F.col(f"m{j}")) for j in range(i + 1)]), 2)
+                 for i in range(P)])
+
+
 def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
     """Join rows with their group's estimates; each group is dealt over SALTS keys."""
     return df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")).join(
@@ -156,33 +156,37 @@ def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
 def moments(weight: Column) -> list[Column]:
     x = [F.col(k) for k in VECTOR]
     return ([F.sum(weight).alias("s")] + [F.sum(weight * c).alias(f"s{i}") for i, c in enumerate(x)]
-            + [F.sum(weight * x[i] * x[j]).alias(f"s{i}{j}") for i, j in PAIRS])
-
-
-def estimate_row(g: str, start: int, centre: np.ndarray, scatter: np.ndarray) -> list:
-    w = np.linalg.inv(scatter)
-    return [g, start, *centre, *(w[i, j] for i, j in PAIRS), float(np.linalg.slogdet(scatter)[1])]
-
-
-def concentrate(key, frame):
-    """One group and start: moments by distance bin -> the estimate of its SUPPORT share of nearest rows."""
-    import pandas as pd
-    frame = frame.sort_values("bin")
-    count = frame["s"].to_numpy()
-    upto = int(np.searchsorted(np.cumsum(count), SUPPORT * count.sum() - 1e-9)) + 1
-    part = frame.iloc[:upto]
-    n = part["s"].sum()
-    centre = np.array([part[f"s{i}"].sum() / n for i in range(P)])
-    scatter = np.diag(np.square(FLOORS)).astype(float)
-    for i, j in PAIRS:
-        c = CONSISTENCY * (part[f"s{i}{j}"].sum() / n - centre[i] * centre[j])
-        scatter[i, j] += c
-        if i != j:
-            scatter[j, i] += c
-    # rounding can leave a scatter that is barely not positive: floors decide then
-    values, vectors = np.linalg.eigh(scatter)
-    scatter = (vectors * np.maximum(values, min(FLOORS) ** 2 / 4)) @ vectors.T
-    return pd.DataFrame([estimate_row(key[0], int(key[1]), centre, scatter)], columns=PARAMS.names)
+            + [F.sum(weight * x[i] * x[j]).alias(f"s{i}{j}") for i, j in LOWER])
+
+
+def estimates(df: DataFrame) -> DataFrame:
+    """(g, start, centre m, inverse Cholesky factor w, logdet) from g, start, m and a positive scatter c."""
+    def column(i: int, j: int) -> Column:
+        rest = [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)]
+        return F.col(f"c{i}{j}") - plus(rest) if rest else F.col(f"c{i}{j}")
+
+    for j in range(P):
+        df = df.withColumn(f"l{j}{j}", F.sqrt(column(j, j)))
+        df = df.withColumns({f"l{i}{j}": column(i, j) / F.col(f"l{j}{j}") for i in range(j + 1, P)}) if j + 1 < P else df
+    df = df.withColumns({f"w{i}{i}": 1 / F.col(f"l{i}{i}") for i in range(P)})
+    for off in range(1, P):
+        df = df.withColumns({f"w{j + off}{j}": -plus([F.col(f"l{j + off}{k}") * F.col(f"w{k}{j}") for k in range(j, j + off)])
+                             / F.col(f"l{j + off}{j + off}") for j in range(P - off)})
+    return df.select("g", "start", *[f"m{i}" for i in range(P)], *[f"w{i}{j}" for i, j in LOWER],
+                     plus([2 * F.log(f"l{i}{i}") for i in range(P)]).alias("logdet"))
+
+
+def concentrated(binned: DataFrame) -> DataFrame:
+    """Estimates of the SUPPORT share of nearest rows, from moments by (g, start, bin)."""
+    each = Window.partitionBy("g", "start")  # at most BINS + 1 rows
+    near = (binned.withColumn("before", F.sum("s").over(each.orderBy("bin")) - F.col("s"))
+            .withColumn("total", F.sum("s").over(each)).where(F.col("before") < SUPPORT * F.col("total")))
+    names = ["s", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i, j in LOWER]]
+    sums = near.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in names])
+    centre = {f"m{i}": F.col(f"s{i}") / F.col("s") for i in range(P)}
+    scatter = {f"c{i}{j}": CONSISTENCY * (F.col(f"s{i}{j}") / F.col("s") - F.col(f"m{i}") * F.col(f"m{j}"))
+               + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in LOWER}
+    return estimates(sums.withColumns(centre).withColumns(scatter))
 
 
 def first_estimates(cell: DataFrame) -> DataFrame:
@@ -198,24 +202,12 @@ def first_estimates(cell: DataFrame) -> DataFrame:
                          *[F.when(norm > 0, u / norm).otherwise(0.0).alias(f"u{i}") for i, u in enumerate(unit)])
     spread = away.groupBy("g", *[f"c_{x}" for x in xs]).agg(
         *[F.expr(f"percentile(a{i}, 0.5, n)").alias(f"d{i}") for i in range(P)],
-        *[(F.sum(F.col("n") * F.col(f"u{i}") * F.col(f"u{j}")) / F.sum("n")).alias(f"v{i}{j}") for i, j in PAIRS])
-
-    def run(frames):
-        import pandas as pd
-        scale = np.array(FLOORS)
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                centre = np.array([getattr(r, f"c_{x}") for x in xs])
-                rows.append(estimate_row(r.g, 0, centre, np.diag(np.square(
-                    scale * (1 + 1.4826 * np.array([getattr(r, f"d{i}") for i in range(P)]))))))
-                sign = np.eye(P) * 0.05
-                for i, j in PAIRS:
-                    sign[i, j] = sign[j, i] = sign[i, j] + getattr(r, f"v{i}{j}")
-                rows.append(estimate_row(r.g, 1, centre, sign * np.outer(scale, scale)))
-            yield pd.DataFrame(rows, columns=PARAMS.names)
-
-    return spread.mapInPandas(run, PARAMS)
+        *[(F.sum(F.col("n") * F.col(f"u{i}") * F.col(f"u{j}")) / F.sum("n")).alias(f"v{i}{j}") for i, j in LOWER])
+    spread = spread.withColumns({f"m{i}": F.col(f"c_{x}") for i, x in enumerate(xs)})
+    by_mad = {f"c{i}{j}": F.pow(FLOORS[i] * (1 + 1.4826 * F.col(f"d{i}")), 2) if i == j else F.lit(0.0) for i, j in LOWER}
+    by_sign = {f"c{i}{j}": FLOORS[i] * FLOORS[j] * (F.col(f"v{i}{j}") + (0.05 if i == j else 0.0)) for i, j in LOWER}
+    return (estimates(spread.withColumn("start", F.lit(0)).withColumns(by_mad))
+            .unionByName(estimates(spread.withColumn("start", F.lit(1)).withColumns(by_sign))))
 
 
 def fit_mcd(stats: DataFrame) -> DataFrame:
@@ -225,8 +217,7 @@ def fit_mcd(stats: DataFrame) -> DataFrame:
     for step in range(MAX_STEPS):
         d = with_params(cell, params).withColumn(
             "bin", F.least(F.lit(BINS), F.floor(F.log1p(F.greatest(distance(), F.lit(0.0))) * BIN_WIDTH)).cast("int"))
-        new = materialize(d.groupBy("g", "start", "bin").agg(*moments(F.col("n")))
-                          .groupBy("g", "start").applyInPandas(concentrate, PARAMS), "mcd")
+        new = materialize(concentrated(d.groupBy("g", "start", "bin").agg(*moments(F.col("n")))), "mcd")
         # the first estimates' determinants are not comparable with those of subsets
         moved = new.join(params.select("g", "start", F.col("logdet").alias("before")), ["g", "start"]).where(
             F.abs(F.col("logdet") - F.col("before")) > 1e-6).limit(1).count() if step else 1

@@ -152,6 +152,14 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 register(op7_line_dedup, LINE_DEDUP_SQL)
 
 
+def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import multi_index
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+register(op8_inverted_multi_index)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan as S
     found = S.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
