@@ -115,6 +115,15 @@ def op4_pack_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 register(op4_pack_cutting_stock)
 
 
+def op5_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+register(op5_substring_fm_index)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
