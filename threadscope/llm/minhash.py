@@ -239,3 +239,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     component = F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component_id"))
     return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("__id").eqNullSafe(component).alias("kept"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, all columns unchanged: the one with the
+    least id (null ids first), then the least hash of the row.  Rows without words form no
+    groups and all stay; rows equal in all columns count once."""
+    row = docs.withColumn("__row", F.concat(F.hex(F.xxhash64(*docs.columns)), F.lit("-"), F.hex(F.xxhash64(F.lit(7919), *docs.columns))))
+    marked = near_duplicates(row.select(F.struct(id_col, "__row").alias("__id2"), text_col), k, percent, "__id2", text_col)
+    kept = marked.where("kept").select(F.col("__id2.__row").alias("__row")).distinct()
+    return row.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)

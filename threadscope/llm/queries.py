@@ -124,6 +124,15 @@ def op5_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 register(op5_substring_fm_index)
 
 
+def op6_html_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_extract
+    done = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+register(op6_html_boosted_trees)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
