@@ -5,11 +5,11 @@ A line of MIN_WORDS words or more goes if an earlier line of the corpus
 substitution of it, equal lines included.  Lines are compared as word sequences.
 
 1. Lines are hashed; equal lines become one, at its earliest place.
-2. With one edit, two lines share their first or their last half.  Lines none of
-   whose halves occur in another line cannot have a neighbour and take no
-   further part.
-3. The others emit the line itself and every variant with one word deleted, each
-   as a hash.  A variant's hash is an exclusive-or of word hashes tagged with their
+2. With one edit, two lines are equal outside one of four blocks.  Every line is looked
+   up without each of its blocks; only blocks that leave something other lines have
+   too can hold an edit, and lines without such a block take no further part.
+3. The others emit the line itself and every variant with one word of an open block
+   deleted, each as a hash.  A variant's hash is an exclusive-or of word hashes tagged with their
    places, so running exclusive-ors give all variants in linear time.
 4. Equal variants meet: two lines that delete the same place are a substitution
    apart, a line that equals another's variant a deletion.  Every key is reduced to
@@ -31,23 +31,35 @@ from pyspark.sql import functions as F
 from .base import hash128, materialize
 
 MIN_WORDS = 8
+#: Blocks of a line, and the step of the lengths they are counted from (at most MIN_WORDS).
+BLOCKS, STEP = 4, 8
 #: Words of one block of the running exclusive-ors.
 BLOCK = 128
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.split(F.btrim(line, F.lit(" \t\n\r\x0b\x0c")), r"[\x20\x09-\x0D]+")
 
 
-def half_keys(words: str, n: str) -> Column:
-    """Hashes of the first and last halves that a line of n words can share with
-    one of n - 1, n or n + 1 words."""
-    keys = []
-    for h in (F.floor(F.col(n) / 2), F.floor((F.col(n) - 1) / 2)):
-        h = h.cast("int")
-        keys += [F.xxhash64(F.lit(1), F.slice(words, F.lit(1), h)),
-                 F.xxhash64(F.lit(2), F.slice(words, F.col(n) - h + 1, h))]
-    return F.array_distinct(F.array(*keys))
+def block_spans(n: Column) -> list[tuple[Column, Column, Column]]:
+    """(applies, words before, words after) of the gaps that a line of n words is looked
+    up by.  A line and one with a word more count their gaps from the same length
+    (a multiple of STEP below both; a line at a multiple counts from both), and every
+    place lies in the gap between the first and the last words of some block."""
+    out = []
+    for base, applies in ((n - n % STEP, F.lit(True)), (n - STEP, (n % STEP == 0) & (n > STEP))):
+        for q in range(BLOCKS):
+            before = F.floor(base * q / BLOCKS).cast("int")
+            out.append((applies, before, (base - F.floor(base * (q + 1) / BLOCKS)).cast("int")))
+    return out
+
+
+def gap_keys(words: str, n: str) -> Column:
+    """Hashes of a line without each of its gaps, as (gap, key)."""
+    found = [F.when(applies, F.struct(F.lit(i).alias("gap"), F.xxhash64(
+        F.lit(i % BLOCKS), F.slice(words, F.lit(1), before), F.slice(words, F.col(n) - after + 1, after)).alias("key")))
+        for i, (applies, before, after) in enumerate(block_spans(F.col(n)))]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def bound(value: str, name: str, body: str) -> str:
@@ -67,10 +79,10 @@ def running_xor(values: str, x: str) -> str:
 
 
 def with_variants(df: DataFrame) -> DataFrame:
-    """``variants``: (place, hash) of the line itself (place 0) and of each one-word deletion (places from 1).
+    """``variants``: (place, hash) of the line itself (place 0) and of the one-word deletions at ``places`` (from 1).
 
     Hashes tell lengths apart, as a place's tag is part of each word's hash."""
-    each = ("transform(sequence(1, size(words)), i -> named_struct('place', i, 'hash', "
+    each = ("transform(places, i -> named_struct('place', i, 'hash', "
             "pa[i - 1] ^ element_at(pb, -1) ^ pb[i]))")
     whole = "concat(array(named_struct('place', 0, 'hash', element_at(pa, -1))), " + each + ")"
     tagged = {"a": "transform(words, (w, j) -> xxhash64(w, j))", "b": "transform(words, (w, j) -> xxhash64(w, j - 1))"}
@@ -88,37 +100,41 @@ def without(words: Column, place: Column) -> Column:
 
 
 def near_lines(lines: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(h1, h2) of the distinct lines of which an earlier line is one edit away.
+    """(id) of the distinct lines of which an earlier line is one edit away.
 
     ``lines``: a written table with one row a distinct line."""
-    keyed = lines.select("h1", "h2", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    some = keyed.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    wanted = (lines.join(some, ["h1", "h2"], "left_semi").select("h1", "h2", "at")
-              .groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("h1", "h2", "at")).alias("__wanted")))  # lines of a document
+    keyed = lines.select("id", F.explode("gaps").alias("g")).select("id", "g.gap", "g.key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    some = keyed.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_set("gap").alias("open"))
+    wanted = (lines.join(some, "id").select("id", "at", "n", "open").groupBy("at.k1", "at.k2")
+              .agg(F.collect_list(F.struct("id", "at", "n", "open")).alias("__wanted")))  # lines of one document
     k1, k2 = hash128("doc_id", F.col(text_col))
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.split(text_col, "\n").alias("__lines")).join(wanted, ["k1", "k2"])
-    found = materialize(
-        texts.select(F.explode(F.expr("transform(__wanted, x -> named_struct('h1', x.h1, 'h2', x.h2, 'at', x.at, "
-                                      "'line', __lines[x.at.line_no]))")).alias("x"))
-        .select("x.*").dropDuplicates(["h1", "h2"]).withColumn("words", words_of(F.col("line"))).drop("line"), "line-candidates")
-    rows = materialize(with_variants(found).select("h1", "h2", "at", F.explode("variants").alias("v"))
-                       .select("h1", "h2", "at", "v.hash", "v.place"), "line-variants")
-    first = rows.groupBy("hash", "place").agg(F.min(F.struct("at", "h1", "h2", "place")).alias("first"))
-    # place -1: the earliest of all that delete some word
-    deleted = (first.where("place > 0").groupBy("hash").agg(F.min("first").alias("first"))
-               .select("hash", F.lit(-1).alias("place"), "first"))
-    look = rows.withColumn("look", F.explode(F.when(F.col("place") == 0, F.array(F.lit(-1))).otherwise(
-        F.array("place", F.lit(0)))))
-    pairs = (look.join(first.unionByName(deleted).withColumnRenamed("place", "look"), ["hash", "look"])
-             .where("first.at < at")
-             .select("h1", "h2", "place", F.col("first.h1").alias("e1"), F.col("first.h2").alias("e2"),
-                     F.col("first.place").alias("e_place")))
-    words = found.select("h1", "h2", "words")
-    checked = (pairs.join(words, ["h1", "h2"])
-               .join(words.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("e_words")), ["e1", "e2"])
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("__text")).join(wanted, ["k1", "k2"])
+    found = texts.select(F.explode(F.expr("transform(array(split(__text, '\n')), p -> transform(__wanted, "
+                                          "x -> named_struct('x', x, 'line', p[x.at.line_no])))[0]")).alias("f"))
+    found = found.select("f.x.*", "f.line").dropDuplicates(["id"]).withColumn("words", words_of(F.col("line")))
+    spans = F.array(*[F.struct(before.alias("lo"), (F.col("n") - after).alias("hi"))
+                      for _, before, after in block_spans(F.col("n"))])
+    found = materialize(found.withColumn("spans", spans).select(
+        "id", F.struct("at.doc_id", "at.k1", "at.line_no").alias("at"), "words",
+        F.expr("array_distinct(flatten(transform(open, q -> sequence(spans[q].lo + 1, spans[q].hi))))").alias("places")),
+        "line-candidates")
+    rows = materialize(with_variants(found).select("id", "at", F.explode("variants").alias("v"))
+                       .select("id", "at", "v.hash", "v.place"), "line-variants")
+    whole = rows.where("place = 0").select("hash", F.lit(0).alias("e_place"), F.col("at").alias("e_at"), F.col("id").alias("e_id"))
+    groups = rows.where("place > 0").groupBy("hash", "place").agg(F.min(F.struct("at", "id")).alias("e"), F.count("*").alias("c"))
+    groups = groups.select("hash", F.col("place").alias("e_place"), F.col("e.at").alias("e_at"), F.col("e.id").alias("e_id"), "c")
+    # deletions look for the earliest that deletes the same place, and for the line that is the variant
+    by_gap = (rows.where("place > 0").join(groups.where("c > 1").drop("c").unionByName(whole), "hash")
+              .where("(e_place = place or e_place = 0) and e_at < at"))
+    # lines look for the earliest of which they are a variant
+    longer = groups.groupBy("hash").agg(F.min(F.struct("e_at", "e_id", "e_place")).alias("e")).select("hash", "e.*")
+    by_line = rows.where("place = 0").join(longer, "hash").where("e_at < at")
+    pairs = by_gap.unionByName(by_line).select("id", "place", "e_id", "e_place")
+    words = found.select("id", "words")
+    checked = (pairs.join(words, "id").join(words.select(F.col("id").alias("e_id"), F.col("words").alias("e_words")), "e_id")
                .where(without(F.col("words"), F.col("place")) == without(F.col("e_words"), F.col("e_place"))))
-    return checked.select("h1", "h2").distinct()
+    return checked.select("id").distinct()
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -129,13 +145,13 @@ def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
              .select("doc_id", k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
              .withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS))
     h1, h2 = hash128("words")
-    lines = materialize(lines.select(h1.alias("h1"), h2.alias("h2"), F.struct("doc_id", "k1", "k2", "line_no").alias("at"),
-                                     half_keys("words", "n").alias("halves")), "lines")
-    distinct = materialize(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("halves").alias("halves")),
-                           "distinct-lines")
+    lines = materialize(lines.select(h1.alias("h1"), h2.alias("h2"), F.struct("doc_id", "k1", "line_no", "k2").alias("at"),
+                                     "n", gap_keys("words", "n").alias("gaps")), "lines")
+    distinct = materialize(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("gaps").alias("gaps"))
+                           .withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
     near = materialize(near_lines(distinct, docs, text_col), "near-lines")
     # an occurrence goes if its line has an earlier neighbour or stood elsewhere before
-    kept_at = distinct.join(near, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("at").alias("first"))
+    kept_at = distinct.join(near, "id", "left_anti").select("h1", "h2", F.col("at").alias("first"))
     gone = materialize(lines.select("h1", "h2", "at").join(kept_at, ["h1", "h2"], "left")
                        .where(F.col("first").isNull() | (F.col("first") != F.col("at")))
                        .groupBy("at.k1", "at.k2").agg(F.collect_set("at.line_no").alias("__gone")), "gone-lines")
