@@ -94,10 +94,10 @@ bins AS (
   FROM scores WHERE held AND rule_verdict IS NOT NULL GROUP BY 1),
 cuts AS (
   SELECT bin, coalesce(sum(block) OVER w, 0) AS block_below, coalesce(sum(allow) OVER w, 0) AS allow_below,
-         sum(block) OVER () AS all_block, sum(allow) OVER () AS all_allow
+         lag(bin) OVER (ORDER BY bin) AS last, sum(block) OVER () AS all_block, sum(allow) OVER () AS all_allow
   FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cut AS (
-  SELECT bin * 0.01 AS cut FROM cuts WHERE all_block > 0 AND all_allow > 0
+  SELECT (bin + coalesce(last + 1, bin)) / 2 * 0.01 AS cut FROM cuts WHERE all_block > 0 AND all_allow > 0
   ORDER BY round(allow_below / all_allow - block_below / all_block, 9) DESC, bin LIMIT 1)
 SELECT r.page_id, r.host, r.path, r.rule,
        coalesce(r.rule_verdict, CASE WHEN s.score >= (SELECT cut FROM cut) THEN 'block' ELSE 'allow' END) AS verdict

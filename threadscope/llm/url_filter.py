@@ -106,9 +106,11 @@ def calibrated_cut(scores: DataFrame) -> DataFrame:
     everything = Window.partitionBy(F.lit(1))
     gain = (F.col("allow_below") / F.col("all_allow")) - (F.col("block_below") / F.col("all_block"))
     cuts = (bins.withColumns({f"{k}_below": F.coalesce(F.sum(k).over(below), F.lit(0)) for k in ("block", "allow")}
-                             | {f"all_{k}": F.sum(k).over(everything) for k in ("block", "allow")})
+                             | {f"all_{k}": F.sum(k).over(everything) for k in ("block", "allow")}
+                            | {"last": F.lag("bin").over(Window.partitionBy(F.lit(1)).orderBy("bin"))})
             .where((F.col("all_block") > 0) & (F.col("all_allow") > 0)).withColumn("gain", F.round(gain, 9)))
-    return cuts.agg(F.min_by(F.col("bin") * CUT_STEP, F.struct(-F.col("gain"), "bin")).alias("cut"))
+    middle = (F.col("bin") + F.coalesce(F.col("last") + 1, F.col("bin"))) / 2 * CUT_STEP  # of the gap below the bin
+    return cuts.agg(F.min_by(middle, F.struct(-F.col("gain"), "bin")).alias("cut"))
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
