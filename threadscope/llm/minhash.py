@@ -11,7 +11,7 @@ Equal sets are one class from the start.  Classes that share a band of ROWS
 coordinates are candidates; small buckets yield all their pairs, buckets of more
 than SMALL classes a star around a pivot that differs by band.  All candidates are verified
 on the full shingle sets, and links contracted to components.  Then the members of
-large buckets are bucketed again by every pair of their large bands: what merely
+large buckets are bucketed again by pairs of large bands (up to REACH apart): what merely
 shares a passage falls apart, small buckets yield all their pairs between
 components, large ones stars around PIVOTS further pivots.  So a group of any size
 costs rows in proportion to its members, and a third of all rows may share a
@@ -44,7 +44,8 @@ from .graph import components
 ROWS, BANDS = 6, 40
 SIZE = ROWS * BANDS
 SMALL = 24
-PIVOTS = 4
+#: Further pivots of a large pair of bands, and how far apart the bands of a pair are at most.
+PIVOTS, REACH = 2, 4
 #: Bits of a coordinate that hold the round; the rest is the hashed value.
 ROUND_BITS = 10
 
@@ -156,21 +157,12 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs between different components so far."""
-    out = pairs
-    for side in ("a", "b"):
-        lab = labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        out = out.join(lab, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    return out.where("ca != cb").select(*pairs.columns)
-
-
 def similar_classes(classes: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
     """(node, component) of the classes that have a link to another.
 
     ``classes``: a written table (node, bands); ``texts_of(nodes)`` gives a written
     table (node, text) of the nodes asked for."""
-    keyed = classes.select("node", F.explode("bands").alias("key"))
+    keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"),
                                                    F.min_by("node", F.xxhash64("node", "key")).alias("pivot"))
                           .where("size > 1"), "buckets")
@@ -189,24 +181,29 @@ def similar_classes(classes: DataFrame, texts_of, k: int, percent: int) -> DataF
     links = materialize(verified(pairs, texts, k, percent), "links")
     labels = materialize(components(links), "labels")
 
-    # large buckets that span components: by pairs of their keys, which tell apart what shares little
-    large = (members.where(F.col("size") > SMALL).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("m"))  # <= BANDS keys
+    # large buckets that span components: by pairs of their bands, which tell apart what shares little
+    near = f"try_element_at(m, pmod(e.key + d, {BANDS}))"
+    large = (members.where(F.col("size") > SMALL).groupBy("node")
+             .agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("m"))  # <= BANDS keys
              .select("node", F.explode(F.expr(
-                 "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> xxhash64(x, y))))")).alias("key"))
+                 f"filter(flatten(transform(map_entries(m), e -> transform(sequence(1, {REACH}), "
+                 f"d -> if({near} is null, null, xxhash64(e.value, {near}))))), x -> x is not null)")).alias("key"))
              .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     large = materialize(large, "large")
     spans = large.groupBy("key").agg(
         F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        *[F.min_by("node", F.xxhash64("node", "key", F.lit(i))).alias(f"pivot{i}") for i in range(PIVOTS)]).where("lo != hi")
+        *[F.min_by(F.struct("node", "component"), F.xxhash64("node", "key", F.lit(i))).alias(f"pivot{i}")
+          for i in range(PIVOTS)]).where("lo != hi")
     inside = materialize(large.join(spans, "key"), "spans")
     few = (inside.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("m"))
            .select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), "
                                     "y -> y.component != x.component), y -> struct(x.node as a, y.node as b))))")).alias("p"))
            .select("p.*"))
     star = (inside.where(F.col("size") > SMALL)
-            .select("node", F.explode(F.array(*[f"pivot{i}" for i in range(PIVOTS)])).alias("pivot")).where("node != pivot")
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
-    more = materialize(labelled(few.union(star).distinct(), labels), "pairs")
+            .withColumn("pivot", F.explode(F.filter(F.array(*[f"pivot{i}" for i in range(PIVOTS)]),
+                                                    lambda p: p["component"] != F.col("component"))))
+            .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")))
+    more = materialize(few.union(star).distinct(), "pairs")
     found = materialize(verified(more, texts, k, percent), "links")
     # joined components: their labels are the nodes of a smaller graph
     merged = materialize(components(found.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
