@@ -117,7 +117,7 @@ def test_x21_sentence_pieces(spark):
 
 
 def test_x22_tokenize(spark):
-    assert one(spark, X.tokenize("x"), "Hello, #big_world 42x") == ["hello", "big", "world", "x"]
+    assert one(spark, X.tokenize("x"), "Hello, #big_world 42x") == ["hello", "big", "world", "42x"]
 
 
 def test_x23_bullets(spark):

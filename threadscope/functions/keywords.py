@@ -40,23 +40,22 @@ def contains_any(x: Column, keywords, word_boundary: bool = False) -> Column:
 
 def detect_platform(text, platform_keywords=None, word_boundary=False, lowered=False) -> Column:
     """Every platform with a hit, dictionary order; none -> ['unspecified']."""
-    pk = platform_keywords or rules.PLATFORM_KEYWORDS
+    pk = rules.PLATFORM_KEYWORDS if platform_keywords is None else platform_keywords
     x = lower_text(text, lowered)
-    found = F.array_remove(F.array(*[
-        F.when(contains_any(x, kws, word_boundary), F.lit(p)).otherwise(F.lit(""))
-        for p, kws in pk.items()]), "")
+    hits = [F.when(contains_any(x, kws, word_boundary), F.lit(p)).otherwise(F.lit("")) for p, kws in pk.items()]
+    found = F.array_remove(F.array(*(hits or [F.lit("")])), "")
     return F.when(F.size(found) == 0, F.array(F.lit(rules.UNSPECIFIED))).otherwise(found)
 
 
 def detect_severity(text, severity_keywords=None, word_boundary=False, lowered=False) -> Column:
     """First severity level with a hit, else 'unspecified'."""
-    sk = severity_keywords or rules.SEVERITY_KEYWORDS
+    sk = rules.SEVERITY_KEYWORDS if severity_keywords is None else severity_keywords
     x = lower_text(text, lowered)
     out = None
     for level, kws in sk.items():
         cond = contains_any(x, kws, word_boundary)
         out = F.when(cond, F.lit(level)) if out is None else out.when(cond, F.lit(level))
-    return out.otherwise(F.lit(rules.UNSPECIFIED))
+    return F.lit(rules.UNSPECIFIED) if out is None else out.otherwise(F.lit(rules.UNSPECIFIED))
 
 
 def label_post(text, bug_keywords=None, feature_keywords=None,
@@ -65,21 +64,21 @@ def label_post(text, bug_keywords=None, feature_keywords=None,
     t = col(text)
     x = lower_text(t, lowered)
     return (F.when(t.isNull() | (t == ""), F.lit(rules.CATEGORY_EMPTY))
-            .when(contains_any(x, bug_keywords or rules.BUG_KEYWORDS, word_boundary),
+            .when(contains_any(x, rules.BUG_KEYWORDS if bug_keywords is None else bug_keywords, word_boundary),
                   F.lit(rules.CATEGORY_BUG))
-            .when(contains_any(x, feature_keywords or rules.FEATURE_KEYWORDS, word_boundary),
+            .when(contains_any(x, rules.FEATURE_KEYWORDS if feature_keywords is None else feature_keywords, word_boundary),
                   F.lit(rules.CATEGORY_FEATURE))
-            .when(contains_any(x, question_keywords or rules.QUESTION_KEYWORDS, word_boundary),
+            .when(contains_any(x, rules.QUESTION_KEYWORDS if question_keywords is None else question_keywords, word_boundary),
                   F.lit(rules.CATEGORY_QUESTION))
             .otherwise(F.lit(rules.CATEGORY_OTHER)))
 
 
 def keywords_found(text, keywords=None, word_boundary=False, lowered=False) -> Column:
     """Keywords present, in list order, duplicates in the list kept."""
-    kws = keywords or rules.BUG_KEYWORDS
+    kws = rules.BUG_KEYWORDS if keywords is None else keywords
     x = lower_text(text, lowered)
-    return F.array_remove(F.array(*[
-        F.when(_hit(x, k, word_boundary), F.lit(k)).otherwise(F.lit("")) for k in kws]), "")
+    hits = [F.when(_hit(x, k, word_boundary), F.lit(k)).otherwise(F.lit("")) for k in kws]
+    return F.array_remove(F.array(*(hits or [F.lit("")])), "")
 
 
 def has_any(text, keywords, word_boundary=False, lowered=False) -> Column:

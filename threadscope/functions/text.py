@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ._util import col
 
 # Sentence boundary: [.!?] followed by white space (the white space is dropped).
-SENTENCE_BOUNDARY = r"(?<=[.!?])\s+"
-TOKEN_SPLIT = r"[^\p{L}]+"
+SENTENCE_BOUNDARY = r"(?U)(?<=[.!?])\s+"
+TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def strip(c, unicode: bool = False) -> Column:
-    """Strip leading/trailing white space (``trim`` strips only spaces)."""
+def strip(c, unicode: bool = True) -> Column:
+    """Strip leading/trailing white space, any Unicode kind by default (``trim``
+    strips only spaces)."""
     pat = r"(?U)^\s+|\s+$" if unicode else r"^\s+|\s+$"
     return F.regexp_replace(col(c), pat, "")
 
@@ -53,7 +54,7 @@ def head_chars(c, n: int = 512) -> Column:
 
 
 def tokenize(c, clean: bool = True) -> Column:
-    """Lower-case letter runs; '#' dropped and '_' split first (X11)."""
+    """Lower-case runs of letters and digits; '#' dropped and '_' split first (X11)."""
     t = F.coalesce(col(c), F.lit(""))
     if clean:
         t = clean_markup(t)

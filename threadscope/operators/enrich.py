@@ -5,66 +5,71 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import rules
 from ..functions import keywords as K
 from ..functions import text as X
 
-# A dictionary this small (rows) is inlined / broadcast; larger ones take the
-# shuffle path.  Checked with a bounded count before any collect.
-INLINE_LIMIT = 256  # map lookups scan keys linearly; larger lexicons join
-BROADCAST_LIMIT = 2_000_000
+# A lexicon this small (rows) is inlined as a literal map (look-ups scan its keys);
+# larger ones are joined, with the same result.
+INLINE_LIMIT = 256
+# Entries that a stream or a window scorer takes as literals; more is an error.
+LITERAL_LIMIT = 100_000
 KEYWORD_BROADCAST_LIMIT = 1_000
-AUTOMATON_LIMIT = 2_000_000
 PREFIX_BROADCAST_LIMIT = 1_000_000
 
 LEXICON_SCHEMA = "word string, polarity double, subjectivity double"
 
 
 def lexicon_df(spark: SparkSession, entries=None) -> DataFrame:
-    return spark.createDataFrame(entries or rules.DEFAULT_LEXICON, LEXICON_SCHEMA)
+    return spark.createDataFrame(rules.DEFAULT_LEXICON if entries is None else entries, LEXICON_SCHEMA)
 
 
 def _bounded_count(df: DataFrame, limit: int) -> int:
     return df.limit(limit + 1).count()
 
 
-def _lexicon_entries(lexicon, inline_limit: int | None = None):
-    """Small lexicons become literal entries; None means 'use the join path'."""
-    limit = INLINE_LIMIT if inline_limit is None else inline_limit
-    if lexicon is None:
-        return list(rules.DEFAULT_LEXICON)
-    if isinstance(lexicon, (list, tuple)):
-        return list(lexicon)
-    if _bounded_count(lexicon, limit) <= limit:
-        return [tuple(r) for r in lexicon.select("word", "polarity", "subjectivity").collect()]
-    return None
+def one_entry_a_word(lexicon):
+    """A word's first entry of a list, its least (polarity, subjectivity) of a table."""
+    if isinstance(lexicon, DataFrame):
+        return (lexicon.where(F.col("word").isNotNull()).groupBy("word")
+                .agg(F.min(F.struct("polarity", "subjectivity")).alias("e")).select("word", "e.*"))
+    seen = {}
+    for w, p, s in rules.DEFAULT_LEXICON if lexicon is None else lexicon:
+        seen.setdefault(w, (w, float(p), float(s)))
+    return list(seen.values())
 
 
-def _literal_lexicon_map(entries) -> Column:
-    seen = {}
-    for w, p, s in entries:
-        seen.setdefault(w, (float(p), float(s)))
-    kv = []
-    for w, (p, s) in seen.items():
-        kv += [F.lit(w), F.struct(F.lit(p).alias("p"), F.lit(s).alias("s"))]
-    return F.create_map(*kv)
+def lexicon_entries(lexicon, limit: int = LITERAL_LIMIT) -> list:
+    """Entries as literals, one a word; a table or list beyond ``limit`` is an error."""
+    lex = one_entry_a_word(lexicon)
+    rows = [tuple(r) for r in lex.limit(limit + 1).collect()] if isinstance(lex, DataFrame) else lex
+    if len(rows) > limit:
+        raise ValueError(f"a lexicon of more than {limit} words cannot be used as literals")
+    return rows
 
 
 def lexicon_sentiment(df: DataFrame, text, lexicon=None, out: str = "sentiment",
                       id_cols=None, inline_limit: int | None = None) -> DataFrame:
     """Mean (polarity, subjectivity) over lexicon word hits; none -> 0/0.
 
-    Small lexicon: a literal map probed per token inside the row (narrow, no
-    shuffle of the text).  Large lexicon: tokens join the lexicon (broadcast
-    only below BROADCAST_LIMIT rows), aggregate per row id, join back.
+    Small lexicon (and any on a stream): a literal map probed per token inside the
+    row (narrow, no shuffle of the text).  Large lexicon: the tokens of the
+    distinct texts join it, are averaged by text and joined back by a 128-bit hash of
+    the text, so row ids (``id_cols`` is kept for callers) play no part and may be null.
     """
     t = X.tokenize(text, clean=False)
-    entries = _lexicon_entries(lexicon, inline_limit)
-    if entries is not None:
-        m = _literal_lexicon_map(entries)
-        words = list(dict.fromkeys(e[0] for e in entries))
+    limit = INLINE_LIMIT if inline_limit is None else inline_limit
+    lex = one_entry_a_word(lexicon)
+    size = _bounded_count(lex, limit) if isinstance(lex, DataFrame) else len(lex)
+    if size <= limit or df.isStreaming:
+        entries = lexicon_entries(lexicon)
+        nothing = F.struct(F.lit(0.0).alias("polarity"), F.lit(0.0).alias("subjectivity"))
+        if not entries:
+            return df.withColumn(out, nothing)
+        m = F.create_map(*[c for w, p, s in entries for c in
+                           (F.lit(w), F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")))])
+        words = [e[0] for e in entries]
         # Tokens are first tested against a hash set (InSet); only hits are
         # looked up in the map.  The hit list is its own projection (used
         # three times, so Catalyst does not re-derive it).
@@ -73,21 +78,18 @@ def lexicon_sentiment(df: DataFrame, text, lexicon=None, out: str = "sentiment",
         n = F.size("_hits")
         pol = F.aggregate("_hits", F.lit(0.0), lambda a, s: a + s["p"])
         sub = F.aggregate("_hits", F.lit(0.0), lambda a, s: a + s["s"])
-        st = F.when(n > 0, F.struct((pol / n).alias("polarity"), (sub / n).alias("subjectivity"))) \
-            .otherwise(F.struct(F.lit(0.0).alias("polarity"), F.lit(0.0).alias("subjectivity")))
+        st = F.when(n > 0, F.struct((pol / n).alias("polarity"), (sub / n).alias("subjectivity"))).otherwise(nothing)
         return d.withColumn(out, st).drop("_hits")
-    if not id_cols:
-        raise ValueError("a large lexicon needs id_cols to join scores back")
-    lex = lexicon.select("word", "polarity", "subjectivity").dropDuplicates(["word"])
-    if _bounded_count(lex, BROADCAST_LIMIT) <= BROADCAST_LIMIT:
-        lex = F.broadcast(lex)
-    tok = df.select(*id_cols, F.explode(t).alias("word"))
-    sc = (tok.join(lex, "word").groupBy(*id_cols)
-          .agg(F.avg("polarity").alias("_p"), F.avg("subjectivity").alias("_s")))
-    return (df.join(sc, list(id_cols), "left")
+    if not isinstance(lex, DataFrame):
+        lex = lexicon_df(df.sparkSession, lex)
+    x = F.col(text) if isinstance(text, str) else text
+    keyed = df.withColumns({"_k1": F.xxhash64(x), "_k2": F.xxhash64(F.lit(7919), x)})
+    tok = keyed.withColumn("_t", t).dropDuplicates(["_k1", "_k2"]).select("_k1", "_k2", F.explode("_t").alias("word"))
+    sc = tok.join(lex, "word").groupBy("_k1", "_k2").agg(F.avg("polarity").alias("_p"), F.avg("subjectivity").alias("_s"))
+    return (keyed.join(sc, ["_k1", "_k2"], "left")
             .withColumn(out, F.struct(F.coalesce("_p", F.lit(0.0)).alias("polarity"),
                                       F.coalesce("_s", F.lit(0.0)).alias("subjectivity")))
-            .drop("_p", "_s"))
+            .drop("_p", "_s", "_k1", "_k2"))
 
 
 def polarity_label(polarity) -> Column:
@@ -197,102 +199,36 @@ def match_keywords(df: DataFrame, id_cols, text, dictionary: DataFrame,
     """(row, keyword) for every dictionary keyword that is a substring of
     lower(text).
 
-    ``auto``: a dictionary of at most KEYWORD_BROADCAST_LIMIT rows (checked
-    with a bounded count) is broadcast and tested with ``contains`` (a
-    broadcast nested-loop join against a small parameter table); up to
-    AUTOMATON_LIMIT keywords, one Aho-Corasick pass per text; beyond that the
-    ``index`` path: keywords of 3+ characters are equi-joined on their first
-    trigram with the distinct trigrams of each text (shuffled by trigram,
-    AQE splits hot trigrams) and verified with ``contains``; keywords of 1-2
-    characters (a set bounded by the alphabet) are broadcast after a size
-    check, or else equi-joined with the texts' 1-/2-grams.  All exact.
+    At most KEYWORD_BROADCAST_LIMIT keywords (a checked count; ``method="index"`` or
+    ``"automaton"`` forgo this) are broadcast and tested with ``contains``.  Else each
+    place of a text whose next characters start some keyword yields the strings of
+    just the lengths that such keywords have, and these join the dictionary on the
+    whole keyword: what joins is a match, nothing else is shipped.  Same rows either way.
     """
     id_cols = list(id_cols)
     kw = (dictionary.select(F.lower(F.col(keyword_col)).alias("_kw"), *[
         c for c in dictionary.columns if c != keyword_col]).where(F.length("_kw") > 0))
     x = df.select(*id_cols, K.lower_text(text).alias("_x"))
-    if method == "auto":
-        n_kw = _bounded_count(kw, AUTOMATON_LIMIT)
-        method = ("broadcast" if n_kw <= KEYWORD_BROADCAST_LIMIT
-                  else "automaton" if n_kw <= AUTOMATON_LIMIT else "index")
     rest = [c for c in kw.columns if c != "_kw"]
     order = [*id_cols, F.col("_kw").alias(keyword_col), *rest]
-    if method == "broadcast":
-        out = x.join(F.broadcast(kw), F.col("_x").contains(F.col("_kw")))
-        return out.select(*order)
-    if method == "automaton":
-        return _match_automaton(x, id_cols, kw).select(*order)
-    short = kw.where(F.length("_kw") < 3)
-    longk = kw.where(F.length("_kw") >= 3).withColumn("_g", F.substring("_kw", 1, 3))
-    # Keywords of 1-2 characters: a set bounded by the alphabet squared.
-    # Broadcast it (checked); a larger set joins the texts' 1-/2-grams.
-    if _bounded_count(short, PREFIX_BROADCAST_LIMIT) <= PREFIX_BROADCAST_LIMIT:
-        hits_short = x.join(F.broadcast(short), F.col("_x").contains(F.col("_kw"))).drop("_x")
-    else:
-        c, n = F.col("_c"), F.size("_c")
-        g12 = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_compact(
-            F.array(c[i], F.when(i + 1 < n, F.concat(c[i], c[i + 1]))))))).otherwise(F.array().cast("array<string>"))
-        small = (x.select(*id_cols, F.split("_x", "").alias("_c"))
-                 .select(*id_cols, F.explode(g12).alias("_kw")).distinct())
-        hits_short = small.join(short, "_kw")
-    # Longer keywords: trigrams from a character array (array access is
-    # O(1); substring on UTF-8 by character position would rescan the
-    # text), equi-joined on the keyword's first trigram, then verified.
-    chars = x.select(*id_cols, F.split("_x", "").alias("_c"))
-    grams = (chars.select(*id_cols, "_c", F.posexplode("_c").alias("_i", "_ch"))
-             .where(F.col("_i") + 2 < F.size("_c"))
-             .select(*id_cols, F.concat("_ch", F.col("_c")[F.col("_i") + 1],
-                                        F.col("_c")[F.col("_i") + 2]).alias("_g")))
-    # Only trigrams that start some keyword matter; that set is bounded by the
-    # alphabet (not by the data) and broadcast as a filter below a checked size.
-    prefixes = longk.select("_g").distinct()
-    if _bounded_count(prefixes, PREFIX_BROADCAST_LIMIT) <= PREFIX_BROADCAST_LIMIT:
-        grams = grams.join(F.broadcast(prefixes), "_g", "left_semi")
-    cand = grams.distinct().join(longk, "_g").drop("_g")
-    hits_long = cand.join(x, id_cols).where(F.col("_x").contains(F.col("_kw"))).drop("_x")
-    out = hits_short.unionByName(hits_long)
-    return out.select(*order)
-
-
-def _match_automaton(x: DataFrame, id_cols, kw: DataFrame) -> DataFrame:
-    """One Aho-Corasick pass per text (O(text + matches)) inside Arrow batches.
-
-    The distinct keywords (bounded by AUTOMATON_LIMIT, checked by the
-    caller) are broadcast once; each task builds the automaton once.  Matches are distinct (row, keyword) pairs, joined back to the
-    dictionary rows so duplicated dictionary entries stay duplicated.
-    """
-    import pandas as pd
-    spark = x.sparkSession
-    words = sorted({r[0] for r in kw.select("_kw").distinct().collect()})
-    bc = spark.sparkContext.broadcast(words)
-    id_schema = x.select(*id_cols).schema
-    out_schema = T.StructType(list(id_schema.fields) + [T.StructField("_kw", T.StringType())])
-
-    def run(batches):
-        import ahocorasick
-        vocab = bc.value
-        auto = ahocorasick.Automaton()       # once per task, reused for all its batches
-        for i, w in enumerate(vocab):
-            auto.add_word(w, i)
-        auto.make_automaton()
-        for pdf in batches:
-            rows = {c: [] for c in id_cols}
-            hits = []
-            texts = pdf["_x"].tolist()
-            ids = [pdf[c].tolist() for c in id_cols]
-            for r, t in enumerate(texts):
-                found = {v for _, v in auto.iter(t)} if t else ()
-                for v in sorted(found):
-                    for c, col in zip(id_cols, ids):
-                        rows[c].append(col[r])
-                    hits.append(vocab[v])
-            if hits:                          # empty batches are skipped
-                yield pd.DataFrame({**rows, "_kw": hits})
-
-    found = x.mapInPandas(run, out_schema)
-    rest = [c for c in kw.columns if c != "_kw"]
-    return found.join(F.broadcast(kw), "_kw").select(*id_cols, *rest, "_kw")
-
+    if method in ("auto", "broadcast") and _bounded_count(kw, KEYWORD_BROADCAST_LIMIT) <= KEYWORD_BROADCAST_LIMIT:
+        return x.join(F.broadcast(kw), F.col("_x").contains(F.col("_kw"))).select(*order)
+    # one row a keyword start (up to three characters), with its keywords' lengths
+    starts = kw.groupBy(F.substring("_kw", 1, 3).alias("_g")).agg(F.collect_set(F.length("_kw")).alias("_lens"))
+    if _bounded_count(starts, PREFIX_BROADCAST_LIMIT) <= PREFIX_BROADCAST_LIMIT:
+        starts = F.broadcast(starts)
+    # A character array gives each place in constant time (substring on
+    # UTF-8 by character position would rescan the text).  Rows are told apart by a
+    # number that is used within this one pass only.
+    chars = x.select(*id_cols, F.monotonically_increasing_id().alias("_u"), F.split("_x", "").alias("_c"))
+    grams = (chars.select(*id_cols, "_u", "_c", F.posexplode("_c").alias("_i", "_ch"))
+             .select(*id_cols, "_u", "_c", "_i", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size("_c") - F.col("_i")))).alias("_w"))
+             .select(*id_cols, "_u", "_c", "_i", F.array_join(F.expr("slice(_c, _i + 1, _w)"), "").alias("_g")))
+    found = (grams.join(starts, "_g").select(*id_cols, "_u", "_c", "_i", F.length("_g").alias("_w"), F.explode("_lens").alias("_n"))
+             # a start of under three characters is the whole keyword
+             .where(((F.col("_w") == 3) & (F.col("_n") >= 3) | (F.col("_w") == F.col("_n"))) & (F.col("_i") + F.col("_n") <= F.size("_c")))
+             .select(*id_cols, "_u", F.array_join(F.expr("slice(_c, _i + 1, _n)"), "").alias("_kw")).distinct())
+    return found.join(kw, "_kw").select(*order)
 
 
 def existing_forums(forums: DataFrame, catalog: DataFrame, name_col: str = "name",
@@ -307,7 +243,7 @@ def remove_stop_words(tokens: DataFrame, word_col: str = "word", stop_words=None
     """Anti-join exploded tokens with the stop-word set (literal InSet)."""
     if isinstance(stop_words, DataFrame):
         sw = stop_words.select(F.col(stop_words.columns[0]).alias(word_col)).distinct()
-        return tokens.join(F.broadcast(sw), word_col, "left_anti")
+        return tokens.join(sw, word_col, "left_anti")
     sw = stop_words if stop_words is not None else rules.default_stop_words()
     return tokens.where(~F.col(word_col).isin(*sw))
 

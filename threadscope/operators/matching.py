@@ -17,7 +17,7 @@ def deletion_variants(c: Column, d: int) -> Column:
     for _ in range(d):
         out = F.array_distinct(F.flatten(F.transform(out, lambda s: F.concat(F.array(s), F.transform(
             F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
-            lambda i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, 1 << 20)))))))
+            lambda i: F.concat(F.substring(s, 1, i - 1), F.substr(s, i + 1, F.length(s))))))))
     return out
 
 
@@ -59,27 +59,27 @@ def extract_forums(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def entity_mentions(df: DataFrame, id_col: str, text, gazetteer: DataFrame,
-                    max_ngram: int = 4, name_col: str = "name") -> DataFrame:
-    """M8: distinct gazetteer entries occurring as 1..max_ngram token n-grams.
+                    name_col: str = "name") -> DataFrame:
+    """M8: distinct gazetteer entries (lower-cased) whose words occur in a row in the text.
 
-    n-grams are equi-joined with the gazetteer (shuffle on the n-gram), so
-    the gazetteer never has to fit in memory.
+    Text and names are cut by the same tokenizer (runs of letters and digits), so
+    marks inside names do not matter; n-grams of exactly the lengths that the
+    gazetteer has are equi-joined with it (shuffle on the n-gram), so it never has to
+    fit in memory.
     """
     toks = df.select(id_col, X.tokenize(text, clean=False).alias("_t"))
-    pos = toks.select(id_col, "_t", F.posexplode("_t").alias("_i", "_w"))
-    gz = gazetteer.select(F.lower(F.col(name_col)).alias("_g")).where(F.col("_g") != "").distinct()
-    # Only positions whose token starts some entry can start a mention.  The
-    # set of first words is at most the gazetteer's size; broadcast it only
-    # below a checked bound (otherwise every position is kept).
-    firsts = gz.select(F.split("_g", " ")[0].alias("_w")).distinct()
+    gz = (gazetteer.select(F.lower(F.col(name_col)).alias("_name"), X.tokenize(name_col, clean=False).alias("_gt"))
+          .where(F.size("_gt") > 0).distinct().checkpoint())
+    # Only positions whose token starts some entry can start a mention, and only
+    # of the lengths that such entries have.  One row a first word, at most as many
+    # as entries; broadcast only below a checked bound (else a shuffled join).
+    firsts = gz.groupBy(F.col("_gt")[0].alias("_w")).agg(F.collect_set(F.size("_gt")).alias("_lens"))
     if firsts.limit(FIRST_WORD_LIMIT + 1).count() <= FIRST_WORD_LIMIT:
-        pos = pos.join(F.broadcast(firsts), "_w", "left_semi")
-    # All n-gram lengths in one pass (a second Generate), not one scan per n.
-    grams = (pos.select(id_col, "_t", "_i", F.explode(F.sequence(
-        F.lit(1), F.least(F.lit(max_ngram), F.size("_t") - F.col("_i")))).alias("_n"))
-        .select(id_col, F.array_join(F.expr("slice(_t, _i + 1, _n)"), " ").alias("_g")))
-    hits = grams.join(gz, "_g")
+        firsts = F.broadcast(firsts)
+    pos = toks.select(id_col, "_t", F.posexplode("_t").alias("_i", "_w")).join(firsts, "_w")
+    grams = (pos.select(id_col, "_t", "_i", F.explode("_lens").alias("_n"))
+             .where(F.col("_i") + F.col("_n") <= F.size("_t"))
+             .select(id_col, F.array_join(F.expr("slice(_t, _i + 1, _n)"), " ").alias("_g")))
+    hits = grams.join(gz.select(F.array_join("_gt", " ").alias("_g"), "_name"), "_g")
     # collect_set de-duplicates per text (partial aggregation before the shuffle)
-    return hits.groupBy(id_col).agg(F.array_sort(F.collect_set("_g")).alias("mentions"))
-
-
+    return hits.groupBy(id_col).agg(F.array_sort(F.collect_set("_name")).alias("mentions"))

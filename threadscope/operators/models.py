@@ -32,17 +32,15 @@ def sentence_tokens(df: DataFrame, text_col: str = "sentence", stop_words=None)
 
 
 def fit_word2vec(tokens: DataFrame, col: str = "tokens", vector_size: int = 100, window: int = 5,
-                 min_count: int = 1, seed: int = 42, num_partitions: int | None = None,
-                 max_iter: int = 1):
+                 min_count: int = 1, seed: int = 42, num_partitions: int = 8,
+                 max_iter: int = 5):
     """M1: one Word2Vec model for the whole corpus (not one per discussion).
 
-    Training runs on ``num_partitions`` tasks (default: the cluster's
-    parallelism, at most 64; pass 1 for bit-for-bit repeatable vectors).
+    Training runs on ``num_partitions`` tasks, whatever the cluster's size, so
+    vectors do not depend on it (pass 1 for bit-for-bit repeatable vectors).
     The vocabulary and the model live on the driver, so raise ``min_count``
     for very large corpora.
     """
-    if num_partitions is None:
-        num_partitions = max(1, min(64, tokens.sparkSession.sparkContext.defaultParallelism))
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, seed=seed,
                    inputCol=col, outputCol="_w2v", numPartitions=num_partitions, maxIter=max_iter)
     return w2v.fit(tokens.select(col))
@@ -128,7 +126,7 @@ def train_sentiment(train: DataFrame, text_col: str = "text", label_col: str = "
                     num_features: int = 1 << 15, max_iter: int = 50, reg: float = 0.01):
     """M6: tokenizer -> hashed TF -> IDF -> multinomial logistic regression."""
     pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}]+", toLowercase=True),
+        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}]+", toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_feat"),
         LogisticRegression(featuresCol="_feat", labelCol=label_col, family="multinomial",
@@ -140,10 +138,8 @@ def train_sentiment(train: DataFrame, text_col: str = "text", label_col: str = "
 
 def lexicon_logits(df: DataFrame, tok_col: str, lexicon=None) -> DataFrame:
     """A scorer: logits [#negative words, 0.5, #positive words] per window."""
-    from .enrich import _lexicon_entries
-    seen = {}
-    for w, p, _ in _lexicon_entries(lexicon):
-        seen.setdefault(w, p)
+    from .enrich import lexicon_entries
+    seen = {w: p for w, p, _ in lexicon_entries(lexicon)}
     negw = [w for w, p in seen.items() if p < 0] or [""]
     posw = [w for w, p in seen.items() if p > 0] or [""]
     neg = F.size(F.filter(tok_col, lambda w: w.isin(*negw))).cast("double")
@@ -212,13 +208,14 @@ def batch_scorer(make_predict_fn, batch_size: int = 64):
 def apply_predictions(posts: DataFrame, comments: DataFrame, post_preds: DataFrame,
                       comment_preds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """F7 on the long tables: set ``sentiment.polarity`` where the text and the
-    polarity field exist (posts by post_id, comments by comment_id); other
-    rows pass unchanged.  Equi-joins only; re-nest at the write edge (S6)."""
+    polarity field exist (posts by post_id; comments by post_id and comment_id, or by
+    comment_id alone where the predictions have no post_id); other rows pass unchanged.  Equi-joins only; re-nest at the write edge (S6)."""
     p = posts.join(post_preds.select("post_id", F.col("polarity").alias("_pp")), "post_id", "left")
     has = F.col("title").isNotNull() & F.col("sentiment.polarity").isNotNull() & F.col("_pp").isNotNull()
     p = p.withColumn("sentiment", F.when(has, F.col("sentiment").withField(
         "polarity", F.col("_pp").cast("double"))).otherwise(F.col("sentiment"))).drop("_pp")
-    c = comments.join(comment_preds.select("comment_id", F.col("polarity").alias("_cp")), "comment_id", "left")
+    keys = [k for k in ("post_id", "comment_id") if k in comment_preds.columns]
+    c = comments.join(comment_preds.select(*keys, F.col("polarity").alias("_cp")), keys, "left").select(*comments.columns, "_cp")
     hc = F.col("text").isNotNull() & F.col("sentiment.polarity").isNotNull() & F.col("_cp").isNotNull()
     c = c.withColumn("sentiment", F.when(hc, F.col("sentiment").withField(
         "polarity", F.col("_cp").cast("double"))).otherwise(F.col("sentiment"))).drop("_cp")

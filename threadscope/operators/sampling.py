@@ -69,13 +69,14 @@ def hash_threshold(df: DataFrame, h: Column, k: int, prefix: int = 4, collect_li
 
     Each pass counts rows per hash prefix (at most 16**prefix groups, a
     bounded table), locates the prefix holding the k-th row and narrows to
-    it; once that slice is small enough its hashes are collected.
+    it; once that slice is small enough its hashes are collected.  Where more
+    rows than that share one whole hash (equal keys), the hash is the answer.
     """
     if k <= 0:
         return None
     d = df.select(h.alias("_h"))
     lo, depth = "", 0
-    while True:
+    while depth < 32:  # hex digits of a hash
         part = d.where(F.col("_h").startswith(lo)) if lo else d
         cnt = part.limit(collect_limit + 1).count()
         if cnt <= collect_limit:
@@ -89,12 +90,13 @@ def hash_threshold(df: DataFrame, h: Column, k: int, prefix: int = 4, collect_li
                 lo, k = p, k - acc
                 break
             acc += c
+    return lo
 
 
 def train_test_split(df: DataFrame, key_cols, test_fraction: float = 0.2, seed: int = 42,
                      out_col: str = "split") -> DataFrame:
-    """Exactly ceil(test_fraction * n) rows go to 'test', chosen by the
-    rank of md5(seed#key); the threshold is found by ``hash_threshold``
+    """ceil(test_fraction * n) rows go to 'test' (and with the last of them
+    all rows of an equal key), chosen by the rank of md5(seed#key); the threshold is found by ``hash_threshold``
     (histogram passes), so no global sort or single-partition window runs."""
     key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     h = _hash_key(seed, key_cols)

@@ -149,16 +149,25 @@ def j10_existing_forums(spark, sf):
     return EN.existing_forums(f, n.select(F.col("n_name").alias("name")))
 
 
+#: Names with marks, digits and more than four words that occur in the tables, with their words.
+MARKED_NAMES = [("The-and: attion to thanedble, THE anea!", ["the", "and", "attion", "to", "thanedble", "the", "anea"]),
+                ("version 2.0", ["version", "2", "0"]), ("Apache License, Version 2.0", ["apache", "license", "version", "2", "0"]),
+                ("Public License, version 3", ["public", "license", "version", "3"])]
+_MARKED_SQL = ", ".join(f"('{n.lower()}', {w})" for n, w in MARKED_NAMES)
+
+
 @register("m8_a13_entity_mentions", f"""
-WITH gz AS (SELECT DISTINCT lower(title) AS g FROM {_ANCHORS_SQL} a WHERE title <> ''),
+WITH gz AS (SELECT DISTINCT lower(title) AS name, {G.tokens('title', clean=False)} AS nt FROM {_ANCHORS_SQL} a
+            WHERE title <> '' UNION SELECT * FROM (VALUES {_MARKED_SQL}) v(name, nt)),
 t AS (SELECT doc_id, {G.tokens('text', clean=False)} AS tk FROM documents),
 p AS (SELECT doc_id, tk, generate_subscripts(tk, 1) AS i FROM t),
 g AS (SELECT DISTINCT doc_id, array_to_string(tk[i:i + n - 1], ' ') AS g
-      FROM p, range(1, 5) r(n) WHERE i + n - 1 <= len(tk))
-SELECT doc_id, string_agg(DISTINCT g.g, ',' ORDER BY g.g) AS mentions
-FROM g JOIN gz ON g.g = gz.g GROUP BY doc_id""")
+      FROM p, (SELECT DISTINCT len(nt) FROM gz WHERE len(nt) > 0) r(n) WHERE i + n - 1 <= len(tk))
+SELECT doc_id, string_agg(DISTINCT gz.name, ',' ORDER BY gz.name) AS mentions
+FROM g JOIN gz ON g.g = array_to_string(gz.nt, ' ') GROUP BY doc_id""")
 def m8_a13_entity_mentions(spark, sf):
-    gz = _anchors(spark, sf).select(F.col("title").alias("name"))
+    marked = spark.createDataFrame([(n,) for n, _ in MARKED_NAMES], "name string")
+    gz = _anchors(spark, sf).select(F.col("title").alias("name")).unionByName(marked)
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     m = M.entity_mentions(docs, "doc_id", "text", gz)
     return m.select("doc_id", F.array_join("mentions", ",").alias("mentions"))

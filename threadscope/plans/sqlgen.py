@@ -9,7 +9,7 @@ from .. import rules
 
 LN_POS = repr(math.log(rules.BOOST_POSITIVE))
 LN_NEG = repr(math.log(rules.BOOST_NEGATIVE))
-WS_TRIM = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+WS_TRIM = r"regexp_replace({x}, '^[\s\p{{Z}}\x0B\x85]+|[\s\p{{Z}}\x0B\x85]+$', '', 'g')"
 
 
 def q(s: str) -> str:
@@ -70,11 +70,11 @@ def has_any(x: str, kws) -> str:
 
 
 def tokens(x: str, clean: bool = True) -> str:
-    """X22 token list: letter runs of lower-case text."""
+    """X22 token list: runs of letters and digits of lower-case text."""
     t = f"coalesce({x}, '')"
     if clean:
         t = f"translate({t}, '_#', ' ')"
-    return f"list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}]+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
 def lexicon_values(entries=None) -> str:

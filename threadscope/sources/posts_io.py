@@ -11,19 +11,46 @@ from .. import rules
 from .. import schemas as SC
 
 
-def read_posts(spark: SparkSession, path: str, multiline: bool = False,
+CORRUPT = "_corrupt_record"
+
+
+def is_array_file(spark: SparkSession, path: str) -> bool:
+    """Whether the files hold pretty-printed JSON (a line that is only an opening
+    bracket, or an array that goes on to the next line) rather than a record a line."""
+    line = F.trim(F.col("value"))
+    opens = line.isin("[", "{", "[{") | (line.startswith("[") & F.try_parse_json(line).isNull())
+    return bool(spark.read.text(path).where(opens).limit(1).count())
+
+
+def _read_raw(spark: SparkSession, path: str, multiline: bool | None, schema: T.StructType | None) -> DataFrame:
+    multiline = is_array_file(spark, path) if multiline is None else multiline
+    full = T.StructType([*(schema or SC.POST_FILE).fields, T.StructField(CORRUPT, T.StringType())])
+    r = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return (r.option("multiLine", True) if multiline else r).json(path)
+
+
+def skipped_records(spark: SparkSession, path: str, multiline: bool | None = None,
+                    schema: T.StructType | None = None) -> DataFrame:
+    """the records that ``read_posts`` skips, as (file, record)."""
+    raw = _read_raw(spark, path, multiline, schema).withColumn("file", F.input_file_name()).checkpoint()
+    return raw.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("record"))
+
+
+def read_posts(spark: SparkSession, path: str, multiline: bool | None = None,
                schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """Nested posts -> (posts, comments) long tables.
 
-    JSON lines by default (splittable, one record per line, PERMISSIVE so a
-    bad line becomes a null record instead of failing the job, F11);
-    ``multiline=True`` reads one JSON array per file.
+    Reads JSON lines (splittable, one record per line) and files that are one
+    JSON array (one task a file; convert large ones to lines once); which of
+    them is seen from the files unless ``multiline`` says so.  Malformed records are
+    skipped (F11; ``skipped_records`` lists them); a post without an id gets
+    one from a hash of its record.
     """
-    r = spark.read.schema(schema or SC.POST_FILE).option("mode", "PERMISSIVE")
-    if multiline:
-        r = r.option("multiLine", True)
-    raw = r.json(path)
-    raw = raw.where(F.col("post_id").isNotNull())
+    raw = _read_raw(spark, path, multiline, schema)
+    raw = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    raw = raw.where(F.coalesce(*[F.col(c).cast("string") for c in raw.columns if c != "comments"],
+                               F.size("comments").cast("string")).isNotNull())
+    raw = raw.withColumn("post_id", F.coalesce("post_id", F.concat(F.lit("noid-"), F.md5(F.to_json(F.struct(*raw.columns))))))
     posts = raw.drop("comments")
     comments = raw.select("post_id", F.posexplode("comments").alias("pos", "c")).select(
         "post_id", "pos", "c.*")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import keywords as K
 from ..functions import text as X
 from ..operators import enrich as EN
@@ -27,7 +28,7 @@ def enrich_stream(stream: DataFrame, lexicon=None) -> DataFrame:
         F.array_join(K.detect_platform("_full"), ",").alias("platforms"),
         K.detect_severity("_full").alias("severity"),
         F.array_join(K.keywords_found("_full"), ",").alias("bug_keywords"),
-        K.has_any("_full", ["resolved", "fixed", "solved"]).alias("is_resolved"),
+        K.has_any("_full", rules.RESOLVED_KEYWORDS).alias("is_resolved"),
         F.col("sentiment.polarity").alias("polarity"))
 
 
