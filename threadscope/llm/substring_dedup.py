@@ -27,6 +27,8 @@ all words; repeated rows repeat all their windows.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,6 +42,8 @@ from .minhash import U, constants, mixed
 LENGTH, GRAM = 35, 8
 #: Contents of one name that a shard takes; contents of a shard on average.
 MOST, SHARD = 64, 8192
+#: Words whose hashes are worked on together.
+TOGETHER = 1 << 16
 WORDS = Memo(lambda w: xxhash.xxh3_64_intdigest(w, seed=5))
 GRAM_KEYS = constants(64, 11)
 BASES = (int(constants(1, 21)[0]) | 1, int(constants(1, 31)[0]) | 1)
@@ -59,8 +63,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[base]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return mixed(np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words)))
+def word_hashes(words) -> np.ndarray:
+    return mixed(np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64))
 
 
 def span_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
@@ -73,9 +77,13 @@ def span_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.
     return out
 
 
-def segments(x: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first window, windows) of a text's segments, from its word hashes."""
-    g = mixed(sum(x[i:len(x) - GRAM + 1 + i] * GRAM_KEYS[i] for i in range(GRAM)))
+def segments(x: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first window, windows) of the segments of some texts that lie one after
+    another in ``x``, each of ``length`` words at least, from their word hashes."""
+    g = x[:len(x) - GRAM + 1] * GRAM_KEYS[0]
+    for i in range(1, GRAM):
+        g += x[i:len(x) - GRAM + 1 + i] * GRAM_KEYS[i]
+    g = mixed(g)
     span, at, width = length - GRAM + 1, np.arange(len(g)), 1
 
     def leftmost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -85,29 +93,46 @@ def segments(x: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
         at, width = leftmost(at[:-width], at[width:]), 2 * width
     if width < span:
         at = leftmost(at[:len(at) - (span - width)], at[span - width:])
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return g[at[starts]].view(np.int64), starts, np.diff(np.concatenate([starts, [len(at)]]))
+    ends = np.cumsum(lengths)
+    inside = np.zeros(len(x) + 1, dtype=np.int64)  # windows that do not reach into the next text
+    inside[ends - lengths] += 1
+    inside[ends - length + 1] -= 1
+    valid = np.flatnonzero(np.cumsum(inside[:-1]))
+    at = at[valid]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return g[at[first]].view(np.int64), valid[first], np.diff(np.concatenate([first, [len(at)]]))
 
 
 def segment_rows(docs: DataFrame, length: int, full: bool) -> DataFrame:
     """Segments of every text (t1, t2, text): names only, or (t1, t2, name, c1, c2, start, n)."""
     names = ["t1", "t2", "name", "c1", "c2", "start", "n"] if full else ["name"]
 
+    def pieces(rows: list[int], texts: list[list[bytes]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        x, lengths = word_hashes(chain.from_iterable(texts)), np.array([len(t) for t in texts])
+        name, start, n = segments(x, lengths, length)
+        first = np.cumsum(lengths) - lengths
+        own = np.searchsorted(first, start, side="right") - 1
+        more = [*span_hashes(x, start, start + n + length - 1), start - first[own], n] if full else []
+        return np.array(rows)[own], [name, *more]
+
     def run(batches):
         for batch in batches:
-            rows, parts = [], []
+            done, rows, texts, held = [], [], [], 0
             for r, text in enumerate(batch.column(2)):
                 words = (text.as_py() or "").encode().split()
-                if len(words) < length:
-                    continue
-                x = word_hashes(words)
-                name, start, n = segments(x, length)
-                rows.append(np.full(len(name), r))
-                parts.append([name, *span_hashes(x, start, start + n + length - 1), start, n] if full else [name])
-            if parts:
-                columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
+                if len(words) >= length:
+                    rows.append(r)
+                    texts.append(words)
+                    held += len(words)
+                    if held >= TOGETHER:
+                        done.append(pieces(rows, texts))
+                        rows, texts, held = [], [], 0
+            if texts:
+                done.append(pieces(rows, texts))
+            if done:
+                columns = [pa.array(np.concatenate(c)) for c in zip(*(d[1] for d in done))]
                 if full:
-                    at = pa.array(np.concatenate(rows))
+                    at = pa.array(np.concatenate([d[0] for d in done]))
                     columns = [batch.column(0).take(at), batch.column(1).take(at), *columns]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
