@@ -31,20 +31,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import hash128, materialize
-from .bpe import Memo
-from .minhash import U, constants, mixed
+from .minhash import U, constants, digests, mixed
 
 LENGTH, GRAM = 35, 8
 #: Contents of one name that a shard takes; contents of a shard on average.
 MOST, SHARD = 64, 8192
 #: Words whose hashes are worked on together.
 TOGETHER = 1 << 16
-WORDS = Memo(lambda w: xxhash.xxh3_64_intdigest(w, seed=5))
 GRAM_KEYS = constants(64, 11)
 BASES = (int(constants(1, 21)[0]) | 1, int(constants(1, 31)[0]) | 1)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -64,7 +61,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(words) -> np.ndarray:
-    return mixed(np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64))
+    return mixed(digests(words))
 
 
 def span_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
