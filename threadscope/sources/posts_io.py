@@ -143,20 +143,21 @@ def read_discussions(spark: SparkSession, path: str, whole_file: bool = False) -
     return posts.drop("comments_v"), comments
 
 
-def flatten_comment_variants(df: DataFrame, col: str, max_depth: int = 1000) -> DataFrame:
+def flatten_comment_variants(df: DataFrame, col: str) -> DataFrame:
     """U4 + F12: depth-first flattening of nested comment lists.
 
-    One explode per nesting level; the path of positions is the
+    One explode per nesting level, checkpointed, so the input is scanned once and
+    the plan does not grow with the depth; the path of positions is the
     depth-first sort key.  Objects are kept, lists go one level deeper,
     anything else is dropped.  The loop stops when a level has no lists.
     """
     cur = df.select("post_id", F.array().cast("array<int>").alias("path"), F.col(col).alias("v")) \
         .where(F.expr("schema_of_variant(v) LIKE 'ARRAY%'"))
     out = None
-    for _ in range(max_depth):
+    while True:
         ex = cur.select("post_id", "path", F.posexplode(F.expr("try_variant_get(v, '$', 'array<variant>')"))
                         .alias("p", "item")) \
-            .select("post_id", F.concat("path", F.array("p")).alias("path"), "item")
+            .select("post_id", F.concat("path", F.array("p")).alias("path"), "item").checkpoint()
         objs = ex.where(F.expr("schema_of_variant(item) LIKE 'OBJECT%'"))
         out = objs if out is None else out.unionByName(objs)
         cur = ex.where(F.expr("schema_of_variant(item) LIKE 'ARRAY%'")).withColumnRenamed("item", "v")
