@@ -34,7 +34,7 @@ MIN_WORDS = 8
 #: Blocks of a line, and the step of the lengths they are counted from (at most MIN_WORDS).
 BLOCKS, STEP = 4, 8
 #: Words of one block of the running exclusive-ors.
-BLOCK = 128
+BLOCK = 32
 
 
 def words_of(line: Column) -> Column:
@@ -55,11 +55,11 @@ def block_spans(n: Column) -> list[tuple[Column, Column, Column]]:
 
 
 def gap_keys(words: str, n: str) -> Column:
-    """Hashes of a line without each of its gaps, as (gap, key)."""
+    """Hashes of a line without each of its gaps, as (gap, key); null for gaps that do not apply."""
     found = [F.when(applies, F.struct(F.lit(i).alias("gap"), F.xxhash64(
         F.lit(i % BLOCKS), F.slice(words, F.lit(1), before), F.slice(words, F.col(n) - after + 1, after)).alias("key")))
         for i, (applies, before, after) in enumerate(block_spans(F.col(n)))]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    return F.array(*found)
 
 
 def bound(value: str, name: str, body: str) -> str:
@@ -103,7 +103,7 @@ def near_lines(lines: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(id) of the distinct lines of which an earlier line is one edit away.
 
     ``lines``: a written table with one row a distinct line."""
-    keyed = lines.select("id", F.explode("gaps").alias("g")).select("id", "g.gap", "g.key")
+    keyed = lines.select("id", F.explode("gaps").alias("g")).where("g is not null").select("id", "g.gap", "g.key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     some = keyed.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_set("gap").alias("open"))
     wanted = (lines.join(some, "id").select("id", "at", "n", "open").groupBy("at.k1", "at.k2")

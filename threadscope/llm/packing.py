@@ -19,7 +19,6 @@ input that clash with the columns added here are replaced.
 
 from __future__ import annotations
 
-import base64
 import functools
 import json
 
