@@ -395,8 +395,12 @@ def training_pages(htmls: list[str], copies: int = COPIES, seed: int = SEED) ->
 
 def fit(pages: DataFrame, html_col: str = "html") -> Boosted | None:
     """A classifier from a bounded sample; None if no page can be labelled."""
-    sample = (pages.select(F.col(html_col).alias("html")).where(F.length("html").between(1, FIT_CHARS))
-              .orderBy(F.xxhash64("html"), "html").limit(FIT_PAGES))
+    usable = pages.select(F.col(html_col).alias("html")).where(F.length("html").between(1, FIT_CHARS))
+    # first the hashes alone, so that tasks send no pages that are not wanted
+    cut = usable.select(F.xxhash64("html").alias("h")).orderBy("h").limit(FIT_PAGES).agg(F.max("h")).first()[0]
+    if cut is None:
+        return None
+    sample = usable.where(F.xxhash64("html") <= cut).distinct().orderBy(F.xxhash64("html"), "html").limit(FIT_PAGES)
     htmls = [r.html for r in sample.collect()]
     rows = training_pages(htmls)
     if not rows:
