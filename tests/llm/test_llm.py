@@ -451,6 +451,26 @@ def test_secret_edge_rows(spark, edge, empty):
     assert masked[5] == "[SECRET]" and masked[8] is None and masked[7] == "" and "AKIAIOS" not in masked[2]
 
 
+def test_private_keys_are_masked_whole(spark):
+    """No part of a key's body is left, with and without its END line; what stands around it stays."""
+    rng = np.random.default_rng(9)
+    body = ["".join(rng.choice(list("ABCDEFabcdef0123456789+/"), n)) for n in (64, 64, 64, 11)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n"
+    lines = "\n".join(body)
+    blocks = [f"{begin}\n{lines}\n{end}", f"{begin}\n{fields}{lines}\n{end}", f"{begin}\n{lines}", f"{begin}\n{fields}{lines}",
+              "\\n".join([begin, *body, end]), "\\n".join([begin, *body]), "\r\n".join([begin, *body]), " ".join([begin, *body[:3]]),
+              "\n    ".join([begin, *body, end]), "\n    ".join([begin, *body]), f"{begin}\n{lines}==", " ".join([begin, *body, end])]
+    texts = [f"some words before {b}\nand words after it" for b in blocks]
+    texts += [f"{begin} is a header\n-----BEGIN CERTIFICATE-----\nx\n-----END CERTIFICATE-----\n{blocks[0]}.", f"{blocks[2]}\n{blocks[0]}!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    for i in range(len(blocks)):
+        assert masked[i] == "some words before [SECRET]\nand words after it"
+    assert masked[len(blocks)] == "[SECRET] is a header\n-----BEGIN CERTIFICATE-----\nx\n-----END CERTIFICATE-----\n[SECRET]."
+    assert masked[len(blocks) + 1] == "[SECRET]\n[SECRET]!"
+
+
 # -- 10 near-duplicates ------------------------------------------------------------------------------
 
 def brute_components(texts, k):

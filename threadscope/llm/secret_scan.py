@@ -39,13 +39,21 @@ class Rule:
     group: int = 0
 
 
+#: What may stand between the lines of a key: blanks, escaped line ends, quotes and marks of comments, lists and code.
+GAP = r"""(?:\\[nrt]|[\s"'`,;+>|#*\\()\[\]])*+"""
+#: From a key's header to the next END line of a private key, if no other block begins or ends before;
+#: else its header fields and base64 lines, the last one of any length.
+KEY_BODY = (r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+            rf"|(?:{GAP}(?:Proc-Type|Content-Domain|DEK-Info):\x20*[^\s\\]+)*+(?:{GAP}(?:[A-Za-z0-9+/]{{16,}}={{0,2}}|[A-Za-z0-9+/]+={{1,2}}))*+"
+            r"""(?:[\x20\t"'+]*(?:\r?\n|\\r|\\n)(?:\r?\n|\\n|[\x20\t"'>])*+[A-Za-z0-9+/]{1,15}(?=[\x20\t]*(?:["'\r\n\\]|\Z)))?)""")
+
 #: Kinds in the order in which spans at one place are listed; the first three are the base.
 RULES = (
     Rule("assign", r"""(%s)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""" % "|".join(
         [*map(either_case, ["password", "passwd", "secret", "token"]), either_case("api") + "_?" + either_case("key")]), 8, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]+", 32),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + KEY_BODY),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
