@@ -323,6 +323,20 @@ def test_html_edges(spark, empty):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_head_without_end_and_formulas(spark):
+    """A head ends at its end tag or at what no head may hold; math and object keep their text."""
+    head = "<html><head><meta charset=x><title>t</title><style>p{}</style><script>1</script>"
+    df = spark.createDataFrame([(1, head + "<article><p>text"), (2, head + "text <b>more</b>"), (3, head + "</head><p>text"),
+                                (4, head + "<body><p>text"), (5, "<head><title>t</title><select><body><p>text"),
+                                (6, "<p>so <math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds"),
+                                (7, "<p>see <object data=x><b>the</b> table</object> here<object><p>below</p></object>")], "page_id long, html string")
+    # no page can be labelled, so nothing is fitted and every page is its text
+    rows = {r.page_id: r.text for r in html_extract.extract(df.where("page_id != 1")).collect()}
+    assert rows == {2: "text more", 3: "text", 4: "text", 5: "text", 6: "so x+1 holds", 7: "see the table here below"}
+    whole = html_extract.Page(df.where("page_id = 1").first().html)
+    assert whole.text(np.ones(len(whole.tag), dtype=bool)) == "text"
+
+
 # -- 7 line dedup ----------------------------------------------------------------------------
 
 def word_distance_at_most_one(a, b):

@@ -1,7 +1,7 @@
 """Main-text extraction: gradient-boosted trees over DOM nodes, decoded as a tree.
 
 A page becomes a tree of block elements (inline elements only mark links; scripts,
-styles, comments, the head and the like carry no text).  Every node has features:
+styles, comments, titles and the like carry no text).  Every node has features:
 its tag, tokens of class, id and role, depth, text density of its subtree, links,
 sentence marks, its place in the page and figures of its siblings and parent.  A
 gradient-boosted classifier gives each node a chance of being article.  Decoding
@@ -35,9 +35,11 @@ FIT_PAGES, FIT_CHARS, COPIES, SEED = 300, 200_000, 3, 7
 
 #: Elements without content, elements whose text is never shown, and inline elements (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe svg math object head title select textarea button canvas".split())
+SILENT = frozenset("script style noscript template iframe svg title select textarea button canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-                   "strong sub sup time tt u var wbr".split())
+                   "strong sub sup time tt u var wbr object math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover "
+                   "mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+                   "munderover semantics annotation annotation-xml".split())
 #: A start tag of the key ends an open element of the value.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
@@ -141,6 +143,9 @@ class Page:
                 elif tag not in ("wbr", "img"):
                     self.inner[node] += 1
                 continue
+            if tag == "head":  # both its tags may be left out: what it holds is silent itself, anything else has ended it
+                self.inner[node] += 1
+                continue
             if tag in INLINE or tag in SILENT:
                 stack.append((tag, node))
                 links += tag == "a"
@@ -149,17 +154,20 @@ class Page:
                 continue
             if tag in ("html", "body") and len(stack) > 1 and stack[1][0] == tag:
                 continue
-            silent_before = silent
+            while tag == "body" and len(stack) > 1 and (stack[-1][0] in INLINE or stack[-1][0] in SILENT):
+                t, _ = stack.pop()
+                links -= t == "a"
+                silent -= t in SILENT
             ends = ENDS.get(tag, {"p"})
             for i in range(len(stack) - 1, 0, -1):
                 t = stack[i][0]
-                if t in ends or t == "p" or tag == "body" and t == "head":
+                if t in ends or t == "p":
                     for t, _ in stack[i:]:
                         links -= t == "a"
                         silent -= t in SILENT
                     del stack[i:]
                     break
-                if t not in INLINE and not (tag == "body" and t in SILENT):
+                if t not in INLINE:
                     break
             node = self._open(tag, m[4], stack[-1][1]) if not silent else stack[-1][1]
             self.events.append((node, " "))
