@@ -337,6 +337,20 @@ def test_html_head_without_end_and_formulas(spark):
     assert whole.text(np.ones(len(whole.tag), dtype=bool)) == "text"
 
 
+def test_html_sample_counts_copies_once(spark, monkeypatch):
+    """Hundreds of copies of pages with the least hashes, labelled or not, leave the sample as it is."""
+    monkeypatch.setattr(html_extract, "FIT_PAGES", 10)
+    pages = [(f"<nav>n{i}</nav><article><p>text {i}</article>",) for i in range(60)] + [(f"<div>plain {i}</div>",) for i in range(300)]
+    df = spark.createDataFrame(pages, "html string").withColumn("h", F.xxhash64("html"))
+    least = df.orderBy("h").limit(5)
+    labelled = df.where(F.col("html").contains("<article>"))
+    expected = [r.html for r in labelled.orderBy("h").limit(10).collect()]
+    copies = least.union(labelled.orderBy("h").limit(1)).crossJoin(spark.range(200).drop("id"))
+    assert html_extract.sample(df.union(copies)) == expected == html_extract.sample(df)
+    assert html_extract.fit(df.union(copies)) is not None
+    assert html_extract.sample(df.where("html like '<div>%'")) == [] and html_extract.fit(df.limit(0)) is None
+
+
 # -- 7 line dedup ----------------------------------------------------------------------------
 
 def word_distance_at_most_one(a, b):

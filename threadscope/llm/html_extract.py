@@ -9,9 +9,9 @@ chooses, for each subtree, between dropping it whole and keeping its root
 and deciding on the children, whichever has the greater likelihood, so nothing is kept
 under a dropped ancestor.
 
-The classifier is fitted on the driver on a bounded sample (FIT_PAGES pages with the
-least hash, of at most FIT_CHARS characters).  Its labels come from pages that
-say what is what by semantic tags, and from copies of these pages laid out anew
+The classifier is fitted on the driver on a bounded sample (of the distinct pages of at
+most FIT_CHARS characters that can be labelled, the FIT_PAGES with the least hash).
+Its labels come from pages that say what is what by semantic tags, and from copies of these pages laid out anew
 with plain containers, sidebars, notices, forms and reader comments, so that structure
 and tokens are learnt and not one template.
 
@@ -401,15 +401,34 @@ def training_pages(htmls: list[str], copies: int = COPIES, seed: int = SEED) ->
     return out
 
 
+def sample(pages: DataFrame, html_col: str = "html") -> list[str]:
+    """The FIT_PAGES distinct pages with the least hash of those that can be labelled.
+
+    Pages are labelled in the tasks, by growing ranges of hashes, until enough are found."""
+    usable = pages.select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html")).where(
+        F.length("html").between(1, FIT_CHARS))
+
+    def labelled(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([labels(Page(h.as_py())) is not None for h in batch.column(1)], pa.bool_()))
+
+    out: list[str] = []
+    # first the hashes alone, so that tasks send no pages that are not wanted; copies of a page count once
+    first = usable.select("h").distinct().orderBy("h").limit(2 * FIT_PAGES).agg(F.max("h"), F.count("*")).first()
+    least, most = -(1 << 63), (1 << 63) - 1
+    low, cut = least - 1, first[0] if first[1] == 2 * FIT_PAGES else most
+    while first[1]:
+        part = usable.where(F.col("h").between(low + 1, cut)).distinct().mapInArrow(labelled, usable.schema)
+        out += [r.html for r in part.orderBy("h", "html").limit(FIT_PAGES - len(out)).collect()]
+        if len(out) == FIT_PAGES or cut == most:
+            break
+        low, cut = cut, min(most, least + 4 * (cut - least + 1))
+    return out
+
+
 def fit(pages: DataFrame, html_col: str = "html") -> Boosted | None:
     """A classifier from a bounded sample; None if no page can be labelled."""
-    usable = pages.select(F.col(html_col).alias("html")).where(F.length("html").between(1, FIT_CHARS))
-    # first the hashes alone, so that tasks send no pages that are not wanted
-    cut = usable.select(F.xxhash64("html").alias("h")).orderBy("h").limit(FIT_PAGES).agg(F.max("h")).first()[0]
-    if cut is None:
-        return None
-    sample = usable.where(F.xxhash64("html") <= cut).distinct().orderBy(F.xxhash64("html"), "html").limit(FIT_PAGES)
-    htmls = [r.html for r in sample.collect()]
+    htmls = sample(pages, html_col)
     rows = training_pages(htmls)
     if not rows:
         return None
