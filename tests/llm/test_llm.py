@@ -545,6 +545,21 @@ def test_minhash_groups(spark, monkeypatch, small):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (size, component, i == component)
 
 
+def test_minhash_small_groups_in_a_large_family(spark):
+    """Groups of two whose texts share a template with hundreds of others, 0.77 alike; the two are 0.81 alike."""
+    template, n = [f"t{i}" for i in range(176)], 300
+    texts = []
+    for i in range(2 * n):
+        shared, own = [f"g{i // 2}x{j}" for j in range(6)], [f"o{i}x{j}" for j in range(21)]
+        texts.append(" ".join([*template, *shared, *own]))
+    sets = [set(minhash.shingle_set(t, 4).tolist()) for t in texts[:3]]
+    alike = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
+    assert 0.8 < alike[0] < 0.82 and 0.76 < alike[1] < 0.78
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, k=4).collect()}
+    assert got == {i: i - i % 2 for i in range(2 * n)}
+
+
 def test_sketch_agreement_concentrates():
     rng = np.random.default_rng(11)
     errors = []

@@ -13,14 +13,16 @@ than SMALL classes a star around a pivot that differs by band.  All candidates a
 on the full shingle sets, and links contracted to components.  Then the members of
 large buckets are bucketed again by pairs of large bands (up to REACH apart): what merely
 shares a passage falls apart, small buckets yield all their pairs between
-components, large ones stars around PIVOTS further pivots.  So a group of any size
-costs rows in proportion to its members, and a third of all rows may share a
-bucket.
+components, large ones stars around PIVOTS further pivots.  These stars only save
+work: the members of large buckets that still span components go through an exact
+join of shingles, with pairs of one component left out.  Shingles are ordered, those of
+one component alone first, then by how many sets hold them; two sets that are near
+have their first common shingle so early that what follows suffices for the
+threshold, and only such places are joined.  So what a big family shares by its template
+makes no candidates.
 
-A pair at the threshold 0.8 shares no band with probability (1 - 0.8^6)^40 < 6e-6.
-Inside large buckets a link counts only if it joins components, and a member is
-missed only if none of its pivots (one a shared band, PIVOTS a pair of bands) is near
-it while another member is.
+A pair at the threshold 0.8 shares no band with probability (1 - 0.8^6)^40 < 6e-6;
+a pair that shares one is linked or lies in one component.
 
 Defined results: null, empty and blank texts have an empty set and stand alone;
 texts with fewer words than a shingle have their whole sequence as one; rows with
@@ -43,7 +45,7 @@ from .graph import components
 ROWS, BANDS = 6, 40
 SIZE = ROWS * BANDS
 SMALL = 24
-#: Further pivots of a large pair of bands, and how far apart the bands of a pair are at most.
+#: Further pivots of a large pair of bands, and how far apart the bands of a pair are at most (they save work for the exact join).
 PIVOTS, REACH = 2, 4
 #: Bits of a coordinate that hold the round; the rest is the hashed value.
 ROUND_BITS = 10
@@ -160,6 +162,52 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def crossing_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) of nodes of different components, among them all pairs that are near.
+
+    ``nodes``: (node, component); ``texts``: a written table (node, text)."""
+    def shingled(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), k).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.field("element", pa.int64(), False)))],
+                                             names=["node", "component", "items"])
+
+    schema = T.StructType([*nodes.select("node", "component").schema.fields, T.StructField("items", T.ArrayType(T.LongType(), False))])
+    sets = materialize(nodes.join(texts, "node").select("node", "component", "text").mapInArrow(shingled, schema), "sets")
+    items = sets.select("node", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    crossing = (items.groupBy("item").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+                .where("lo != hi").select("item", "c"))
+    # shingles in order, those inside one component first (left out, as no pair of interest shares them)
+    ordered = (items.join(crossing, "item").groupBy("node", "component", "n")
+               .agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("s")).withColumn("inside", F.expr("n - size(s)")))
+    keyed = materialize(ordered.select("node", "component", "n", "inside", F.posexplode("s").alias("i", "s"))
+                        .select("node", "component", "n", (F.col("n") - F.col("inside") - F.col("i")).alias("left"), "s.item")
+                        .where(F.col("left") * 100 >= F.col("n") * percent), "first-shingles")
+    # of the commonest component of a shingle, pairs with the others only
+    most = (keyed.groupBy("item", "component").agg(F.count("*").alias("c"))
+            .groupBy("item").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("parts"))
+            .where("parts > 1").drop("parts"))
+    keyed = materialize(keyed.join(most, "item").withColumn("minor", F.col("component") != F.col("most")).drop("most"), "first-shingles")
+    short = keyed.where(F.col("left") * (100 + percent) >= F.col("n") * (2 * percent)).alias("x")  # no near set is larger and has it later
+    x_minor, y_minor = short.where("minor"), keyed.where("minor").alias("y")
+    near = [F.col("x.item") == F.col("y.item"), F.col("x.component") != F.col("y.component"),
+            F.struct("x.n", "x.node") < F.struct("y.n", "y.node"), F.col("x.n") * 100 >= F.col("y.n") * percent,
+            F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent]
+    pairs = x_minor.join(keyed.alias("y"), near).select("x.node", F.col("y.node").alias("other")).union(
+        short.where("not minor").join(y_minor, near).select("x.node", F.col("y.node").alias("other")))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component) with the components joined that the links (a, b) join; their labels are the nodes of a smaller graph."""
+    merged = materialize(components(found.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+                                    .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+                                    .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "labels")
+    new = merged.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    old = labels.join(new, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    return materialize(old.union(merged.join(labels, "node", "left_anti")), "labels")
+
+
 def similar_classes(classes: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
     """(node, component) of the classes that have a link to another.
 
@@ -208,13 +256,17 @@ def similar_classes(classes: DataFrame, texts_of, k: int, percent: int) -> DataF
             .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")))
     more = materialize(few.union(star).distinct(), "pairs")
     found = materialize(verified(more, texts, k, percent), "links")
-    # joined components: their labels are the nodes of a smaller graph
-    merged = materialize(components(found.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-                                    .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-                                    .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "labels")
-    new = merged.select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    old = labels.join(new, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
-    return old.union(merged.join(labels, "node", "left_anti"))
+    labels = joined(labels, found)
+
+    # large buckets that still span components: their members exactly
+    large = materialize(members.where(F.col("size") > SMALL).select("node", "key").join(labels, "node", "left")
+                        .withColumn("component", F.coalesce("component", "node")), "large")
+    spans = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    rest = materialize(large.join(spans, "key", "left_semi").select("node", "component").distinct(), "rest")
+    if rest.limit(1).count():
+        pairs = materialize(crossing_pairs(rest, texts, k, percent), "pairs")
+        labels = joined(labels, materialize(verified(pairs, texts, k, percent), "links"))
+    return labels
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
