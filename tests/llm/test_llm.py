@@ -428,6 +428,29 @@ def test_search_edges(spark):
     assert multi_index.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_search_groups_are_bounded_on_both_sides(spark, monkeypatch):
+    """No group holds all queries; every block meets every query that visits its row of cells, once."""
+    monkeypatch.setattr(multi_index, "BLOCK", 50)
+    monkeypatch.setattr(multi_index, "QUERIES", 20)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 4))
+    x[:200] = x[0]  # a common vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.col("vec_id") % 2).cast("int").alias("c1"), F.lit(0).alias("c2"))
+    walks = index.where("id % 3 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"), "c1", F.array(F.lit(0)).alias("cells"))
+    left, right = multi_index.dealt(index, walks)
+    for side, bound in ((left, 50), (right, 20)):
+        assert side.groupBy("c1", "block", "part").count().agg(F.max("count")).first()[0] <= 2 * bound
+    met = left.join(right, ["c1", "block", "part"]).groupBy("id", "qid").count().collect()
+    assert len(met) == 2 * 300 * 100 and all(r["count"] == 1 for r in met)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in multi_index.search(df, F.col("id") % 3 == 0, k=5, centroids=4, share=1.0).collect()}
+    for q in range(0, 600, 3):
+        s = np.array([v @ np.array(x[q]) for v in x])
+        s[q] = -np.inf
+        found = [got[q, r] for r in range(1, 6)]
+        assert len(set(found)) == 5 and np.allclose(s[found], np.sort(s)[::-1][:5])
+
+
 def test_walk_visits_cells_best_first():
     books = np.array([[1.0], [0.5], [-1.0]]), np.array([[1.0], [0.0]])
     cells = multi_index.walk(np.array([1.0, 0.6]), books, {(a, b): 1 for a in range(3) for b in range(2)}, 6)

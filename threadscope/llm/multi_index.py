@@ -10,9 +10,10 @@ walk); every vector of the visited cells is ranked by its inner product in doubl
 precision.
 
 Every row is indexed.  Queries travel to the index: a query goes once to each row
-of cells it visits, with the list of its cells there, and meets blocks of about BLOCK
-vectors, so a cell with a third of all rows is many tasks; each block returns its
-nearest ``k`` and these are merged.  Counts by cell
+of cells it visits, with the list of its cells there.  Both sides of a row of cells are
+dealt into blocks, of about BLOCK vectors and of about QUERIES queries, and every two blocks
+meet in a group of their own, so no task holds more than these, whatever the table's size or
+a cell's share of it; each block returns its nearest ``k`` and these are merged.  Counts by cell
 (at most CENTROIDS ** 2 rows) are all that the walk knows of the corpus.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .base import materialize
 
 CENTROIDS, FIT_SAMPLE, ROUNDS = 32, 20_000, 12
-BLOCK, CELL_COUNT = 2048, 256
+BLOCK, QUERIES, CELL_COUNT = 2048, 2048, 256
 SHARE, VISIT = 0.5, 6000
 
 
@@ -111,6 +112,18 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
+def dealt(index: DataFrame, walks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index and queries by (c1, block, part): each block of a row of cells once with each part of the queries that visit it."""
+    blocks = index.groupBy("c1").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    parts = walks.groupBy("c1").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    split = F.broadcast(blocks.join(parts, "c1"))  # at most one row a centroid
+    left = (index.join(split, "c1").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("blocks", "parts"))
+    right = (walks.join(split, "c1").withColumn("part", F.pmod(F.xxhash64("qid", "q"), F.col("parts")).cast("int"))
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "parts"))
+    return left, right
+
+
 def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
            centroids: int = CENTROIDS, share: float = SHARE, visit: int = VISIT) -> DataFrame:
     """query_id, rank, id, score of the k nearest rows of every row for which the
@@ -135,10 +148,6 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
     index = materialize(rows.mapInPandas(assigned, f"id long, v {vector}, c1 int, c2 int"), "multi-index")
     counts = {(r.c1, r.c2): r["count"] for r in index.groupBy("c1", "c2").count().collect()}  # <= centroids ** 2
     enough = max(visit, share * sum(min(n, CELL_COUNT) for n in counts.values()))
-    sizes: dict[int, int] = {}
-    for (a, _), n in counts.items():
-        sizes[a] = sizes.get(a, 0) + n
-    blocks = {a: -(-n // BLOCK) for a, n in sizes.items()}
 
     def visited(batches):
         for pdf in batches:
@@ -147,17 +156,15 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
                 rows_of: dict[int, list[int]] = {}
                 for a, b in walk(np.asarray(v, dtype=float), books, counts, enough):
                     rows_of.setdefault(a, []).append(b)
-                out += [(i, v, a, s, cells) for a, cells in rows_of.items() for s in range(blocks[a])]
-            yield pd.DataFrame(out, columns=["qid", "q", "c1", "block", "cells"])
+                out += [(i, v, a, cells) for a, cells in rows_of.items()]
+            yield pd.DataFrame(out, columns=["qid", "q", "c1", "cells"])
 
-    asked = index.where(queries).select("id", "v").mapInPandas(
-        visited, f"qid long, q {vector}, c1 int, block int, cells array<int>")
-    split = spark.createDataFrame(list(blocks.items()), "c1 int, n int")
-    dealt = index.join(F.broadcast(split), "c1").withColumn(  # at most one row a centroid
-        "block", F.pmod(F.xxhash64("id", "v"), F.col("n")).cast("int")).drop("n")
+    walks = materialize(index.where(queries).select("id", "v").mapInPandas(
+        visited, f"qid long, q {vector}, c1 int, cells array<int>"), "multi-index-walks")
+    vectors, asked = dealt(index, walks)
 
     def ranked(key, left, right):
-        """One block of a row of cells against the queries that visit some of them."""
+        """One block of a row of cells against one part of the queries that visit some of them."""
         found = ([], [], [])
         if len(left) and len(right):
             ids, cell = left["id"].to_numpy(), left["c2"].to_numpy()
@@ -171,7 +178,7 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
         names = ("query_id", "vec_id", "score")
         return pd.DataFrame({n: np.concatenate(c) if c else [] for n, c in zip(names, found)})
 
-    near = (dealt.groupBy("c1", "block").cogroup(asked.groupBy("c1", "block"))
+    near = (vectors.groupBy("c1", "block", "part").cogroup(asked.groupBy("c1", "block", "part"))
             .applyInPandas(ranked, "query_id long, vec_id long, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # a query's nearest of each visited block
     return (near.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
