@@ -200,3 +200,61 @@ def op10_minhash_fast_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register(op10_minhash_fast_sketch)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    return merkle.prove(docs, merkle.without_line_breaks()).select("doc_id", *merkle.ADDED)
+
+
+#: Heads: the first node of each level of a tree is at lvl 0; trees are the sources and, last, the tree over them.
+MERKLE_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda acc, b: list_reduce(list_prepend(xor(acc, b), [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]),
+             lambda x, one: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)) AS c
+  FROM documents WHERE doc_id IS NOT NULL),
+texts AS (
+  SELECT d.*, CASE WHEN xor(crc.c, 4294967295::BIGINT) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered
+  FROM documents d LEFT JOIN crc USING (doc_id)),
+heads AS (
+  SELECT doc_id, source, text, tampered, list_aggregate(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR],
+           lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v)::VARCHAR || ':' || v END), 'string_agg', '') AS head FROM texts),
+digests AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(tampered)::VARCHAR || ':' || tampered, '-')) AS start FROM heads),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM digests),
+low AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS hash, n FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY tree, lvl, pos // 3, n),
+high AS (
+  SELECT 0 AS lvl, tree AS pos, hash, (SELECT count(DISTINCT tree) FROM leaves) AS n FROM low WHERE n = 1
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY lvl, pos // 3, n),
+path(tree, leaf_pos, lvl, pos, start, fold, sibs) AS (
+  SELECT tree, pos, 0, pos, start, start, '' FROM leaves
+  UNION ALL
+  SELECT p.tree, p.leaf_pos, p.lvl + 1, p.pos // 3, p.start,
+         sha256(string_agg(CASE WHEN l.pos = p.pos THEN p.fold ELSE l.hash END, '' ORDER BY l.pos)),
+         p.sibs || coalesce(string_agg(l.hash, '' ORDER BY l.pos) FILTER (WHERE l.pos <> p.pos), '')
+  FROM path p JOIN low l ON l.tree = p.tree AND l.lvl = p.lvl AND l.pos // 3 = p.pos // 3 AND l.n > 1
+  GROUP BY p.tree, p.leaf_pos, p.lvl, p.pos, p.start, p.fold, p.sibs),
+subroots AS (SELECT * FROM path p WHERE p.lvl = (SELECT max(lvl) FROM low l WHERE l.tree = p.tree)),
+path_up(tree, leaf_pos, lvl, pos, fold, sibs) AS (
+  SELECT tree, leaf_pos, 0, tree, fold, sibs FROM subroots
+  UNION ALL
+  SELECT p.tree, p.leaf_pos, p.lvl + 1, p.pos // 3,
+         sha256(string_agg(CASE WHEN l.pos = p.pos THEN p.fold ELSE l.hash END, '' ORDER BY l.pos)),
+         p.sibs || coalesce(string_agg(l.hash, '' ORDER BY l.pos) FILTER (WHERE l.pos <> p.pos), '')
+  FROM path_up p JOIN high l ON l.lvl = p.lvl AND l.pos // 3 = p.pos // 3 AND l.n > 1
+  GROUP BY p.tree, p.leaf_pos, p.lvl, p.pos, p.fold, p.sibs)
+SELECT d.doc_id, d.leaf, s.hash AS subroot, r.hash AS root, sha256(u.sibs) AS proof_sha256, u.fold AS folded_root, u.fold = r.hash AS verified
+FROM leaves d JOIN low s ON s.tree = d.tree AND s.n = 1 CROSS JOIN (SELECT hash FROM high WHERE n = 1) r
+JOIN path_up u ON u.tree = d.tree AND u.leaf_pos = d.pos AND u.lvl = (SELECT max(lvl) FROM high)
+"""
+
+register(op13_merkle_manifest, MERKLE_SQL)
