@@ -22,6 +22,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def piece_vocabulary() -> str:
+    return vocabulary("piece_bpe_32k.model")
+
+
 def register(fn, sql: str | None = None):
     QUERIES[fn.__name__] = fn
     if sql:
@@ -258,3 +262,13 @@ JOIN path_up u ON u.tree = d.tree AND u.leaf_pos = d.pos AND u.lvl = (SELECT max
 """
 
 register(op13_merkle_manifest, MERKLE_SQL)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import alignment
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.alignment(docs, vocabulary, piece_vocabulary).select(
+        F.col("doc_id").cast("long").alias("doc_id"), *alignment.COUNTS, "groups_sha256")
+
+
+register(op12_tokenizer_alignment)
