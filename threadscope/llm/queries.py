@@ -272,3 +272,17 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register(op12_tokenizer_alignment)
+
+
+def op11_toxic_spans_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    chain = toxicity.fit(docs, labels, F.col("doc_id").isNotNull() & ~held_out)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return toxicity.tag(docs, chain).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), spans.alias("spans"))
+
+
+register(op11_toxic_spans_crf)
