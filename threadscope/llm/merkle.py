@@ -213,7 +213,7 @@ def prove(docs: DataFrame, tampered_text: Column | None = None, id_col: str = "d
     start = leaf if tampered_text is None else F.when(tampered_text.eqNullSafe(F.col("text")), leaf).otherwise(leaf_digest(tampered_text))
     kept = [c for c in docs.columns if c != "text"]
     rows = docs.select(*kept, F.unhex(leaf).alias("leaf"), F.unhex(start).alias("start"))
-    leaves, runs = manifest(rows, id_col, source_col)
+    leaves, runs = manifest(materialize(rows, "merkle-digests"), id_col, source_col)  # texts are hashed once
 
     def text(c: str) -> Column:
         return F.lower(F.hex(c))

@@ -34,9 +34,10 @@ SAMPLE = {1: 1000, 0: 2500}
 WORD = re.compile(r"\w+")
 #: Lengths of word beginnings and endings, and of the longest word that is a feature itself.
 HEADS, TAILS, LONGEST = range(2, 8), (3, 4), 32
-#: A feature is used from so many documents and this likelihood-ratio statistic on; from the second on, with this
-#: share of toxic documents (both labels counted as equally frequent), it marks tokens.
-LEAST_DOCS, USED_G2, MARKED_G2, MARKED_SHARE = 3, 6.0, 18.0, 0.8
+#: A feature is used from so many documents and this likelihood-ratio statistic on; it marks tokens from these on,
+#: with this share of toxic documents (both labels counted as equally frequent).
+LEAST_DOCS, USED_G2 = 3, 6.0
+MARKED_DOCS, MARKED_G2, MARKED_SHARE = 5, 18.0, 0.8
 STEPS, RATE, RIDGE = 40, 0.5, 1e-5
 BLOCK = 128
 #: Distinct tokens a worker remembers before it starts anew.
@@ -185,7 +186,7 @@ def fit_chain(texts: list[str], labels: np.ndarray, share: dict[int, float]) ->
     g2 = g_squared(held[1], held[0], n1, n0)
     used = (held[0] + held[1] >= LEAST_DOCS) & (g2 >= USED_G2)
     share1 = held[1] / n1
-    marks = used & (g2 >= MARKED_G2) & (share1 >= MARKED_SHARE * (share1 + held[0] / n0))
+    marks = used & (held[1] >= MARKED_DOCS) & (g2 >= MARKED_G2) & (share1 >= MARKED_SHARE * (share1 + held[0] / n0))
     kept = used[flat]
     number = np.cumsum(used) - 1
     flat, owner, marked_type = number[flat[kept]], owner[kept], np.bincount(owner, marks[flat]).astype(bool)
