@@ -149,3 +149,86 @@ def test_quick_start_flow_from_post_files(spark):
     out = S.write_report(S.summarize(posts, comments), scratch_path(spark, "t-qs-rep"))
     assert out["processed_discussions"] == 1
     PIO.save_posts(rich, comments, scratch_path(spark, "t-qs-csv"), "csv")
+
+
+def test_s3_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    from threadscope.sources import files as FI
+    for name, n in (("a.txt", 3000), ("b with blank.txt", 10), ("empty.txt", 0)):
+        (tmp_path / name).write_text("".join(f"{name} line {i}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    try:
+        for size in ("134217728", "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = FI.read_lines(spark, str(tmp_path)).collect()
+            assert all(r.line.endswith(f" line {r.line_no}") for r in rows)
+            seen.append(sorted((r.file, r.line_no) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(seen[0]) == 3010 and seen[0] == seen[1]
+
+
+def test_s2_titles_and_ids_do_not_depend_on_splits(spark, tmp_path):
+    lines = [json.dumps({"comments": [{"text": str(i)}]}) if i % 7 else "[1, {}]" if i else "" for i in range(500)]
+    (tmp_path / "d.jsonl").write_text("\n".join([*lines, "{broken", "7"]))
+    old, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("134217728", "2048"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            posts, comments = PIO.read_discussions(spark, str(tmp_path))
+            rows = posts.join(comments, "post_id", "left").collect()
+            seen.append(sorted((r.post_id, r.title, r.text or "") for r in rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert seen[0] == seen[1] and len(seen[0]) == len({p for p, *_ in seen[0]}) == 499
+    titles = [t for _, t, x in sorted(seen[0], key=lambda r: int(r[0].split("#")[1])) if x]
+    assert titles == [f"Discussion {i + 1}" for i in range(len(titles))]
+
+
+def test_s2_pretty_arrays_and_lines_in_one_folder(spark, tmp_path):
+    from threadscope.sources import discussions as DI
+    entries = [{"title": "t", "comments": [[{"text": "a"}, 3]]}, "junk", {"comments": None}]
+    (tmp_path / "pretty.json").write_text(json.dumps(entries, indent=4))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(e) for e in entries))
+    (tmp_path / "one.json").write_text(json.dumps(entries[0], indent=4))
+    (tmp_path / "looks.json").write_text('[{"title": "cut off"\n{"title": "line"}\n')
+    found = DI.read(spark, str(tmp_path))
+    assert sorted(r.title for r in found.posts.collect()) == ["Discussion 3", "Discussion 3", "line", "t", "t", "t"]
+    assert [r.text for r in found.comments.collect()] == ["a"] * 3
+    assert found.counts.first().asDict() == {"read": 6, "skipped": 3, "unexpected": 3}
+    assert sorted(r.reason for r in found.skipped.collect()) == ["malformed", "no object", "no object"]
+
+
+def test_u4_any_depth(spark, tmp_path):
+    from threadscope.sources.discussions import parse_deep
+    for depth in (1500, 50_000):
+        text = '{"comments": ' + "[" * depth + '{"text": "x\\u00e9\\n", "n": [-1.5e3, true, null, {}]}, []' + "]" * depth + "}"
+        (tmp_path / f"{depth}.json").write_text(text)
+    posts, comments = PIO.read_discussions(spark, str(tmp_path))
+    assert posts.count() == 2 and [r.text for r in comments.collect()] == ["xé\n"] * 2
+    for good in ('{"a": [1, {"b": []}, "c"], "d": {}}', " [ ] ", '"x"', "-0.5", "[[], [[1]], false]"):
+        assert parse_deep(good) == json.loads(good)
+    for bad in ("", "[", "[1,]", "{1: 2}", '{"a" 1}', "[1] 2", '{"a": 1,}', "]", "[1 2]", "nul"):
+        try:
+            parse_deep(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_f11_one_scan_counts_and_lists(spark, tmp_path):
+    lines = ['{"post_id": "a"}', "{broken", '{"title": "no id"}', '{"title": "no id"}', "also broken"]
+    (tmp_path / "x.json").write_text("\n".join(lines))
+    found = PIO.read_posts_counted(spark, str(tmp_path))
+    assert (found.n_read, found.n_skipped) == (3, 2)
+    assert sorted(r.record for r in found.skipped.collect()) == ["also broken", "{broken"]
+    ids = [r.post_id for r in found.posts.collect()]
+    assert len(set(ids)) == 3 and "a" in ids
+
+
+def test_s1_mixed_folder_loses_nothing(spark, tmp_path):
+    posts = [{"post_id": f"p{i}", "title": f"t{i}", "comments": [{"comment_id": f"c{i}"}]} for i in range(10)]
+    (tmp_path / "array.json").write_text(json.dumps(posts[:5], indent=2))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, posts[5:])))
+    found, comments = PIO.read_posts(spark, str(tmp_path))
+    assert sorted(r.post_id for r in found.collect()) == [f"p{i}" for i in range(10)] and comments.count() == 10

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import models as MO
 from ..operators import summary as SU
-from ..session import scratch_path
+from ..session import read_table, scratch_path
+from ..sources import discussions as DI
 from ..sources import files as FI
 from ..sources import posts_io as PIO
 from ..sources.testdata import conversation_comments, conversation_posts
@@ -135,3 +136,144 @@ def u4_f12_s2_nested_discussions_summary(spark, sf):
     _discussion_lines(spark, sf).write.text(path)
     posts, comments = PIO.read_discussions(spark, path)
     return SU.summarize(posts, comments).drop("post_id")
+
+
+_POSTS_SQL = "SELECT conv_id AS post_id, text AS title FROM conversations WHERE turn = 0"
+_COMMENTS_SQL = """SELECT conv_id AS post_id, CAST(turn - 1 AS INTEGER) AS pos,
+  CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS comment_id, text FROM conversations WHERE turn > 0"""
+
+
+def _both_sides(posts, comments):
+    """Posts (pos -1) and comments as one table."""
+    p = posts.select(F.col("post_id").cast("long").alias("post_id"), F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("comment_id"),
+                     F.col("title").alias("text"))
+    return p.unionByName(comments.select(F.col("post_id").cast("long").alias("post_id"), F.col("pos").cast("int").alias("pos"), "comment_id", "text"))
+
+
+_BOTH_SQL = f"""SELECT post_id, CAST(-1 AS INTEGER) AS pos, CAST(NULL AS VARCHAR) AS comment_id, title AS text FROM ({_POSTS_SQL})
+UNION ALL SELECT post_id, pos, comment_id, text FROM ({_COMMENTS_SQL})"""
+
+
+@register("s6_s1_both_sides_read_back", _BOTH_SQL)
+def s6_s1_both_sides_read_back(spark, sf):
+    path = scratch_path(spark, "posts-both")
+    com = conversation_comments(spark, sf).select("post_id", "pos", "comment_id", "text", "score", "author")
+    PIO.write_posts_json(conversation_posts(spark, sf).drop("created_ts"), com, path)
+    return _both_sides(*PIO.read_posts(spark, path))
+
+
+@register("s12_comment_predictions_to_new_path", f"""
+WITH com AS ({_COMMENTS_SQL}) SELECT com.post_id, com.comment_id, CAST(v.polarity AS DOUBLE) AS polarity
+FROM com JOIN {G.vote_sql('com', 'post_id, comment_id', 'text', 16, 8)} v USING (post_id, comment_id)""")
+def s12_comment_predictions_to_new_path(spark, sf):
+    zero = F.struct(F.lit(0.0).alias("polarity"), F.lit(0.0).alias("subjectivity"))
+    posts = conversation_posts(spark, sf).withColumn("sentiment", zero)
+    com = conversation_comments(spark, sf).withColumn("sentiment", zero)
+    pp = MO.predict_polarity(posts, ["post_id"], "title", size=16, overlap=8)
+    cp = MO.predict_polarity(com, ["post_id", "comment_id"], "text", size=16, overlap=8)
+    p2, c2 = MO.apply_predictions(posts, com, pp, cp)
+    path = scratch_path(spark, "comment-predictions")
+    PIO.write_posts_json(p2.drop("created_ts"), c2.drop("created_ts"), path)
+    _, c = PIO.read_posts(spark, path)
+    return c.select(F.col("post_id").cast("long").alias("post_id"), "comment_id", F.col("sentiment.polarity").alias("polarity"))
+
+
+def _post_records(spark, sf):
+    """(post_id, record): every conversation as the JSON of a post with its comments."""
+    com = (conversation_comments(spark, sf).groupBy("post_id")
+           .agg(F.sort_array(F.collect_list(F.struct("pos", "comment_id", "text"))).alias("c"))
+           .select("post_id", F.transform("c", lambda x: x.dropFields("pos")).alias("comments")))
+    p = conversation_posts(spark, sf).select("post_id", "title").join(com, "post_id", "left")
+    return p.select("post_id", F.to_json(F.struct(F.col("post_id").cast("string").alias("post_id"), "title", "comments")).alias("record"))
+
+
+@register("s1_mixed_folder", _BOTH_SQL)
+def s1_mixed_folder(spark, sf):
+    """Every other hundred posts as a pretty array file, the others as JSON lines, in one folder."""
+    path = scratch_path(spark, "mixed")
+    records = _post_records(spark, sf).withColumn("file", F.floor(F.col("post_id") / 100)).checkpoint()
+    arrays = records.where("file % 2 = 0").groupBy("file").agg(F.sort_array(F.collect_list("record")).alias("r"))
+    (arrays.select(F.concat(F.lit("[\n  "), F.array_join("r", ",\n  "), F.lit("\n]")).alias("value"))
+     .write.mode("append").option("maxRecordsPerFile", 1).text(path))
+    records.where("file % 2 = 1").select(F.col("record").alias("value")).write.mode("append").text(path)
+    return _both_sides(*PIO.read_posts(spark, path))
+
+
+@register("s3_line_positions", """
+SELECT c_mktsegment AS segment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS line_no, c_name AS line FROM customer""")
+def s3_line_positions(spark, sf):
+    """A file of customer names a segment, in the order of their keys; each line comes back with its number in its file."""
+    path = scratch_path(spark, "numbered")
+    c = read_table(spark, sf, "customer").select("c_mktsegment", "c_custkey", F.col("c_name").alias("value"))
+    c = c.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").drop("c_custkey")
+    c.write.partitionBy("c_mktsegment").text(path)
+    lines = FI.read_lines(spark, path)
+    segment = F.url_decode(F.url_decode(F.regexp_extract("file", "c_mktsegment=([^/]*)/", 1)))
+    return lines.select(segment.alias("segment"), "line_no", "line")
+
+
+@register("s2_jsonl_titles", """
+SELECT conv_id % 8 AS part, conv_id, CASE WHEN conv_id % 3 = 0 THEN text ELSE
+  'Discussion ' || CAST(row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id) AS VARCHAR) END AS title
+FROM conversations WHERE turn = 0""")
+def s2_jsonl_titles(spark, sf):
+    """Eight files of JSON lines, one object a line; two thirds have no title and are called after their place in the file."""
+    path = scratch_path(spark, "titles")
+    p = conversation_posts(spark, sf).withColumn("part", F.col("post_id") % 8)
+    title = F.when(F.col("post_id") % 3 == 0, F.col("title"))
+    comments = F.array(F.array(F.struct(F.col("post_id").cast("string").alias("comment_id"))))
+    p = p.select("part", "post_id", F.to_json(F.struct(title.alias("title"), comments.alias("comments"))).alias("value"))
+    p.repartition("part").sortWithinPartitions("part", "post_id").drop("post_id").write.partitionBy("part").text(path)
+    posts, comments = PIO.read_discussions(spark, path)
+    part = F.regexp_extract("post_id", "part=([0-9]+)/", 1).cast("long")
+    return posts.join(comments, "post_id").select(part.alias("part"), F.col("comment_id").cast("long").alias("conv_id"), "title")
+
+
+@register("s2_pretty_array_discussions", _BOTH_SQL)
+def s2_pretty_array_discussions(spark, sf):
+    """Pretty-printed array files of a hundred discussions each, through the tolerant reader."""
+    path = scratch_path(spark, "pretty")
+    records = _post_records(spark, sf).groupBy(F.floor(F.col("post_id") / 100).alias("file")).agg(F.sort_array(F.collect_list("record")).alias("r"))
+    (records.select(F.concat(F.lit("[\n"), F.array_join("r", ",\n"), F.lit("\n]")).alias("value"))
+     .write.option("maxRecordsPerFile", 1).text(path))
+    posts, comments = PIO.read_discussions(spark, path)
+    ids = comments.groupBy("post_id").agg(F.split_part(F.min("comment_id"), F.lit("_"), F.lit(1)).alias("id"))
+    named = posts.join(ids, "post_id", "left")
+    back = comments.join(ids, "post_id").select(F.col("id").alias("post_id"), "pos", "comment_id", "text")
+    return _both_sides(named.select(F.col("id").alias("post_id"), "title"), back)
+
+
+@register("u4_deep_nesting", f"SELECT post_id, pos, comment_id, text FROM ({_COMMENTS_SQL})")
+def u4_deep_nesting(spark, sf):
+    """Each comment of a discussion lies one list deeper than the one before, the first 1,500 lists deep."""
+    path = scratch_path(spark, "deep")
+    c = conversation_comments(spark, sf).select("post_id", "pos", F.to_json(F.struct("comment_id", "text")).alias("j"))
+    c = c.groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("pos", "j"))).getField("j").alias("r"))
+    body = F.concat(F.lit("[" * 1500), F.array_join("r", ", ["), F.repeat(F.lit("]"), F.size("r") - 1), F.lit("]" * 1500))
+    c.select(F.concat(F.lit('{"title": "t", "comments": '), body, F.lit("}")).alias("value")).write.text(path)
+    _, comments = PIO.read_discussions(spark, path)
+    post_id = F.split_part("comment_id", F.lit("_"), F.lit(1)).cast("long")
+    return comments.select(post_id.alias("post_id"), "pos", "comment_id", "text")
+
+
+@register("f11_skipped_count", """
+WITH p AS (SELECT conv_id, text FROM conversations WHERE turn = 0)
+SELECT 'posts' AS reader, count(*) FILTER (WHERE NOT starts_with(text, 'E')) AS n_read, count(*) FILTER (WHERE starts_with(text, 'E')) AS n_skipped,
+       count(*) FILTER (WHERE starts_with(text, 'E')) AS n_listed FROM p
+UNION ALL
+SELECT 'discussions', count(*), 2 * count(*) FILTER (WHERE starts_with(text, 'E')), 2 * count(*) FILTER (WHERE starts_with(text, 'E')) FROM p""")
+def f11_skipped_count(spark, sf):
+    """Broken posts are counted by the scan that reads the others; of discussions, broken lines and entries that are no objects."""
+    bad, path = F.col("title").startswith("E"), scratch_path(spark, "skips")
+    p = conversation_posts(spark, sf)
+    good = F.to_json(F.struct(F.col("post_id").cast("string").alias("post_id"), "title"))
+    p.select(F.when(bad, '{"post_id": "').otherwise(good).alias("value")).write.text(path)
+    found = PIO.read_posts_counted(spark, path)
+    read = found.posts.agg(F.count("*").alias("n_read"))
+    posts = read.select(F.lit("posts").alias("reader"), "n_read", F.lit(found.n_skipped).cast("long").alias("n_skipped"))
+    posts = posts.crossJoin(F.broadcast(found.skipped.agg(F.count("*").alias("n_listed"))))  # one row each
+    path = scratch_path(spark, "skips-discussions")
+    p.select(F.explode(F.when(bad, F.array(F.lit('[{"title": "x"}, 7]'), F.lit('{"title": '))).otherwise(F.array(good))).alias("value")).write.text(path)
+    found = DI.read(spark, path)
+    other = found.counts.select(F.lit("discussions").alias("reader"), F.col("read").alias("n_read"), F.col("skipped").alias("n_skipped"))
+    return posts.unionByName(other.crossJoin(F.broadcast(found.skipped.agg(F.count("*").alias("n_listed")))))

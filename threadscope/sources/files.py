@@ -7,22 +7,15 @@ from pyspark.sql import functions as F
 
 from .. import schemas as SC
 from ..functions import text as X
+from .positions import numbered_lines
 
 H1_PATTERN = r"<h1[^>]*>(.*?)</h1>"
 ANCHOR_PATTERN = r"<a href=\"[^\"]*\">([^<]*)</a>"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S3: one row per line, stripped, with its file and line position.
-
-    The position comes from the file offset order inside each file
-    (``monotonically_increasing_id`` is increasing within a partition and a
-    text partition is a contiguous byte range).
-    """
-    df = spark.read.text(path)
-    return df.select(F.input_file_name().alias("file"),
-                     F.monotonically_increasing_id().alias("line_no"),
-                     X.strip("value").alias("line"))
+    """S3: one row per line, stripped, with its file and its line number there (from 0), however files are split."""
+    return numbered_lines(spark, path).select("file", "line_no", X.strip("value").alias("line"))
 
 
 def write_lines(df: DataFrame, col: str, path: str, mode: str = "errorifexists") -> None:

@@ -1,39 +1,51 @@
-"""Nested post files (S1, S2, S6, S7, S12), the tolerant reader for
-arbitrarily nested comment lists (U4, F11, F12)."""
+"""Nested post files (S1, S6, S7, S12) and their counted skips (F11); the tolerant reader for
+arbitrarily nested comment lists (S2, U4, F12) is in ``discussions``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from types import SimpleNamespace
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import rules
 from .. import schemas as SC
-
+from .discussions import read_discussions  # noqa: F401
+from .positions import array_files
 
 CORRUPT = "_corrupt_record"
 
 
-def is_array_file(spark: SparkSession, path: str) -> bool:
-    """Whether the files hold pretty-printed JSON (a line that is only an opening
-    bracket, or an array that goes on to the next line) rather than a record a line."""
-    line = F.trim(F.col("value"))
-    opens = line.isin("[", "{", "[{") | (line.startswith("[") & F.try_parse_json(line).isNull())
-    return bool(spark.read.text(path).where(opens).limit(1).count())
-
-
 def _read_raw(spark: SparkSession, path: str, multiline: bool | None, schema: T.StructType | None) -> DataFrame:
-    multiline = is_array_file(spark, path) if multiline is None else multiline
+    """All records of a path with their ``file``; unless ``multiline`` says so, files that are one array are told
+    from files of lines one by one, and each kind is read its way."""
     full = T.StructType([*(schema or SC.POST_FILE).fields, T.StructField(CORRUPT, T.StringType())])
-    r = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    return (r.option("multiLine", True) if multiline else r).json(path)
-
 
-def skipped_records(spark: SparkSession, path: str, multiline: bool | None = None,
-                    schema: T.StructType | None = None) -> DataFrame:
-    """the records that ``read_posts`` skips, as (file, record)."""
-    raw = _read_raw(spark, path, multiline, schema).withColumn("file", F.input_file_name()).checkpoint()
-    return raw.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("record"))
+    def rows(multi: bool, keep: Column | None) -> DataFrame:
+        r = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        df = (r.option("multiLine", True) if multi else r).json(path)
+        df = df.select(*full.names, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+        # the place of a record in what a task reads; files are filtered before they are opened
+        return (df if keep is None else df.where(keep)).withColumn("_at", F.monotonically_increasing_id())
+
+    if multiline is not None:
+        return rows(multiline, None)
+    arrays = array_files(spark, path)
+    if not arrays:
+        return rows(False, None)
+    return rows(False, ~F.col("file").isin(arrays)).unionByName(rows(True, F.col("file").isin(arrays)))
+
+
+def _split_records(raw: DataFrame, schema: T.StructType | None) -> tuple[DataFrame, DataFrame]:
+    """(posts, comments) of the raw records that could be parsed and hold anything."""
+    fields = (schema or SC.POST_FILE).names
+    raw = raw.where(F.col(CORRUPT).isNull())
+    raw = raw.where(F.coalesce(*[F.col(c).cast("string") for c in fields if c != "comments"],
+                               F.size("comments").cast("string")).isNotNull())
+    place = F.concat_ws("#", F.md5("file"), F.hex("_block"), F.hex("_at"))
+    raw = raw.withColumn("post_id", F.coalesce("post_id", F.concat(F.lit("noid-"), place))).select(*fields)
+    comments = raw.select("post_id", F.posexplode("comments").alias("pos", "c")).select("post_id", "pos", "c.*")
+    return raw.drop("comments"), comments
 
 
 def read_posts(spark: SparkSession, path: str, multiline: bool | None = None,
@@ -41,20 +53,32 @@ def read_posts(spark: SparkSession, path: str, multiline: bool | None = None,
     """Nested posts -> (posts, comments) long tables.
 
     Reads JSON lines (splittable, one record per line) and files that are one
-    JSON array (one task a file; convert large ones to lines once); which of
-    them is seen from the files unless ``multiline`` says so.  Malformed records are
-    skipped (F11; ``skipped_records`` lists them); a post without an id gets
-    one from a hash of its record.
+    JSON array (one task a file; convert large ones to lines once), also side by side in one folder; which of
+    them a file is is seen from its first line, unless ``multiline`` says so for all (then no file is looked at
+    beforehand).  Malformed records are skipped (F11; ``read_posts_counted`` counts and lists them); a post without an id gets
+    one from its file and place, so equal records stay apart (the same as long as files are split alike).
     """
+    return _split_records(_read_raw(spark, path, multiline, schema), schema)
+
+
+def read_posts_counted(spark: SparkSession, path: str, multiline: bool | None = None,
+                       schema: T.StructType | None = None) -> SimpleNamespace:
+    """posts, comments, skipped (file, record), and the numbers n_read and n_skipped, all from one scan.
+
+    The records are written once to the checkpoint folder; the numbers are metrics observed on the way."""
+    seen = Observation("read_posts")
     raw = _read_raw(spark, path, multiline, schema)
-    raw = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    raw = raw.where(F.coalesce(*[F.col(c).cast("string") for c in raw.columns if c != "comments"],
-                               F.size("comments").cast("string")).isNotNull())
-    raw = raw.withColumn("post_id", F.coalesce("post_id", F.concat(F.lit("noid-"), F.md5(F.to_json(F.struct(*raw.columns))))))
-    posts = raw.drop("comments")
-    comments = raw.select("post_id", F.posexplode("comments").alias("pos", "c")).select(
-        "post_id", "pos", "c.*")
-    return posts, comments
+    raw = raw.observe(seen, F.count_if(F.col(CORRUPT).isNull()).alias("n_read"),
+                      F.count_if(F.col(CORRUPT).isNotNull()).alias("n_skipped")).checkpoint()
+    posts, comments = _split_records(raw, schema)
+    skipped = raw.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("record"))
+    return SimpleNamespace(posts=posts, comments=comments, skipped=skipped, **seen.get)
+
+
+def skipped_records(spark: SparkSession, path: str, multiline: bool | None = None,
+                    schema: T.StructType | None = None) -> DataFrame:
+    """the records that ``read_posts`` skips, as (file, record)."""
+    return read_posts_counted(spark, path, multiline, schema).skipped
 
 
 def write_posts_json(posts: DataFrame, comments: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -111,65 +135,3 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexis
     """Header, quotes doubled inside quoted fields."""
     (df.write.mode(mode).option("header", True).option("sep", sep)
      .option("escape", '"').option("quoteAll", False).csv(path))
-
-
-def read_discussions(spark: SparkSession, path: str, whole_file: bool = False) -> tuple[DataFrame, DataFrame]:
-    """S2 + U4 + F12, tolerant path: a record is one object or an array of
-    anything; non-objects are skipped but still count for the default title
-    'Discussion {n}'; comment lists may nest lists to any depth.
-
-    Records are JSON lines by default (splittable); ``whole_file=True``
-    reads each file as one record.  Records are parsed as VARIANT; nested
-    comment lists are flattened level by level (``flatten_comment_variants``)
-    so no recursion limit applies.
-    """
-    rd = spark.read.option("wholetext", True) if whole_file else spark.read
-    raw = rd.text(path).select(F.input_file_name().alias("file"),
-                               F.monotonically_increasing_id().alias("rec"),
-                               F.try_parse_json("value").alias("v")).where(F.col("v").isNotNull())
-    arr = raw.select("file", "rec", F.when(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"),
-                                           F.expr("parse_json(concat('[', to_json(v), ']'))"))
-                     .otherwise(F.col("v")).alias("v"))
-    items = arr.select("file", "rec", F.posexplode(F.expr("try_variant_get(v, '$', 'array<variant>')"))
-                       .alias("pos", "item"))
-    objs = items.where(F.expr("schema_of_variant(item) LIKE 'OBJECT%'"))
-    posts = objs.select(
-        F.concat_ws("#", "file", F.col("rec").cast("string"), F.col("pos").cast("string")).alias("post_id"),
-        F.coalesce(F.expr("try_variant_get(item, '$.title', 'string')"),
-                   F.concat(F.lit(rules.DISCUSSION_TITLE_PREFIX), (F.col("pos") + 1).cast("string")))
-        .alias("title"),
-        F.expr("try_variant_get(item, '$.comments', 'variant')").alias("comments_v"))
-    comments = flatten_comment_variants(posts.select("post_id", "comments_v"), "comments_v")
-    return posts.drop("comments_v"), comments
-
-
-def flatten_comment_variants(df: DataFrame, col: str) -> DataFrame:
-    """U4 + F12: depth-first flattening of nested comment lists.
-
-    One explode per nesting level, checkpointed, so the input is scanned once and
-    the plan does not grow with the depth; the path of positions is the
-    depth-first sort key.  Objects are kept, lists go one level deeper,
-    anything else is dropped.  The loop stops when a level has no lists.
-    """
-    cur = df.select("post_id", F.array().cast("array<int>").alias("path"), F.col(col).alias("v")) \
-        .where(F.expr("schema_of_variant(v) LIKE 'ARRAY%'"))
-    out = None
-    while True:
-        ex = cur.select("post_id", "path", F.posexplode(F.expr("try_variant_get(v, '$', 'array<variant>')"))
-                        .alias("p", "item")) \
-            .select("post_id", F.concat("path", F.array("p")).alias("path"), "item").checkpoint()
-        objs = ex.where(F.expr("schema_of_variant(item) LIKE 'OBJECT%'"))
-        out = objs if out is None else out.unionByName(objs)
-        cur = ex.where(F.expr("schema_of_variant(item) LIKE 'ARRAY%'")).withColumnRenamed("item", "v")
-        if cur.limit(1).count() == 0:
-            break
-    flat = out.select("post_id", "path",
-                      F.expr("try_variant_get(item, '$.comment_id', 'string')").alias("comment_id"),
-                      F.expr("try_variant_get(item, '$.text', 'string')").alias("text"),
-                      F.expr("try_variant_get(item, '$.author', 'string')").alias("author"),
-                      F.expr("try_variant_get(item, '$.score', 'bigint')").alias("score"))
-    # Depth-first order = lexicographic order of the position path.  The
-    # path itself is the comment order (``pos`` is only needed as a sort key
-    # downstream), so it is turned into a rank with a window per post.
-    w = Window.partitionBy("post_id").orderBy("path")
-    return flat.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("path")
