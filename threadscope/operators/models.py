@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import numeric as N
 from ..functions import text as X
+from . import embeddings
 from .windows import top_k
 
 
@@ -63,12 +64,16 @@ def sentence_vectors(df: DataFrame, keys, tok_col: str, model) -> DataFrame:
     return df.join(means, keys, "left").withColumn("vector", F.coalesce("_vec", zero)).drop("_vec")
 
 
+#: Points of one group that meet their centroids in one task.
+SALT_ROWS = 100_000
+
+
 def _sqdist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
 def kmeans_per_group(df: DataFrame, group_col: str, id_col: str, vec_col: str,
-                     k_max: int = rules.MAX_CLUSTERS, max_iter: int = 10, seed: int = 42,
+                     k_max: int = rules.MAX_CLUSTERS, max_iter: int = 50, seed: int = 42,
                      tol: float = 1e-9) -> DataFrame:
     """M3: k-means inside every group, k = min(#points, k_max).
 
@@ -79,7 +84,17 @@ def kmeans_per_group(df: DataFrame, group_col: str, id_col: str, vec_col: str,
     """
     # Points are read once per iteration: materialise them (and cut the
     # lineage of whatever produced the vectors) before the loop.
-    pts = df.select(group_col, id_col, F.col(vec_col).cast("array<double>").alias("_v")).checkpoint()
+    pts = df.select(group_col, id_col, F.col(vec_col).cast("array<double>").alias("_v"))
+    # Groups of more than SALT_ROWS points meet their centroids in several tasks: points get a salt
+    # by their id, centroids a copy for each salt.  There are at most 1 / SALT_ROWS as many such groups as points.
+    sizes = pts.groupBy(F.col(group_col).alias("_g")).agg(F.count("*").alias("_n")).where(F.col("_n") > SALT_ROWS)
+    salts = F.broadcast(sizes.select("_g", F.ceil(F.col("_n") / SALT_ROWS).alias("_salts")).checkpoint())
+
+    def salted(d: DataFrame, salt: Column) -> DataFrame:
+        return d.join(salts, F.col(group_col) == F.col("_g"), "left").withColumn("_salt", salt).drop("_g", "_salts")
+
+    n_salts = F.coalesce("_salts", F.lit(1))
+    pts = salted(pts, F.pmod(F.xxhash64(id_col), n_salts)).checkpoint()
     h = F.md5(F.concat_ws("#", F.lit(str(seed)), F.col(id_col).cast("string")))
     init = top_k(pts, [group_col], [h, F.col(id_col)], k_max, "_rk")
     cents = init.select(group_col, (F.col("_rk") - 1).cast("int").alias("cluster"), F.col("_v").alias("_c"))
@@ -87,7 +102,8 @@ def kmeans_per_group(df: DataFrame, group_col: str, id_col: str, vec_col: str,
 
     def assign(c: DataFrame) -> DataFrame:
         arr = c.groupBy(group_col).agg(F.collect_list(F.struct("cluster", "_c")).alias("_cs"))
-        j = pts.join(arr, group_col)
+        arr = salted(arr, F.explode(F.sequence(F.lit(0).cast("long"), n_salts - 1)))
+        j = pts.join(arr, [group_col, "_salt"])
         best = F.array_min(F.transform("_cs", lambda s: F.struct(_sqdist(F.col("_v"), s["_c"]).alias("d"),
                                                                s["cluster"].alias("cluster"))))
         return j.select(group_col, id_col, "_v", best["cluster"].alias("cluster"))
@@ -105,15 +121,31 @@ def kmeans_per_group(df: DataFrame, group_col: str, id_col: str, vec_col: str,
     return assign(cents).select(group_col, id_col, "cluster")
 
 
+def kmeans_corpus(df: DataFrame, vec_col: str = "vector", k: int = 20, max_iter: int = 50, seed: int = 42) -> DataFrame:
+    """M3 over the corpus: topics of all sentences together (k centroids on the driver); appends ``topic``."""
+    from pyspark.ml.clustering import KMeans
+    d = df.withColumn("_features", array_to_vector(vec_col))
+    model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="_features", predictionCol="topic").fit(d)
+    return model.transform(d).drop("_features")
+
+
 def cluster_sentences(aligned: DataFrame, stop_words=None, k_max: int = rules.MAX_CLUSTERS,
-                      seed: int = 42, vector_size: int = 100, max_iter: int = 10) -> DataFrame:
-    """M1-M3 for the summary: Word2Vec vectors of the aligned sentences, then
-    k-means per discussion.  Returns aligned rows + ``cluster``."""
+                      seed: int = 42, vector_size: int = 100, max_iter: int = 50,
+                      embedding: str = "random_index") -> DataFrame:
+    """M1-M3 for the summary: vectors of the aligned sentences, then k-means per discussion.  Returns
+    aligned rows + ``cluster``.
+
+    ``embedding``: ``random_index`` (``embeddings``; no vocabulary on the driver) or ``word2vec``."""
     toks = aligned.select("post_id", "sid", "sentence",
                           sentence_tokens(aligned, "sentence", stop_words).alias("tokens"))
     toks = toks.checkpoint()
-    model = fit_word2vec(toks, "tokens", vector_size=vector_size, seed=seed)
-    vec = sentence_vectors(toks, ["post_id", "sid"], "tokens", model)
+    if embedding == "random_index":
+        vec = embeddings.sentence_vectors(toks, ["post_id", "sid"], "tokens", dim=vector_size)
+    elif embedding == "word2vec":
+        model = fit_word2vec(toks, "tokens", vector_size=vector_size, seed=seed)
+        vec = sentence_vectors(toks, ["post_id", "sid"], "tokens", model)
+    else:
+        raise ValueError(f"unknown embedding {embedding!r}")
     vec = vec.withColumn("_id", F.col("sid"))
     lab = kmeans_per_group(vec, "post_id", "_id", "vector", k_max, max_iter, seed)
     return (toks.join(lab.withColumnRenamed("_id", "sid"), ["post_id", "sid"])

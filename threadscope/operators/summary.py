@@ -176,13 +176,14 @@ def _assemble(steps: SimpleNamespace, picked: DataFrame) -> DataFrame:
 
 def summarize(posts: DataFrame, comments: DataFrame, cluster: str = "none", n: int = 5,
               lexicon=None, stop_words=None, k_max: int = rules.MAX_CLUSTERS,
-              seed: int = 42, vector_size: int = 100, max_iter: int = 20,
-              bucket_width: int = DEFAULT_BUCKET_WIDTH, lemmas: DataFrame | None = None) -> DataFrame:
+              seed: int = 42, vector_size: int = 100, max_iter: int = 50,
+              bucket_width: int = DEFAULT_BUCKET_WIDTH, lemmas: DataFrame | None = None,
+              embedding: str = "random_index") -> DataFrame:
     """One summary row per post.
 
     ``cluster="none"`` (the published 'base' variant): the ``n`` best scored
     sentences, ties to the earlier one, printed in text order.
-    ``cluster="kmeans"``: Word2Vec sentence vectors, k-means inside each
+    ``cluster="kmeans"``: sentence vectors (``embedding``: random_index or word2vec), k-means inside each
     discussion (k = min(#sentences, k_max)), best sentence per cluster.
     """
     steps = summary_steps(posts, comments, lexicon, stop_words, bucket_width, lemmas=lemmas)
@@ -193,7 +194,7 @@ def summarize(posts: DataFrame, comments: DataFrame, cluster: str = "none", n: i
         raise ValueError(f"unknown cluster mode {cluster!r}")
     from .models import cluster_sentences
     labelled = cluster_sentences(steps.aligned, stop_words, k_max=k_max, seed=seed,
-                                 vector_size=vector_size, max_iter=max_iter)
+                                 vector_size=vector_size, max_iter=max_iter, embedding=embedding)
     return _assemble(steps, cluster_representatives(labelled, steps.scores))
 
 

@@ -86,17 +86,8 @@ nvalid AS (SELECT post_id, count(*) AS n_valid FROM v GROUP BY post_id)
 """
 
 
-def summary_sql(n: int = 5, lexicon=None, stop_words=None, comments_sql: str = CONV_COMMENTS) -> str:
-    return summary_ctes(lexicon, stop_words, comments_sql) + f""",
-picked AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY round(score, 9) DESC, sid) AS rk
-    FROM scores) WHERE rk <= {n}
-),
-summ AS (
-  SELECT post_id, '- ' || string_agg(sentence, chr(10) || '- ' ORDER BY first_idx, sid) AS s
-  FROM picked GROUP BY post_id
-)
+#: One row a post from p, nvalid, dist and summ (post_id, s).
+FINAL_SELECT = f"""
 SELECT p.post_id, p.title,
   CASE WHEN nv.n_valid IS NULL THEN {G.q(rules.MSG_NO_COMMENTS)}
        WHEN d.total_comments IS NULL THEN {G.q(rules.MSG_BLANK_TEXT)}
@@ -109,3 +100,17 @@ SELECT p.post_id, p.title,
 FROM p LEFT JOIN nvalid nv USING (post_id) LEFT JOIN dist d USING (post_id)
 LEFT JOIN summ USING (post_id)
 """
+
+
+def summary_sql(n: int = 5, lexicon=None, stop_words=None, comments_sql: str = CONV_COMMENTS) -> str:
+    return summary_ctes(lexicon, stop_words, comments_sql) + f""",
+picked AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY round(score, 9) DESC, sid) AS rk
+    FROM scores) WHERE rk <= {n}
+),
+summ AS (
+  SELECT post_id, '- ' || string_agg(sentence, chr(10) || '- ' ORDER BY first_idx, sid) AS s
+  FROM picked GROUP BY post_id
+)
+""" + FINAL_SELECT

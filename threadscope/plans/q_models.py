@@ -1,20 +1,20 @@
-"""Windows, votes and models (X18, X19, A12, M7, F7 exact; M1-M3, M6, M9,
-A11 rows-only)."""
+"""Windows, votes and models."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import evaluate as EV
+from ..operators import embeddings as EM
 from ..operators import models as MO
 from ..operators import sampling as SA
+from ..operators import softmax as SM
 from ..operators import summary as SU
 from ..session import read_table
 from ..sources.testdata import conversation_comments, conversation_posts
 from . import oracle_summary as O
 from . import sqlgen as G
-from .q_eval import _training
+from .q_eval import _TRAINING_SQL, _training
 from .registry import register
 
 
@@ -90,22 +90,73 @@ def f7_apply_predictions(spark, sf):
         .unionByName(c2.select("post_id", F.col("pos").cast("int"), F.col("sentiment.polarity").alias("polarity")))
 
 
-# ---- rows-only: fitted models --------------------------------------------
-
-@register("m6_e2_train_sentiment")
+# ---- fitted models --------------------------------------------------------
+
+def _features_sql(src: str, keys: str, tokens: str, features: int = 1 << 10) -> str:
+    """(keys, i, v): hashed token counts of each row over their length, and the bias (i = -1)."""
+    return f"""SELECT {keys}, -1 AS i, 1.0::DOUBLE AS v FROM {src} UNION ALL
+  SELECT {keys}, i, n / sqrt(CAST(sum(n * n) OVER (PARTITION BY {keys}) AS DOUBLE)) FROM (
+    SELECT {keys}, i, count(*) AS n FROM (SELECT {keys}, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % {features} AS INTEGER) AS i
+      FROM (SELECT {keys}, unnest({tokens}) AS w FROM {src})) GROUP BY ALL)"""
+
+
+def _softmax_ctes(rows: str, epochs: int, rate: float = 1.5, reg: float = 1e-4, features: int = 1 << 10) -> str:
+    """Full-batch gradient steps of the softmax classifier as a recursive query: ``fit`` (epoch, i, c, w; i = -1: bias)."""
+    return f"""
+x AS (SELECT row_number() OVER () AS r, text, label FROM {rows}),
+xt AS (SELECT r, label, {G.tokens('text', clean=False)} AS t FROM x),
+feat AS ({_features_sql('xt', 'r, label', 't', features)}),
+fit(epoch, i, c, w) AS (
+  SELECT 0, i, c, CAST(0 AS DOUBLE) FROM range(-1, {features}) t(i), range(3) u(c)
+  UNION ALL
+  SELECT o.epoch + 1, o.i, o.c, o.w - {rate} * (coalesce(g.g, 0) / (SELECT count(*) FROM x) + CASE WHEN o.i >= 0 THEN {reg} * o.w ELSE 0 END)
+  FROM fit o LEFT JOIN (
+    SELECT f.i, p.c, sum(f.v * (p.p - CASE WHEN f.label = p.c THEN 1 ELSE 0 END)) AS g FROM feat f JOIN (
+      SELECT r, c, exp(z - max(z) OVER (PARTITION BY r)) / sum(exp(z)) OVER (PARTITION BY r) * exp(max(z) OVER (PARTITION BY r)) AS p FROM (
+        SELECT f.r, w.c, sum(f.v * w.w) AS z FROM feat f JOIN fit w ON w.i = f.i GROUP BY f.r, w.c)) p USING (r)
+    GROUP BY f.i, p.c) g ON g.i = o.i AND g.c = o.c
+  WHERE o.epoch < {epochs})"""
+
+
+_SPLIT_SQL = """
+rk AS (SELECT text, label, row_number() OVER (ORDER BY md5('42#' || kind || '#' || CAST(post_id AS VARCHAR)
+        || '#' || CAST(pos AS VARCHAR))) AS rk, count(*) OVER () AS n FROM tr)"""
+
+
+@register("m6_e2_train_sentiment", f"""
+WITH RECURSIVE {_TRAINING_SQL}, {_SPLIT_SQL},
+{_softmax_ctes('(SELECT * FROM rk WHERE rk > ceil(0.2 * n))', 10)},
+test AS (SELECT row_number() OVER () AS r, label, {G.tokens('text', clean=False)} AS t FROM rk WHERE rk <= ceil(0.2 * n)),
+tf AS ({_features_sql('test', 'r, label', 't')}),
+pairs AS (SELECT epoch, label AS actual, arg_max(c, z) AS predicted FROM (
+  SELECT f.r, f.label, w.epoch, w.c, round(sum(f.v * w.w), 12) - w.c * 1e-13 AS z FROM tf f JOIN fit w ON w.i = f.i WHERE w.epoch > 0
+  GROUP BY f.r, f.label, w.epoch, w.c) GROUP BY epoch, r, label),
+cls AS (SELECT epoch, c, count(*) FILTER (WHERE actual = c AND predicted = c) AS tp, count(*) FILTER (WHERE actual = c) AS support,
+          count(*) FILTER (WHERE predicted = c) AS npred FROM pairs, range(3) t(c) GROUP BY epoch, c),
+pr AS (SELECT *, CASE WHEN npred = 0 THEN 0.0 ELSE tp / npred END AS p, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS r FROM cls)
+SELECT CAST(epoch AS INTEGER) AS epoch, round(sum(tp) / sum(support), 6) AS accuracy, round(sum(p * support) / sum(support), 6) AS precision,
+  round(sum(r * support) / sum(support), 6) AS recall,
+  round(sum(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END * support) / sum(support), 6) AS f1
+FROM pr GROUP BY epoch""")
 def m6_e2_train_sentiment(spark, sf):
+    """Softmax regression on four fifths of the labelled texts; weighted metrics of the rest after each of ten epochs."""
     t = SA.train_test_split(_training(spark, sf), ["kind", "post_id", "pos"], 0.2, 42).checkpoint()
-    model = MO.train_sentiment(t.where(F.col("split") == "train"), max_iter=30)
-    pred = model.transform(t.where(F.col("split") == "test"))
-    return EV.weighted_metrics(pred.select(F.col("label").alias("actual"),
-                                           F.col("prediction").cast("int").alias("predicted")))
-
-
-@register("m7_predict_polarity_trained_model")
+    model = SM.train(t.where(F.col("split") == "train"), epochs=10, tol=0.0)
+    metrics = SM.evaluate_epochs(model, t.where(F.col("split") == "test"))
+    return metrics.select("epoch", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@register("m7_predict_polarity_trained_model", f"""
+WITH RECURSIVE {_TRAINING_SQL}, {_softmax_ctes('tr', 5)},
+win AS (SELECT row_number() OVER () AS r, doc_id, chunk FROM {G.windows_sql('documents', 'doc_id', 'text', 64, 32)}),
+wf AS ({_features_sql('win', 'r, doc_id', 'chunk')}),
+voted AS (SELECT doc_id, r, arg_max(c, z) - 1 AS polarity FROM (
+  SELECT f.doc_id, f.r, w.c, round(sum(f.v * w.w), 12) - w.c * 1e-13 AS z FROM wf f JOIN fit w ON w.i = f.i WHERE w.epoch = 5
+  GROUP BY f.doc_id, f.r, w.c) GROUP BY doc_id, r)
+SELECT doc_id, CAST(round_even(avg(polarity), 0) AS INTEGER) AS polarity FROM voted GROUP BY doc_id""")
 def m7_predict_polarity_trained_model(spark, sf):
-    model = MO.train_sentiment(_training(spark, sf), max_iter=20)
-    return MO.predict_polarity(_docs(spark, sf), ["doc_id"], "text", scorer=MO.model_scorer(model),
-                               size=64, overlap=32)
+    model = SM.train(_training(spark, sf), epochs=5, tol=0.0)
+    return MO.predict_polarity(_docs(spark, sf), ["doc_id"], "text", scorer=model.scorer(), size=64, overlap=32)
 
 
 def _aligned(spark, sf):
@@ -124,19 +175,58 @@ def m1_word2vec_vocabulary(spark, sf):
     return model.getVectors().select("word", F.lit(model.getVectorSize()).alias("dim"))
 
 
-@register("a11_m2_sentence_vectors")
+def _vector_ctes() -> str:
+    """Random indexing over the aligned sentences: ``vecs`` (post_id, sid, v: 100 doubles)."""
+    return O.summary_ctes() + f""",
+tk AS (SELECT post_id, sid, sentence, list_filter({G.tokens('sentence')}, lambda w: w NOT IN ({G.stop_words_list()})) AS t FROM aligned),
+occ AS (SELECT post_id, sid, unnest(t) AS w, generate_subscripts(t, 1) AS i, len(t) AS n FROM tk),
+near AS (SELECT a.w, b.w AS o, count(*) AS n FROM occ a JOIN occ b ON a.post_id = b.post_id AND a.sid = b.sid
+         AND a.i <> b.i AND abs(a.i - b.i) <= 5 GROUP BY a.w, b.w),
+ent AS (SELECT o, ('0x' || substr(md5(o), 8 * j + 1, 8))::BIGINT AS e FROM (SELECT DISTINCT o FROM near), range(4) t(j)),
+sums AS (SELECT w, e % 100 AS d, sum(n * CASE WHEN (e // 100) % 2 = 0 THEN 1 ELSE -1 END) AS x FROM near JOIN ent USING (o) GROUP BY 1, 2),
+unit AS (SELECT w, d, floor(x * 1000000.0::DOUBLE / sqrt(CAST(sum(x * x) OVER (PARTITION BY w) AS DOUBLE)) + 0.5) AS q FROM sums
+         QUALIFY sum(x * x) OVER (PARTITION BY w) > 0),
+sv AS (SELECT post_id, sid, d, sum(q) / (any_value(n) * 1000000.0::DOUBLE) AS x FROM occ JOIN unit USING (w) GROUP BY post_id, sid, d),
+vecs AS (SELECT post_id, sid, sentence, list(coalesce(x, 0.0::DOUBLE) ORDER BY d) AS v
+         FROM (SELECT post_id, sid, sentence, unnest(range(100)) AS d FROM tk) LEFT JOIN sv USING (post_id, sid, d) GROUP BY post_id, sid, sentence)"""
+
+
+@register("a11_m2_sentence_vectors", _vector_ctes() + """
+SELECT post_id, sid, CAST(len(v) AS INTEGER) AS dim, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm,
+       round(list_sum(list_transform(v, lambda x, i: x * i)) + 1e-9, 6) AS moment FROM vecs""")
 def a11_m2_sentence_vectors(spark, sf):
     a = _aligned(spark, sf)
     toks = a.select("post_id", "sid", MO.sentence_tokens(a, "sentence").alias("tokens")).checkpoint()
-    model = MO.fit_word2vec(toks, "tokens")
-    v = MO.sentence_vectors(toks, ["post_id", "sid"], "tokens", model)
+    v = EM.sentence_vectors(toks, ["post_id", "sid"])
     return v.select("post_id", "sid", F.size("vector").alias("dim"),
-                    F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+                    F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"),
+                    F.round(F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x) + 1e-9, 6).alias("moment"))
+
 
+def _lloyd_ctes(points: str, iters: int = 30, k: int = 5, seed: int = 42) -> str:
+    """Lloyd's iterations over ``points`` (g, id, v) as a recursive query: ``labels`` (g, id, cl)."""
+    nearest = """(SELECT g, id, v, cl FROM (SELECT p.g, p.id, p.v, c.cl, row_number() OVER (PARTITION BY p.g, p.id ORDER BY
+      list_sum(list_transform(list_zip(p.v, c.c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), c.cl) AS rk
+      FROM pts p JOIN {cents} c ON p.g = c.g) WHERE rk = 1)"""
+    return f"""
+pts AS (SELECT g, id, v FROM {points}),
+lloyd(it, g, cl, c) AS (
+  SELECT 0, g, cl, v FROM (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY md5('{seed}#' || CAST(id AS VARCHAR)), id) - 1 AS cl FROM pts)
+  WHERE cl < {k}
+  UNION ALL
+  SELECT o.it + 1, o.g, o.cl, coalesce(m.c, o.c) FROM lloyd o LEFT JOIN (
+    SELECT g, cl, list(x ORDER BY d) AS c FROM (SELECT g, cl, d, avg(x) AS x FROM (
+      SELECT g, cl, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM {nearest.format(cents='lloyd')}) GROUP BY g, cl, d) GROUP BY g, cl) m
+    ON m.g = o.g AND m.cl = o.cl WHERE o.it < {iters}),
+labels AS (SELECT g, id, cl FROM {nearest.format(cents=f'(SELECT * FROM lloyd WHERE it = {iters})')})"""
 
-@register("m3_kmeans_sentences")
+
+_SENTENCE_CLUSTERS = _vector_ctes().replace("WITH ", "WITH RECURSIVE ", 1) + "," + _lloyd_ctes("(SELECT post_id AS g, sid AS id, v FROM vecs)")
+
+
+@register("m3_kmeans_sentences", _SENTENCE_CLUSTERS + " SELECT g AS post_id, id AS sid, CAST(cl AS INTEGER) AS cluster FROM labels")
 def m3_kmeans_sentences(spark, sf):
-    return MO.cluster_sentences(_aligned(spark, sf), max_iter=5).select("post_id", "sid", "cluster")
+    return MO.cluster_sentences(_aligned(spark, sf)).select("post_id", "sid", "cluster")
 
 
 def _kmeans_sql(iters: int = 10, k: int = 5, seed: int = 42) -> str:
@@ -168,12 +258,24 @@ def m3_kmeans_embeddings(spark, sf):
     return MO.kmeans_per_group(e, "label", "vec_id", "embedding", k_max=5, max_iter=10)
 
 
-@register("m9_summary_kmeans")
-def m9_summary_kmeans(spark, sf):
-    return SU.summarize(conversation_posts(spark, sf), conversation_comments(spark, sf),
-                        cluster="kmeans", max_iter=5)
+@register("m3_kmeans_one_group", "WITH RECURSIVE " + _lloyd_ctes("(SELECT 0 AS g, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)", 20)
+          + " SELECT id AS vec_id, CAST(cl AS INTEGER) AS cluster FROM labels")
+def m3_kmeans_one_group(spark, sf):
+    """All points in one group (20 iterations at most): it is spread by salts, whatever its size."""
+    e = read_table(spark, sf, "embeddings").withColumn("all", F.lit(0))
+    return MO.kmeans_per_group(e, "all", "vec_id", "embedding", k_max=5, max_iter=20).select("vec_id", "cluster")
 
 
+@register("m9_summary_kmeans", _SENTENCE_CLUSTERS + f""",
+firsts AS (SELECT post_id, sentence, min(sid) AS first_idx FROM aligned GROUP BY post_id, sentence),
+best AS (SELECT a.post_id, a.sid, a.sentence, f.first_idx, row_number() OVER (PARTITION BY a.post_id, l.cl
+           ORDER BY round(coalesce(s.score, 0.0), 9) DESC, a.sid) AS rk
+         FROM aligned a JOIN labels l ON l.g = a.post_id AND l.id = a.sid JOIN firsts f ON f.post_id = a.post_id AND f.sentence = a.sentence
+         LEFT JOIN scores s ON s.post_id = a.post_id AND s.sid = a.sid),
+summ AS (SELECT post_id, '- ' || string_agg(sentence, chr(10) || '- ' ORDER BY first_idx, sid) AS s FROM best WHERE rk = 1 GROUP BY post_id)
+{O.FINAL_SELECT}""")
+def m9_summary_kmeans(spark, sf):
+    return SU.summarize(conversation_posts(spark, sf), conversation_comments(spark, sf), cluster="kmeans")
 
 
 def _word_count_network():
