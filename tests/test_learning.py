@@ -148,3 +148,23 @@ def test_labelled_pairs_need_both_sides(spark):
     comments = spark.createDataFrame([("p", (-0.2, 0.0, -1.0, 0.0))], schema)
     rows = sorted(tuple(r) for r in EV.labelled_pairs(posts, comments).collect())
     assert rows == [("comment", "Polarity", -1, -1), ("comment", "Subjectivity", 0, 0), ("post", "Polarity", 1, 1), ("post", "Subjectivity", 1, 1)]
+
+
+def test_w7_border_inside_equal_keys(spark):
+    from threadscope.operators import sampling as SA
+    rows = [("same", i) for i in range(40)] + [("other", i) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = SA.train_test_split(df, "k", 0.2).collect()
+    assert Counter(r.split for r in got) == {"test": 9, "train": 34} and sorted((r.k, r.v) for r in got) == sorted(rows)
+    whole = SA.train_test_split(df, "k", 0.5, split_by="key").collect()
+    assert len({(r.k, r.split) for r in whole}) == 2 and {r.split for r in whole} == {"test", "train"}
+    assert SA.train_test_split(df.limit(0), "k").count() == 0
+
+
+def test_w7_posts_keep_their_comments(spark):
+    from threadscope.operators import sampling as SA
+    posts = spark.createDataFrame([(f"p{i}",) for i in range(30)], "post_id string")
+    comments = spark.createDataFrame([(f"p{i % 30}", i) for i in range(300)], "post_id string, pos int")
+    p, c = SA.split_posts(posts, comments)
+    side = {r.post_id: r.split for r in p.collect()}
+    assert Counter(side.values())["test"] == 6 and all(side[r.post_id] == r.split for r in c.collect())

@@ -94,22 +94,67 @@ def hash_threshold(df: DataFrame, h: Column, k: int, prefix: int = 4, collect_li
 
 
 def train_test_split(df: DataFrame, key_cols, test_fraction: float = 0.2, seed: int = 42,
-                     out_col: str = "split") -> DataFrame:
-    """ceil(test_fraction * n) rows go to 'test' (and with the last of them
-    all rows of an equal key), chosen by the rank of md5(seed#key); the threshold is found by ``hash_threshold``
-    (histogram passes), so no global sort or single-partition window runs."""
+                     out_col: str = "split", split_by: str = "row") -> DataFrame:
+    """ceil(test_fraction * n) rows, or with ``split_by="key"`` keys with all their rows, go to 'test', chosen by the
+    rank of md5(seed#key).
+
+    The threshold is found by ``hash_threshold`` (histogram passes), so no global sort or single-partition window runs; rows
+    follow it inside the row.  Rows of the one key that the border falls into are told apart by a second hash, of their
+    place in a written copy."""
+    if split_by not in ("row", "key"):
+        raise ValueError(f"unknown split_by {split_by!r}")
     key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     h = _hash_key(seed, key_cols)
     # The count and the histogram passes read only the hashes: materialise
     # that one narrow column once instead of recomputing ``df`` per pass.
-    hashes = df.select(h.alias("_h")).checkpoint()
+    hashes = df.select(h.alias("_h"))
+    hashes = (hashes.distinct() if split_by == "key" else hashes).checkpoint()
     n = hashes.count()
     k = math.ceil(test_fraction * n)
     thr = hash_threshold(hashes, F.col("_h"), k)
     test = F.lit(False) if thr is None else (h <= F.lit(thr))
+    if thr is not None and split_by == "row":
+        counts = hashes.agg(F.count_if(F.col("_h") < thr).alias("below"), F.count_if(F.col("_h") == thr).alias("equal")).first()
+        wanted = k - counts["below"]
+        if wanted < counts["equal"]:
+            df = df.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+            second = F.md5(F.col("_at").cast("string"))
+            cut = hash_threshold(df.where(h == F.lit(thr)).select(second.alias("_h")), F.col("_h"), wanted)
+            test = (h < F.lit(thr)) | ((h == F.lit(thr)) & (second <= F.lit(cut)))
+            return df.withColumn(out_col, F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("_at")
     return df.withColumn(out_col, F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
+def split_posts(posts: DataFrame, comments: DataFrame, test_fraction: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """W7 by post: ``split`` on both tables; a post and its comments never part.  Comments follow their post's id, without a join."""
+    h = _hash_key(seed, ["post_id"])
+    hashes = posts.select(h.alias("_h")).distinct().checkpoint()
+    thr = hash_threshold(hashes, F.col("_h"), math.ceil(test_fraction * hashes.count()))
+    side = F.when(h <= F.lit(thr), "test").otherwise("train") if thr is not None else F.lit("train")
+    return posts.withColumn("split", side), comments.withColumn("split", side)
+
+
+def labelled_records(posts: DataFrame, comments: DataFrame, truth: str = "actual_polarity") -> tuple[DataFrame, DataFrame]:
+    """The labelled record of every post: id, title, sentiment and (if it has one) its true polarity, with those of its comments that
+    have a text and a true polarity of their own."""
+    p = posts.select("post_id", F.coalesce("title", F.lit("")).alias("title"), "sentiment", F.col(f"sentiment.{truth}").alias(truth))
+    c = comments.where(F.col("text").isNotNull() & F.col(f"sentiment.{truth}").isNotNull()).select(
+        "post_id", "pos", "comment_id", "text", "sentiment")
+    return p, c
+
+
+def write_split_records(posts: DataFrame, comments: DataFrame, path: str, test_fraction: float = 0.2, seed: int = 42,
+                        truth: str = "actual_polarity") -> dict[str, str]:
+    """Labelled records as JSON lines in ``<path>/train`` and ``<path>/test``, split by post."""
+    from ..sources.posts_io import write_posts_json
+    p, c = split_posts(*labelled_records(posts, comments, truth), test_fraction, seed)
+    out = {}
+    for side in ("train", "test"):
+        out[side] = f"{path.rstrip('/')}/{side}"
+        write_posts_json(p.where(F.col("split") == side).drop("split"), c.where(F.col("split") == side).drop("split"), out[side])
+    return out
+
+
 def training_rows(posts: DataFrame, comments: DataFrame, truth: str = "actual_polarity") -> DataFrame:
     """Labelled post titles and comment texts as (text, label 0/1/2)."""
     p = posts.where(F.col(truth).isNotNull() & F.col("title").isNotNull()).select(

@@ -18,7 +18,8 @@ from ..operators import rouge as RG
 from ..operators import sampling as SA
 from ..operators import stats as ST
 from ..operators import summary as SU
-from ..session import read_table
+from ..session import read_table, scratch_path
+from ..sources import posts_io as PIO
 from ..sources.testdata import conversation_comments, conversation_posts
 from . import oracle_summary as OS
 from . import sqlgen as G
@@ -157,8 +158,16 @@ st AS (SELECT "Evaluation Metrics" AS Metric, Polarity, Subjectivity, 'lexicon'
 
 
 def _stacked(spark, sf):
-    return EV.compare_models([EV.tag_metrics(_table(spark, sf), MODELS[0]),
-                              EV.tag_metrics(_table(spark, sf, NEG_LEXICON), MODELS[1])])
+    """Both models over one scan of the texts, their tables by two aggregations."""
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    lab = read_table(spark, sf, "labels")
+    for i, lexicon in enumerate((None, NEG_LEXICON)):
+        d = EN.lexicon_sentiment(d, "text", lexicon, f"s{i}", ["doc_id"])
+    models = F.array(*[F.struct(F.lit(m).alias("Model"), N.make_int(F.round(f"s{i}.polarity", 9)).alias("predicted"),
+                                N.make_int(F.round(f"s{i}.subjectivity", 9)).alias("predicted_subj")) for i, m in enumerate(MODELS)])
+    pairs = d.join(lab, "doc_id").select(_truth(lab).alias("actual"), lab["quality"].cast("int").alias("actual_subj"), F.explode(models).alias("m"))
+    tables = EV.metrics_tables(EV.stack_tasks(pairs.select("actual", "actual_subj", "m.*"), ["Model"]), ["Model"])
+    return tables.withColumnRenamed("Evaluation Metrics", "Metric").select("Metric", "Polarity", "Subjectivity", "Model")
 
 
 @register("u2_compare_models", _stack_sql() +
@@ -337,3 +346,89 @@ def j7_truth_prediction_join(spark, sf):
     votes = MO.predict_polarity(d, ["doc_id"], "text", size=64, overlap=32)
     truth = _pairs(spark, sf).select("doc_id", "actual")
     return truth.join(votes, "doc_id").select("doc_id", "actual", F.col("polarity").alias("predicted"))
+
+
+# ---- from post files ---------------------------------------------------------
+
+def _labelled_posts_comments(spark, sf):
+    """Posts (documents with labels) and comments (conversations; every fourth without truth), with a ``sentiment`` of four values:
+    the lexicon's are predicted; true are the label of a document and the sign of the data lexicon of a comment."""
+    def sentiment(pol, subj, true_pol, true_subj):
+        return F.struct(pol.alias("polarity"), subj.alias("subjectivity"), true_pol.cast("double").alias("actual_polarity"),
+                        true_pol.cast("double").alias("actual polarity"), true_subj.cast("double").alias("actual subjectivity"))
+
+    lab = read_table(spark, sf, "labels")
+    d = EN.lexicon_sentiment(read_table(spark, sf, "documents").select("doc_id", "text"), "text", None, "s")
+    posts = d.join(lab, "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("post_id"), F.col("text").alias("title"), sentiment(
+        F.round("s.polarity", 9), F.round("s.subjectivity", 9), _truth(lab), lab["quality"]).alias("sentiment"))
+    conversations = conversation_posts(spark, sf).select(F.concat(F.lit("c"), "post_id").alias("post_id"), "title",
+                                                         F.lit(None).cast(posts.schema["sentiment"].dataType).alias("sentiment"))
+    c = conversation_comments(spark, sf)
+    for name, lexicon in (("s", None), ("t", DATA_LEXICON)):
+        c = EN.lexicon_sentiment(c, "text", lexicon, name)
+    truth = F.when((F.col("pos") + 1) % 4 != 0, N.make_int(F.round("t.polarity", 9)))
+    comments = c.select(F.concat(F.lit("c"), "post_id").alias("post_id"), "pos", "comment_id", "text", sentiment(
+        F.round("s.polarity", 9), F.round("s.subjectivity", 9), truth, truth).alias("sentiment"))
+    return posts.unionByName(conversations), comments
+
+
+_LABELLED_SQL = f"""
+lp AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS post_id, actual, predicted, actual_subj, predicted_subj FROM pairs),
+lc AS (SELECT 'c' || CAST(c.conv_id AS VARCHAR) AS post_id, CAST(c.conv_id AS VARCHAR) || '_' || CAST(c.turn AS VARCHAR) AS comment_id,
+  CASE WHEN c.turn % 4 <> 0 THEN CAST(sign(round(coalesce(t.pol, 0.0), 9)) AS INTEGER) END AS truth,
+  CAST(sign(round(coalesce(s.pol, 0.0), 9)) AS INTEGER) AS predicted, CAST(sign(round(coalesce(s.subj, 0.0), 9)) AS INTEGER) AS predicted_subj, c.text
+  FROM conversations c LEFT JOIN {G.lexicon_scores('conversations', 'conv_id, turn', 'text')} s USING (conv_id, turn)
+  LEFT JOIN {G.lexicon_scores('conversations', 'conv_id, turn', 'text', DATA_LEXICON)} t USING (conv_id, turn) WHERE c.turn > 0)"""
+
+_STACKED_SQL = """
+SELECT 'post' AS kind, 'Polarity' AS task, actual, predicted FROM lp UNION ALL SELECT 'post', 'Subjectivity', actual_subj, predicted_subj FROM lp
+UNION ALL SELECT 'comment', 'Polarity', truth, predicted FROM lc WHERE truth IS NOT NULL
+UNION ALL SELECT 'comment', 'Subjectivity', truth, predicted_subj FROM lc WHERE truth IS NOT NULL"""
+
+
+def _read_labelled(spark, sf):
+    path = scratch_path(spark, "labelled")
+    PIO.write_posts_json(*_labelled_posts_comments(spark, sf), path)
+    return PIO.read_posts(spark, path)
+
+
+@register("f6_pairs_from_posts_comments", f"WITH {_pairs_sql().strip()}, {_LABELLED_SQL}, st AS ({_STACKED_SQL}) "
+          "SELECT kind, task, CAST(actual AS INTEGER) AS actual, CAST(predicted AS INTEGER) AS predicted, count(*) AS n FROM st GROUP BY ALL")
+def f6_pairs_from_posts_comments(spark, sf):
+    """Pairs from a post file: every sentiment with a true and a predicted value, of posts and of comments."""
+    pairs = EV.labelled_pairs(*_read_labelled(spark, sf))
+    return pairs.groupBy("kind", "task", "actual", "predicted").agg(F.count("*").alias("n"))
+
+
+def _metrics_of_stack_sql(src: str) -> str:
+    return f"""
+cl AS (SELECT task, cls, sum(tp) AS tp, sum(support) AS support, sum(npred) AS npred FROM (
+  SELECT task, actual AS cls, CASE WHEN actual = predicted THEN 1 ELSE 0 END AS tp, 1 AS support, 0 AS npred FROM {src}
+  UNION ALL SELECT task, predicted, 0, 0, 1 FROM {src}) GROUP BY task, cls),
+pr AS (SELECT *, CASE WHEN npred = 0 THEN 0.0 ELSE tp / npred END AS p, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS r FROM cl),
+m AS (SELECT task, avg(p) AS p, avg(r) AS r, sum(tp) / sum(support) AS a, avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END) AS f
+      FROM pr GROUP BY task),
+long AS (SELECT task, unnest(['Precision', 'Recall', 'Accuracy', 'F1 Score']) AS k, unnest([p, r, a, f]) AS v FROM m)
+SELECT k AS "Evaluation Metrics", round(max(v) FILTER (WHERE task = 'Polarity'), 6) AS Polarity,
+       round(max(v) FILTER (WHERE task = 'Subjectivity'), 6) AS Subjectivity FROM long GROUP BY k"""
+
+
+@register("e5_from_posts_comments", f"WITH {_pairs_sql().strip()}, {_LABELLED_SQL}, st AS ({_STACKED_SQL}), {_metrics_of_stack_sql('st')}")
+def e5_from_posts_comments(spark, sf):
+    """The metric table of a post file, posts and comments together."""
+    return _round_all(EV.metrics_tables(EV.labelled_pairs(*_read_labelled(spark, sf))), ["Polarity", "Subjectivity"])
+
+
+@register("w7_labelled_records", f"""
+WITH {_pairs_sql().strip()}, {_LABELLED_SQL},
+po AS (SELECT post_id, actual FROM lp UNION ALL SELECT 'c' || CAST(conv_id AS VARCHAR), NULL FROM conversations WHERE turn = 0),
+rk AS (SELECT *, row_number() OVER (ORDER BY md5('42#' || post_id)) AS rk, count(*) OVER () AS n FROM po)
+SELECT CASE WHEN rk <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS split, rk.post_id, CAST(rk.actual AS INTEGER) AS actual,
+       (SELECT count(*) FROM lc WHERE lc.post_id = rk.post_id AND lc.truth IS NOT NULL AND lc.text IS NOT NULL) AS n_comments FROM rk""")
+def w7_labelled_records(spark, sf):
+    """Labelled records written as train and test files, split by post, and read back: a post keeps its labelled comments."""
+    paths = SA.write_split_records(*_labelled_posts_comments(spark, sf), scratch_path(spark, "records"))
+    schema = "post_id string, title string, actual_polarity double, comments array<struct<comment_id: string>>"
+    sides = [spark.read.schema(schema).json(path).select(F.lit(side).alias("split"), "post_id", F.col("actual_polarity").cast("int").alias("actual"),
+                                                         F.size("comments").cast("long").alias("n_comments")) for side, path in paths.items()]
+    return sides[0].unionByName(sides[1])
