@@ -46,7 +46,8 @@ def test_split_of_equal_keys_ends(spark):
     df = spark.createDataFrame([(1,)] * 40 + [(2,)] * 3, "k long")
     h = SA._hash_key(42, ["k"])
     assert SA.hash_threshold(df, h, 5, collect_limit=10) in {r[0] for r in df.select(h).distinct().collect()}
-    got = SA.train_test_split(df, "k").groupBy("k").agg(F.countDistinct("split").alias("n")).collect()
+    assert SA.train_test_split(df, "k").where("split = 'test'").count() == 9  # ceil(0.2 * 43), also inside equal keys
+    got = SA.train_test_split(df, "k", split_by="key").groupBy("k").agg(F.countDistinct("split").alias("n")).collect()
     assert all(r.n == 1 for r in got)
 
 
@@ -74,3 +75,19 @@ def test_posts_from_array_files_and_lines(spark, tmp_path):
         assert found.count() == 2 and comments.count() == 1
         assert found.where("title = 'no id' and post_id like 'noid-%'").count() == 1
         assert IO.skipped_records(spark, path).count() == skipped
+
+
+def test_keyword_index_beyond_the_filter(spark, monkeypatch):
+    """Reduced fingerprints let more strings through, the join decides: same rows."""
+    from threadscope.operators import fingerprints as FP
+    texts = [(i, f"Text {i} naïve 🙂 key{i % 50} and key{i % 7}{i % 3} " + "pad " * (i % 40)) for i in range(200)] + [(None, None), (None, "key1")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    dic = spark.createDataFrame([(f"KEY{i}",) for i in range(60)] + [("naïve 🙂",), ("🙂 k",), ("d",), ("",), ("pad " * 30,)], "keyword string")
+    rows = lambda m: sorted(map(str, EN.match_keywords(df, ["id"], "text", dic, method=m).collect()))
+    expected = rows("broadcast")
+    assert rows("index") == expected and len(expected) > 300
+    monkeypatch.setattr(FP, "FILTER_LIMIT", 20)
+    monkeypatch.setattr(FP, "BATCH_CHARS", 100)
+    assert rows("index") == expected
+    assert EN.match_keywords(df, ["id"], "text", dic.limit(0), method="index").count() == 0
+    assert EN.match_keywords(df.limit(0), ["id"], "text", dic, method="index").count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import keywords as K
 from ..functions import text as X
+from .fingerprints import keyword_hits
 
 # A lexicon this small (rows) is inlined as a literal map (look-ups scan its keys);
 # larger ones are joined, with the same result.
@@ -16,7 +17,7 @@ INLINE_LIMIT = 256
 # Entries that a stream or a window scorer takes as literals; more is an error.
 LITERAL_LIMIT = 100_000
 KEYWORD_BROADCAST_LIMIT = 1_000
-PREFIX_BROADCAST_LIMIT = 1_000_000
+KEYWORD_BROADCAST_CHARS = 100_000
 
 LEXICON_SCHEMA = "word string, polarity double, subjectivity double"
 
@@ -199,11 +200,10 @@ def match_keywords(df: DataFrame, id_cols, text, dictionary: DataFrame,
     """(row, keyword) for every dictionary keyword that is a substring of
     lower(text).
 
-    At most KEYWORD_BROADCAST_LIMIT keywords (a checked count; ``method="index"`` or
-    ``"automaton"`` forgo this) are broadcast and tested with ``contains``.  Else each
-    place of a text whose next characters start some keyword yields the strings of
-    just the lengths that such keywords have, and these join the dictionary on the
-    whole keyword: what joins is a match, nothing else is shipped.  Same rows either way.
+    At most KEYWORD_BROADCAST_LIMIT keywords of at most KEYWORD_BROADCAST_CHARS characters together (checked;
+    ``method="index"`` forgoes this, as does its old name ``"automaton"``) are broadcast and tested with
+    ``contains``.  Else rolling fingerprints (``fingerprints``) find the strings of a text that may be keywords, and these join the dictionary
+    on the whole keyword.  Same rows either way.
     """
     id_cols = list(id_cols)
     kw = (dictionary.select(F.lower(F.col(keyword_col)).alias("_kw"), *[
@@ -211,26 +211,20 @@ def match_keywords(df: DataFrame, id_cols, text, dictionary: DataFrame,
     x = df.select(*id_cols, K.lower_text(text).alias("_x"))
     rest = [c for c in kw.columns if c != "_kw"]
     order = [*id_cols, F.col("_kw").alias(keyword_col), *rest]
-    if method in ("auto", "broadcast") and _bounded_count(kw, KEYWORD_BROADCAST_LIMIT) <= KEYWORD_BROADCAST_LIMIT:
+    if method not in ("auto", "broadcast", "index", "automaton"):
+        raise ValueError(f"unknown method {method!r}")
+    if method in ("auto", "broadcast") and _fits(kw, "_kw"):
         return x.join(F.broadcast(kw), F.col("_x").contains(F.col("_kw"))).select(*order)
-    # one row a keyword start (up to three characters), with its keywords' lengths
-    starts = kw.groupBy(F.substring("_kw", 1, 3).alias("_g")).agg(F.collect_set(F.length("_kw")).alias("_lens"))
-    if _bounded_count(starts, PREFIX_BROADCAST_LIMIT) <= PREFIX_BROADCAST_LIMIT:
-        starts = F.broadcast(starts)
-    # A character array gives each place in constant time (substring on
-    # UTF-8 by character position would rescan the text).  Rows are told apart by a
-    # number that is used within this one pass only.
-    chars = x.select(*id_cols, F.monotonically_increasing_id().alias("_u"), F.split("_x", "").alias("_c"))
-    grams = (chars.select(*id_cols, "_u", "_c", F.posexplode("_c").alias("_i", "_ch"))
-             .select(*id_cols, "_u", "_c", "_i", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size("_c") - F.col("_i")))).alias("_w"))
-             .select(*id_cols, "_u", "_c", "_i", F.array_join(F.expr("slice(_c, _i + 1, _w)"), "").alias("_g")))
-    found = (grams.join(starts, "_g").select(*id_cols, "_u", "_c", "_i", F.length("_g").alias("_w"), F.explode("_lens").alias("_n"))
-             # a start of under three characters is the whole keyword
-             .where(((F.col("_w") == 3) & (F.col("_n") >= 3) | (F.col("_w") == F.col("_n"))) & (F.col("_i") + F.col("_n") <= F.size("_c")))
-             .select(*id_cols, "_u", F.array_join(F.expr("slice(_c, _i + 1, _n)"), "").alias("_kw")).distinct())
+    found = keyword_hits(x, id_cols, F.col("_x"), kw.select("_kw"), "_kw")
     return found.join(kw, "_kw").select(*order)
 
 
+def _fits(kw: DataFrame, col: str) -> bool:
+    """Whether a keyword table may be broadcast, by rows and by characters."""
+    head = kw.limit(KEYWORD_BROADCAST_LIMIT + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(col)), F.lit(0))).first()
+    return head[0] <= KEYWORD_BROADCAST_LIMIT and head[1] <= KEYWORD_BROADCAST_CHARS
+
+
 def existing_forums(forums: DataFrame, catalog: DataFrame, name_col: str = "name",
                     catalog_col: str = "name") -> DataFrame:
     """Keep forums present in the catalog, names compared lower-cased."""
