@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
-A line of MIN_WORDS words or more goes if an earlier line of the corpus
-(by document id, then line number) is within one word insertion, deletion or
-substitution of it, equal lines included.  Lines are compared as word sequences.
+A line with a word goes if an equal line stands earlier in the corpus (by document id, then line
+number).  A line of MIN_WORDS words or more also goes if an earlier line of that length
+is within one word insertion, deletion or substitution of it.  Lines are compared as word sequences.
 
 1. Lines are hashed; equal lines become one, at its earliest place.
 2. With one edit, two lines are equal outside one of four blocks.  Every line is looked
@@ -18,7 +18,7 @@ substitution of it, equal lines included.  Lines are compared as word sequences.
 5. Links are verified on the words themselves.
 
 Defined results: a null text stays null and has no lines; an empty text has one
-empty line; short lines always stay; rows equal in id and text are judged alike, and
+empty line; lines without a word always stay; rows equal in id and text are judged alike, and
 null ids count as earliest.  Input columns are returned unchanged but for the text;
 names that clash with the columns added here are replaced.
 """
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .base import hash128, materialize
 
+#: Lines of fewer words go only if they equal an earlier one: one word of so few is no small edit.
 MIN_WORDS = 8
 #: Blocks of a line, and the step of the lengths they are counted from (at most MIN_WORDS).
 BLOCKS, STEP = 4, 8
@@ -37,8 +38,14 @@ BLOCKS, STEP = 4, 8
 BLOCK = 32
 
 
+def plain(line: Column) -> Column:
+    """The words of a line with one blank between them; only lines that have other blanks are rewritten."""
+    other = line.rlike(r"[\t\x0B\f\r]|  ")
+    return F.when(other, F.trim(F.regexp_replace(line, r"[\x20\t\x0B\f\r]+", " "))).otherwise(F.trim(line))
+
+
 def words_of(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(" \t\n\r\x0b\x0c")), r"[\x20\x09-\x0D]+")
+    return F.split(plain(line), " ")
 
 
 def block_spans(n: Column) -> list[tuple[Column, Column, Column]]:
@@ -54,12 +61,23 @@ def block_spans(n: Column) -> list[tuple[Column, Column, Column]]:
     return out
 
 
-def gap_keys(words: str, n: str) -> Column:
-    """Hashes of a line without each of its gaps, as (gap, key); null for gaps that do not apply."""
-    found = [F.when(applies, F.struct(F.lit(i).alias("gap"), F.xxhash64(
-        F.lit(i % BLOCKS), F.slice(words, F.lit(1), before), F.slice(words, F.col(n) - after + 1, after)).alias("key")))
-        for i, (applies, before, after) in enumerate(block_spans(F.col(n)))]
-    return F.array(*found)
+def up_to(line: str, words: Column) -> Column:
+    """The first words of a line, or its last if the number is negative."""
+    return F.call_function("substring_index", F.col(line), F.lit(" "), words)
+
+
+def gap_keys(line: str, n: str) -> Column:
+    """Hashes of a line (as ``plain`` gives it) without each of its gaps, as (gap, key).
+
+    The words before and after a gap are the line up to and from some blank, so nothing is cut into words."""
+    def found(spans, first):
+        return F.array(*[F.struct(F.lit(first + i).alias("gap"), F.xxhash64(
+            F.lit(i), up_to(line, before), up_to(line, -after)).alias("key"))
+            for i, (_, before, after) in enumerate(spans)])
+
+    spans = block_spans(F.col(n))
+    usual, more = found(spans[:BLOCKS], 0), found(spans[BLOCKS:], BLOCKS)
+    return F.when(F.col(n) >= MIN_WORDS, F.when(spans[BLOCKS][0], F.concat(usual, more)).otherwise(usual))
 
 
 def bound(value: str, name: str, body: str) -> str:
@@ -103,7 +121,7 @@ def near_lines(lines: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(id) of the distinct lines of which an earlier line is one edit away.
 
     ``lines``: a written table with one row a distinct line."""
-    keyed = lines.select("id", F.explode("gaps").alias("g")).where("g is not null").select("id", "g.gap", "g.key")
+    keyed = lines.select("id", F.explode("gaps").alias("g")).select("id", "g.gap", "g.key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     some = keyed.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_set("gap").alias("open"))
     wanted = (lines.join(some, "id").select("id", "at", "n", "open").groupBy("at.k1", "at.k2")
@@ -143,10 +161,11 @@ def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     k1, k2 = hash128("doc_id", F.col(text_col))
     lines = (docs.where(F.col(text_col).isNotNull())
              .select("doc_id", k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-             .withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS))
-    h1, h2 = hash128("words")
+             .where(F.col("line").rlike(r"[^\x20\t\x0B\f\r]")).withColumn("line", plain(F.col("line")))
+             .withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1))
+    h1, h2 = hash128("line")
     lines = materialize(lines.select(h1.alias("h1"), h2.alias("h2"), F.struct("doc_id", "k1", "line_no", "k2").alias("at"),
-                                     "n", gap_keys("words", "n").alias("gaps")), "lines")
+                                     "n", gap_keys("line", "n").alias("gaps")), "lines")
     distinct = materialize(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("gaps").alias("gaps"))
                            .withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
     near = materialize(near_lines(distinct, docs, text_col), "near-lines")

@@ -143,15 +143,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: The earliest line of each one-word gap, by the words themselves: (words with the gap) pairs
-#: two lines that differ in this word, (words without it) a line and one with a word more.
+#: Equal lines of any length; and of lines of eight words on the earliest line of each one-word gap, by the words
+#: themselves: (words with the gap) pairs two lines that differ in this word, (words without it) a line and one with a word more.
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, l.i AS line_no, l.x AS line,
          list_filter(regexp_split_to_array(l.x, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
   FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'x': x, 'i': i})) AS l FROM documents WHERE text IS NOT NULL)),
-long_lines AS (SELECT doc_id, line_no, array_to_string(words, ' ') AS whole, words, (doc_id, line_no) AS pos FROM lines WHERE len(words) >= 8),
-distinct_lines AS (SELECT whole, any_value(words) AS words, min(pos) AS pos FROM long_lines GROUP BY whole),
+some_lines AS (SELECT doc_id, line_no, array_to_string(words, ' ') AS whole, words, (doc_id, line_no) AS pos FROM lines WHERE len(words) > 0),
+all_distinct AS (SELECT whole, any_value(words) AS words, min(pos) AS pos FROM some_lines GROUP BY whole),
+distinct_lines AS (SELECT * FROM all_distinct WHERE len(words) >= 8),
 variants AS (
   SELECT whole, pos, i, array_to_string(list_concat(words[1:i - 1], words[i + 1:]), ' ') AS rest
   FROM (SELECT whole, words, pos, unnest(range(1, len(words) + 1)) AS i FROM distinct_lines)),
@@ -160,7 +161,7 @@ one_less AS (SELECT v.whole FROM variants v JOIN distinct_lines d ON d.whole = v
 one_more AS (SELECT d.whole FROM variants v JOIN distinct_lines d ON d.whole = v.rest WHERE v.pos < d.pos),
 near AS (SELECT * FROM same_gap UNION SELECT * FROM one_less UNION SELECT * FROM one_more),
 gone AS (
-  SELECT l.doc_id, l.line_no FROM long_lines l JOIN distinct_lines d USING (whole)
+  SELECT l.doc_id, l.line_no FROM some_lines l JOIN all_distinct d USING (whole)
   WHERE d.pos <> l.pos OR l.whole IN (SELECT whole FROM near)),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
