@@ -37,6 +37,7 @@ class Rule:
     pattern: str
     least: int = 1      # characters that the group must have
     group: int = 0
+    span: int = 0       # the group that is the secret's place
 
 
 #: What may stand between the lines of a key: blanks, escaped line ends, quotes and marks of comments, lists and code.
@@ -56,8 +57,10 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + KEY_BODY),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@"),
+    # both begin where a run of their characters begins, so a run is read once however long it is
+    Rule("web_token", r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+"
+                      r"(eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)", span=1),
+    Rule("url_login", r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\s:/@]++:[^\s:/@]++@)", span=1),
 )
 BASE = ("assign", "access", "hex")
 
@@ -199,7 +202,7 @@ class Scanner:
         rule = self.rules[k]
         for m in self.compiled[k].finditer(text):
             if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                yield m.start(), k, m.end()
+                yield m.start(rule.span), k, m.end(rule.span)
 
     def scan(self, texts: list[str | None]) -> list[list[dict]]:
         out: list[list] = [[] for _ in texts]
