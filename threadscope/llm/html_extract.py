@@ -116,8 +116,27 @@ class Page:
     def _parse(self, html: str) -> None:
         self.seen = 0
         stack: list[tuple[str, int]] = [("html", 0)]  # (tag, block node it is in or is)
+        held: dict[str, int] = {}  # open elements by tag, so that a stray end tag costs nothing
+        blocks: list[int] = []  # places of the open elements that are not inline
         links = silent = 0
         end = 0
+
+        def push(tag: str, node: int) -> None:
+            if tag not in INLINE:
+                blocks.append(len(stack))
+            held[tag] = held.get(tag, 0) + 1
+            stack.append((tag, node))
+
+        def pop() -> str:
+            nonlocal links, silent
+            t, _ = stack.pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            held[t] -= 1
+            links -= t == "a"
+            silent -= t in SILENT
+            return t
+
         for m in TOKEN.finditer(html):
             if m.start() > end and not silent:
                 self._text(html[end:m.start()], stack[-1][1], links)
@@ -127,11 +146,9 @@ class Page:
             tag = m[3].lower()
             node = stack[-1][1]
             if m[2]:
-                if any(t == tag for t, _ in stack[1:]):
+                if held.get(tag):
                     while True:
-                        t, _ = stack.pop()
-                        links -= t == "a"
-                        silent -= t in SILENT
+                        t = pop()
                         if t not in INLINE:
                             self.events.append((stack[-1][1], " "))
                         if t == tag:
@@ -147,7 +164,7 @@ class Page:
                 self.inner[node] += 1
                 continue
             if tag in INLINE or tag in SILENT:
-                stack.append((tag, node))
+                push(tag, node)
                 links += tag == "a"
                 silent += tag in SILENT
                 self.inner[node] += 1
@@ -155,23 +172,13 @@ class Page:
             if tag in ("html", "body") and len(stack) > 1 and stack[1][0] == tag:
                 continue
             while tag == "body" and len(stack) > 1 and (stack[-1][0] in INLINE or stack[-1][0] in SILENT):
-                t, _ = stack.pop()
-                links -= t == "a"
-                silent -= t in SILENT
-            ends = ENDS.get(tag, {"p"})
-            for i in range(len(stack) - 1, 0, -1):
-                t = stack[i][0]
-                if t in ends or t == "p":
-                    for t, _ in stack[i:]:
-                        links -= t == "a"
-                        silent -= t in SILENT
-                    del stack[i:]
-                    break
-                if t not in INLINE:
-                    break
+                pop()
+            if blocks and (stack[blocks[-1]][0] in ENDS.get(tag, ()) or stack[blocks[-1]][0] == "p"):
+                for _ in range(len(stack) - blocks[-1]):
+                    pop()
             node = self._open(tag, m[4], stack[-1][1]) if not silent else stack[-1][1]
             self.events.append((node, " "))
-            stack.append((tag, node))
+            push(tag, node)
         if end < len(html) and not silent:
             self._text(html[end:], stack[-1][1], links)
 
