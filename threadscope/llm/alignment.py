@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 from bisect import bisect_left
 
 import numpy as np
@@ -32,10 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import materialize
-from .bpe import byte_alphabet
+from .bpe import PRETOKEN, byte_alphabet
 
 #: Bytes of text after which a chunk is closed (a longer text is a chunk of its own), and texts encoded at once.
-CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 2000
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 2000
+#: Runs without a blank, or of blanks, from which on an encoder by ranks is not used: it takes the square of their length.
+LONG_RUN = 2000
+NOTHING = np.zeros(0, dtype=np.int32)
 #: A linked pair as one number: A id * PAIR + B id.
 PAIR = 1 << 24
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -47,11 +51,12 @@ class Tokenizers:
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
+        import tiktoken
         import tokenizers
 
         with open(a_path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        alphabet = byte_alphabet()
+            spec = json.load(f)
+        vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
         self.a = tokenizers.Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.a.no_padding()
@@ -60,6 +65,14 @@ class Tokenizers:
         for token, i in vocab.items():
             if all(c in alphabet for c in token):
                 self.a_bytes[i] = bytes(alphabet[c] for c in token)
+        special = {t["id"] for t in spec["added_tokens"]}
+        ranks = {self.a_bytes[i]: i for i in vocab.values() if i not in special}
+        # where ids follow the merges, and words are cut the usual way, an encoder by ranks gives the same ids, faster
+        merged = [vocab[m.replace(" ", "") if isinstance(m, str) else "".join(m)] for m in spec["model"]["merges"]]
+        cut = spec.get("pre_tokenizer") or {}
+        plain = (merged == sorted(merged) and max(vocab[c] for c in alphabet) < merged[0] and spec.get("normalizer") is None
+                 and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space"))
+        self.by_ranks = tiktoken.Encoding("a", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}) if plain else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
@@ -70,19 +83,27 @@ class Tokenizers:
         self.names = np.array([f"{i}{c}" for t, seps in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for c in seps
                                for i in range(len(t))], dtype=object)
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both kinds; none where the bytes of one kind are not space and text."""
-        whole = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch(whole, add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
         out = []
-        for text, x, y in zip(whole, a, b):
-            raw = text.encode()
+        for text in texts:
+            whole = " " + text
+            raw = whole.encode()
+            if self.by_ranks is not None and not has_long_run(text):
+                x = self.by_ranks.encode_ordinary(whole)
+            else:
+                x = self.a.encode(whole, add_special_tokens=False).ids
+            y = self.b.encode(text)
             same = b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y))
-            out.append((x, y) if same and len(raw) > 1 else ([], []))
+            out.append((np.array(x, dtype=np.int32), np.array(y, dtype=np.int32)) if same and text else (NOTHING, NOTHING))
         return out
 
 
+def has_long_run(text: str) -> bool:
+    words = text.split()
+    return len(text) >= LONG_RUN and (max(map(len, words), default=0) >= LONG_RUN or bool(re.search(r"\s{%d}" % LONG_RUN, text)))
+
+
 @functools.lru_cache(maxsize=2)
 def load(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
@@ -96,13 +117,16 @@ def resolved(path) -> str:
 def gallop(short: list[int], long: list[int]) -> list[int]:
     """For every entry of the shorter ascending list, how many entries of the longer are less."""
     ranks, at, n = [], 0, len(long)
+    long = [*long, max(short[-1], long[-1] if n else 0)] if short else []  # nothing sought is above the last entry
     for x in short:
-        if at < n and long[at] < x:
-            step, low = 1, at
-            while low + step < n and long[low + step] < x:
-                low += step
-                step += step
-            at = bisect_left(long, x, low + 1, min(low + step, n))
+        if long[at] < x:
+            at += 1
+            if long[at] < x:
+                step, low = 1, at
+                while low + step < n and long[low + step] < x:
+                    low += step
+                    step += step
+                at = bisect_left(long, x, low + 1, min(low + step, n))
         ranks.append(at)
     return ranks
 
@@ -130,10 +154,10 @@ def intersect(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, rank, common_a, common_b
 
 
-def align(tokens: list[tuple[list[int], list[int]]], coder: Tokenizers) -> dict:
+def align(tokens: list[tuple[np.ndarray, np.ndarray]], coder: Tokenizers) -> dict:
     """One chunk: per document the counts and groups, and the chunk's pairs with the documents' links among them."""
     n_a, n_b = (np.array([len(t[k]) for t in tokens], dtype=np.int64) for k in (0, 1))
-    a, b = (np.array([i for t in tokens for i in t[k]], dtype=np.int64) for k in (0, 1))
+    a, b = (np.concatenate([t[k] for t in tokens]).astype(np.int64) for k in (0, 1))
     ends_a, ends_b = np.cumsum(coder.a_sizes[a]), np.cumsum(coder.b_sizes[b])
     first, last, common_a, common_b = intersect(ends_a, ends_b)  # texts end in both lists, so they part like groups
     edges_a, edges_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
@@ -155,7 +179,7 @@ def align(tokens: list[tuple[list[int], list[int]]], coder: Tokenizers) -> dict:
     words, cuts = coder.names[laid].tolist(), (edges_a + edges_b).tolist()
     groups = ["".join(words[x:y])[:-1] for x, y in zip(cuts, cuts[1:])]
     return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": total[edges_a[1:]] - total[edges_a[:-1]], "groups": groups,
-            "pairs": pairs, "counts": count, "links": number.astype("<i4").tobytes()}
+            "pairs": pairs, "counts": count, "links": pa.compress(number.astype("<i4").tobytes(), codec="zstd", asbytes=True)}
 
 
 def chunks(df: DataFrame, a_path, b_path, text_col: str, kept: list[str], with_groups: bool) -> DataFrame:
@@ -224,9 +248,9 @@ def alignment(df: DataFrame, a_path, b_path, text_col: str = "text", with_groups
         for batch in batches:
             for i in range(batch.num_rows):
                 docs = batch.column(1).slice(i, 1).flatten()
-                links = np.frombuffer(batch.column(2)[i].as_py(), dtype="<i4")
-                n, best = (np.array(batch.column(k)[i].as_py() or [], dtype=np.int64) for k in (3, 4))
                 ends = np.concatenate([[0], np.cumsum(docs.field("n_links").to_numpy())])
+                links = np.frombuffer(pa.decompress(batch.column(2)[i].as_py(), int(ends[-1]) * 4, codec="zstd", asbytes=True), dtype="<i4")
+                n, best = (batch.column(k).slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))
                 sums = [np.concatenate([[0], np.cumsum(x[links])]) if len(links) else np.zeros(1, dtype=np.int64) for x in (best, n)]
                 extra = dict(zip(COUNTS[4:], (pa.array(s[ends[1:]] - s[ends[:-1]], pa.int64()) for s in sums)))
                 yield pa.RecordBatch.from_arrays([extra[c] if c in extra else docs.field(c) for c in order], names=order)
