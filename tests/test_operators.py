@@ -243,12 +243,13 @@ def test_j5_paths_agree(spark):
     a = sorted(map(tuple, EN.match_keywords(docs, ["id"], "text", d, method="broadcast").collect()))
     b = sorted(map(tuple, EN.match_keywords(docs, ["id"], "text", d, method="index").collect()))
     c = sorted(map(tuple, EN.match_keywords(docs, ["id"], "text", d, method="automaton").collect()))
-    old = EN.PREFIX_BROADCAST_LIMIT
-    EN.PREFIX_BROADCAST_LIMIT = 0          # exercise the no-broadcast fallbacks of the index path
+    from threadscope.operators import fingerprints as FP
+    old = FP.FILTER_LIMIT
+    FP.FILTER_LIMIT = 0                    # exercise the index path beyond its filter
     try:
         e = sorted(map(tuple, EN.match_keywords(docs, ["id"], "text", d, method="index").collect()))
     finally:
-        EN.PREFIX_BROADCAST_LIMIT = old
+        FP.FILTER_LIMIT = old
     assert a == b == c == e == [(1, "fix"), (1, "prefix"), (1, "ui"), (1, "x"), (3, "ab")]
 
 
