@@ -83,7 +83,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(d)
         return sc.getCheckpointDir() or d
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for cluster runs")
     d = tempfile.mkdtemp(prefix="threadscope-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
