@@ -105,6 +105,28 @@ def j1_match_names(spark, sf):
         "line_no", "title", "match", "distance")
 
 
+#: Titles spelt by the part's key: with a mark, two letters changed places, a letter less, and three more.
+_PART_TITLES_SQL = """
+(SELECT p_partkey AS part, CASE p_partkey % 4 WHEN 0 THEN nm || '®' WHEN 1 THEN replace(nm, 'l', 'r') WHEN 2 THEN substr(nm, 2)
+   ELSE nm || ' xy' END AS title, nm FROM (SELECT p_partkey, p_name || ' ' || p_partkey AS nm FROM part))"""
+
+
+@register("j1_match_part_names", f"""
+WITH t AS (SELECT part, title, lower(trim(regexp_replace(title, '[^a-zA-Z0-9 ]', '', 'g'))) AS tn FROM {_PART_TITLES_SQL}),
+c AS (SELECT nm AS name, lower(trim(regexp_replace(nm, '[^a-zA-Z0-9 ]', '', 'g'))) AS cn FROM {_PART_TITLES_SQL}),
+cand AS (SELECT t.part, c.name, levenshtein(t.tn, c.cn) AS d FROM t JOIN c ON abs(len(t.tn) - len(c.cn)) <= 2
+         WHERE levenshtein(t.tn, c.cn) <= 2),
+best AS (SELECT part, min({{'d': d, 'name': name}}) AS b FROM cand GROUP BY part)
+SELECT t.part, t.title, best.b.name AS match, CAST(best.b.d AS INTEGER) AS distance FROM t LEFT JOIN best USING (part)""")
+def j1_match_part_names(spark, sf):
+    """All parts by misspelt names: names and titles grow with the table."""
+    name, key = F.concat_ws(" ", "p_name", "p_partkey"), F.col("p_partkey")
+    title = (F.when(key % 4 == 0, F.concat(name, F.lit("®"))).when(key % 4 == 1, F.translate(name, "l", "r"))
+             .when(key % 4 == 2, F.substr(name, F.lit(2))).otherwise(F.concat(name, F.lit(" xy"))))
+    parts = read_table(spark, sf, "part").select(key.alias("part"), title.alias("title"), name.alias("name"))
+    return M.match_names(parts.select("part", "title"), parts.select("name"), max_distance=2)
+
+
 @register("s11_render_mapping", f"""
 WITH m AS ({_MATCH_SQL})
 SELECT line_no, CASE WHEN match IS NOT NULL THEN title || ': r/' || match
@@ -171,3 +193,38 @@ def m8_a13_entity_mentions(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     m = M.entity_mentions(docs, "doc_id", "text", gz)
     return m.select("doc_id", F.array_join("mentions", ",").alias("mentions"))
+
+
+#: Types of the marked names, and short names inside them that lose to the longer ones.
+TYPED_NAMES = [(n, "WORK_OF_ART") for n, _ in MARKED_NAMES] + [
+    ("Apache", "ORG"), ("Apache License", "PRODUCT"), ("License", "LAW"), ("2.0", "CARDINAL"), ("MIT License", "LAW")]
+KEPT_TYPES = ("PRODUCT", "WORK_OF_ART")
+_TYPED_SQL = ", ".join(f"('{n}', '{t}')" for n, t in TYPED_NAMES)
+
+
+@register("m8_typed_mentions", f"""
+WITH RECURSIVE b AS (SELECT {G.tokens('text', clean=False)} AS w FROM benchmark),
+gz AS (SELECT name, type, {G.tokens('name', clean=False)} AS nt FROM (
+  SELECT array_to_string(w[1:3], ' ') AS name, 'WORK_OF_ART' AS type FROM b WHERE len(w) > 0
+  UNION SELECT array_to_string(w[3:4], ' '), 'PRODUCT' FROM b WHERE len(w) > 2
+  UNION SELECT w[1], 'ORG' FROM b WHERE len(w) > 0
+  UNION SELECT * FROM (VALUES {_TYPED_SQL}) v(name, type))),
+t AS (SELECT doc_id, {G.tokens('text', clean=False)} AS tk FROM documents),
+p AS (SELECT doc_id, tk, generate_subscripts(tk, 1) AS i FROM t),
+s AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, CAST(max(n) AS INTEGER) AS n FROM p, (SELECT DISTINCT len(nt) AS n FROM gz) r
+      WHERE array_to_string(tk[i:i + n - 1], ' ') IN (SELECT array_to_string(nt, ' ') FROM gz) AND i + n - 1 <= len(tk) GROUP BY ALL),
+r AS (SELECT doc_id, min(i) AS i, arg_min(n, i) AS n FROM s GROUP BY doc_id
+      UNION ALL SELECT s.doc_id, min(s.i), arg_min(s.n, s.i) FROM r JOIN s ON s.doc_id = r.doc_id AND s.i >= r.i + r.n GROUP BY s.doc_id)
+SELECT r.doc_id, r.i AS place, r.n AS n_words, lower(gz.name) AS mention, gz.type
+FROM r JOIN t USING (doc_id) JOIN (SELECT DISTINCT lower(name) AS name, type, nt FROM gz) gz
+  ON array_to_string(gz.nt, ' ') = array_to_string(t.tk[r.i + 1:r.i + r.n], ' ')
+WHERE gz.type IN ({G.str_list(KEPT_TYPES)})""")
+def m8_typed_mentions(spark, sf):
+    """Beginnings of the benchmark's passages and licence names, of several types and over one another."""
+    w = read_table(spark, sf, "benchmark").select(X.tokenize("text", clean=False).alias("w")).where(F.size("w") > 0)
+    gz = (w.select(F.array_join(F.slice("w", 1, 3), " ").alias("name"), F.lit("WORK_OF_ART").alias("type"))
+          .unionByName(w.where(F.size("w") > 2).select(F.array_join(F.slice("w", 3, 2), " ").alias("name"), F.lit("PRODUCT").alias("type")))
+          .unionByName(w.select(F.col("w")[0].alias("name"), F.lit("ORG").alias("type")))
+          .unionByName(spark.createDataFrame(TYPED_NAMES, "name string, type string")))
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return M.typed_mentions(docs, "doc_id", "text", gz, KEPT_TYPES)
