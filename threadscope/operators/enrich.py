@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import keywords as K
+from ..functions import numeric as N
 from ..functions import text as X
 from .fingerprints import keyword_hits
 
@@ -103,8 +104,21 @@ def polarity_label(polarity) -> Column:
 
 
 def label_sentiment(df: DataFrame, text, lexicon=None, out: str = "sentiment_label",
-                    id_cols=None) -> DataFrame:
-    """M5: struct(label, score) per text; a failed score reads as neutral, 0.0."""
+                    id_cols=None, scorer=None) -> DataFrame:
+    """M5: struct(label, score) per text; a failed score reads as neutral, 0.0.
+
+    ``scorer`` (the same as M7's: it maps a DataFrame with a ``chunk`` token array to one with ``logits`` of the
+    three classes) replaces the lexicon; the score is then the likeliest class's probability.  Whole texts are
+    scored; null texts and failed logits (null, or not three finite numbers) fail."""
+    if scorer is not None:
+        text = F.col(text) if isinstance(text, str) else text
+        d = scorer(df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), text.isNotNull().alias("_there"),
+                             X.tokenize(text, clean=False).alias("chunk")))
+        good = F.col("_there") & (F.size("logits") == 3) & ~F.exists("logits", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+        label = F.element_at(F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), N.argmax("logits") + 1)
+        d = d.select("_row", F.when(good, F.struct(label.alias("label"), F.array_max(N.softmax("logits")).alias("score")))
+                        .otherwise(F.struct(F.lit("neutral").alias("label"), F.lit(0.0).alias("score"))).alias("_label"))
+        return d.select("_row.*", F.col("_label").alias(out))
     d = lexicon_sentiment(df, text, lexicon, "_lex", id_cols)
     p = F.col("_lex.polarity")
     return d.withColumn(out, F.struct(

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -36,15 +36,36 @@ def valid_comments(comments: DataFrame) -> DataFrame:
     return comments.withColumn("text", t).where(~X.strip(t).isin(*rules.DEAD_MARKERS))
 
 
-def discussion_text(comments: DataFrame) -> DataFrame:
-    """The joined discussion text (comment order, ' ' separator).
+#: Bytes of a joined text beyond which ``concat_ordered`` fails (one value of a row holds 2 GB at most).
+MAX_TEXT_BYTES = 1 << 30
+
+
+def concat_ordered(df: DataFrame, keys: list[str], order: list[str], piece: str, sep: str, out: str,
+                   bucket_width: int = DEFAULT_BUCKET_WIDTH, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+    """(keys, out): the non-null ``piece`` of each key in order, joined by ``sep`` ('' if all are null).
+
+    Pieces are joined inside buckets of ``bucket_width`` numbers of ``order[0]`` (an integer) first, so no task
+    sorts all pieces of a key; then a key's few bucket texts are joined.  A text of more than ``max_bytes`` fails
+    with its size and key before it is built."""
+    parts = (df.withColumn("_bucket", F.floor(F.col(order[0]) / bucket_width).cast("long"))
+             .groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(F.struct(*order, F.col(piece).alias("_p")))).getField("_p").alias("_ps")))
+    parts = parts.select(*keys, "_bucket", F.when(F.exists("_ps", lambda p: p.isNotNull()), F.array_join("_ps", sep)).alias("_part"))
+    size = F.sum(F.coalesce(F.octet_length("_part"), F.lit(0)).cast("long") + len(sep.encode())).over(Window.partitionBy(*keys))
+    checked = F.when(F.col("_size") > max_bytes, F.raise_error(F.concat(
+        F.lit(f"joined text exceeds {max_bytes} bytes: "), F.col("_size").cast("string"),
+        F.lit(" bytes at "), F.to_json(F.struct(*keys))))).otherwise(F.col("_part"))
+    return (parts.withColumn("_size", size).select(*keys, "_bucket", checked.alias("_part"))
+            .groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.struct("_bucket", "_part"))).getField("_part"), sep).alias(out)))
+
+
+def discussion_text(comments: DataFrame, bucket_width: int = DEFAULT_BUCKET_WIDTH,
+                    max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+    """The joined discussion text (comment order, ' ' separator; ``concat_ordered``).
 
     This materialises one value per discussion by definition; the summary
     itself never builds it (see the module docstring).
     """
-    return (comments.groupBy("post_id")
-            .agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text")))
-                              .getField("text"), " ").alias("all_text")))
+    return concat_ordered(comments, ["post_id"], ["pos"], "text", " ", "all_text", bucket_width, max_bytes)
 
 
 def lemmatize(tokens: DataFrame, lemmas: DataFrame, word_col: str = "word") -> DataFrame:
@@ -59,13 +80,18 @@ def lemmatize(tokens: DataFrame, lemmas: DataFrame, word_col: str = "word") -> D
 
 def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_words=None,
                   bucket_width: int = DEFAULT_BUCKET_WIDTH, materialize: bool = True,
-                  lemmas: DataFrame | None = None) -> SimpleNamespace:
+                  lemmas: DataFrame | None = None, align: str = "position", scorer=None) -> SimpleNamespace:
     """All intermediate tables of the summary, each a lazy DataFrame.
 
     ``lemmas`` is an optional (word, lemma) table applied to tokens before
-    the stop-word test (default: none)."""
+    the stop-word test (default: none).  ``align="position"`` pairs sentence i with comment i, as the
+    reference does; ``align="source"`` pairs a sentence with the comment in which it begins, keeps all sentences,
+    and counts every valid comment once (``aligned.src`` is the comment's index either way).
+    ``scorer`` labels comments by a trained model (M5) in place of the lexicon."""
+    if align not in ("position", "source"):
+        raise ValueError(f"unknown alignment {align!r}")
     v = valid_comments(comments).select("post_id", "pos", "text")
-    v = label_sentiment(v, "text", lexicon, "_sl", ["post_id", "pos"])          # M5
+    v = label_sentiment(v, "text", lexicon, "_sl", ["post_id", "pos"], scorer)  # M5
     v = v.withColumn("label", F.col("_sl.label")).drop("_sl")
     v = (v.withColumn("_pieces", X.sentence_pieces(F.concat("text", F.lit(" "))))
           .withColumn("_np", F.size("_pieces")))
@@ -85,11 +111,9 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
                 .select("post_id", "sid", X.strip("piece").alias("sentence")))
     # Edge pieces stitch sentences across comments.  Empty pieces (a comment
     # that ends a sentence leaves one) add nothing, so they never shuffle.
-    edge = (pieces.where(((F.col("j") == 0) | (F.col("j") == F.col("_np") - 1)) & (F.col("piece") != ""))
-            .groupBy("post_id", "sid")
-            .agg(F.array_join(F.sort_array(F.collect_list(F.struct("idx", "j", "piece")))
-                              .getField("piece"), "").alias("_s"))
-            .select("post_id", "sid", X.strip("_s").alias("sentence")))
+    edge = concat_ordered(
+        pieces.where(((F.col("j") == 0) | (F.col("j") == F.col("_np") - 1)) & (F.col("piece") != "")),
+        ["post_id", "sid"], ["idx", "j"], "piece", "", "_s", bucket_width).select("post_id", "sid", X.strip("_s").alias("sentence"))
     sentences = interior.unionByName(edge).where(F.col("sentence") != "")
 
     toks = pieces.select("post_id", "sid", F.explode(X.tokenize("piece")).alias("word"))  # X22
@@ -103,7 +127,12 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
              .agg(F.sum(F.col("cnt") * F.col("freq")).alias("c"), F.sum("cnt").alias("n")))
 
     firsts = pieces.where(F.col("j") == 0)          # one row per valid comment
-    labels = firsts.select("post_id", F.col("idx").alias("sid"), "label")
+    if align == "position":
+        labels = firsts.select("post_id", F.col("idx").alias("sid"), F.col("idx").alias("src"), "label")
+    else:
+        labels = (pieces.where(X.strip("piece") != "").groupBy("post_id", "sid")
+                  .agg(F.min(F.struct("idx", "label")).alias("_f"))
+                  .select("post_id", "sid", F.col("_f.idx").alias("src"), F.col("_f.label").alias("label")))
     aligned = (sentences.join(labels, ["post_id", "sid"])                      # J3
                .join(sstat, ["post_id", "sid"], "left")
                .withColumn("c", F.coalesce("c", F.lit(0)).cast("long"))
@@ -117,12 +146,15 @@ def summary_steps(posts: DataFrame, comments: DataFrame, lexicon=None, stop_word
     grp = fold_duplicate_scores(scored, bucket_width)
     scores = scored.join(grp, ["post_id", "sentence"])                          # A10
 
-    dist = (aligned.groupBy("post_id")                                         # A8
+    counted = aligned if align == "position" else firsts
+    dist = (counted.groupBy("post_id")                                         # A8
             .agg(F.count("*").alias("total_comments"),
                  F.count_if(F.col("label") == "positive").alias("positive"),
                  F.count_if(F.col("label") == "negative").alias("negative"),
                  F.count_if(F.col("label") == "neutral").alias("neutral"),
-                 F.max(F.col("n") > 0).alias("_any_scored")))
+                 *([F.max(F.col("n") > 0).alias("_any_scored")] if align == "position" else [])))
+    if align == "source":
+        dist = dist.join(aligned.groupBy("post_id").agg(F.max(F.col("n") > 0).alias("_any_scored")), "post_id")
     n_valid = firsts.groupBy("post_id").agg(F.count("*").alias("_n_valid"))
     return SimpleNamespace(valid=v, pieces=pieces, sentences=sentences, tokens=toks,
                            freq=freq, sentence_stats=sstat, aligned=aligned,
@@ -178,15 +210,15 @@ def summarize(posts: DataFrame, comments: DataFrame, cluster: str = "none", n: i
               lexicon=None, stop_words=None, k_max: int = rules.MAX_CLUSTERS,
               seed: int = 42, vector_size: int = 100, max_iter: int = 50,
               bucket_width: int = DEFAULT_BUCKET_WIDTH, lemmas: DataFrame | None = None,
-              embedding: str = "random_index") -> DataFrame:
-    """One summary row per post.
+              embedding: str = "random_index", align: str = "position", scorer=None) -> DataFrame:
+    """One summary row per post (``align`` and ``scorer``: see ``summary_steps``).
 
     ``cluster="none"`` (the published 'base' variant): the ``n`` best scored
     sentences, ties to the earlier one, printed in text order.
     ``cluster="kmeans"``: sentence vectors (``embedding``: random_index or word2vec), k-means inside each
     discussion (k = min(#sentences, k_max)), best sentence per cluster.
     """
-    steps = summary_steps(posts, comments, lexicon, stop_words, bucket_width, lemmas=lemmas)
+    steps = summary_steps(posts, comments, lexicon, stop_words, bucket_width, lemmas=lemmas, align=align, scorer=scorer)
     if cluster == "none":
         picked = top_k(steps.scores, ["post_id"], [F.round("score", 9).desc(), "sid"], n)
         return _assemble(steps, picked)

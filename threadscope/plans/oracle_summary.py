@@ -16,9 +16,24 @@ CONV_COMMENTS = """
 
 
 def summary_ctes(lexicon=None, stop_words=None, comments_sql: str = CONV_COMMENTS,
-                 lemma_rule: str | None = None) -> str:
-    """``lemma_rule``: SQL expression over ``w`` giving the lemma of token w."""
+                 lemma_rule: str | None = None, by_source: bool = False) -> str:
+    """``lemma_rule``: SQL expression over ``w`` giving the lemma of token w.  ``by_source``: sentences go with the
+    comment they begin in: ``starts`` finds it by marks at the beginnings of comments in the joined text."""
     lem = lemma_rule or "w"
+    starts = f"""
+marked AS (
+  SELECT post_id, unnest(parts) AS piece, generate_subscripts(parts, 1) - 1 AS sid
+  FROM (SELECT post_id, string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts
+        FROM (SELECT post_id, string_agg(chr(2) || idx || chr(3) || text || ' ', '' ORDER BY idx) AS t FROM v GROUP BY post_id))
+),
+starts AS (
+  SELECT post_id, sid, CAST(coalesce(regexp_extract_all(regexp_extract(piece, '^(\\s|\\x02[0-9]+\\x03)*'), '\\x02([0-9]+)\\x03', 1)[-1],
+    last_value(regexp_extract_all(piece, '\\x02([0-9]+)\\x03', 1)[-1] IGNORE NULLS) OVER (
+      PARTITION BY post_id ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS BIGINT) AS src
+  FROM marked
+),""" if by_source else ""
+    paired = ("JOIN starts b ON s.post_id = b.post_id AND s.sid = b.sid JOIN lab l ON s.post_id = l.post_id AND b.src = l.idx" if by_source
+              else "JOIN lab l ON s.post_id = l.post_id AND s.sid = l.idx")
     return f"""
 WITH c AS ({comments_sql}
 ),
@@ -52,10 +67,11 @@ sstat AS (
   FROM st JOIN freq f ON st.post_id = f.post_id AND st.word = f.word
   GROUP BY st.post_id, st.sid
 ),
+{starts}
 aligned AS (
-  SELECT s.post_id, s.sid, s.sentence, l.label,
+  SELECT s.post_id, s.sid, s.sentence, l.label, l.idx AS src,
          CAST(coalesce(ss.c, 0) AS BIGINT) AS c, CAST(coalesce(ss.n, 0) AS BIGINT) AS n
-  FROM sents s JOIN lab l ON s.post_id = l.post_id AND s.sid = l.idx
+  FROM sents s {paired}
   LEFT JOIN sstat ss ON s.post_id = ss.post_id AND s.sid = ss.sid
 ),
 suffix AS (

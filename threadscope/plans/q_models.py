@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..operators import embeddings as EM
+from ..operators import enrich as EN
 from ..operators import models as MO
 from ..operators import sampling as SA
 from ..operators import softmax as SM
@@ -159,6 +160,22 @@ def m7_predict_polarity_trained_model(spark, sf):
     return MO.predict_polarity(_docs(spark, sf), ["doc_id"], "text", scorer=model.scorer(), size=64, overlap=32)
 
 
+@register("m5_trained_comment_labels", f"""
+WITH RECURSIVE {_TRAINING_SQL}, {_softmax_ctes('tr', 5)},
+com AS (SELECT conv_id AS post_id, CAST(turn - 1 AS INTEGER) AS pos, text, {G.tokens('text', clean=False)} AS t FROM conversations WHERE turn > 0),
+cf AS ({_features_sql('com', 'post_id, pos', 't')}),
+z AS (SELECT f.post_id, f.pos, w.c, round(sum(f.v * w.w), 12) AS z FROM cf f JOIN fit w ON w.i = f.i WHERE w.epoch = 5 GROUP BY ALL),
+best AS (SELECT post_id, pos, arg_max(c, z - c * 1e-13) AS c, exp(max(z)) / sum(exp(z)) AS p FROM z GROUP BY post_id, pos)
+SELECT post_id, pos, CASE WHEN com.text IS NULL THEN 'neutral' ELSE ['negative', 'neutral', 'positive'][c + 1] END AS label,
+  CASE WHEN com.text IS NULL THEN 0.0 ELSE round(p, 6) END AS score FROM com JOIN best USING (post_id, pos)""")
+def m5_trained_comment_labels(spark, sf):
+    """Every comment by the softmax classifier (five epochs over all labelled texts)."""
+    model = SM.train(_training(spark, sf), epochs=5, tol=0.0)
+    c = conversation_comments(spark, sf).select("post_id", "pos", "text")
+    d = EN.label_sentiment(c, "text", out="s", scorer=model.scorer())
+    return d.select("post_id", "pos", F.col("s.label").alias("label"), F.round("s.score", 6).alias("score"))
+
+
 def _aligned(spark, sf):
     return SU.summary_steps(conversation_posts(spark, sf), conversation_comments(spark, sf)).aligned
 

@@ -24,6 +24,7 @@ def _steps(spark, sf, lexicon=None):
 
 CTE = O.summary_ctes()
 CTE_DATA = O.summary_ctes(DATA_LEXICON)
+CTE_SOURCE = O.summary_ctes(DATA_LEXICON, by_source=True)
 
 
 @register("x21_sentences", CTE + "SELECT post_id, CAST(sid AS BIGINT) AS sid, sentence FROM sents")
@@ -49,6 +50,13 @@ def a9_discussion_text(spark, sf):
     return S.discussion_text(S.valid_comments(conversation_comments(spark, sf)))
 
 
+@register("j3_aligned_by_source", CTE_SOURCE
+          + "SELECT post_id, CAST(sid AS BIGINT) AS sid, CAST(src AS BIGINT) AS src, sentence, label FROM aligned")
+def j3_aligned_by_source(spark, sf):
+    a = S.summary_steps(conversation_posts(spark, sf), conversation_comments(spark, sf), DATA_LEXICON, align="source").aligned
+    return a.select("post_id", F.col("sid").cast("long").alias("sid"), F.col("src").cast("long").alias("src"), "sentence", "label")
+
+
 @register("j3_x20_aligned_data_lexicon", CTE_DATA + """
 SELECT post_id, CAST(sid AS BIGINT) AS sid, sentence, label,
        CAST(CASE WHEN label = 'positive' THEN 1.1 WHEN label = 'negative' THEN 1.3 ELSE 1.0 END AS DOUBLE) AS boost
