@@ -43,3 +43,15 @@ def test_split_avoids_global_sort(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     p = plan(SA.train_test_split(df, "k", 0.2, 42))
     assert "rangepartitioning" not in p and "SinglePartition" not in p
+
+
+def test_rouge_n_is_two_sums_over_one_gram_table(spark):
+    from threadscope.operators import rouge
+    pairs = spark.createDataFrame([(1, "a b c a", "a b d"), (2, "", "x"), (3, None, None), (4, "a", "a")], "id int, cand string, ref string")
+    df = rouge.rouge_n(pairs, "id", "cand", "ref")
+    p = plan(df)
+    assert p.count("Exchange hashpartitioning") == 2 and "Join" not in p and p.count("Generate inline") == 1
+    rows = {r.id: r for r in df.collect()}
+    assert set(rows) == {1, 2, 3, 4}
+    assert (rows[1].rouge1_p, rows[1].rouge2_p) == (2 / 4, 1 / 3) and (rows[1].rouge1_r, rows[1].rouge2_r) == (2 / 3, 1 / 2)
+    assert rows[4].rouge1_f == 1.0 and rows[4].rouge2_f == rows[2].rouge1_f == rows[3].rouge1_f == 0.0

@@ -10,15 +10,20 @@ from pyspark.sql import types as T
 from ..functions import text as X
 
 
-def _grams(d: DataFrame, id_col: str, tok_col: str, ns) -> DataFrame:
-    p = d.select(id_col, tok_col, F.posexplode(tok_col).alias("_i", "_w"))
-    parts = [p.where(F.col("_i") + n <= F.size(tok_col)).select(
-        id_col, F.lit(n).alias("n"), F.array_join(F.slice(tok_col, F.col("_i") + 1, n), " ").alias("g"))
-        for n in ns]
-    out = parts[0]
-    for q in parts[1:]:
-        out = out.unionByName(q)
-    return out.groupBy(id_col, "n", "g").agg(F.count("*").alias("c"))
+def _side_grams(tok_col: str, side: int, n: int):
+    """The n-grams of one token list as (side, n, gram) structs."""
+    tok = F.coalesce(tok_col, F.array().cast("array<string>"))
+    starts = F.slice(tok, F.lit(1), F.greatest(F.size(tok) - (n - 1), F.lit(0)))
+    gram = (lambda w, i: w) if n == 1 else (lambda w, i: F.array_join(F.slice(tok, i + 1, F.lit(n)), " "))
+    return F.transform(starts, lambda w, i: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), gram(w, i).alias("g")))
+
+
+def _grams(d: DataFrame, id_col: str, ns) -> DataFrame:
+    """One tagged table of the grams of both sides, counted: (id, n, g, cc, rc).  A row n = 0 keeps pairs without any gram."""
+    none = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("n"), F.lit("").alias("g")))
+    sides = [_side_grams(c, side, n) for side, c in enumerate(("_ct", "_rt")) for n in ns]
+    rows = d.select(id_col, F.inline(F.concat(none, *sides)))
+    return rows.groupBy(id_col, "n", "g").agg(F.count_if(F.col("side") == 0).alias("cc"), F.count_if(F.col("side") == 1).alias("rc"))
 
 
 def _tokens(pairs: DataFrame, id_col: str, cand: str, ref: str) -> DataFrame:
@@ -29,25 +34,19 @@ def _tokens(pairs: DataFrame, id_col: str, cand: str, ref: str) -> DataFrame:
 def rouge_n(pairs: DataFrame, id_col: str, cand: str, ref: str, ns=(1, 2),
             tokens: DataFrame | None = None) -> DataFrame:
     """Clipped n-gram overlap per pair for every n in ``ns``: precision,
-    recall, F (0 when empty).  One n-gram table per side, one join."""
+    recall, F (0 when empty).  One tagged gram table of both sides and two sums:
+    by (pair, n, gram), then by pair; ids must be unique."""
     d = tokens if tokens is not None else _tokens(pairs, id_col, cand, ref)
-    cg = _grams(d, id_col, "_ct", ns).withColumnRenamed("c", "cc")
-    rg = _grams(d, id_col, "_rt", ns).withColumnRenamed("c", "rc")
-    j = cg.join(rg, [id_col, "n", "g"], "full_outer").fillna(0, ["cc", "rc"])
-    agg = j.groupBy(id_col, "n").agg(F.sum(F.least("cc", "rc")).alias("ov"),
-                                     F.sum("cc").alias("nc"), F.sum("rc").alias("nr"))
-    p = F.coalesce(F.try_divide(F.col("ov"), F.col("nc")), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.col("ov"), F.col("nr")), F.lit(0.0))
-    f = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
-    m = agg.select(id_col, "n", p.alias("p"), r.alias("r"), f.alias("f"))
-    wide = m.groupBy(id_col).pivot("n", list(ns)).agg(F.first("p").alias("p"), F.first("r").alias("r"),
-                                                       F.first("f").alias("f"))
-    out = d.select(id_col).join(wide, id_col, "left")
+    sums = _grams(d, id_col, ns).groupBy(id_col).agg(*[
+        F.sum(F.when(F.col("n") == n, value)).alias(f"_{name}{n}")
+        for n in ns for name, value in (("ov", F.least("cc", "rc")), ("nc", F.col("cc")), ("nr", F.col("rc")))])
     cols = [id_col]
     for n in ns:
-        for k in "prf":
-            cols.append(F.coalesce(F.col(f"{n}_{k}"), F.lit(0.0)).alias(f"rouge{n}_{k}"))
-    return out.select(*cols)
+        p = F.coalesce(F.try_divide(F.col(f"_ov{n}"), F.col(f"_nc{n}")), F.lit(0.0))
+        r = F.coalesce(F.try_divide(F.col(f"_ov{n}"), F.col(f"_nr{n}")), F.lit(0.0))
+        f = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+        cols += [x.alias(f"rouge{n}_{k}") for k, x in zip("prf", (p, r, f))]
+    return sums.select(*cols)
 
 
 def lcs_length(a, b) -> int:
