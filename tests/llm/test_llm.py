@@ -144,6 +144,53 @@ def test_quality_estimate_against_numpy(spark):
     assert np.allclose(np.linalg.inv(scatter), w.T @ w, rtol=1e-4)
 
 
+def planted_stats(spark, rows):
+    """(doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, lang, source)"""
+    return spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in quality.STATS) + ", lang string, source string")
+
+
+def test_quality_small_groups_are_judged_by_their_language(spark):
+    """A lone junk document goes, a lone clean one stays, whatever its source, and null languages meet no other."""
+    rng = np.random.default_rng(4)
+
+    def row(i, lang, source, junk=False):
+        n = int(rng.integers(50, 400))
+        return (i, n, int(n * (9 if junk else 4 + rng.normal() * 0.2)), n if junk else 0, 20, 15 if junk else 0, 0, lang, source)
+
+    rows = [row(i, "en", "big") for i in range(300)]
+    rows += [row(1000 + i, "en", f"lone{i}", junk=i % 2 == 1) for i in range(20)]
+    rows += [row(2000, "xx", None, junk=True), row(2001, None, "big", junk=True), row(2002, "xx", "a"), row(2003, None, None)]
+    got = {r.doc_id: r for r in quality.judge(planted_stats(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[1000 + i].kept == (i % 2 == 0) for i in range(20))
+    assert not got[2000].kept and not got[2001].kept and got[2002].kept and got[2003].kept
+    assert all(got[i].kept for i in range(300))
+    alone = quality.judge(planted_stats(spark, [row(1, "en", "s", junk=True)])).first()
+    assert alone.kept and alone.distance < 0.01  # its own centre, but for rounded coordinates
+
+
+def test_quality_mixing_against_numpy(spark):
+    """Estimates of a group of 10, of its language and of the corpus, mixed by hand."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(n), int(n * (4 + i % 3 * 0.3 + rng.normal() * 0.2)), int(n * 0.01 * (i % 5)), 10, 0, 0,
+             "en" if i % 4 else "de", "few" if i < 12 and i % 4 else "s") for i, n in enumerate(rng.integers(50, 400, 160))]
+    stats = planted_stats(spark, rows)
+    names = [*[f"m{i}" for i in range(4)], *[f"c{i}{j}" for i, j in quality.LOWER]]
+    best = spark.createDataFrame(
+        [(g, size, 0, *[float(x) for x in centre], *[float(scatter[i][j]) for i, j in quality.LOWER]) for g, size, centre, scatter in (
+            ('{"lang":"en","source":"few"}', 10, [1, 2, 3, 4], np.eye(4)), ("language en", 40, [0, 1, 0, 1], 4 * np.eye(4) + 1),
+            ("corpus", 500, [2, 2, 2, 2], 9 * np.eye(4)))], "g string, size long, start int, " + ", ".join(f"{x} double" for x in names))
+    got = quality.drawn(best, spark.createDataFrame([('{"lang":"en","source":"few"}',)], "g string")).collect()
+    language = 0.8 * np.array([0, 1, 0, 1]) + 0.2 * np.full(4, 2), 0.8 * (4 * np.eye(4) + 1) + 0.2 * 9 * np.eye(4)
+    centre, scatter = 0.2 * np.arange(1, 5) + 0.8 * language[0], 0.2 * np.eye(4) + 0.8 * language[1]
+    w = np.zeros((4, 4))
+    for i, j in quality.LOWER:
+        w[i, j] = got[0][f"w{i}{j}"]
+    assert len(got) == 1 and np.allclose([got[0][f"m{i}"] for i in range(4)], centre)
+    assert np.allclose(np.linalg.inv(scatter), w.T @ w)
+    assert {r.g for r in quality.fit_mcd(stats).collect()} == {r.g for r in quality.cells(stats).select("g").distinct().collect()}
+
+
 def test_quality_edge_rows(edge, empty):
     rows = quality.assess(edge).collect()
     assert len(rows) == len(EDGE) and not any(r.kept for r in rows if r.n_words < 20)

@@ -9,6 +9,11 @@ no longer falls.  The steps start from medians with two deterministic scatters
 smaller determinant wins.  Rows whose distance exceeds the chi-square quantile are
 rejected.
 
+A group of fewer than ``FULL`` rows says little about itself (a lone row is its own
+centre), so its centre and scatter are drawn towards its language's, and a
+language's of so few rows towards the corpus's: n / FULL of its own, the rest from
+above.  All three levels are fitted in the same steps.
+
 Spark runs each step as one aggregation of moments over all rows, and the
 quantiles as counts over fixed bins, so a group that holds a third of all
 rows is combined map-side and never gathered.  Groups may be as many as there are
@@ -16,7 +21,7 @@ sources: their estimates are joined as a table, not collected.
 
 Defined results: null and empty texts have zero statistics and fail the base
 rules; null lang or source forms a group of its own; statistics that do not vary
-in a group count with the floor ``FLOORS``, as do groups too small to have a
+in a group count with the floor ``FLOORS``, as does a corpus too small to have a
 scatter; repeated rows are judged alike; clashing columns are replaced.
 """
 
@@ -111,6 +116,8 @@ STEP = 1 / 16
 SUPPORT, CONSISTENCY = 0.75, 1.486
 #: Chi-square quantile (4 degrees of freedom) at 1 - 1e-5.
 CUT = 28.47
+#: Rows from which on a group's estimate stands alone.
+FULL = 50
 #: Distances are counted in bins of 1/32 of their logarithm, up to the last.
 BINS, BIN_WIDTH, SALTS, MAX_STEPS = 640, 32, 16, 100
 
@@ -130,6 +137,21 @@ def group_key() -> Column:
     return F.to_json(F.struct("lang", "source")).alias("g")
 
 
+def language_key(group: str = "g") -> Column:
+    """The key of a group's language."""
+    lang = F.get_json_object(group, "$.lang")
+    return F.coalesce(F.concat(F.lit("language "), lang), F.lit("null language"))
+
+
+CORPUS = "corpus"
+
+
+def all_levels(cell: DataFrame) -> DataFrame:
+    """The cells of groups, and those of languages and of the corpus, counted anew."""
+    upper = cell.withColumn("g", F.explode(F.array(language_key(), F.lit(CORPUS)))).groupBy("g", *VECTOR).agg(F.sum("n").alias("n"))
+    return cell.select("g", *VECTOR, "n").unionByName(upper)
+
+
 def salted(params: DataFrame) -> DataFrame:
     return params.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
@@ -160,7 +182,7 @@ def moments(weight: Column) -> list[Column]:
 
 
 def estimates(df: DataFrame) -> DataFrame:
-    """(g, start, centre m, inverse Cholesky factor w, logdet) from g, start, m and a positive scatter c."""
+    """(g, start, centre m, scatter c, inverse Cholesky factor w, logdet) from g, start, m and a positive scatter c."""
     def column(i: int, j: int) -> Column:
         rest = [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)]
         return F.col(f"c{i}{j}") - plus(rest) if rest else F.col(f"c{i}{j}")
@@ -172,8 +194,8 @@ def estimates(df: DataFrame) -> DataFrame:
     for off in range(1, P):
         df = df.withColumns({f"w{j + off}{j}": -plus([F.col(f"l{j + off}{k}") * F.col(f"w{k}{j}") for k in range(j, j + off)])
                              / F.col(f"l{j + off}{j + off}") for j in range(P - off)})
-    return df.select("g", "start", *[f"m{i}" for i in range(P)], *[f"w{i}{j}" for i, j in LOWER],
-                     plus([2 * F.log(f"l{i}{i}") for i in range(P)]).alias("logdet"))
+    return df.select("g", "start", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in LOWER],
+                     *[f"w{i}{j}" for i, j in LOWER], plus([2 * F.log(f"l{i}{i}") for i in range(P)]).alias("logdet"))
 
 
 def concentrated(binned: DataFrame) -> DataFrame:
@@ -211,8 +233,9 @@ def first_estimates(cell: DataFrame) -> DataFrame:
 
 
 def fit_mcd(stats: DataFrame) -> DataFrame:
-    """Centre and inverse scatter of every (lang, source) group that has rows to fit."""
-    cell = materialize(cells(stats), "mcd-cells")
+    """Centre and inverse scatter of every (lang, source) group that has rows to fit, small groups drawn towards their language."""
+    groups = materialize(cells(stats), "mcd-cells")
+    cell = materialize(all_levels(groups), "mcd-levels")
     params = materialize(first_estimates(cell), "mcd")
     for step in range(MAX_STEPS):
         d = with_params(cell, params).withColumn(
@@ -225,7 +248,26 @@ def fit_mcd(stats: DataFrame) -> DataFrame:
         if not moved:
             break
     rank = F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))  # two rows a group
-    return params.withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank", "start")
+    best = params.withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
+    return drawn(materialize(best.join(cell.groupBy("g").agg(F.sum("n").alias("size")), "g"), "mcd-best"),
+                 groups.select("g").distinct())
+
+
+def drawn(best: DataFrame, groups: DataFrame) -> DataFrame:
+    """Estimates of the groups, each mixed with its language's, that with the corpus's, by their numbers of rows."""
+    names = [*[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in LOWER]]
+
+    def mixed(rows: DataFrame, above: DataFrame) -> DataFrame:
+        """``rows`` (g, size, up, names) with the estimates of their ``up`` in ``above``; one row a group and level."""
+        own = F.least(F.lit(1.0), F.col("size") / FULL)
+        joined = rows.join(above.select(F.col("g").alias("up"), *[F.col(x).alias(f"up_{x}") for x in names]), "up")
+        return joined.select("g", *[(own * F.col(x) + (1 - own) * F.col(f"up_{x}")).alias(x) for x in names])
+
+    level = best.select("g", "size", *names)
+    corpus = level.where(F.col("g") == CORPUS)
+    languages = mixed(level.join(groups.select(language_key().alias("g")).distinct(), "g").withColumn("up", F.lit(CORPUS)), corpus)
+    result = mixed(level.join(groups, "g").withColumn("up", language_key()), languages)
+    return estimates(result.withColumn("start", F.lit(0))).drop("start", *[x for x in names if x.startswith("c")])
 
 
 def judge(stats: DataFrame) -> DataFrame:
