@@ -45,6 +45,19 @@ def test_segments_hold_few_candidates(spark):
     assert pairs.count() < 4 * 400
 
 
+def test_keys_of_names_are_not_broadcast(spark, tmp_path):
+    """Files say nothing of how many keys their names become, so no table of keys may be sent through the driver."""
+    rows = [(f"shared beginning {i * 7919 % 100000:05d}",) for i in range(300)]
+    spark.createDataFrame(rows, "name string").write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names"))
+    titles = names.selectExpr("concat(name, 'x') AS title")
+    pairs = M.name_candidates(titles.selectExpr("title AS _tn"), names.selectExpr("name AS _cn", "name AS match"), 2, hot=20)
+    got = M.match_names(titles, names)
+    for df in (pairs, got):
+        assert "Broadcast" not in spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert {(r.title[:-1], r.distance) for r in got.collect() if r.match == r.title[:-1]} == {(n, 1) for n, in rows}
+
+
 def test_match_names_empty(spark):
     none = spark.createDataFrame([], "title string, match string")
     got = M.match_names(none.select("title"), none.selectExpr("title AS name"))

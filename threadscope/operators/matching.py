@@ -58,26 +58,39 @@ def title_segments(c: Column, d: int) -> Column:
 
 #: Names beyond which a segment is left to the deletion variants, whose keys are nearly whole names.
 HOT_SEGMENT = 64
+#: Names or titles of one task before each becomes up to several hundred keys.
+NAMES_PER_TASK = 2000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A written table dealt to tasks of about NAMES_PER_TASK rows, whatever its bytes."""
+    return df.repartition(df.count() // NAMES_PER_TASK + 1, key)
 
 
 def name_candidates(titles: DataFrame, names: DataFrame, max_distance: int, hot: int = HOT_SEGMENT) -> DataFrame:
     """Pairs (_tn, _cn, match) that hold every pair within ``max_distance`` edits, by shared segments.
 
     A segment that more than ``hot`` names share says little, so the names and titles that hold such a segment
-    meet by deletion variants instead; so do names without ``max_distance`` + 1 characters, whose segments are empty."""
+    meet by deletion variants instead; so do names without ``max_distance`` + 1 characters, whose segments are empty.
+    Tables of keys are many times larger than the names they come from, which sizes of files don't tell, so they are
+    always shuffled and never broadcast.  Variants are met by their hashes; equal hashes of others cost a pair."""
     d = max_distance
     long = names.where(F.length("_cn") > d)
-    cs = long.select("_cn", "match", F.explode(name_segments(F.col("_cn"), d)).alias("_k"))
-    ts = titles.where(F.length("_tn") > 0).select("_tn", F.explode(title_segments(F.col("_tn"), d)).alias("_k"))
-    often = cs.groupBy("_k").count().where(F.col("count") > hot).select("_k")
-    plain = ts.join(cs.join(often, "_k", "left_anti"), "_k").select("_tn", "_cn", "match")
+    cs = long.select("_cn", "match", F.explode(name_segments(F.col("_cn"), d)).alias("_k")).checkpoint()
+    ts = titles.where(F.length("_tn") > 0).select("_tn", F.explode(title_segments(F.col("_tn"), d)).alias("_k")).checkpoint()
+    often = cs.groupBy("_k").count().where(F.col("count") > hot).select("_k").hint("merge")
+    plain = ts.join(cs.join(often, "_k", "left_anti").hint("merge"), "_k").select("_tn", "_cn", "match")
     rest_names = (cs.join(often, "_k", "left_semi").select("_cn", "match").distinct()
-                  .unionByName(names.where(F.length("_cn") <= d)))
+                  .unionByName(names.where(F.length("_cn") <= d))).checkpoint()
     rest_titles = (ts.join(often, "_k", "left_semi").select("_tn")
-                   .unionByName(titles.where(F.length("_tn") <= 2 * d).select("_tn")).distinct())
-    tv = rest_titles.select("_tn", F.explode(deletion_variants(F.col("_tn"), d)).alias("_v"))
-    cv = rest_names.select("_cn", "match", F.explode(deletion_variants(F.col("_cn"), d)).alias("_v"))
-    return plain.unionByName(tv.join(cv, "_v").select("_tn", "_cn", "match"))
+                   .unionByName(titles.where(F.length("_tn") <= 2 * d).select("_tn")).distinct()).checkpoint()
+
+    def variants(c: str) -> Column:
+        return F.explode(F.transform(deletion_variants(F.col(c), d), lambda v: F.xxhash64(v))).alias("_v")
+
+    tv = spread(rest_titles, "_tn").select("_tn", variants("_tn"))
+    cv = spread(rest_names, "_cn").select("_cn", "match", variants("_cn"))
+    return plain.unionByName(tv.join(cv.hint("merge"), "_v").select("_tn", "_cn", "match"))
 
 
 def match_names(titles: DataFrame, catalog: DataFrame, max_distance: int = 2,
@@ -85,23 +98,26 @@ def match_names(titles: DataFrame, catalog: DataFrame, max_distance: int = 2,
     """Best catalog name per title (left outer, top-1), else 'No subreddit found'.
 
     Titles and names are normalised (X8); null titles and names match nothing.  A title that
-    equals a name takes it by an equi-join; the others meet their candidates by shared segments
+    equals a name takes it by an equi-join; the others look for names one edit away, then those still
+    without a name two edits away and so on, as a nearer name always wins.  They meet their candidates by shared segments
     (``name_candidates``), so the candidate set is exact without comparing all pairs; each candidate is
     verified with ``levenshtein`` and the best (distance, name) wins.
     """
     t = titles.withColumn("_tn", X.normalize_title(F.col(title_col)))
+    # names and titles are read by the segments, the variants and the equi-joins: written once
     c = (catalog.select(F.col(name_col).alias("match"), X.normalize_title(F.col(name_col)).alias("_cn"))
-         .where(F.col("_cn") != "").groupBy("_cn").agg(F.min("match").alias("match")))
-    # read by the segments, the variants and the equi-join: written once
+         .where(F.col("_cn") != "").groupBy("_cn").agg(F.min("match").alias("match")).checkpoint())
     asked = (t.select("_tn").where(F.col("_tn").isNotNull()).distinct()
-             .join(c.withColumnRenamed("_cn", "_tn"), "_tn", "left").checkpoint())
-    open_ = asked.where(F.col("match").isNull()).select("_tn")
-    near = (name_candidates(open_, c, max_distance, hot)
-            .withColumn("_dist", F.levenshtein("_tn", "_cn", max_distance)).where(F.col("_dist") >= 0)
-            .groupBy("_tn").agg(F.min(F.struct("_dist", "match")).alias("_b")))
-    best = (asked.where(F.col("match").isNotNull()).select("_tn", F.struct(F.lit(0).alias("_dist"), "match").alias("_b"))
-            .unionByName(near))
-    out = t.join(best, "_tn", "left")
+             .join(c.withColumnRenamed("_cn", "_tn").hint("merge"), "_tn", "left").checkpoint())
+    best = asked.where(F.col("match").isNotNull()).select("_tn", F.struct(F.lit(0).alias("_dist"), "match").alias("_b"))
+    open_, names = asked.where(F.col("match").isNull()).select("_tn"), spread(c, "_cn")
+    for d in range(1, max_distance + 1):
+        near = (name_candidates(spread(open_, "_tn"), names, d, hot)
+                .withColumn("_dist", F.levenshtein("_tn", "_cn", d)).where(F.col("_dist") >= 0)
+                .groupBy("_tn").agg(F.min(F.struct("_dist", "match")).alias("_b")).checkpoint())
+        best = best.unionByName(near)
+        open_ = open_.join(near.hint("merge"), "_tn", "left_anti")
+    out = t.join(best.hint("merge"), "_tn", "left")
     return out.select(*[F.col(n) for n in titles.columns], F.col("_b.match").alias("match"),
                       F.col("_b._dist").cast("int").alias("distance"))
 
