@@ -1,6 +1,7 @@
 """Random indexing, softmax regression, k-means with a hot group, metrics in one pass."""
 
 import math
+import re
 from collections import Counter, defaultdict
 from hashlib import md5
 
@@ -168,3 +169,43 @@ def test_w7_posts_keep_their_comments(spark):
     p, c = SA.split_posts(posts, comments)
     side = {r.post_id: r.split for r in p.collect()}
     assert Counter(side.values())["test"] == 6 and all(side[r.post_id] == r.split for r in c.collect())
+
+
+def plan_of(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+
+def test_kmeans_steps_do_not_shuffle_points(spark, monkeypatch):
+    """Small groups are clustered whole in a task after one shuffle; larger ones meet broadcast centroids; labels agree."""
+    points = [(f"g{i % 7}", i, [float(i * 37 % 101), float(i * 53 % 89)]) for i in range(400)] + [("one", 1000, [1.0, 2.0])]
+    df = spark.createDataFrame(points, "g string, id long, v array<double>")
+    small = MO.kmeans_per_group(df, "g", "id", "v")
+    assert "MapInArrow" in plan_of(small) and plan_of(small).count("Exchange") == 1
+    monkeypatch.setattr(MO, "SMALL_GROUP", 0)
+    large = MO.kmeans_per_group(df, "g", "id", "v")
+    assert "SortMergeJoin" not in plan_of(large)
+    assert sorted(small.collect()) == sorted(large.collect())
+    monkeypatch.setattr(MO, "SMALL_GROUP", 50)  # groups of both kinds, one of a point without values, none of null key
+    odd = df.union(spark.createDataFrame([(None, 2000, [1.0, 1.0]), ("one", 1001, [3.0, 2.0])], df.schema))
+    assert len(MO.kmeans_per_group(odd, "g", "id", "v").collect()) == 402
+
+
+def test_windows_do_not_carry_the_whole_text(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200)))], "id int, text string")
+    w = MO.windows(df, ["id"], "text", 64, 32)
+    kept = re.findall(r"Generate posexplode\(.*\), \[([^\]]*)\], false", plan_of(w))
+    assert kept and not any("_t#" in k for k in kept)
+    got = {r.w: r.chunk for r in w.collect()}
+    assert got == {i: [f"w{j}" for j in range(32 * i, min(32 * i + 64, 200))] for i in range(6)}
+
+
+def test_words_are_hashed_once_a_batch(monkeypatch):
+    import pyarrow as pa
+    calls = []
+    real = SM.md5
+    monkeypatch.setattr(SM, "md5", lambda b: calls.append(b) or real(b))
+    numbers, row, root = SM.numbered(pa.array([["a"] * 300, ["b", "a", "a"], [], None], pa.list_(pa.string())), 64)
+    a, b = (int(md5(w).hexdigest()[:8], 16) % 64 for w in (b"a", b"b"))
+    assert sorted(calls) == [b"a", b"b"]
+    assert numbers.tolist() == [a] * 300 + [b, a, a] and row.tolist() == [0] * 300 + [1] * 3
+    assert root.tolist() == [300.0, math.sqrt(5) if a != b else 3.0, 1.0, 1.0]

@@ -1,17 +1,21 @@
 """M6: a softmax classifier trained by full-batch gradient steps, evaluated after each epoch.
 
 Texts become arrays of token numbers (a hash modulo ``num_features``), so a model is an array of
-``num_features`` x ``classes`` weights whatever the corpus; it is broadcast as one row.  An epoch is one job: logits and residuals are computed inside
-the rows, and residuals are summed by token number with map-side sums.  Evaluation scores the
+``num_features`` x ``classes`` weights whatever the corpus; it goes to the tasks with their function.  An epoch is one job: a task adds up
+the residuals of its rows by token number in Arrow batches, and the tasks' sums are added by token number.  Evaluation scores the
 other rows with the weights of all epochs in one further pass.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from . import evaluate as EV
@@ -21,39 +25,42 @@ NUM_FEATURES, CLASSES = 1 << 10, 3
 BIAS = -1
 
 
-def token_numbers(tokens: Column, num_features: int = NUM_FEATURES) -> Column:
-    return F.transform(tokens, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % num_features).cast("int"))
+def flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """(elements of all lists, the row of each)."""
+    return lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
 
 
-def length_of(numbers: Column) -> Column:
-    """Euclidean length of the token counts (1 for no tokens), so that no text outweighs another."""
-    none = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+def numbered(lists: pa.ListArray, num_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token numbers, their rows, the Euclidean length of each row's counts: 1 for no tokens, so that no text outweighs another).
 
-    def add(s: Column, i: Column) -> Column:
-        run = F.when(i == s["last"], s["run"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(i.alias("last"), run.alias("run"), (s["sum"] + 2 * run - 1).alias("sum"))
+    A word is hashed once a batch."""
+    words, row = flat(lists)
+    coded = words.dictionary_encode()
+    of_word = np.array([int(md5(w.encode()).hexdigest()[:8], 16) % num_features for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    numbers = of_word[coded.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.int64)
+    cells, n = np.unique(row * num_features + numbers, return_counts=True)
+    squares = np.bincount(cells // num_features, weights=n.astype(np.float64) ** 2, minlength=len(lists))
+    return numbers, row, np.sqrt(np.maximum(squares, 1.0))
 
-    squares = F.aggregate(F.sort_array(numbers), none, add)["sum"]
-    return F.sqrt(F.greatest(squares, F.lit(1)).cast("double"))
 
+def logits(numbers: np.ndarray, row: np.ndarray, root: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per row and class: the bias and the sum of its weights of the tokens, over the length of their counts.
 
-def featured(df: DataFrame, tokens: Column, num_features: int) -> DataFrame:
-    """Append ``numbers`` and ``root`` (their length)."""
-    return df.withColumn("numbers", token_numbers(tokens, num_features)).withColumn("root", length_of(F.col("numbers")))
-
+    ``weights``: the biases, then a row a token number."""
+    sums = [np.bincount(row, weights=weights[numbers + 1, c], minlength=len(root)) for c in range(weights.shape[1])]
+    return weights[0] + np.stack(sums, axis=1) / root[:, None]
 
-def logits(numbers: Column, root: Column, weights: Column, classes: int = CLASSES) -> Column:
-    """Per class: its bias and the sum of its weights of the tokens, over the length of their counts.
-
-    ``weights``: the bias of each class, then the weights of token 0, of token 1 and so on."""
-    return F.array(*[F.element_at(weights, c + 1) + F.aggregate(
-        numbers, F.lit(0.0), lambda s, i: s + F.element_at(weights, classes * (i + 1) + c + 1)) / root for c in range(classes)])
 
+def featured(df: DataFrame, tokens: Column, num_features: int) -> DataFrame:
+    """Append ``numbers`` and ``root`` (their length)."""
+    @F.arrow_udf("struct<numbers: array<int>, root: double>")
+    def features(lists: pa.Array) -> pa.Array:
+        numbers, row, root = numbered(lists, num_features)
+        ends = np.cumsum(np.bincount(row, minlength=len(root)))
+        each = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(numbers, pa.int32()))
+        return pa.StructArray.from_arrays([each, pa.array(root)], names=["numbers", "root"])
 
-def softmax_columns(values: str, classes: int = CLASSES) -> list[Column]:
-    top = F.array_max(values)
-    e = [F.exp(F.element_at(values, c + 1) - top) for c in range(classes)]
-    return [x / sum(e[1:], e[0]) for x in e]
+    return df.withColumn("_features", features(tokens)).withColumns({n: F.col(f"_features.{n}") for n in ("numbers", "root")}).drop("_features")
 
 
 @dataclass
@@ -65,18 +72,43 @@ class SoftmaxModel:
     epochs: list[list[float]] = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
 
-    def weight_rows(self, spark, epochs) -> DataFrame:
-        """(epoch, weights): one row an epoch, of classes * (num_features + 1) numbers."""
-        return F.broadcast(spark.createDataFrame([(e, self.epochs[e - 1]) for e in epochs], "epoch int, weights array<double>"))
+    def matrix(self, epoch: int) -> np.ndarray:
+        return np.array(self.epochs[epoch - 1]).reshape(self.num_features + 1, self.classes)
 
     def scorer(self, chunk_col: str = "chunk"):
         """The model as a window scorer (M7): ``logits`` of a token array."""
-        def run(d: DataFrame) -> DataFrame:
-            one = self.weight_rows(d.sparkSession, [len(self.epochs)]).drop("epoch")
-            x = featured(d, F.col(chunk_col), self.num_features).crossJoin(one)  # one row
-            return (x.withColumn("logits", logits(F.col("numbers"), F.col("root"), F.col("weights"), self.classes))
-                    .drop("numbers", "root", "weights"))
-        return run
+        weights, num_features = self.matrix(len(self.epochs)), self.num_features
+
+        @F.arrow_udf("array<double>")
+        def score(lists: pa.Array) -> pa.Array:
+            z = logits(*numbered(lists, num_features), weights)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel()))
+
+        return lambda d: d.withColumn("logits", score(F.col(chunk_col)))
+
+
+def _sums(weights: np.ndarray):
+    """One step's share of a task: (i, gradients by class, loss, rows) for each token number."""
+    def run(batches):
+        total, loss, n = np.zeros_like(weights), 0.0, 0
+        for batch in batches:
+            label, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            numbers, row = flat(batch.column(1))
+            numbers = numbers.to_numpy(zero_copy_only=False)
+            z = logits(numbers, row, root, weights)
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            p = e / e.sum(axis=1, keepdims=True)
+            loss, n = loss - float(np.log(p[np.arange(len(label)), label]).sum()), n + len(label)
+            p[np.arange(len(label)), label] -= 1
+            total[0] += p.sum(axis=0)
+            for c in range(weights.shape[1]):
+                total[1:, c] += np.bincount(numbers, weights=(p[:, c] / root)[row], minlength=len(weights) - 1)
+        if n:
+            at = np.arange(len(weights)) + BIAS
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[:, c]) for c in range(weights.shape[1])),
+                                              pa.array(np.where(at == BIAS, loss, 0.0)), pa.array(np.where(at == BIAS, n, 0))],
+                                             names=["i", *(f"g{c}" for c in range(weights.shape[1])), "loss", "n"])
+    return run
 
 
 def train(rows: DataFrame, text_col: str = "text", label_col: str = "label", epochs: int = 200, rate: float = 1.5,
@@ -85,28 +117,20 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "label", epo
 
     Labels are 0 .. classes - 1, other rows and null texts are left out.  The loss is convex and a text's counts have length one, so a
     rate below 2 descends."""
-    x = rows.where(F.col(text_col).isNotNull() & F.col(label_col).between(0, classes - 1)).withColumn("label", F.col(label_col))
+    x = rows.where(F.col(text_col).isNotNull() & F.col(label_col).between(0, classes - 1)).withColumn("label", F.col(label_col).cast("int"))
     x = featured(x, X.tokenize(text_col, clean=False), num_features).select("label", "numbers", "root").checkpoint()
     model = SoftmaxModel(num_features, classes)
+    schema = ", ".join(["i int", *(f"g{c} double" for c in range(classes)), "loss double", "n long"])
     w = [0.0] * (classes * (num_features + 1))
     for _ in range(epochs):
-        one = F.broadcast(rows.sparkSession.createDataFrame([(w,)], "weights array<double>"))
-        scored = x.crossJoin(one).withColumn("logits", logits(F.col("numbers"), F.col("root"), F.col("weights"), classes)).drop("weights")  # one row
-        scored = scored.withColumns({f"p{c}": p for c, p in enumerate(softmax_columns("logits", classes))})
-        residual = [F.col(f"p{c}") - (F.col("label") == c).cast("double") for c in range(classes)]
-        loss = -F.log(F.element_at(F.array(*[F.col(f"p{c}") for c in range(classes)]), F.col("label") + 1))
-        each = scored.select(*[r.alias(f"r{c}") for c, r in enumerate(residual)], loss.alias("loss"), "root",
-                             F.explode(F.concat(F.array(F.lit(BIAS)), "numbers")).alias("i"))
-        share = F.when(F.col("i") == BIAS, 1.0).otherwise(1 / F.col("root"))
-        sums = each.groupBy("i").agg(*[F.sum(F.col(f"r{c}") * share).alias(f"g{c}") for c in range(classes)],
-                                     F.sum("loss").alias("loss"), F.count("*").alias("n"))
+        sums = x.mapInArrow(_sums(np.array(w).reshape(-1, classes)), schema).groupBy("i").agg(
+            *[F.sum(c).alias(c) for c in (*(f"g{c}" for c in range(classes)), "loss", "n")])
         found = {r["i"]: r for r in sums.collect()}  # num_features + 1 rows at most
         if not found:
             raise ValueError("no labelled rows")
         n = found[BIAS]["n"]
         model.losses.append(found[BIAS]["loss"] / n)
-        w = [v - rate * ((found[at // classes - 1][f"g{at % classes}"] if at // classes - 1 in found else 0.0) / n
-                         + (reg * v if at >= classes else 0.0)) for at, v in enumerate(w)]
+        w = [v - rate * (found[at // classes - 1][f"g{at % classes}"] / n + (reg * v if at >= classes else 0.0)) for at, v in enumerate(w)]
         model.epochs.append(w)
         if len(model.losses) > 1 and model.losses[-2] - model.losses[-1] < tol:
             break
@@ -118,11 +142,21 @@ def evaluate_epochs(model: SoftmaxModel, rows: DataFrame, text_col: str = "text"
 
     ``train_loss`` is the mean loss that the epoch's gradient was taken at."""
     spark = rows.sparkSession
-    weights = model.weight_rows(spark, range(1, len(model.epochs) + 1))
+    weights = [model.matrix(e + 1) for e in range(len(model.epochs))]
     x = featured(rows.where(F.col(text_col).isNotNull()), X.tokenize(text_col, clean=False), model.num_features)
-    x = x.select(F.col(label_col).alias("actual"), "numbers", "root").crossJoin(weights)  # a row an epoch
-    scored = x.withColumn("logits", logits(F.col("numbers"), F.col("root"), F.col("weights"), model.classes))
-    pairs = scored.select("epoch", "actual", (F.array_position("logits", F.array_max("logits")) - 1).cast("int").alias("predicted"))
+    x = x.select(F.col(label_col).alias("actual"), "numbers", "root")
+
+    def run(batches):
+        for batch in batches:
+            numbers, row = flat(batch.column(1))
+            numbers, root = numbers.to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            for e, w in enumerate(weights):
+                best = logits(numbers, row, root, w).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), e + 1), pa.int32()), batch.column(0), pa.array(best, pa.int32())],
+                                                 names=["epoch", "actual", "predicted"])
+
+    schema = T.StructType([T.StructField("epoch", T.IntegerType()), x.schema["actual"], T.StructField("predicted", T.IntegerType())])
+    pairs = x.mapInArrow(run, schema)  # a row a text and epoch
     losses = spark.createDataFrame([(i + 1, x) for i, x in enumerate(model.losses)], "epoch int, train_loss double")
     return (EV.metrics_by(pairs, ["epoch"], weighted=True).join(F.broadcast(losses), "epoch")  # a row an epoch
             .select("epoch", "train_loss", "accuracy", "precision", "recall", "f1"))
