@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from threadscope.functions import keywords as K
@@ -91,3 +92,11 @@ def test_keyword_index_beyond_the_filter(spark, monkeypatch):
     assert rows("index") == expected
     assert EN.match_keywords(df, ["id"], "text", dic.limit(0), method="index").count() == 0
     assert EN.match_keywords(df.limit(0), ["id"], "text", dic, method="index").count() == 0
+
+
+def test_windows_of_a_keyword_batch_are_bounded():
+    """Fingerprints of all powers of two of a full batch, in bytes."""
+    codes = np.zeros(FP.BATCH_CHARS, dtype="<u4")
+    windows = FP.Windows(codes)
+    windows.of(200)
+    assert sum(x.nbytes for x in windows.levels.values()) <= 64 << 20

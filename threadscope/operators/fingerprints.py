@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 FILTER_LIMIT = 4_000_000
 #: Odd 64-bit multipliers of the fingerprints.
 _MIX, _LEFT, _RIGHT = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-#: Code points laid end to end at once.
-BATCH_CHARS = 4 << 20
+#: Code points laid end to end at once (a task holds a number of 8 bytes a code point and power of two), and texts turned into strings at once.
+BATCH_CHARS, BATCH_ROWS = 1 << 19, 500
 
 
 class Windows:
@@ -105,7 +105,7 @@ def keyword_hits(df: DataFrame, id_cols: list[str], text: Column, keywords: Data
         return rows, strings
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             texts = [t or "" for t in batch.column(len(id_cols)).to_pylist()]
             start = 0
             while start < len(texts):
