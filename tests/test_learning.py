@@ -185,7 +185,7 @@ def test_kmeans_steps_do_not_shuffle_points(spark, monkeypatch):
     large = MO.kmeans_per_group(df, "g", "id", "v")
     assert "SortMergeJoin" not in plan_of(large)
     assert sorted(small.collect()) == sorted(large.collect())
-    monkeypatch.setattr(MO, "SMALL_GROUP", 50)  # groups of both kinds, one of a point without values, none of null key
+    monkeypatch.setattr(MO, "SMALL_GROUP", 50)  # groups of both kinds, and a row without a group
     odd = df.union(spark.createDataFrame([(None, 2000, [1.0, 1.0]), ("one", 1001, [3.0, 2.0])], df.schema))
     assert len(MO.kmeans_per_group(odd, "g", "id", "v").collect()) == 402
 
