@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 from hashlib import md5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,35 @@ def test_words_are_hashed_once_a_batch(monkeypatch):
     assert sorted(calls) == [b"a", b"b"]
     assert numbers.tolist() == [a] * 300 + [b, a, a] and row.tolist() == [0] * 300 + [1] * 3
     assert root.tolist() == [300.0, math.sqrt(5) if a != b else 3.0, 1.0, 1.0]
+
+
+def test_word2vec_trains_in_blocks_and_its_vectors_stay_in_tables(spark, monkeypatch):
+    from threadscope.operators import word2vec as W2V
+    monkeypatch.setattr(W2V, "BLOCK_TOKENS", 4000)
+    rng = np.random.default_rng(1)
+    topics = [[f"{t}{i}" for i in range(8)] for t in "ab"]
+    rows = [(list(rng.choice(topics[i % 2], 10)),) for i in range(1200)] + [(["alone"],), ([None, "rare"],), ([],), (None,), (["long"] * 2500,)]
+    model = MO.fit_word2vec(spark.createDataFrame(rows, "tokens array<string>"), "tokens", vector_size=16, num_partitions=2)
+    table = model.getVectors()
+    assert "LocalRelation" not in table._jdf.queryExecution().optimizedPlan().toString()  # nothing came from the driver
+    v = {r.word: r.vector.toArray() for r in table.collect()}
+    assert set(v) == {*topics[0], *topics[1], "alone", "rare", "long"} and model.getVectorSize() == 16
+    assert all(len(x) == 16 and np.isfinite(x).all() and x.any() for x in v.values())
+    cos = lambda x, y: v[x] @ v[y] / np.linalg.norm(v[x]) / np.linalg.norm(v[y])
+    same = np.mean([cos(x, y) for t in topics for x in t for y in t if x < y])
+    other = np.mean([cos(x, y) for x in topics[0] for y in topics[1]])
+    assert same > other + 0.3
+    few = MO.fit_word2vec(spark.createDataFrame(rows, "tokens array<string>"), "tokens", vector_size=4, min_count=2, max_iter=1)
+    assert {r.word for r in few.getVectors().collect()} == {*topics[0], *topics[1], "long"}
+
+
+def test_word2vec_pairs_and_batches():
+    from threadscope.operators import word2vec as W2V
+    rng = np.random.default_rng(0)
+    words, sentence = np.arange(7), np.array([0, 0, 0, 0, 2, 5, 5])
+    centre, context = W2V.pairs(words, sentence, 1, rng)
+    assert sorted(zip(centre.tolist(), context.tolist())) == [(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2), (5, 6), (6, 5)]
+    assert all(len(x) == 0 for x in W2V.pairs(words[:1], sentence[:1], 5, rng))
+    to = np.zeros((3, 2))
+    W2V._add(to, np.array([2, 0, 2]), np.array([[1, 2], [3, 4], [5, 6]]))
+    assert to.tolist() == [[3, 4], [0, 0], [6, 8]]
