@@ -242,3 +242,11 @@ def test_word2vec_pairs_and_batches():
     to = np.zeros((3, 2))
     W2V._add(to, np.array([2, 0, 2]), np.array([[1, 2], [3, 4], [5, 6]]))
     assert to.tolist() == [[3, 4], [0, 0], [6, 8]]
+
+
+def test_sentence_without_known_word_is_zero(spark):
+    df = spark.createDataFrame([(1, ["alpha", "beta"]), (2, ["alone"]), (3, []), (4, None), (5, ["alpha"] * 40)], "id long, tokens array<string>")
+    model = MO.fit_word2vec(df, "tokens", vector_size=12)
+    assert "LocalRelation" not in MO.sentence_vectors(df, ["id"], "tokens", model)._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.vector for r in MO.sentence_vectors(df, ["id"], "tokens", model).collect()}
+    assert {len(v) for v in got.values()} == {12} and {i for i, v in got.items() if not any(v)} == {3, 4}
