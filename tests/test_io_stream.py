@@ -2,6 +2,7 @@
 
 import json
 
+from pyspark.sql import functions as F
 
 from threadscope.session import scratch_path
 from threadscope.sources import posts_io as PIO
@@ -232,3 +233,24 @@ def test_s1_mixed_folder_loses_nothing(spark, tmp_path):
     (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, posts[5:])))
     found, comments = PIO.read_posts(spark, str(tmp_path))
     assert sorted(r.post_id for r in found.collect()) == [f"p{i}" for i in range(10)] and comments.count() == 10
+
+
+def test_long_ids_do_not_go_with_every_word(spark):
+    """Summaries of posts with text ids equal those of number ids, and only their 16-byte digests are shuffled with the words."""
+    from threadscope.operators import summary as SU
+    com = [(1, 0, "The game is great. It crashed twice"), (1, 1, "today. I love the map"), (2, 0, "Bad bug here."), (1, 2, "The game is great."), (3, 0, None)]
+    posts = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (3, "copy"), (4, "none"), (None, "null")], "post_id long, title string")
+    comments = spark.createDataFrame(com, "post_id long, pos int, text string")
+    long_id = F.concat(F.lit("file:/" + "x" * 200 + "#"), F.col("post_id").cast("string"))
+    named = [d.withColumn("post_id", long_id) for d in (posts, comments)]
+    for cluster in ("none", "kmeans"):
+        plain = SU.summarize(posts, comments, cluster).withColumn("post_id", long_id)
+        found = SU.summarize(*named, cluster)
+        assert found.schema == plain.schema and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    seen, steps = [], SU.summary_steps
+    SU.summary_steps = lambda p, c, *a, **k: seen.append(c) or steps(p, c, *a, **k)
+    try:
+        SU.summarize(*named)
+    finally:
+        SU.summary_steps = steps
+    assert seen[0].select(F.max(F.length("post_id"))).first()[0] == 16
