@@ -746,3 +746,13 @@ def test_pipeline_run_on_edge_rows(spark, edge, empty, tmp_path):
         df.write.parquet(str(tmp_path / f"{k}/documents.parquet"))
         rows = corpus_pipeline.run(spark, str(tmp_path / str(k))).collect()
         assert {r.doc_id for r in rows} <= {e[0] for e in EDGE}
+
+
+def test_line_dedup_rewrites_the_blanks_of_a_text_at_once(spark):
+    text = "  a \t b\x0b\n\r\f\n \nc  d "
+    got = spark.createDataFrame([(text,), ("one two",)], "text string").select(line_dedup.plain(F.col("text")).alias("t"))
+    assert [r.t for r in got.collect()] == [" a b \n \n \nc d ", "one two"]  # the lines stay, with blanks around them
+    rows = [(1, text), (2, "a b\nc d\n\t\n \nnew"), (3, " \na\x0cb\n\n  c\td\r"), (4, None), (5, "")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out} == {
+        1: (text, 4, 0), 2: ("\t\n \nnew", 5, 2), 3: ("", 4, 3), 4: (None, 0, 0), 5: ("", 1, 0)}

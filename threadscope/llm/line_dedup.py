@@ -38,14 +38,10 @@ BLOCKS, STEP = 4, 8
 BLOCK = 32
 
 
-def plain(line: Column) -> Column:
-    """The words of a line with one blank between them; only lines that have other blanks are rewritten."""
-    other = line.rlike(r"[\t\x0B\f\r]|  ")
-    return F.when(other, F.trim(F.regexp_replace(line, r"[\x20\t\x0B\f\r]+", " "))).otherwise(F.trim(line))
-
-
-def words_of(line: Column) -> Column:
-    return F.split(plain(line), " ")
+def plain(text: Column) -> Column:
+    """A text with one blank for every run of them inside a line; only texts that have others are rewritten."""
+    other = text.rlike(r"[\t\x0B\f\r]|  ")
+    return F.when(other, F.regexp_replace(text, r"[\x20\t\x0B\f\r]+", " ")).otherwise(text)
 
 
 def block_spans(n: Column) -> list[tuple[Column, Column, Column]]:
@@ -67,7 +63,7 @@ def up_to(line: str, words: Column) -> Column:
 
 
 def gap_keys(line: str, n: str) -> Column:
-    """Hashes of a line (as ``plain`` gives it) without each of its gaps, as (gap, key).
+    """Hashes of a line (of a ``plain`` text, trimmed) without each of its gaps, as (gap, key).
 
     The words before and after a gap are the line up to and from some blank, so nothing is cut into words."""
     def found(spans, first):
@@ -127,10 +123,10 @@ def near_lines(lines: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     wanted = (lines.join(some, "id").select("id", "at", "n", "open").groupBy("at.k1", "at.k2")
               .agg(F.collect_list(F.struct("id", "at", "n", "open")).alias("__wanted")))  # lines of one document
     k1, k2 = hash128("doc_id", F.col(text_col))
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("__text")).join(wanted, ["k1", "k2"])
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), plain(F.col(text_col)).alias("__text")).join(wanted, ["k1", "k2"])
     found = texts.select(F.explode(F.expr("transform(array(split(__text, '\n')), p -> transform(__wanted, "
                                           "x -> named_struct('x', x, 'line', p[x.at.line_no])))[0]")).alias("f"))
-    found = found.select("f.x.*", "f.line").dropDuplicates(["id"]).withColumn("words", words_of(F.col("line")))
+    found = found.select("f.x.*", "f.line").dropDuplicates(["id"]).withColumn("words", F.split(F.trim("line"), " "))
     spans = F.array(*[F.struct(before.alias("lo"), (F.col("n") - after).alias("hi"))
                       for _, before, after in block_spans(F.col("n"))])
     found = materialize(found.withColumn("spans", spans).select(
@@ -160,8 +156,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     k1, k2 = hash128("doc_id", F.col(text_col))
     lines = (docs.where(F.col(text_col).isNotNull())
-             .select("doc_id", k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-             .where(F.col("line").rlike(r"[^\x20\t\x0B\f\r]")).withColumn("line", plain(F.col("line")))
+             .select("doc_id", k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split(plain(F.col(text_col)), "\n")).alias("line_no", "line"))
+             .withColumn("line", F.trim("line")).where("line <> ''")
              .withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1))
     h1, h2 = hash128("line")
     lines = materialize(lines.select(h1.alias("h1"), h2.alias("h2"), F.struct("doc_id", "k1", "line_no", "k2").alias("at"),
