@@ -123,7 +123,8 @@ def near_lines(lines: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     wanted = (lines.join(some, "id").select("id", "at", "n", "open").groupBy("at.k1", "at.k2")
               .agg(F.collect_list(F.struct("id", "at", "n", "open")).alias("__wanted")))  # lines of one document
     k1, k2 = hash128("doc_id", F.col(text_col))
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), plain(F.col(text_col)).alias("__text")).join(wanted, ["k1", "k2"])
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("__text")).join(wanted, ["k1", "k2"])
+    texts = texts.withColumn("__text", plain(F.col("__text")))  # after the join: only of texts that have such lines
     found = texts.select(F.explode(F.expr("transform(array(split(__text, '\n')), p -> transform(__wanted, "
                                           "x -> named_struct('x', x, 'line', p[x.at.line_no])))[0]")).alias("f"))
     found = found.select("f.x.*", "f.line").dropDuplicates(["id"]).withColumn("words", F.split(F.trim("line"), " "))
