@@ -756,3 +756,30 @@ def test_line_dedup_rewrites_the_blanks_of_a_text_at_once(spark):
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out} == {
         1: (text, 4, 0), 2: ("\t\n \nnew", 5, 2), 3: ("", 4, 3), 4: (None, 0, 0), 5: ("", 1, 0)}
+
+
+def test_line_dedup_hashes_a_text_once_and_variants_once(spark):
+    docs = spark.createDataFrame([(1, "a b\nc")], "doc_id long, text string").repartition(1)
+    plan = line_dedup.line_rows(docs, "text")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate posexplode")
+    assert "xxhash64(doc_id" not in above and "xxhash64(doc_id" in below  # not once a line
+    found = spark.createDataFrame([(1, 1, ["a", "b", "c"], [2])], "id long, at long, words array<string>, places array<int>").repartition(1)
+    rows = line_dedup.variant_rows(found)
+    assert "Filter" not in rows._jdf.queryExecution().optimizedPlan().toString()  # nor all variants again for their number
+    assert sorted(r.place for r in rows.collect()) == [0, 2]
+
+
+def test_line_dedup_gap_keys_meet_for_one_edit(spark):
+    rng, texts = np.random.default_rng(7), []
+    for n in [1, 7, *range(8, 42)]:
+        words = [f"w{i}" for i in rng.integers(0, 10**6, n)]
+        at = int(rng.integers(0, n))
+        texts += [" ".join(x) for x in (words, words[:at] + ["x"] + words[at + 1:], words[:at] + ["x"] + words[at:], words[::-1])]
+    rows = line_dedup.line_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text").collect()
+    gaps = {r["at"].doc_id: r.gaps for r in rows}
+    for i, text in enumerate(texts):
+        n = len(text.split())
+        assert len(gaps[i] or []) == (0 if n < 8 else 8 if n % 8 == 0 and n > 8 else 4)
+    for i in range(0, len(texts), 4):
+        if gaps[i]:
+            assert set(gaps[i]) & set(gaps[i + 1]) and set(gaps[i]) & set(gaps[i + 2]) and not set(gaps[i]) & set(gaps[i + 3])

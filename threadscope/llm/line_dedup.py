@@ -40,7 +40,9 @@ BLOCK = 32
 
 def plain(text: Column) -> Column:
     """A text with one blank for every run of them inside a line; only texts that have others are rewritten."""
-    other = text.rlike(r"[\t\x0B\f\r]|  ")
+    other = text.contains("  ")
+    for blank in "\t\x0B\f\r":
+        other = other | text.contains(blank)
     return F.when(other, F.regexp_replace(text, r"[\x20\t\x0B\f\r]+", " ")).otherwise(text)
 
 
@@ -57,23 +59,21 @@ def block_spans(n: Column) -> list[tuple[Column, Column, Column]]:
     return out
 
 
-def up_to(line: str, words: Column) -> Column:
-    """The first words of a line, or its last if the number is negative."""
-    return F.call_function("substring_index", F.col(line), F.lit(" "), words)
+def with_gap_keys(lines: DataFrame) -> DataFrame:
+    """``gaps``: hashes of a line's ``words`` without each of its gaps, in the order of ``block_spans``; null for fewer than MIN_WORDS.
 
-
-def gap_keys(line: str, n: str) -> Column:
-    """Hashes of a line (of a ``plain`` text, trimmed) without each of its gaps, as (gap, key).
-
-    The words before and after a gap are the line up to and from some blank, so nothing is cut into words."""
-    def found(spans, first):
-        return F.array(*[F.struct(F.lit(first + i).alias("gap"), F.xxhash64(
-            F.lit(i), up_to(line, before), up_to(line, -after)).alias("key"))
-            for i, (_, before, after) in enumerate(spans)])
-
-    spans = block_spans(F.col(n))
-    usual, more = found(spans[:BLOCKS], 0), found(spans[BLOCKS:], BLOCKS)
-    return F.when(F.col(n) >= MIN_WORDS, F.when(spans[BLOCKS][0], F.concat(usual, more)).otherwise(usual))
+    Blocks have equally many words (STEP is a multiple of BLOCKS), so the words before a gap are whole blocks counted from
+    the line's start, those after it whole blocks counted from its end: each block is hashed once, not once a gap."""
+    n, sizes = F.col("n"), {"usual": "block", "more": "block_more"}
+    block = ((n - n % STEP) / BLOCKS).cast("int")
+    lines = lines.withColumns({"block": block, "block_more": F.when((n % STEP == 0) & (n > STEP), block - STEP // BLOCKS).otherwise(0)})
+    for name, b in sizes.items():
+        lines = lines.withColumns({f"{name}{k}": F.xxhash64(F.slice("words", start, F.col(b))) for k, start in enumerate(
+            [F.col(b) * k + 1 for k in range(BLOCKS - 1)] + [n - F.col(b) * k + 1 for k in range(BLOCKS - 1, 0, -1)])})
+    usual, more = (F.array(*[F.xxhash64(F.lit(q), *[f"{name}{k}" for k in [*range(q), *range(BLOCKS - 1 + q, 2 * BLOCKS - 2)]])
+                             for q in range(BLOCKS)]) for name in sizes)
+    gaps = F.when(n >= MIN_WORDS, F.when(F.col("block_more") > 0, F.concat(usual, more)).otherwise(usual))
+    return lines.withColumn("gaps", gaps)
 
 
 def bound(value: str, name: str, body: str) -> str:
@@ -92,17 +92,18 @@ def running_xor(values: str, x: str) -> str:
     return bound(inner, x, bound(offsets, f"{x}o", f"concat({shifted}, array(element_at({x}o, -1)))"))
 
 
-def with_variants(df: DataFrame) -> DataFrame:
-    """``variants``: (place, hash) of the line itself (place 0) and of the one-word deletions at ``places`` (from 1).
+def variant_rows(found: DataFrame) -> DataFrame:
+    """(id, at, hash, place) of each line itself (place 0) and of its one-word deletions at ``places`` (from 1).
 
-    Hashes tell lengths apart, as a place's tag is part of each word's hash."""
+    Hashes tell lengths apart, as a place's tag is part of each word's hash.  The variants are exploded as they are
+    computed: of a column, Spark infers a filter on its size, which computes them all again."""
     each = ("transform(places, i -> named_struct('place', i, 'hash', "
             "pa[i - 1] ^ element_at(pb, -1) ^ pb[i]))")
     whole = "concat(array(named_struct('place', 0, 'hash', element_at(pa, -1))), " + each + ")"
     tagged = {"a": "transform(words, (w, j) -> xxhash64(w, j))", "b": "transform(words, (w, j) -> xxhash64(w, j - 1))"}
     for c in "ba":
         whole = bound(tagged[c], f"t{c}", bound(running_xor(f"t{c}", f"x{c}"), f"p{c}", whole))
-    return df.withColumn("variants", F.expr(whole))
+    return found.select("id", "at", F.explode(F.expr(whole)).alias("v")).select("id", "at", "v.hash", "v.place")
 
 
 def without(words: Column, place: Column) -> Column:
@@ -117,7 +118,7 @@ def near_lines(lines: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(id) of the distinct lines of which an earlier line is one edit away.
 
     ``lines``: a written table with one row a distinct line."""
-    keyed = lines.select("id", F.explode("gaps").alias("g")).select("id", "g.gap", "g.key")
+    keyed = lines.select("id", F.posexplode("gaps").alias("gap", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     some = keyed.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_set("gap").alias("open"))
     wanted = (lines.join(some, "id").select("id", "at", "n", "open").groupBy("at.k1", "at.k2")
@@ -134,8 +135,7 @@ def near_lines(lines: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
         "id", F.struct("at.doc_id", "at.k1", "at.line_no").alias("at"), "words",
         F.expr("array_distinct(flatten(transform(open, q -> sequence(spans[q].lo + 1, spans[q].hi))))").alias("places")),
         "line-candidates")
-    rows = materialize(with_variants(found).select("id", "at", F.explode("variants").alias("v"))
-                       .select("id", "at", "v.hash", "v.place"), "line-variants")
+    rows = materialize(variant_rows(found), "line-variants")
     whole = rows.where("place = 0").select("hash", F.lit(0).alias("e_place"), F.col("at").alias("e_at"), F.col("id").alias("e_id"))
     groups = rows.where("place > 0").groupBy("hash", "place").agg(F.min(F.struct("at", "id")).alias("e"), F.count("*").alias("c"))
     groups = groups.select("hash", F.col("place").alias("e_place"), F.col("e.at").alias("e_at"), F.col("e.id").alias("e_id"), "c")
@@ -152,17 +152,22 @@ def near_lines(lines: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     return checked.select("id").distinct()
 
 
+def line_rows(docs: DataFrame, text_col: str) -> DataFrame:
+    """(h1, h2, at, n, gaps) of every line with a word.  A document's key is hashed before its text is cut, once and not once a line."""
+    k1, k2 = hash128("doc_id", F.col(text_col))
+    texts = docs.where(F.col(text_col).isNotNull()).select("doc_id", k1.alias("k1"), k2.alias("k2"), plain(F.col(text_col)).alias("text"))
+    lines = (texts.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+             .withColumn("line", F.trim("line")).where("line <> ''")
+             .withColumn("words", F.split("line", " ")).withColumn("n", F.size("words")))
+    h1, h2 = hash128("line")
+    return with_gap_keys(lines).select(h1.alias("h1"), h2.alias("h2"), F.struct("doc_id", "k1", "line_no", "k2").alias("at"), "n", "gaps")
+
+
 def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with duplicate lines removed, ``n_lines`` and ``n_removed`` appended."""
     docs = docs.drop("n_lines", "n_removed")
     k1, k2 = hash128("doc_id", F.col(text_col))
-    lines = (docs.where(F.col(text_col).isNotNull())
-             .select("doc_id", k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split(plain(F.col(text_col)), "\n")).alias("line_no", "line"))
-             .withColumn("line", F.trim("line")).where("line <> ''")
-             .withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1))
-    h1, h2 = hash128("line")
-    lines = materialize(lines.select(h1.alias("h1"), h2.alias("h2"), F.struct("doc_id", "k1", "line_no", "k2").alias("at"),
-                                     "n", gap_keys("line", "n").alias("gaps")), "lines")
+    lines = materialize(line_rows(docs, text_col), "lines")
     distinct = materialize(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("gaps").alias("gaps"))
                            .withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
     near = materialize(near_lines(distinct, docs, text_col), "near-lines")
